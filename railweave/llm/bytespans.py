@@ -64,7 +64,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     texts = R.keyed(docs, id_col, text_col)
     packed = R.squeezed(texts)
-    runs = R.covered(parse(texts, width), packed, byte_symbols, width, first_stays=False)
+    runs = R.covered(parse(texts, width), texts, byte_symbols, width, first_stays=False)
 
     def cut(batches):
         for batch in batches:

@@ -11,8 +11,8 @@ pair, and exact set sizes decide.
 Large sets would need as many blocks as their largest allowed difference. They
 are thinned by hash first, at one rate for both sides of a size band, so that a
 pair at the threshold changes one shingle for each block on average; all of
-``BLOCKS`` = 64 blocks then miss such a pair with a chance below 1e-12, as hash
-collisions do. Sets of at most ``TINY`` shingles keep a block for each shingle.
+``BLOCKS`` = 48 blocks then miss such a pair with a chance near 1e-9, and any
+nearer pair with a smaller one. Sets of at most ``TINY`` shingles keep a block for each shingle.
 
 Blocks shared by more than ``SMALL`` documents are joined to the smallest one
 only; once those links have been verified, the pairs between different components
@@ -27,95 +27,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railweave.llm import repeats as R
-from railweave.llm.rolling import mix, window_hashes, word_hashes
-from railweave.llm.spans import gathered
+from railweave.llm.rolling import joined_words, mix, prefix, span, within, word_hashes
 from railweave.llm.store import components, keep
 
-BLOCKS, TINY, SMALL = 64, 48, 8
-#: Equal blocks that a pair of larger sets needs before its texts are read; at the threshold 22 of 64 are expected, and fewer than 3 come up with a chance below 1e-9.
-EQUAL = 3
+BLOCKS, TINY, SMALL = 48, 48, 8
+#: Equal blocks that a pair of larger sets needs before its texts are read; at the threshold 17 of 48 are expected, and fewer than 2 come up with a chance below 1e-7.
+EQUAL = 2
 U = np.uint64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingle_set(body: bytes, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of ``width``-word shingles; fewer words make one shingle."""
-    words = word_hashes(body.translate(LOWER))
-    if not len(words):
-        return words
-    return np.unique(window_hashes(words, min(width, len(words))))
-
-
-def sketch(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Join keys of a set for the two size bands in which partners can be."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    ratio = den / num
-    band = int(np.floor(np.log(n) / np.log(ratio) + 1e-9))
-    out = []
-    for j in (band, band - 1):
-        top = ratio ** (j + 2)
-        salt = mix(np.array([j + 1000], U))
-        if top <= TINY:
-            out.append(mix(shingles ^ salt))
-            continue
-        most = 2 * top * (den - num) / (den + num)
-        rate = min(1.0, BLOCKS / most)
-        chosen = shingles
-        if rate < 1:
-            chosen = chosen[(mix(chosen ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) < rate * 2.0**53]
-        if not len(chosen):
+def shingle_sets(bodies: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of ``width``-word shingles of many texts, sorted in each, and the sets' sizes.
+
+    A text with fewer words is one shingle, one without words none. Long texts are
+    hashed on their own, piece by piece.
+    """
+    words, counts = [], np.zeros(len(bodies), np.int64)
+    for low, high in R.chunks([len(x) for x in bodies], 1 << 20):
+        part = [x.translate(LOWER) for x in bodies[low:high]]
+        if len(part) == 1:
+            found = word_hashes(part[0])
+            counts[low] = len(found)
+        else:
+            found, counts[low:high] = joined_words(part)
+        words.append(found)
+    every = np.concatenate(words) if words else np.zeros(0, U)
+    start = np.cumsum(counts) - counts
+    many = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
+    at = np.repeat(start, many) + within(many)
+    size = np.minimum(np.repeat(counts, many), width)
+    h = span(prefix(every), at, size) if len(at) else every
+    own = np.repeat(np.arange(len(bodies)), many)
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return h[first], np.bincount(own[first], minlength=len(bodies))
+
+
+def sketches(shingles: np.ndarray, counts: np.ndarray, num: int, den: int):
+    """Of each set: its size band, join keys for the two bands in which partners can be, and its blocks.
+
+    Blocks are 16 bits of each block's XOR, 0 for an empty one, first for the own
+    band with the next, then for the one before with the own. Sets that are tiny
+    in a band have a key for each shingle there and no blocks.
+    """
+    ratio, own = den / num, np.repeat(np.arange(len(counts)), counts)
+    band = np.floor(np.log(np.maximum(counts, 1)) / np.log(ratio) + 1e-9).astype(np.int64)
+    chance = (mix(shingles ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) * 2.0**-53
+    block = (mix(shingles ^ U(0x14057B7EF767814F)) % U(BLOCKS)).astype(np.int64)
+    brief = np.zeros((len(counts), 2, BLOCKS), np.int16)
+    keys, owners = [], []
+    for side in (0, 1):
+        j = band - side
+        top = ratio ** (j + 2.0)
+        salt = mix((j + 1000).astype(U))
+        tiny = (top <= TINY)[own]
+        keys.append(mix(shingles[tiny] ^ salt[own[tiny]]))
+        owners.append(own[tiny])
+        rate = np.minimum(1.0, BLOCKS / (2 * top * (den - num) / (den + num)))
+        chosen = np.flatnonzero(~tiny & (chance < rate[own]))
+        cell = own[chosen] * BLOCKS + block[chosen]
+        order = np.argsort(cell, kind="stable")
+        cell, chosen = cell[order], chosen[order]
+        if not len(cell):
             continue
-        block = (mix(chosen ^ U(0x14057B7EF767814F)) % U(BLOCKS)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        at = np.flatnonzero(np.diff(block[order], prepend=-1))
-        value = np.bitwise_xor.reduceat(chosen[order], at)
-        out.append(mix(value ^ mix(block[order][at].astype(U) ^ salt)))
-    return np.concatenate(out) if out else np.zeros(0, U)
+        at = np.flatnonzero(np.diff(cell, prepend=-1))
+        value = np.bitwise_xor.reduceat(shingles[chosen], at)
+        who, which = cell[at] // BLOCKS, cell[at] % BLOCKS
+        key = mix(value ^ mix(which.astype(U) ^ salt[who]))
+        keys.append(key)
+        owners.append(who)
+        brief[who, side, which] = (key >> U(48)).astype(np.uint16).view(np.int16) | np.int16(1)
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return band, keys[order], np.bincount(owners, minlength=len(counts)), brief.reshape(len(counts), -1)
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
 
 def _described(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = {"kid": [], "th": [], "id": [], "n_shingles": [], "s1": [], "s2": [], "keys": []}
-            for kid, th, own, body in zip(*(batch.column(x).to_pylist() for x in ("kid", "th", "id", "body")), strict=True):
-                s = shingle_set(body, width)
+            bodies = batch.column("body").to_pylist()
+            for low, high in R.chunks([len(x) for x in bodies], 1 << 20):
+                s, counts = shingle_sets(bodies[low:high], width)
                 m = mix(s ^ U(0x2545F4914F6CDD1D))
-                for name, value in zip(rows, (kid, th, own, len(s), int(m.sum(dtype=U).view(np.int64)), int(np.bitwise_xor.reduce(mix(m)).view(np.int64)) if len(s) else 0, sketch(s, num, den).view(np.int64)), strict=True):
-                    rows[name].append(value)
-                if len(rows["kid"]) >= 1000:
-                    yield batched(rows)
-                    rows = {x: [] for x in rows}
-            if rows["kid"]:
-                yield batched(rows)
-
-    def batched(rows):
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.list_(pa.int64()) if k == "keys" else pa.int64()) for k, v in rows.items()], list(rows))
+                sums = np.concatenate((np.zeros(1, U), np.cumsum(m, dtype=U)))
+                more = np.concatenate((np.zeros(1, U), np.cumsum(mix(m), dtype=U)))
+                ends = np.cumsum(counts)
+                band, keys, n_keys, brief = sketches(s, counts, num, den)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(x).slice(low, high - low) for x in ("kid", "th", "id")), pa.array(counts, pa.int64()), *(pa.array((x[ends] - x[ends - counts]).view(np.int64)) for x in (sums, more)), pa.array(band, pa.int64()), _lists(keys.view(np.int64), n_keys, pa.int64()), _lists(brief.reshape(-1), np.full(len(counts), 2 * BLOCKS), pa.int16())],
+                    ["kid", "th", "id", "n_shingles", "s1", "s2", "band", "keys", "brief"],
+                )
 
-    return texts.mapInArrow(run, "kid long, th long, id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return texts.mapInArrow(run, "kid long, th long, id long, n_shingles long, s1 long, s2 long, band long, keys array<long>, brief array<smallint>")
 
 
-def _near(pairs: DataFrame, own: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, own: DataFrame, ratio: float) -> DataFrame:
     """Pairs whose sketches are near enough in Hamming distance for the texts to be compared."""
-    one = pairs.join(own.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a")
-    two = one.join(own.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
-    need = F.when(F.least(F.size("ka"), F.size("kb")) <= 2 * TINY, 1).otherwise(EQUAL)
-    return two.where(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b")
+    side = lambda n, i: own.select(F.col("node").alias(n), F.col("band").alias(f"band{i}"), F.col("brief").alias(f"brief{i}"))
+    two = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    half = lambda c, upper: F.slice(c, F.when(upper, BLOCKS + 1).otherwise(1), F.lit(BLOCKS))
+    x = half("brief1", F.col("band1") > F.col("band2"))
+    y = half("brief2", F.col("band2") > F.col("band1"))
+    equal = F.aggregate(F.zip_with(x, y, lambda p, q: F.when((p == q) & (p != 0), 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
+    tiny = F.pow(F.lit(ratio), F.least("band1", "band2") + 2.0) <= 2 * TINY
+    return two.where((F.abs(F.col("band1") - F.col("band2")) <= 1) & (tiny | (equal >= EQUAL))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, owner: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes with den * |A & B| >= num * |A | B|."""
-    pairs = keep(_near(pairs, owner), "pairs")
+    pairs = keep(_near(pairs, owner, den / num), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def to_set(batches):
         for batch in batches:
-            sets = [shingle_set(R.unsqueeze(x), width).tobytes() for x in batch.column("body").to_pylist()]
+            s, counts = shingle_sets([R.unsqueeze(x) for x in batch.column("body").to_pylist()], width)
+            ends = np.cumsum(counts)
+            sets = [s[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    where = nodes.join(owner.drop("keys"), "node")
-    sets = keep(texts.join(where, R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(to_set, "node long, shingles binary"), "sets")
+    where = keep(nodes.join(owner.select("node", *R.KEY), "node"), "where")
+    sets = keep(R.squeezed(texts, where).join(where, R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(to_set, "node long, shingles binary"), "sets")
 
     def compare(batches):
         for batch in batches:
@@ -153,11 +192,11 @@ def _prefixes(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int,
 
     def explode(batches):
         for batch in batches:
-            for node, body in zip(batch.column("node").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                s = shingle_set(R.unsqueeze(body), width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node, np.int64)), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s), np.int64))], ["node", "key", "n"])
+            s, counts = shingle_sets([R.unsqueeze(x) for x in batch.column("body").to_pylist()], width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), counts)), pa.array(s.view(np.int64)), pa.array(np.repeat(counts, counts))], ["node", "key", "n"])
 
-    every = keep(texts.join(nodes.join(owner.drop("keys"), "node"), R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(gathered(explode), "node long, key long, n long"), "shingles")
+    where = keep(nodes.join(owner.select("node", *R.KEY), "node"), "where")
+    every = keep(R.squeezed(texts, where).join(where, R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(explode, "node long, key long, n long"), "shingles")
     often = every.groupBy("key").agg(F.count("*").alias("seen"))
     ranked = every.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("all"))
     size = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
@@ -187,19 +226,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names can't clash; an empty table gives an empty result.
     """
     texts = R.keyed(docs, id_col, text_col)
-    packed = R.squeezed(texts)
     about = keep(_described(texts, width, num, den), "sketches")
     same = ["n_shingles", "s1", "s2"]
     full = about.where("n_shingles > 0")
-    kinds = full.groupBy(*same).agg(F.min(F.struct("kid", "th")).alias("rep"))
-    # A node is a distinct set, named by the smallest id that has it.
-    own = keep(full.join(kinds, same).where((F.col("kid") == F.col("rep.kid")) & (F.col("th") == F.col("rep.th"))).select(F.col("kid").alias("node"), *R.KEY, "keys"), "nodes")
-    marks = own.select("node", F.explode("keys").alias("key")).distinct()
+    # A node is a distinct set, named by the smallest id that has it; equal sets have equal sketches.
+    kinds = full.groupBy(*same, "band").agg(F.min(F.struct("kid", "th")).alias("rep"), F.any_value("keys").alias("keys"), F.any_value("brief").alias("brief"))
+    own = keep(kinds.select(F.col("rep.kid").alias("node"), "rep.*", *same, "band", "keys", "brief"), "nodes")
+    marks = own.select("node", F.explode("keys").alias("key"))
     pairs, hot = _candidates(marks, small)
-    links = keep(_verified(pairs, packed, own, width, num, den), "links")
+    links = keep(_verified(pairs, texts, own, width, num, den), "links")
     roots = components(links, "a", "b")
-    links, roots = _leftover(hot, links, roots, packed, own, width, num, den, small, cross)
-    member = about.join(kinds.select(*same, F.col("rep.kid").alias("node")), same, "left")
+    links, roots = _leftover(hot, links, roots, texts, own, width, num, den, small, cross)
+    member = about.select("id", "kid", *same).join(own.select(*same, "node"), same, "left")
     named = _rooted(member.withColumn("node", F.coalesce("node", "kid")), roots)
     lone = F.lit(-(2**63))
     return named.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root") == lone, F.col("id")).otherwise(F.col("root")).alias("component_id"))

@@ -38,12 +38,41 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("kid"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(id_col).cast("long").alias("id"), body.alias("body"))
 
 
-def squeezed(texts: DataFrame) -> DataFrame:
-    """The same rows with zstd-compressed bodies, for shuffles of whole texts."""
+#: Bits of the key filter, so that it has at most 512 KiB whatever the data.
+FILTER_BITS = 1 << 22
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits with a bit set for each (kid, th).
+
+    It is made by partial aggregates; at most 129 rows of 4 KiB come to the driver.
+    Keys that aren't there mostly miss; when there are too many keys for that, all pass.
+    """
+    bit = F.pmod(F.xxhash64(*KEY), F.lit(FILTER_BITS))
+    rows = keys.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    out = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
+    for row in rows.collect():
+        out[row["n"]] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def squeezed(texts: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The same rows with zstd-compressed bodies, for shuffles of whole texts.
+
+    With ``keys`` rows that surely aren't among them are left out beforehand, so
+    that a join with a few documents doesn't shuffle all texts.
+    """
+    filtered = keys is not None
+    if filtered:
+        bits = texts.sparkSession.sparkContext.broadcast(key_filter(keys))
+        texts = texts.withColumn("_b", F.pmod(F.xxhash64(*KEY), F.lit(FILTER_BITS))).select("kid", "th", "id", "body", F.bitmap_bucket_number("_b").alias("_n"), F.bitmap_bit_position("_b").alias("_p"))
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            if filtered:
+                n, at = (batch.column(x).to_numpy() for x in ("_n", "_p"))
+                batch = batch.filter(pa.array((bits.value[n, at >> 3] >> (at & 7)) & 1 == 1))
             bodies = pa.array([press.compress(x) for x in batch.column("body").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("kid"), batch.column("th"), batch.column("id"), bodies], ["kid", "th", "id", "body"])
 
@@ -79,7 +108,7 @@ def region_batch(kid, th, a, n, k, e) -> pa.RecordBatch:
 def covered(found: DataFrame, texts: DataFrame, symbols_of, width: int, first_stays: bool) -> DataFrame:
     """(kid, th, items array<struct<a,n>>): runs of window starts that are repeats.
 
-    ``found``: regions. ``symbols_of(bytes)`` gives a text's symbols. With
+    ``texts``: rows of :func:`keyed`. ``found``: regions. ``symbols_of(bytes)`` gives a text's symbols. With
     ``first_stays`` the earliest window of equal ones, by (kid, th, start), is
     not a repeat; without, every window that has an equal one is.
     """
@@ -114,7 +143,8 @@ def covered(found: DataFrame, texts: DataFrame, symbols_of, width: int, first_st
                     ["kid", "th", "a", "k", "h", "open"],
                 )
 
-    single = keep(with_text(lists, texts).mapInArrow(windows, "kid long, th long, a long, k long, h long, open boolean"), "windows")
+    lists = keep(lists, "lists")
+    single = keep(with_text(lists, squeezed(texts, lists)).mapInArrow(windows, "kid long, th long, a long, k long, h long, open boolean"), "windows")
     twice = single.groupBy("k", "h").agg(F.count("*").alias("seen"), F.min(place).alias("first")).where("seen >= 2")
     loose = single.where("open").join(twice, ["k", "h"]).where(away).select(*KEY, "a", F.lit(1).cast("long").alias("n"))
     runs = plain.unionByName(solid).unionByName(loose)

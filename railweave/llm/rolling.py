@@ -121,3 +121,19 @@ def regions(symbols: np.ndarray, starts: np.ndarray, width: int, reach: int, gra
     size = np.diff(np.append(at, len(starts)))
     first = starts[at]
     return first, size, span(sums, pick[at], width - reach + 1), span(sums, first, size + width - 1)
+
+
+def joined_words(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of many short texts at once, and how many each text has."""
+    data = b"\n".join(bodies)
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    start, end = word_bounds(data)
+    if not len(start):
+        return np.zeros(0, U), np.zeros(len(bodies), np.int64)
+    own = np.searchsorted(np.cumsum(size + 1), start, side="right")
+    return span(prefix(byte_symbols(data)), start, end - start), np.bincount(own, minlength=len(bodies))
+
+
+def within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. inside each of consecutive groups of the given sizes."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)

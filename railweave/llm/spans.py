@@ -96,7 +96,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     yield R.region_batch(np.full(len(a), kid), np.full(len(a), th), a, n, k, e)
 
     found = keep(R.with_text(lists, packed).mapInArrow(gathered(around), R.REGION), "found")
-    runs = R.covered(found, packed, word_hashes, width, first_stays=True)
+    runs = R.covered(found, texts, word_hashes, width, first_stays=True)
 
     def cut(batches):
         for batch in batches:
