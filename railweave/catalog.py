@@ -1,2 +1,356 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the operators on the views over the driver's tables, with SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from railweave.functions import clock, geo, keys, names
+from railweave.operators import canon, filters, linkage, lookups, sequences, spatial, summaries, tables
+from railweave.plans import journeys, network
+from railweave.plans.views import Tables, twin
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+NO_CODES = F.array().cast(linkage.NO_CODES)
+
+
+def query(name: str, sql: str | None = None):
+    def add(make: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        if sql:
+            SQL[name] = twin(sql)
+        return make
+
+    return add
+
+
+def r6(c):
+    return F.round(c if not isinstance(c, str) else F.col(c), 6)
+
+
+def hav(a: str, b: str, c: str, d: str) -> str:
+    """The haversine distance in SQL."""
+    return f"(12742.0 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))))"
+
+
+LEGS = "legs AS (SELECT trip_id, seq, stop_id AS from_stop, lead(stop_id) OVER w AS to_stop, departure_s, lead(arrival_s) OVER w AS raw FROM v_stop_times WINDOW w AS (PARTITION BY trip_id ORDER BY seq)), conn AS (SELECT trip_id, seq, from_stop, to_stop, departure_s, CASE WHEN raw < departure_s THEN raw + 86400 ELSE raw END AS arrival_s FROM legs WHERE to_stop IS NOT NULL)"
+
+
+def bus_legs(t: Tables) -> DataFrame:
+    return sequences.build_connections(t.v_stop_times).withColumn("mode", F.lit("bus"))
+
+
+@query("flagship_legs_by_region", f"""WITH {LEGS} SELECT a.region, count(*) AS legs, count(*) FILTER (km >= 5 AND h > 0 AND km / h > 120) AS implausible FROM (
+    SELECT x.region, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS km, (c.arrival_s - c.departure_s) / 3600.0 AS h FROM conn c JOIN v_stops x ON c.from_stop = x.stop_id JOIN v_stops y ON c.to_stop = y.stop_id) a GROUP BY a.region""")
+def _(t):
+    told = filters.leg_speeds(bus_legs(t), t.v_stops)
+    rows = told.join(t.v_stops.select(F.col("stop_id").alias("from_stop"), "region"), "from_stop")
+    return rows.groupBy("region").agg(F.count("*").alias("legs"), F.count_if(filters.is_implausible(F.col("mode"))).alias("implausible"))
+
+
+# ---- filters
+
+
+@query("b01_filter_bbox", "SELECT stop_id FROM v_stops WHERE lat BETWEEN 54.5 AND 55.2 AND lon BETWEEN 82.2 AND 84.0")
+def _(t):
+    return filters.filter_bbox(t.v_stops, (54.5, 82.2, 55.2, 84.0)).select("stop_id")
+
+
+@query("b02_auto_bbox", "SELECT terminal_id FROM v_terminals, (SELECT min(lat) - 1 AS a, max(lat) + 1 AS b, min(lon) - 1 AS c, max(lon) + 1 AS d FROM v_stops WHERE region = 'ASIA') q WHERE lat BETWEEN a AND b AND lon BETWEEN c AND d")
+def _(t):
+    return filters.auto_bbox(filters.filter_regions(t.v_stops, ["ASIA"]), t.v_terminals).select("terminal_id")
+
+
+@query("b03_filter_regions", "SELECT stop_id, region FROM v_stops WHERE region IN ('ASIA', 'EUROPE')")
+def _(t):
+    return filters.filter_regions(t.v_stops, ["ASIA", " EUROPE "]).select("stop_id", "region")
+
+
+@query("b04_filter_modes", "SELECT route_id, mode FROM v_routes WHERE mode = 'bus'")
+def _(t):
+    return filters.filter_modes(t.v_routes, "coach, ,bus,boat").select("route_id", "mode")
+
+
+@query("b05_filter_service_days", "SELECT trip_id FROM v_trips WHERE service_days = '' OR list_contains(string_split(service_days, ','), CAST(dayofweek(service_date) AS VARCHAR))")
+def _(t):
+    return filters.filter_service_days(t.v_trips, F.col("service_date")).select("trip_id")
+
+
+@query("b06_service_active", """WITH req AS (SELECT DISTINCT service_id, service_date AS day FROM v_trips), svc AS (SELECT range AS service_id, DATE '1993-01-01' AS s, DATE '1996-12-31' AS e FROM range(5)),
+    exc AS (SELECT DISTINCT service_id, service_date AS day, CASE WHEN service_id % 2 = 0 THEN 'removed' ELSE 'added' END AS x FROM v_trips WHERE trip_id % 11 = 0)
+    SELECT req.service_id, req.day, CASE WHEN s IS NULL THEN TRUE WHEN req.day < s OR req.day > e THEN FALSE WHEN x = 'removed' THEN FALSE WHEN x = 'added' THEN TRUE WHEN req.service_id = 4 THEN TRUE ELSE dayofweek(req.day) = req.service_id END AS active
+    FROM req LEFT JOIN svc ON svc.service_id = req.service_id LEFT JOIN exc ON exc.service_id = req.service_id AND exc.day = req.day""")
+def _(t):
+    req = t.v_trips.select("service_id", F.col("service_date").alias("day")).distinct()
+    svc = req.select("service_id").distinct().where("service_id < 5").select("service_id", F.to_date(F.lit("1993-01-01")).alias("start_date"), F.to_date(F.lit("1996-12-31")).alias("end_date"))
+    days = svc.where("service_id < 4").select("service_id", F.col("service_id").alias("weekday"))
+    exc = t.v_trips.where("trip_id % 11 = 0").select("service_id", F.col("service_date").alias("date"), F.when(F.col("service_id") % 2 == 0, "removed").otherwise("added").alias("exception_type")).distinct()
+    return filters.service_active(req, svc, days, exc)
+
+
+@query("b07_drop_implausible", f"""WITH {LEGS} SELECT c.trip_id, c.seq FROM conn c JOIN v_stops x ON c.from_stop = x.stop_id JOIN v_stops y ON c.to_stop = y.stop_id
+    WHERE NOT ({hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} >= 5 AND c.arrival_s > c.departure_s AND {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} / ((c.arrival_s - c.departure_s) / 3600.0) > 120)""")
+def _(t):
+    return filters.drop_implausible(bus_legs(t), t.v_stops).select("trip_id", "seq")
+
+
+@query("b08_live_only", "SELECT t.trip_id FROM v_trips t JOIN v_routes r ON t.route_id = r.route_id WHERE t.valid_to IS NULL AND r.valid_to IS NULL")
+def _(t):
+    return filters.live_trips(t.v_trips, t.v_routes).select("trip_id")
+
+
+@query("b09_filter_providers", "SELECT route_id FROM v_routes WHERE provider = 'north'")
+def _(t):
+    return filters.filter_providers(t.v_routes, ["north"]).select("route_id")
+
+
+@query("b10_exclude_bad_stops", "WITH bad AS (SELECT stop_id FROM v_stops WHERE lat > 55.8), gone AS (SELECT DISTINCT trip_id FROM v_stop_times WHERE stop_id IN (SELECT stop_id FROM bad)) SELECT trip_id, seq, stop_id FROM v_stop_times WHERE trip_id NOT IN (SELECT trip_id FROM gone)")
+def _(t):
+    issues = filters.validate_bounds(t.v_stops, (0.0, 0.0, 55.8, 180.0))
+    return filters.exclude_bad_stops({"stops": t.v_stops, "trips": t.v_trips, "stop_times": t.v_stop_times}, issues)["stop_times"].select("trip_id", "seq", "stop_id")
+
+
+@query("b11_search_text", "SELECT place_id FROM v_places WHERE contains(lower(name), 'an') OR (place_id >= 3000000 AND place_id % 2 = 0 AND contains(lower(name), 'an'))")
+def _(t):
+    alias = t.supplier.select((F.col("s_suppkey") + 3000000).alias("place_id"), F.col("s_name").alias("alias"))
+    return filters.search_text(t.v_places, "AN", ["name"], alias.where("place_id % 2 = 0"), "place_id").select("place_id")
+
+
+@query("b12_is_village_name", "SELECT p_partkey, p_partkey % 4 IN (0, 1) AS village, CASE WHEN p_partkey % 4 IN (0, 1) THEN 15 ELSE 0 END AS penalty FROM part")
+def _(t):
+    n = F.when(F.col("p_partkey") % 4 == 0, "Остановочный пункт 7").when(F.col("p_partkey") % 4 == 1, "ОП «Сад»").when(F.col("p_partkey") % 4 == 2, "Оптика").otherwise("Вокзал")
+    return t.part.select("p_partkey", names.is_village_name(n).alias("village"), names.village_penalty(n).alias("penalty"))
+
+
+@query("b13_is_plausible_settlement", "SELECT name, length(trim(name)) BETWEEN 4 AND 60 AND regexp_matches(trim(name), '^[A-Z]') AS ok FROM v_places")
+def _(t):
+    return t.v_places.select("name", names.is_plausible_settlement(F.col("name")).alias("ok"))
+
+
+@query("b14_validate_bounds", "SELECT 'stop' AS entity, stop_id AS entity_id, 'warn' AS severity FROM v_stops WHERE NOT (lat BETWEEN 54 AND 55 AND lon BETWEEN 82 AND 84)")
+def _(t):
+    return filters.validate_bounds(t.v_stops, (54.0, 82.0, 55.0, 84.0)).select("entity", "entity_id", "severity")
+
+
+@query("b15_region_plausible", f"WITH c AS (SELECT region, avg(lat) AS clat, avg(lon) AS clon FROM v_stops WHERE region <> 'AFRICA' GROUP BY region) SELECT terminal_id, CASE WHEN clat IS NULL THEN lat BETWEEN 41 AND 82 AND lon BETWEEN 19 AND 191 ELSE {hav('lat', 'lon', 'clat', 'clon')} <= CASE WHEN t.region = 'ASIA' THEN 300 ELSE 200 END END AS plausible FROM v_terminals t LEFT JOIN c ON c.region = t.region")
+def _(t):
+    c = t.v_stops.where("region <> 'AFRICA'").groupBy("region").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
+    return filters.region_plausible(t.v_terminals, c, ["ASIA"], 200.0, 300.0).select("terminal_id", "plausible")
+
+
+@query("b16_route_attachable", "SELECT route_id, count(*) FILTER (region = 'ASIA') = 0 AS attachable FROM v_outcomes GROUP BY route_id")
+def _(t):
+    return filters.route_attachable(t.v_outcomes.groupBy("route_id").agg(F.collect_set("region").alias("regions")), ["ASIA"]).select("route_id", "attachable")
+
+
+@query("b17_barrier_waiting", "SELECT string_agg(region, ',' ORDER BY region) AS waiting, FALSE AS open FROM (SELECT DISTINCT region FROM v_stops WHERE region NOT IN (SELECT region FROM v_stops WHERE stop_id % 50 = 0))")
+def _(t):
+    return filters.barrier_waiting(t.v_stops.where("stop_id % 50 = 0"), t.v_stops).select(F.array_join("waiting", ",").alias("waiting"), "open")
+
+
+@query("b18_with_settlement", "SELECT terminal_id, CASE WHEN terminal_id % 3 = 0 THEN settlement ELSE '' END AS settlement, terminal_id % 3 = 0 AS manual FROM v_terminals")
+def _(t):
+    return filters.with_settlement(t.v_terminals, t.v_terminals.where("terminal_id % 3 = 0").select("terminal_id", "settlement")).select("terminal_id", "settlement", "manual")
+
+
+# ---- joins
+
+STOP_PAIRS = f"SELECT a.stop_id, b.stop_id AS other_id, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM v_stops a JOIN v_stops b ON a.stop_id < b.stop_id"
+
+
+@query("c12_radius_join", f"SELECT stop_id, other_id, round(km, 6) AS km FROM ({STOP_PAIRS}) WHERE km <= 30")
+def _(t):
+    return spatial.radius_join(t.v_stops, 30.0).withColumn("km", r6("km"))
+
+
+@query("c13_walk_transfers", f"WITH p AS (SELECT * FROM ({STOP_PAIRS}) WHERE km <= 30 AND stop_id % 6 <> 0 AND other_id % 6 <> 0), b AS (SELECT stop_id AS from_stop, other_id AS to_stop, km FROM p UNION ALL SELECT other_id, stop_id, km FROM p) SELECT from_stop, to_stop, CAST(floor(km * 1000 / 5000 * 60) + 2 AS INT) AS minutes FROM b WHERE from_stop % 10 <> 1")
+def _(t):
+    have = t.v_stops.where("stop_id % 10 = 1").select(F.col("stop_id").alias("from_stop")).crossJoin(t.v_stops.select(F.col("stop_id").alias("to_stop")))
+    return spatial.walk_transfers(t.v_stops.withColumn("provisional", F.col("stop_id") % 6 == 0), have, 30000.0)
+
+
+@query("c14_transfer_links", f"WITH p AS (SELECT * FROM ({STOP_PAIRS}) WHERE km <= 30) SELECT stop_id AS from_stop, other_id AS to_stop, CAST(ceil(km / 5 * 60) AS INT) AS minutes, CAST(round(km * 1000) AS INT) AS metres FROM p UNION ALL SELECT other_id, stop_id, CAST(ceil(km / 5 * 60) AS INT), CAST(round(km * 1000) AS INT) FROM p")
+def _(t):
+    return spatial.transfer_links(t.v_stops, 30.0)
+
+
+NEAR = f"SELECT t.terminal_id AS point_id, s.stop_id, {hav('t.lat', 't.lon', 's.lat', 's.lon')} AS km FROM v_terminals t JOIN v_stops s ON abs(t.lat - s.lat) < 0.2"
+
+
+@query("c15_nearest_stops", f"SELECT point_id, stop_id, round(km, 6) AS km, rank FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, stop_id) AS rank FROM ({NEAR}) WHERE km <= 10) WHERE rank <= 3")
+def _(t):
+    return spatial.nearest_stops(t.v_terminals.withColumnRenamed("terminal_id", "point_id"), t.v_stops, 120.0, 3).withColumn("km", r6("km"))
+
+
+@query("c16_knn_staged", f"SELECT code, other_code, round(km, 6) AS km, rank FROM (SELECT t.terminal_id AS code, r.record_id AS other_code, {hav('t.lat', 't.lon', 'r.lat', 'r.lon')} AS km, row_number() OVER (PARTITION BY t.terminal_id ORDER BY {hav('t.lat', 't.lon', 'r.lat', 'r.lon')}, r.record_id) AS rank FROM v_terminals t JOIN v_records r ON abs(t.lat - r.lat) < 0.1 WHERE {hav('t.lat', 't.lon', 'r.lat', 'r.lon')} <= 2) WHERE rank <= 2")
+def _(t):
+    run = F.lit("run1").alias("run_id")
+    a = t.v_terminals.select(run, "source", F.col("terminal_id").alias("code"), "lat", "lon")
+    b = t.v_records.select(run, "source", F.col("record_id").alias("code"), "lat", "lon")
+    return spatial.knn_staged(a, b, 2.0, 2).select("code", "other_code", r6("km").alias("km"), "rank")
+
+
+@query("c23_gazetteer_resolve", "SELECT n_nationkey AS query_id, n_name AS place, 'exact' AS method FROM nation")
+def _(t):
+    q = t.nation.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit(" "), F.lower("n_name"), F.lit("  ")).alias("text"))
+    p = t.nation.select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    return spatial.gazetteer_resolve(q, p).select("query_id", "place", "method")
+
+
+@query("c25_fare_for_leg", """WITH leg AS (SELECT l_orderkey * 100 + l_linenumber AS leg_id, l_suppkey AS s FROM lineitem GROUP BY ALL), x AS (SELECT leg_id, s, s % 5 AS route_id, s % 3 AS z FROM leg)
+    SELECT leg_id, s, CASE WHEN route_id = 1 AND z = 2 THEN 10.0 WHEN route_id = 1 THEN 20.0 WHEN z = 0 THEN 30.0 WHEN route_id <> 4 THEN 40.0 END AS price FROM x""")
+def _(t):
+    legs = t.lineitem.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("leg_no"), F.col("l_suppkey").alias("s")).distinct()
+    legs = legs.select(F.concat_ws("-", "leg_no", "s").alias("leg_id"), "leg_no", "s", (F.col("s") % 5).alias("route_id"), F.col("s").alias("from_stop"), F.col("s").alias("to_stop"))
+    zones = t.supplier.select(F.col("s_suppkey").alias("stop_id"), (F.col("s_suppkey") % 3).cast("string").alias("zone_id"))
+    rules = t.region.limit(0).select(F.lit(0).alias("rule_no"), F.lit("").alias("route_id"), F.lit("").alias("from_zone"), F.lit("").alias("to_zone"), F.lit("").alias("fare_id"))
+    rows = [(1, "1", "2", "", "a"), (2, "1", "", "", "b"), (3, "", "0", "0", "c"), (4, "0", "", "", "d"), (5, "2", "", "", "d"), (6, "3", "", "", "d")]
+    rules = rules.union(t.spark.createDataFrame(rows, "rule_no int, route_id string, from_zone string, to_zone string, fare_id string"))
+    fares = t.spark.createDataFrame([("a", 10.0, "RUB"), ("b", 20.0, "RUB"), ("c", 30.0, "RUB"), ("d", 40.0, "RUB")], "fare_id string, price double, currency string")
+    return lookups.fare_for_leg(legs, rules, zones, fares).select(F.col("leg_no").alias("leg_id"), "s", "price")
+
+
+@query("c30_geocode_cache_join", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'miss' WHEN event_id % 4 = 1 THEN 'stale' ELSE CASE WHEN event_id % 4 = 2 THEN 'fresh' ELSE 'stale' END END AS state FROM events")
+def _(t):
+    q = t.events.select("event_id", F.concat(F.lit(" Q  "), (F.col("event_id") % 4).cast("string")).alias("text"), F.lit("p").alias("provider"))
+    cache = t.spark.range(1, 4).select(F.concat(F.lit("q "), F.col("id").cast("string")).alias("query"), F.lit("p").alias("provider"), (F.timestamp_seconds(F.lit(1_000_000_000)) - F.expr("make_dt_interval(CAST(CASE id WHEN 1 THEN 10 WHEN 2 THEN 60 ELSE 100 END AS INT))")).alias("cached_at"), F.when(F.col("id") == 1, "seed").otherwise("live").alias("origin"), F.lit(True).alias("verified"))
+    return spatial.geocode_cache_join(q, cache, F.timestamp_seconds(F.lit(1_000_000_000))).select("event_id", "state")
+
+
+@query("c32_join_by_code", "WITH one AS (SELECT system, code, arg_min(terminal_id, (CASE WHEN is_primary THEN 0 ELSE 1 END) * 1000000 + terminal_id) AS terminal_id FROM v_identifiers GROUP BY ALL) SELECT i.arrived, o.terminal_id FROM v_identifiers i JOIN one o ON o.system = i.system AND o.code = i.code")
+def _(t):
+    return lookups.join_by_code(t.v_identifiers.select("arrived", "system", "code"), t.v_identifiers).select("arrived", "terminal_id")
+
+
+@query("c33_dead_terminals", "SELECT terminal_id FROM v_terminals WHERE terminal_id NOT IN (SELECT stop_id FROM v_stop_times)")
+def _(t):
+    return lookups.dead_terminals(t.v_terminals, t.v_stop_times.select(F.col("stop_id").alias("terminal_id"))).select("terminal_id")
+
+
+@query("c34_legacy_terminals", "SELECT terminal_id FROM v_terminals WHERE terminal_id NOT IN (SELECT entity_id FROM v_candidates WHERE source = 'osm')")
+def _(t):
+    a = t.v_candidates.select(F.col("entity_id").alias("terminal_id"), F.when(F.col("source") == "osm", "skeleton").otherwise("other").alias("run_kind"))
+    return lookups.legacy_terminals(t.v_terminals, a).select("terminal_id")
+
+
+@query("c35_review_view", "WITH c AS (SELECT terminal_id, min(code) AS code FROM v_identifiers WHERE is_primary GROUP BY 1), s AS (SELECT entity_id, arg_max(field, (observed_at, field)) AS stage FROM v_candidates GROUP BY 1) SELECT r.review_id, t.name, t.locked, c.code, s.stage FROM v_reviews r LEFT JOIN v_terminals t ON t.terminal_id = r.terminal_id LEFT JOIN c ON c.terminal_id = r.terminal_id LEFT JOIN s ON s.entity_id = r.terminal_id")
+def _(t):
+    log = t.v_candidates.select(F.col("entity_id").alias("terminal_id"), F.col("field").alias("stage"), F.col("observed_at").alias("at"))
+    return lookups.review_view(t.v_reviews, t.v_terminals, t.v_identifiers, log).select("review_id", "name", "locked", "code", "stage")
+
+
+@query("c36_code_conflicts", """WITH m AS (SELECT DISTINCT (arrived + 1) % 500 AS terminal_id, code FROM v_identifiers WHERE system = 'osm' AND arrived % 3 = 0), h AS (SELECT code, terminal_id AS owner FROM v_identifiers WHERE system = 'osm')
+    SELECT m.terminal_id, m.code, h.owner FROM m JOIN h ON h.code = m.code WHERE m.terminal_id <> h.owner UNION SELECT h.owner, h.code, h.owner FROM h WHERE h.owner IN (SELECT terminal_id FROM m) AND h.code NOT IN (SELECT code FROM m)""")
+def _(t):
+    m = t.v_identifiers.where("system = 'osm' AND arrived % 3 = 0").select(((F.col("arrived") + 1) % 500).alias("terminal_id"), "code").distinct()
+    return lookups.code_conflicts(m, t.v_identifiers, "osm").select("terminal_id", "code", "owner")
+
+
+@query("c37_place_city", "SELECT 3000000 + s_suppkey AS place_id, n_name AS city FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 2000000 + n_nationkey, n_name FROM nation")
+def _(t):
+    places = t.v_places.withColumn("tz", F.lit("UTC"))
+    return lookups.place_city(places, summaries.closure_table(places)).select("place_id", "city")
+
+
+@query("c38_terminal_card", "SELECT t.terminal_id, (SELECT count(*) FROM v_identifiers i WHERE i.terminal_id = t.terminal_id) AS codes, (SELECT count(*) FROM v_reviews r WHERE r.terminal_id = t.terminal_id) AS reviews FROM v_terminals t")
+def _(t):
+    tags = t.v_terminals.select("terminal_id", F.lit("settlement").alias("key"), F.col("settlement").alias("value"))
+    stats = t.v_terminals.select("terminal_id", F.lit(0).alias("times"))
+    alias = t.v_terminals.select("terminal_id", F.col("name").alias("alias"))
+    card = lookups.terminal_card(t.v_terminals, tags, stats, alias, t.v_reviews, t.v_identifiers)
+    return card.select("terminal_id", F.when(F.col("identifiers").isNull(), 0).otherwise(F.size("identifiers")).cast("long").alias("codes"), F.when(F.col("reviews").isNull(), 0).otherwise(F.size("reviews")).cast("long").alias("reviews"))
+
+
+# ---- linkage
+
+
+def left_side(t: Tables) -> DataFrame:
+    return t.v_terminals.select(F.col("terminal_id").alias("left_id"), F.col("terminal_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", NO_CODES.alias("codes"))
+
+
+def right_side(t: Tables) -> DataFrame:
+    return t.v_records.select(F.col("record_id").alias("right_id"), F.col("record_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", NO_CODES.alias("codes"))
+
+
+@query("c01_blocked_fuzzy_join")
+def _(t):
+    return linkage.blocked_fuzzy_join(left_side(t), right_side(t)).withColumn("score", r6("score"))
+
+
+@query("c01_candidates_near", "SELECT t.terminal_id AS left_id, r.record_id AS right_id FROM v_terminals t JOIN v_records r ON abs(t.lat - r.lat) < 0.03 WHERE pow((t.lat - r.lat) * 111000.0, 2) + pow((t.lon - r.lon) * 111000.0 * (1.0 - 0.0000152 * t.lat * t.lat), 2) <= 4000000")
+def _(t):
+    return linkage.link_candidates(left_side(t), right_side(t).where("lat IS NOT NULL"))
+
+
+@query("c02_full_fuzzy_join")
+def _(t):
+    return linkage.full_fuzzy_join(left_side(t), right_side(t).where("right_id % 40 = 1")).select("left_id", "right_id", "result")
+
+
+@query("c05_unmatched_right")
+def _(t):
+    return linkage.unmatched_right(right_side(t), linkage.blocked_fuzzy_join(left_side(t), right_side(t))).select("right_id")
+
+
+@query("c06_merge_enrichment")
+def _(t):
+    l, r = left_side(t).withColumn("settlement", F.when(F.col("left_id") % 2 == 0, F.col("settlement"))), right_side(t)
+    return linkage.merge_enrichment(l, r, linkage.blocked_fuzzy_join(l, r)).drop("codes")
+
+
+def stop_side(t: Tables) -> DataFrame:
+    return t.v_terminals.where("terminal_id % 2 = 0").select(F.col("terminal_id").alias("stop_key"), "name", (F.col("lat") + 0.001).alias("lat"), "lon", "settlement", F.lit("").alias("transport"), F.lit("mintrans").alias("source"), F.lit("urban").alias("density"), NO_CODES.alias("codes"))
+
+
+def term_side(t: Tables) -> DataFrame:
+    return t.v_terminals.select("terminal_id", "name", "lat", "lon", "settlement", "transport", "source", NO_CODES.alias("codes"), (F.col("terminal_id") % 3 != 0).alias("final"))
+
+
+@query("c07_attach_candidates", "SELECT s.terminal_id AS stop_key, t.terminal_id FROM v_terminals s JOIN v_terminals t ON floor((s.lat + 0.001) / 0.5) - floor(t.lat / 0.5) BETWEEN -1 AND 1 AND floor(s.lon / 0.5) - floor(t.lon / 0.5) BETWEEN -1 AND 1 WHERE s.terminal_id % 2 = 0")
+def _(t):
+    return linkage.attach_candidates(stop_side(t), term_side(t))
+
+
+@query("c08_score_pair_attach")
+def _(t):
+    s, m = stop_side(t), term_side(t)
+    pairs = linkage.attach_candidates(s, m).join(m.select("terminal_id"), "terminal_id").where("stop_key = terminal_id")
+    return linkage.scored_attach(s, m, pairs).select("stop_key", r6("s.value").alias("value"), "s.trust", "s.guard", r6("s.metres").alias("metres"))
+
+
+@query("c09_trust", "SELECT event_id, CASE WHEN origin = 'seed' THEN 0.4 WHEN source = 'osm' THEN 0.6 ELSE 1.0 END AS trust FROM v_candidates")
+def _(t):
+    return t.v_candidates.select("event_id", linkage.trust(F.when(F.col("origin") == "seed", "seed").otherwise(F.col("source")), F.lit("MOTIS ")).alias("trust"))
+
+
+@query("c10_match_best")
+def _(t):
+    s, m = stop_side(t), term_side(t)
+    return linkage.match_best(linkage.scored_attach(s, m, linkage.attach_candidates(s, m)), "stop_key").select("stop_key", "cand_no", "n", "decision", r6("s.value").alias("value"))
+
+
+@query("c11_match_trip_stops")
+def _(t):
+    s, m = stop_side(t), term_side(t)
+    scored = linkage.scored_attach(s, m, linkage.attach_candidates(s, m, 0.1))
+    trips = t.v_stop_times.join(s.select(F.col("stop_key").alias("stop_id")), "stop_id", "left_semi").select("trip_id", F.col("seq").cast("int").alias("seq"), F.col("stop_id").alias("stop_key"))
+    return linkage.match_trip_stops(trips, scored).withColumn("value", r6("value"))
+
+
+@query("c18_legacy_match")
+def _(t):
+    return linkage.legacy_match(left_side(t), right_side(t)).withColumn("score", r6("score"))
+
+
+@query("d11_collapse_stop_area", "SELECT min(terminal_id) AS record_id, count(*) AS members FROM (SELECT terminal_id, lat, lon FROM v_terminals) GROUP BY lat, lon")
+def _(t):
+    rows = t.v_terminals.select(F.col("terminal_id").alias("record_id"), F.col("terminal_id").alias("ordinal"), F.lit("Same place").alias("name"), "lat", "lon", "transport", NO_CODES.alias("codes"))
+    return linkage.collapse_stop_area(rows).select("record_id", "members")
+
+
+@query("d12_group_terminals", "SELECT terminal_id AS stop_id, min(terminal_id) OVER (PARTITION BY lat, lon) AS terminal_id FROM v_terminals")
+def _(t):
+    return linkage.group_terminals(t.v_terminals.select(F.col("terminal_id").alias("stop_id"), F.col("terminal_id").alias("ordinal"), "lat", "lon"))

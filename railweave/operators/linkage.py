@@ -226,7 +226,8 @@ def full_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkCon
     if right.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} right rows: use blocked_fuzzy_join")
     pairs = left.select("left_id").crossJoin(F.broadcast(right.select("right_id")))
-    links = decide_join(scored_links(left, right, pairs, cfg), cfg)
+    # Every left row shares its candidates with all others, so rounds would settle one row each.
+    links = decide_join(scored_links(left, right, pairs, cfg), cfg, rounds=0)
     return left.select("left_id").join(links.select("left_id", F.when(F.col("result") != "identity_only", F.col("right_id")).alias("right_id"), "score", "second", "result"), "left_id", "left").na.fill({"score": 0.0, "second": 0.0, "result": "identity_only"})
 
 

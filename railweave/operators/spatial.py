@@ -172,13 +172,13 @@ def gazetteer_resolve(queries: DataFrame, places: DataFrame) -> DataFrame:
     q = queries.select("query_id", names.normalize_query(F.col("text")).alias("_q"))
     p = places.select("place_id", F.col("name").alias("place"), names.normalize_query(F.col("name")).alias("_p"), "lat", "lon")
     word = lambda c: F.explode(F.array_distinct(F.split(F.col(c), r"[\s,]+")))
-    exact = q.join(p, q["_q"] == p["_p"]).withColumn("_rank", F.lit(1)).withColumn("_len", F.lit(0))
+    exact = q.join(p, q["_q"] == p["_p"]).withColumn("_way", F.lit(1)).withColumn("_len", F.lit(0))
     tokens = p.withColumn("_w", word("_p"))
-    token = q.join(tokens, q["_q"] == tokens["_w"]).drop("_w").withColumn("_rank", F.lit(2)).withColumn("_len", F.lit(0))
+    token = q.join(tokens, q["_q"] == tokens["_w"]).drop("_w").withColumn("_way", F.lit(2)).withColumn("_len", F.lit(0))
     # A whole-word occurrence shares the query's first word, so this is an equi-join too.
     lead = q.withColumn("_w", F.split_part("_q", F.lit(" "), F.lit(1)))
-    inside = lead.join(tokens, "_w").where(names.word_bound_contains(F.col("_p"), F.col("_q"))).drop("_w").withColumn("_rank", F.lit(3)).withColumn("_len", F.length("_p"))
-    return first_per_key(exact.unionByName(token).unionByName(inside), ["query_id"], ["_rank", "_len", "place_id"]).select("query_id", "place", "lat", "lon", F.element_at(F.array(F.lit("exact"), F.lit("token"), F.lit("inside")), F.col("_rank")).alias("method"))
+    inside = lead.join(tokens, "_w").where(names.word_bound_contains(F.col("_p"), F.col("_q"))).drop("_w").withColumn("_way", F.lit(3)).withColumn("_len", F.length("_p"))
+    return first_per_key(exact.unionByName(token).unionByName(inside), ["query_id"], ["_way", "_len", "place_id"]).select("query_id", "place", "lat", "lon", F.element_at(F.array(F.lit("exact"), F.lit("token"), F.lit("inside")), F.col("_way")).alias("method"))
 
 
 def stop_for_place(requests: DataFrame, stops: DataFrame, origins: DataFrame, max_walk_minutes: float = 30.0) -> DataFrame:
