@@ -113,7 +113,9 @@ def covered(found: DataFrame, texts: DataFrame, symbols_of, width: int, first_st
     not a repeat; without, every window that has an equal one is.
     """
     place = F.struct("kid", "th", "a")
-    seen = found.groupBy("k").agg(F.count("*").alias("seen"), F.min("e").alias("low"), F.max("e").alias("high"), F.min(place).alias("first")).where("seen >= 2")
+    first = [F.min(place).alias("first")] * first_stays
+    # Written first, so that the join deals out both sides anew and a hot key can be split.
+    seen = keep(found.groupBy("k").agg(F.count("*").alias("seen"), F.min("e").alias("low"), F.max("e").alias("high"), *first).where("seen >= 2").drop("seen"), "seen")
     cand = keep(found.join(seen, "k"), "regions")
     away = place != F.col("first") if first_stays else F.lit(True)
     plain = cand.where((F.col("low") == F.col("high")) & away).select(*KEY, "a", "n")
@@ -145,7 +147,7 @@ def covered(found: DataFrame, texts: DataFrame, symbols_of, width: int, first_st
 
     lists = keep(lists, "lists")
     single = keep(with_text(lists, squeezed(texts, lists)).mapInArrow(windows, "kid long, th long, a long, k long, h long, open boolean"), "windows")
-    twice = single.groupBy("k", "h").agg(F.count("*").alias("seen"), F.min(place).alias("first")).where("seen >= 2")
+    twice = single.groupBy("k", "h").agg(F.count("*").alias("seen"), *first).where("seen >= 2").drop("seen")
     loose = single.where("open").join(twice, ["k", "h"]).where(away).select(*KEY, "a", F.lit(1).cast("long").alias("n"))
     runs = plain.unionByName(solid).unionByName(loose)
     return runs.groupBy(*KEY).agg(F.collect_list(F.struct("a", "n")).alias("items"))
