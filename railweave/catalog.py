@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railweave.functions import clock, geo, keys, names
-from railweave.operators import canon, filters, linkage, lookups, sequences, spatial, summaries, tables
+from railweave.operators import canon, filters, linkage, lookups, sequences, spatial, summaries, tables, timetables
 from railweave.plans import journeys, network
 from railweave.plans.views import Tables, twin
+from railweave.sources import readers, writers
+from railweave.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,10 +115,10 @@ def _(t):
     return filters.exclude_bad_stops({"stops": t.v_stops, "trips": t.v_trips, "stop_times": t.v_stop_times}, issues)["stop_times"].select("trip_id", "seq", "stop_id")
 
 
-@query("b11_search_text", "SELECT place_id FROM v_places WHERE contains(lower(name), 'an') OR (place_id >= 3000000 AND place_id % 2 = 0 AND contains(lower(name), 'an'))")
+@query("b11_search_text", "SELECT place_id FROM v_places WHERE contains(lower(name), 'a') OR (place_id >= 3000000 AND place_id % 2 = 0)")
 def _(t):
-    alias = t.supplier.select((F.col("s_suppkey") + 3000000).alias("place_id"), F.col("s_name").alias("alias"))
-    return filters.search_text(t.v_places, "AN", ["name"], alias.where("place_id % 2 = 0"), "place_id").select("place_id")
+    alias = t.supplier.select((F.col("s_suppkey") + 3000000).alias("place_id"), F.concat("s_name", F.lit(" Area")).alias("alias"))
+    return filters.search_text(t.v_places, "A", ["name"], alias.where("place_id % 2 = 0"), "place_id").select("place_id")
 
 
 @query("b12_is_village_name", "SELECT p_partkey, p_partkey % 4 IN (0, 1) AS village, CASE WHEN p_partkey % 4 IN (0, 1) THEN 15 ELSE 0 END AS penalty FROM part")
@@ -287,7 +289,8 @@ def _(t):
 
 @query("c02_full_fuzzy_join")
 def _(t):
-    return linkage.full_fuzzy_join(left_side(t), right_side(t).where("right_id % 40 = 1")).select("left_id", "right_id", "result")
+    # A stated query set, every hundredth left row, against all right rows.
+    return linkage.full_fuzzy_join(left_side(t).where("left_id % 100 = 0"), right_side(t)).select("left_id", "right_id", "result")
 
 
 @query("c05_unmatched_right")
@@ -354,3 +357,926 @@ def _(t):
 @query("d12_group_terminals", "SELECT terminal_id AS stop_id, min(terminal_id) OVER (PARTITION BY lat, lon) AS terminal_id FROM v_terminals")
 def _(t):
     return linkage.group_terminals(t.v_terminals.select(F.col("terminal_id").alias("stop_id"), F.col("terminal_id").alias("ordinal"), "lat", "lon"))
+
+
+# ---- summaries
+
+
+@query("d01_coverage_by_region", "SELECT region, count(*) AS total, count(*) FILTER (score >= 0.4) AS matched, round(count(*) FILTER (score >= 0.4) / count(*)::DOUBLE, 6) AS ratio FROM v_best GROUP BY region")
+def _(t):
+    return summaries.coverage_by_region(t.v_best, 0.4).withColumn("ratio", r6("ratio"))
+
+
+@query("d02_gate_pass", "SELECT coalesce(string_agg(region, ',' ORDER BY region), '') AS below, count(*) = 0 AS passed FROM (SELECT region FROM v_best GROUP BY region HAVING count(*) FILTER (score >= 0.4) / count(*)::DOUBLE < 0.55)")
+def _(t):
+    return summaries.gate_pass(summaries.coverage_by_region(t.v_best, 0.4), 0.55).select(F.array_join("below", ",").alias("below"), "passed")
+
+
+SWEEP = "SELECT threshold, count(*) FILTER (score >= threshold AND guard) AS verified, count(*) FILTER (score >= threshold - 0.1 AND NOT coalesce(score >= threshold AND guard, FALSE)) AS in_margin, count(*) AS total FROM v_best, (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY threshold"
+
+
+@query("d03_threshold_sweep", f"SELECT *, total - verified - in_margin AS rejected, round(verified / total::DOUBLE, 6) AS rate FROM ({SWEEP})")
+def _(t):
+    return summaries.threshold_sweep(t.v_best, [0.5, 0.7, 0.9]).withColumn("rate", r6("rate"))
+
+
+@query("d04_calibrate", f"SELECT threshold, verified, 'clean' AS set, 0.0 AS shift_m FROM ({SWEEP}) UNION ALL SELECT threshold, count(*) FILTER (score - 0.15 >= threshold AND guard), 'shifted', 555.0 FROM v_best, (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY threshold")
+def _(t):
+    worse = t.v_best.withColumn("score", F.col("score") - 0.15)
+    return summaries.calibrate(t.v_best, worse, [0.5, 0.7, 0.9], 0.005).select("threshold", "verified", "set", "shift_m")
+
+
+@query("d05_recommend_threshold", f"SELECT coalesce(max(threshold) FILTER (verified / total::DOUBLE >= 0.3), min(threshold)) AS threshold FROM ({SWEEP})")
+def _(t):
+    return summaries.recommend_threshold(summaries.threshold_sweep(t.v_best, [0.5, 0.7, 0.9]), 0.3).select("threshold")
+
+
+@query("d06_compare_gates", "SELECT region, round(count(*) FILTER (score >= 0.4) / count(*)::DOUBLE, 6) AS soft_rate, round(count(*) FILTER (decision = 'verified') / count(*)::DOUBLE, 6) AS verified_rate FROM v_best GROUP BY region")
+def _(t):
+    return summaries.compare_gates(t.v_best, 0.4).select("region", r6("soft_rate").alias("soft_rate"), r6("verified_rate").alias("verified_rate"))
+
+
+@query("d07_summarize_by_route", "SELECT route_id, count(*) AS n_in, count(*) FILTER (outcome = 'promoted') AS promoted, count(*) FILTER (outcome = 'staged') AS staged, count(*) FILTER (outcome = 'dead') AS dead FROM v_outcomes GROUP BY route_id")
+def _(t):
+    return summaries.summarize_by_route(t.v_outcomes)
+
+
+@query("d08_full_trip_rate", "SELECT round(count(*) FILTER (outcome = 'promoted') / count(*)::DOUBLE, 6) AS rate FROM v_outcomes")
+def _(t):
+    return summaries.full_trip_rate(t.v_outcomes).select(r6("rate").alias("rate"))
+
+
+CHURN = "WITH p AS (SELECT trip_id FROM v_trips WHERE trip_id % 3 <> 0), c AS (SELECT trip_id FROM v_trips WHERE trip_id % 5 <> 0), q AS (SELECT (SELECT count(*) FROM p) AS old, (SELECT count(*) FROM c) AS new, (SELECT count(*) FROM c WHERE trip_id NOT IN (SELECT trip_id FROM p)) AS added, (SELECT count(*) FROM p WHERE trip_id NOT IN (SELECT trip_id FROM c)) AS removed)"
+
+
+@query("d09_churn", f"{CHURN} SELECT old, new, added, removed, round((added + removed) / greatest(old, new)::DOUBLE, 6) AS churn, round(removed / old::DOUBLE, 6) AS disappeared, (added + removed) / greatest(old, new)::DOUBLE > 0.2 OR removed / old::DOUBLE > 0.2 AS alert FROM q")
+def _(t):
+    out = summaries.churn(t.v_trips.where("trip_id % 3 <> 0"), t.v_trips.where("trip_id % 5 <> 0"))
+    return out.withColumn("churn", r6("churn")).withColumn("disappeared", r6("disappeared"))
+
+
+@query("d10_row_balance", "SELECT route_id, count(*) AS n_in, TRUE AS balanced FROM v_outcomes GROUP BY route_id")
+def _(t):
+    return summaries.row_balance(summaries.summarize_by_route(t.v_outcomes), "n_in", summaries.OUTCOMES).select("route_id", "n_in", "balanced")
+
+
+@query("d13_count_by_state", "SELECT state, count(*) AS n FROM v_outcomes GROUP BY state")
+def _(t):
+    return summaries.count_by_state(t.v_outcomes)
+
+
+@query("d14_terminal_stats", "WITH x AS (SELECT s.stop_id, provisional, CASE WHEN t.valid_to IS NULL THEN s.trip_id END AS live FROM v_stop_times s JOIN v_trips t ON t.trip_id = s.trip_id) SELECT terminal_id, count(x.stop_id) AS times, count(*) FILTER (provisional) AS provisional, count(DISTINCT live) AS live_trips, count(x.stop_id) = 0 AS dead FROM v_terminals LEFT JOIN x ON x.stop_id = terminal_id GROUP BY terminal_id")
+def _(t):
+    return summaries.terminal_stats(t.v_terminals, t.v_stop_times.withColumnRenamed("stop_id", "terminal_id"), t.v_trips)
+
+
+@query("d15_route_listing", "SELECT r.route_id, r.name, r.carrier, (SELECT count(*) FROM v_trips t WHERE t.route_id = r.route_id AND t.valid_to IS NULL) AS live_trips FROM v_routes r")
+def _(t):
+    return summaries.route_listing(t.v_routes, t.v_trips).select("route_id", "name", "carrier", "live_trips")
+
+
+@query("d16_trip_listing", "SELECT t.trip_id, count(s.seq) AS stops, count(*) FILTER (s.provisional) AS provisional, t.valid_to IS NULL AS live FROM v_trips t LEFT JOIN v_stop_times s ON s.trip_id = t.trip_id WHERE t.route_id < 20 GROUP BY t.trip_id, t.valid_to")
+def _(t):
+    trips = t.v_trips.where("route_id < 20").dropDuplicates(["trip_id"])
+    return summaries.trip_listing(trips, t.v_stop_times).select("trip_id", "stops", "provisional", "live")
+
+
+@query("d17_route_regions", "SELECT route_id, substr(code, 1, 2) AS region FROM v_routes UNION SELECT route_id, region FROM v_outcomes")
+def _(t):
+    return summaries.route_regions(t.v_routes, t.v_outcomes)
+
+
+@query("d18_price_totals", "WITH p AS (SELECT l_orderkey AS journey_id, l_returnflag AS currency, sum(l_quantity) AS amount FROM lineitem GROUP BY ALL) SELECT journey_id, count(*) > 1 AS mixed, CASE WHEN count(*) = 1 THEN round(max(amount), 6) END AS total FROM p GROUP BY journey_id")
+def _(t):
+    legs = t.lineitem.select(F.col("l_orderkey").alias("journey_id"), F.col("l_returnflag").alias("currency"), F.col("l_quantity").alias("price"))
+    return summaries.price_totals(legs).select("journey_id", "mixed", F.round("total", 6).alias("total"))
+
+
+@query("d19_registry_stops", "SELECT DISTINCT s.stop_id, n.name, '' AS settlement FROM v_stop_times s JOIN v_stops n ON n.stop_id = s.stop_id")
+def _(t):
+    return summaries.registry_stops(t.v_stop_times.join(t.v_stops.select("stop_id", "name"), "stop_id"))
+
+
+@query("d20_origin_stops", "SELECT DISTINCT stop_id FROM v_stop_times WHERE seq = 0")
+def _(t):
+    return summaries.origin_stops(t.v_stop_times)
+
+
+@query("d21_network_bounds", f"WITH {LEGS} SELECT min(departure_s) AS first_departure_s, max(arrival_s) AS last_arrival_s FROM conn")
+def _(t):
+    return summaries.network_bounds(bus_legs(t))
+
+
+@query("d22_feed_stats", 'SELECT \'stops\' AS "table", count(*) AS rows FROM v_stops UNION ALL SELECT \'trips\', count(*) FROM v_trips UNION ALL SELECT \'stop_times\', count(*) FROM v_stop_times')
+def _(t):
+    return summaries.feed_stats({"stops": t.v_stops, "trips": t.v_trips, "stop_times": t.v_stop_times})
+
+
+@query("d23_provider_health", "SELECT settlement AS provider, count(*) AS records, count(*) FILTER (lat > 55) AS issues, count(DISTINCT stop_id) FILTER (lat > 55) AS excluded FROM v_stops GROUP BY settlement")
+def _(t):
+    stops = t.v_stops.withColumnRenamed("settlement", "provider")
+    issues = filters.validate_bounds(stops, (0.0, 0.0, 55.0, 180.0)).join(stops.select(F.col("stop_id").alias("entity_id"), "provider"), "entity_id")
+    return summaries.provider_health(stops, issues)
+
+
+@query("d24_daily_quota", "SELECT event_id, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) <= 3 AS admitted FROM events")
+def _(t):
+    calls = t.events.select("event_id", "ts", F.col("event_type").alias("provider"))
+    limits = calls.select("provider").distinct().withColumn("quota", F.lit(3))
+    return summaries.daily_quota(calls, limits).select("event_id", "admitted")
+
+
+@query("d25_kpi_report", f"{CHURN}, k AS (SELECT 'match_rate' AS kpi, region, count(*) FILTER (score >= 0.4) / count(*)::DOUBLE AS value FROM v_best GROUP BY region UNION ALL SELECT 'full_trip_rate', region, count(*) FILTER (outcome = 'promoted') / count(*)::DOUBLE FROM v_outcomes GROUP BY region UNION ALL SELECT 'stuck_staging', NULL, count(*) FILTER (state <> 'expired')::DOUBLE FROM v_outcomes UNION ALL SELECT 'churn', NULL, (added + removed) / greatest(old, new)::DOUBLE FROM q) SELECT kpi, region, round(value, 6) AS value FROM k")
+def _(t):
+    c = summaries.churn(t.v_trips.where("trip_id % 3 <> 0"), t.v_trips.where("trip_id % 5 <> 0"))
+    return summaries.kpi_report(summaries.coverage_by_region(t.v_best, 0.4), t.v_outcomes, t.v_outcomes, c).withColumn("value", r6("value"))
+
+
+CLOSURE = "WITH RECURSIVE closure(ancestor, descendant, depth) AS (SELECT place_id, place_id, 0 FROM v_places UNION ALL SELECT p.parent_id, c.descendant, c.depth + 1 FROM closure c JOIN v_places p ON p.place_id = c.ancestor WHERE p.parent_id IS NOT NULL)"
+
+
+@query("d26_closure_table", f"{CLOSURE} SELECT ancestor, descendant, depth FROM closure")
+def _(t):
+    return summaries.closure_table(t.v_places)
+
+
+@query("d26_closure_subtree", f"{CLOSURE}, b AS (SELECT descendant FROM closure WHERE ancestor = 1000002) SELECT ancestor, descendant, depth FROM closure WHERE ancestor IN (SELECT descendant FROM b) AND descendant IN (SELECT descendant FROM b)")
+def _(t):
+    return summaries.closure_table(t.v_places, 1000002)
+
+
+@query("d27_closure_diff", f"{CLOSURE} SELECT descendant, string_agg(CAST(ancestor AS VARCHAR), ',' ORDER BY ancestor) AS missing FROM closure WHERE descendant % 10 = 0 AND depth > 0 GROUP BY descendant")
+def _(t):
+    broken = summaries.closure_table(t.v_places).where("descendant % 10 <> 0 OR depth = 0")
+    return summaries.closure_diff(t.v_places, broken).select("descendant", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+
+
+@query("d28_network_indexes", "SELECT trip_id, string_agg(CAST(stop_id AS VARCHAR), '>' ORDER BY seq) AS stops FROM v_stop_times GROUP BY trip_id")
+def _(t):
+    return summaries.trip_stop_lists(t.v_stop_times).select("trip_id", F.array_join(F.transform("stops", lambda x: x.cast("string")), ">").alias("stops"))
+
+
+@query("d28_provisional_stops", "SELECT DISTINCT stop_id FROM v_stop_times WHERE provisional")
+def _(t):
+    return summaries.provisional_stops(t.v_stop_times)
+
+
+@query("d28_route_stop_lists", "SELECT t.route_id, count(DISTINCT s.stop_id) AS n FROM v_stop_times s JOIN v_trips t ON t.trip_id = s.trip_id GROUP BY t.route_id")
+def _(t):
+    return summaries.route_stop_lists(t.v_stop_times, t.v_trips).select("route_id", F.size("stops").cast("long").alias("n"))
+
+
+# ---- sequences
+
+
+@query("e01_build_connections", f"WITH {LEGS} SELECT trip_id, seq, from_stop, to_stop, departure_s, arrival_s FROM conn")
+def _(t):
+    return sequences.build_connections(t.v_stop_times)
+
+
+@query("e02_unwrap_midnight", """WITH raw AS (SELECT trip_id, seq, arrival_s // 60 % 1440 AS arr, departure_s // 60 % 1440 AS dep FROM v_stop_times), f AS (SELECT trip_id, seq, 0 AS half, arr AS t FROM raw UNION ALL SELECT trip_id, seq, 1, dep FROM raw),
+    d AS (SELECT *, CASE WHEN t < lag(t) OVER (PARTITION BY trip_id ORDER BY seq, half) THEN 1 ELSE 0 END AS down FROM f), u AS (SELECT trip_id, seq, half, t + 1440 * sum(down) OVER (PARTITION BY trip_id ORDER BY seq, half) AS t FROM d)
+    SELECT trip_id, seq, CAST(max(t) FILTER (half = 0) AS BIGINT) AS arr, CAST(max(t) FILTER (half = 1) AS BIGINT) AS dep FROM u GROUP BY trip_id, seq""")
+def _(t):
+    minute = lambda c: (F.floor(F.col(c) / 60) % 1440).alias(c[:3])
+    return sequences.unwrap_midnight(t.v_stop_times.select("trip_id", "seq", minute("arrival_s"), minute("departure_s")))
+
+
+@query("e05_collapse_consecutive", "WITH m AS (SELECT *, stop_id // 40 AS k FROM v_stop_times), i AS (SELECT *, sum(CASE WHEN k = p THEN 0 ELSE 1 END) OVER (PARTITION BY trip_id ORDER BY seq) AS island FROM (SELECT *, lag(k) OVER (PARTITION BY trip_id ORDER BY seq) AS p FROM m)) SELECT trip_id, CAST(island - 1 AS INT) AS seq, any_value(k) AS stop_id, arg_min(arrival_s, seq) AS arrival_s, arg_max(departure_s, seq) AS departure_s FROM i GROUP BY trip_id, island")
+def _(t):
+    return sequences.collapse_consecutive(t.v_stop_times.withColumn("stop_id", F.floor(F.col("stop_id") / 40)))
+
+
+@query("e06_check_monotonic", "SELECT trip_id, min(seq) AS seq FROM (SELECT *, lag(departure_s) OVER (PARTITION BY trip_id ORDER BY seq) AS p FROM (SELECT trip_id, seq, arrival_s - CASE WHEN stop_id % 17 = 0 THEN 5000 ELSE 0 END AS arrival_s, departure_s FROM v_stop_times)) WHERE arrival_s > departure_s OR arrival_s < p GROUP BY trip_id")
+def _(t):
+    return sequences.check_monotonic(t.v_stop_times.withColumn("arrival_s", F.col("arrival_s") - F.when(F.col("stop_id") % 17 == 0, 5000).otherwise(0)))
+
+
+@query("e07_check_speeds", f"""WITH x AS (SELECT s.trip_id, s.seq, s.arrival_s, s.departure_s, p.lat, p.lon, p.stop_id % 3 <> 0 AS fin FROM v_stop_times s JOIN v_stops p ON p.stop_id = s.stop_id), y AS (SELECT *, lag(lat) OVER w AS a, lag(lon) OVER w AS b, lag(fin) OVER w AS pf, lag(departure_s) OVER w AS pd FROM x WINDOW w AS (PARTITION BY trip_id ORDER BY seq))
+    SELECT trip_id, seq, CASE WHEN fin AND pf THEN 'dead' ELSE 'needs_review' END AS verdict FROM y WHERE a IS NOT NULL AND {hav('a', 'b', 'lat', 'lon')} / (floor((arrival_s - pd) / 60) / 60.0) > 200""")
+def _(t):
+    terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "lat", "lon", (F.col("stop_id") % 3 != 0).alias("final"))
+    return sequences.check_speeds(t.v_stop_times.withColumnRenamed("stop_id", "terminal_id"), terms).select("trip_id", "seq", "verdict")
+
+
+@query("e08_interpolate_position", """WITH x AS (SELECT s.trip_id, s.seq, p.lat, s.stop_id % 3 <> 0 AS m FROM v_stop_times s JOIN v_stops p ON p.stop_id = s.stop_id), y AS (SELECT *, max(CASE WHEN m THEN seq END) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ps, min(CASE WHEN m THEN seq END) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ns FROM x)
+    SELECT y.trip_id, y.seq, round(p.lat + (n.lat - p.lat) * (y.seq - y.ps) / (y.ns - y.ps)::DOUBLE, 6) AS lat, 'seq_proportional' AS method FROM y JOIN x p ON p.trip_id = y.trip_id AND p.seq = y.ps JOIN x n ON n.trip_id = y.trip_id AND n.seq = y.ns WHERE NOT y.m""")
+def _(t):
+    rows = t.v_stop_times.join(t.v_stops.select("stop_id", "lat", "lon"), "stop_id").select("trip_id", "seq", "lat", "lon", (F.col("stop_id") % 3 != 0).alias("matched"), F.lit(0.0).alias("duration"), F.lit(0.0).alias("distance"))
+    return sequences.interpolate_position(rows).select("trip_id", "seq", r6("lat").alias("lat"), "method")
+
+
+ELECT = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field ORDER BY CASE WHEN actor_id IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN actor_id IS NOT NULL THEN event_id END, CASE WHEN origin = 'seed' AND actor_id IS NULL THEN 1 ELSE 0 END, confidence DESC, observed_at DESC, event_id) AS n FROM v_candidates) WHERE n = 1"
+
+
+@query("e09_elect_field", f"SELECT entity_id, field, event_id FROM ({ELECT})")
+def _(t):
+    return sequences.elect_field(t.v_candidates).select("entity_id", "field", "event_id")
+
+
+@query("e10_legacy_vote", "WITH b AS (SELECT entity_id, source, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, event_id) AS n FROM v_candidates) WHERE n = 1) SELECT c_custkey AS entity_id, coalesce(source, 'mintrans') AS source, coalesce(confidence, 0.5) AS confidence FROM customer LEFT JOIN b ON entity_id = c_custkey")
+def _(t):
+    return sequences.legacy_vote(t.v_candidates, t.customer.select(F.col("c_custkey").alias("entity_id")))
+
+
+@query("e11_contest_fields", f"SELECT entity_id, field, value, actor_id IS NULL AND entity_id % 2 = 0 AS updated FROM ({ELECT})")
+def _(t):
+    now = sequences.elect_field(t.v_candidates).where("entity_id % 2 = 1").select("entity_id", "field", "value")
+    return sequences.contest_fields(t.v_candidates, now).select("entity_id", "field", "value", "updated")
+
+
+@query("e12_primary_identifier", "SELECT terminal_id, arrived FROM (SELECT *, row_number() OVER (PARTITION BY terminal_id ORDER BY CASE system WHEN 'manual' THEN 4 WHEN 'yandex' THEN 3 WHEN 'osm' THEN 2 WHEN 'mintrans' THEN 1 ELSE 0 END DESC, arrived) AS n FROM v_identifiers) WHERE n = 1")
+def _(t):
+    return sequences.primary_identifier(t.v_identifiers).select("terminal_id", "arrived")
+
+
+@query("e13_settlement_representative", "SELECT settlement, terminal_id FROM (SELECT settlement, terminal_id, row_number() OVER (PARTITION BY settlement ORDER BY n DESC, CASE WHEN transport = 'bus' THEN 0 ELSE 1 END, terminal_id) AS r FROM (SELECT t.settlement, t.terminal_id, t.transport, (SELECT count(*) FROM v_stop_times s WHERE s.stop_id = t.terminal_id) AS n FROM v_terminals t)) WHERE r = 1")
+def _(t):
+    terms = t.v_terminals.withColumn("kind", F.when(F.col("transport") == "bus", "bus_station").otherwise("station"))
+    return sequences.settlement_representative(terms, t.v_stop_times.withColumnRenamed("stop_id", "terminal_id")).select("settlement", "terminal_id")
+
+
+@query("e14_load_settlements", "SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 AND length(n_name) >= 4 THEN 'replaced' ELSE 'kept' END AS outcome FROM nation UNION ALL SELECT upper(p_brand), 'added' FROM (SELECT DISTINCT p_brand FROM part)")
+def _(t):
+    canon_rows = t.nation.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("lon")).union(t.part.select(F.upper("p_brand"), F.lit(2.0), F.lit(2.0)).distinct())
+    gaz = t.nation.select(F.col("n_name").alias("name"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    return sequences.load_settlements(gaz, canon_rows).select("name", "outcome")
+
+
+@query("e15_add_stops_to_gazetteer", "SELECT lower(trim(p_name)) AS alias, min(p_partkey) AS stop_id FROM part GROUP BY 1")
+def _(t):
+    stops = t.part.select(F.col("p_partkey").alias("stop_id"), F.concat("p_name", F.lit(", platform")).alias("name"))
+    return sequences.add_stops_to_gazetteer(stops).select("alias", "stop_id")
+
+
+@query("e16_terminal_schedule", "WITH x AS (SELECT s.stop_id, s.trip_id, s.departure_s, s.seq FROM v_stop_times s JOIN v_trips t ON t.trip_id = s.trip_id WHERE CASE WHEN t.service_id = 1 THEN FALSE WHEN t.service_id = 2 THEN TRUE ELSE t.service_days = '' OR list_contains(string_split(t.service_days, ','), CAST(dayofweek(DATE '1995-03-15') AS VARCHAR)) END) SELECT stop_id, n, trip_id, departure_s FROM (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY departure_s, trip_id, seq) AS n FROM x) WHERE n <= 5")
+def _(t):
+    day = F.to_date(F.lit("1995-03-15"))
+    exc = t.v_trips.where("service_id IN (1, 2)").select("service_id", day.alias("date"), F.when(F.col("service_id") == 1, "removed").otherwise("added").alias("exception_type")).distinct()
+    return sequences.terminal_schedule(t.v_stop_times, t.v_trips, exc, day, 5)
+
+
+@query("e17_trip_stop_times", "SELECT trip_id, seq, p.name, coalesce(CASE WHEN s.stop_id % 5 <> 0 THEN arrival_s END, departure_s) AS arrival_s, departure_s FROM v_stop_times s LEFT JOIN v_stops p ON p.stop_id = s.stop_id")
+def _(t):
+    return sequences.trip_stop_times(t.v_stop_times.withColumn("arrival_s", F.when(F.col("stop_id") % 5 != 0, F.col("arrival_s"))), t.v_stops)
+
+
+@query("e18_trip_duration", "SELECT trip_id, CASE WHEN count(*) >= 2 THEN arg_max(departure_s, seq) - arg_min(arrival_s, seq) END AS duration_s FROM v_stop_times GROUP BY trip_id")
+def _(t):
+    return sequences.trip_duration(t.v_stop_times)
+
+
+@query("e19_backbone_promotable", "SELECT trip_id, count(*) FILTER (stop_id % 4 <> 0) >= 2 AND count(*) FILTER (stop_id % 4 <> 0) * 3 >= count(*) * 2 AS ok FROM v_stop_times GROUP BY trip_id")
+def _(t):
+    return t.v_stop_times.groupBy("trip_id").agg(F.count_if(F.col("stop_id") % 4 != 0).alias("m"), F.count("*").alias("n")).select("trip_id", sequences.backbone_promotable(F.col("m"), F.col("n")).alias("ok"))
+
+
+JOURNEYS = "SELECT l_orderkey % 500 AS request_id, l_partkey AS arrival_s, l_linenumber AS transfers, min(l_orderkey) AS journey_id FROM lineitem GROUP BY ALL"
+
+
+def some_journeys(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy((F.col("l_orderkey") % 500).alias("request_id"), F.col("l_partkey").alias("arrival_s"), F.col("l_linenumber").alias("transfers")).agg(F.min("l_orderkey").alias("journey_id"))
+
+
+@query("e20_pareto_top", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY transfers, arrival_s, journey_id) AS rank FROM (SELECT l_orderkey % 500 AS request_id, l_partkey AS arrival_s, l_linenumber AS transfers, min(l_orderkey) AS journey_id FROM lineitem GROUP BY l_orderkey % 500, l_partkey, l_linenumber)) WHERE rank <= 3")
+def _(t):
+    return sequences.pareto_top(some_journeys(t))
+
+
+@query("e20_true_front", "WITH j AS (SELECT l_orderkey % 500 AS request_id, l_partkey AS arrival_s, l_linenumber AS transfers FROM lineitem GROUP BY ALL) SELECT a.request_id, a.arrival_s, a.transfers FROM j a WHERE NOT EXISTS (SELECT 1 FROM j b WHERE b.request_id = a.request_id AND b.arrival_s <= a.arrival_s AND b.transfers <= a.transfers AND (b.arrival_s < a.arrival_s OR b.transfers < a.transfers))")
+def _(t):
+    return sequences.true_front(some_journeys(t)).select("request_id", "arrival_s", "transfers")
+
+
+@query("e21_pick_by_preference", "SELECT request_id, arrival_s, transfers FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY arrival_s, transfers, journey_id) AS rank FROM (SELECT l_orderkey % 500 AS request_id, l_partkey AS arrival_s, l_linenumber AS transfers, min(l_orderkey) AS journey_id FROM lineitem GROUP BY l_orderkey % 500, l_partkey, l_linenumber)) WHERE rank = 1")
+def _(t):
+    return sequences.pick_by_preference(some_journeys(t), "arrival").select("request_id", "arrival_s", "transfers")
+
+
+@query("e22_latest_per_key", "SELECT entity_id, field, event_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field ORDER BY observed_at DESC, event_id DESC) AS n FROM v_candidates) WHERE n = 1")
+def _(t):
+    return sequences.latest_per_key(t.v_candidates, ["entity_id", "field"], [F.desc("observed_at"), F.desc("event_id")]).select("entity_id", "field", "event_id")
+
+
+@query("e23_attribute_upsert", f"WITH o AS ({ELECT}) SELECT entity_id, field, CASE WHEN event_id % 3 = 0 THEN value || '!' ELSE value END AS value, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2030-01-01' ELSE observed_at END AS observed_at FROM o")
+def _(t):
+    old = sequences.elect_field(t.v_candidates)
+    new = old.where("event_id % 3 = 0 OR event_id % 2 = 0").select("entity_id", "field", F.when(F.col("event_id") % 3 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")).alias("value"), "confidence", F.to_timestamp(F.lit("2030-01-01")).alias("observed_at"))
+    return sequences.attribute_upsert(old, new).select("entity_id", "field", "value", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
+
+
+# ---- orders, pages and sets
+
+
+@query("f01_page", "SELECT terminal_id, name, (SELECT count(*) FROM v_terminals) AS total FROM v_terminals ORDER BY name DESC, terminal_id LIMIT 20 OFFSET 40")
+def _(t):
+    return tables.page(t.v_terminals.select("terminal_id", "name"), "name", 20, 40, "terminal_id", True)
+
+
+@query("f02_sort_connections", f"WITH {LEGS} SELECT trip_id, seq, departure_s, arrival_s FROM conn")
+def _(t):
+    return tables.sort_connections(bus_legs(t)).select("trip_id", "seq", "departure_s", "arrival_s")
+
+
+@query("f03_chunk_rows", "SELECT terminal_id, CAST((row_number() OVER (PARTITION BY region ORDER BY transport, terminal_id) - 1) // 100 AS INT) AS chunk_no FROM v_terminals")
+def _(t):
+    return tables.chunk_rows(t.v_terminals.withColumn("code", F.col("terminal_id")), ["region", "transport", "terminal_id"], 500).select("terminal_id", "chunk_no")
+
+
+@query("f04_review_list", "SELECT review_id, score FROM v_reviews ORDER BY observed_at DESC, review_id DESC LIMIT 50")
+def _(t):
+    return tables.review_list(t.v_reviews, 50, "observed_at", "review_id").select("review_id", "score")
+
+
+@query("f05_staging_list", "SELECT trip_id, route_id FROM v_outcomes WHERE region = 'ASIA' ORDER BY route_id, trip_id LIMIT 100")
+def _(t):
+    return tables.staging_list(t.v_outcomes, "ASIA").select("trip_id", "route_id")
+
+
+@query("f06_history_list", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 30")
+def _(t):
+    return tables.history_list(t.events, 30, "ts", "event_id").select("event_id")
+
+
+@query("g01_union_sources", "SELECT terminal_id AS id, name, transport FROM v_terminals UNION ALL SELECT record_id, name, NULL FROM v_records")
+def _(t):
+    return tables.union_sources(t.v_terminals.select(F.col("terminal_id").alias("id"), "name", "transport"), t.v_records.select(F.col("record_id").alias("id"), "name"))
+
+
+@query("g02_intersect_days", "SELECT trip_id, CASE service_days WHEN '' THEN '' WHEN '1,2,3,4,5' THEN '3,5' WHEN '0,6' THEN '6' ELSE '3' END AS days FROM v_trips")
+def _(t):
+    days = F.transform(F.filter(F.split("service_days", ","), lambda x: x != ""), lambda x: x.cast("int"))
+    return t.v_trips.select("trip_id", clock.weekday_csv(clock.intersect_days(days, F.array(F.lit(6), F.lit(5), F.lit(3)))).alias("days"))
+
+
+@query("g03_diff_projections", "SELECT terminal_id, CASE WHEN terminal_id % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM v_terminals WHERE terminal_id % 5 = 0 OR terminal_id % 7 = 0")
+def _(t):
+    new = t.v_terminals.where("terminal_id % 5 <> 0").withColumn("name", F.when(F.col("terminal_id") % 7 == 0, "x").otherwise(F.col("name")))
+    return tables.diff_projections(t.v_terminals.withColumn("observed_at", F.lit(1)), new.withColumn("observed_at", F.lit(2)), ["terminal_id"])
+
+
+@query("g04_compare_snapshots", "SELECT count(*) AS old, count(*) FILTER (route_id % 10 <> 0) AS new, 0 AS added, count(*) FILTER (route_id % 10 = 0) AS removed, count(*) FILTER (route_id % 10 <> 0 AND route_id % 4 = 0) AS changed FROM v_routes")
+def _(t):
+    stops = t.v_outcomes.select("route_id", F.lit("forward").alias("direction"), F.col("trip_id").alias("seq"), "region").select("route_id", "direction", "seq", F.col("region").alias("stop_id"))
+    new = t.v_routes.where("route_id % 10 <> 0").withColumn("carrier", F.when(F.col("route_id") % 4 == 0, "other").otherwise(F.col("carrier")))
+    return tables.compare_snapshots(tables.route_signatures(t.v_routes, stops), tables.route_signatures(new, stops), 0.2).select("old", "new", "added", "removed", "changed")
+
+
+@query("g05_minus_previous", "SELECT DISTINCT trip_id FROM v_trips WHERE trip_id % 5 = 0 AND trip_id % 3 <> 0")
+def _(t):
+    return tables.minus_previous(t.v_trips.where("trip_id % 3 <> 0"), t.v_trips.where("trip_id % 5 <> 0"))
+
+
+@query("a15_stage_records", "SELECT terminal_id AS code, max(arrived) AS arrived FROM v_identifiers GROUP BY terminal_id")
+def _(t):
+    rows = t.v_identifiers.select(F.lit("r1").alias("run_id"), F.lit("osm").alias("source"), F.col("terminal_id").alias("code"), "arrived")
+    return tables.stage_records(rows).select("code", "arrived")
+
+
+@query("a16_merge_by_key", "SELECT route_id, CASE WHEN route_id % 3 = 0 THEN 'new' ELSE carrier END AS carrier, CASE WHEN route_id % 3 <> 0 THEN valid_to END AS valid_to FROM v_routes")
+def _(t):
+    return tables.merge_by_key(t.v_routes.select("route_id", "carrier", "valid_to"), t.v_routes.where("route_id % 3 = 0").select("route_id", F.lit("new").alias("carrier")), ["route_id"])
+
+
+@query("a17_append_stop_times", "SELECT trip_id, seq, CASE WHEN trip_id % 2 = 0 THEN departure_s + 60 ELSE departure_s END AS departure_s FROM v_stop_times")
+def _(t):
+    old = t.v_stop_times.select("trip_id", "seq", F.col("departure_s").cast("long").alias("departure_s"))
+    return tables.append_stop_times(old, old.where("trip_id % 2 = 0").withColumn("departure_s", F.col("departure_s") + 60))
+
+
+# ---- columns
+
+
+@query("h01_normalize_name", "SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(trim(c_name)), '[^a-z0-9 .,-]', '', 'g'), '[ .,-]+', ' ', 'g')) AS n FROM customer")
+def _(t):
+    return t.customer.select("c_custkey", names.normalize_name(F.col("c_name")).alias("n"))
+
+
+@query("h02_core_name", "SELECT p_partkey, lower(trim(p_name)) AS core FROM part")
+def _(t):
+    return t.part.select("p_partkey", names.core_name(F.concat(F.lit("г. "), "p_name", F.lit(" автовокзал"))).alias("core"))
+
+
+@query("h03_extract_settlement", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'бердск' WHEN p_partkey % 3 = 1 THEN 'кемеровский' ELSE '' END AS settlement FROM part")
+def _(t):
+    n = F.when(F.col("p_partkey") % 3 == 0, "ОП г. Бердск вокзал").when(F.col("p_partkey") % 3 == 1, "Кемеровский АВ").otherwise("Вокзал")
+    return t.part.select("p_partkey", names.extract_settlement(n).alias("settlement"))
+
+
+@query("h04_same_settlement", "SELECT p_partkey, p_partkey % 2 = 0 AS same, TRUE AS keyed FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, FALSE, FALSE FROM part WHERE p_partkey % 2 = 1")
+def _(t):
+    a, b = F.when(F.col("p_partkey") % 2 == 0, "Мариинский").otherwise("Томск"), F.lit("Мариинск")
+    return t.part.select("p_partkey", names.same_settlement(a, b).alias("same"), F.arrays_overlap(names.settlement_keys(a), names.settlement_keys(b)).alias("keyed"))
+
+
+SIM = "CASE WHEN x = y THEN 1.0 WHEN length(x) >= 3 AND length(y) >= 3 AND (contains(x, y) OR contains(y, x)) THEN 0.9 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE END"
+
+
+@query("h06_name_similarity", f"SELECT p_partkey, round({SIM}, 6) AS sim, round(CASE WHEN x = y THEN 0 ELSE levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE END, 6) AS lev FROM (SELECT p_partkey, lower(replace(p_name, ' ', '')) AS x, lower(replace(p_brand, '#', '')) AS y FROM part)")
+def _(t):
+    a, b = F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_brand")
+    return t.part.select("p_partkey", r6(names.name_similarity(a, b)).alias("sim"), r6(names.lev_ratio(a, b)).alias("lev"))
+
+
+@query("h08_expand_abbreviations", "SELECT p_partkey, 'остановочный пункт ' || trim(p_name) || ' автовокзал' AS full_name FROM part")
+def _(t):
+    return t.part.select("p_partkey", names.expand_abbreviations(F.concat(F.lit("ОП "), "p_name", F.lit(" «ав»"))).alias("full_name"))
+
+
+@query("h09_transliterate", "SELECT p_partkey, 'Shhuka Yo`' || p_partkey AS latin, 'Tomskaya Oblast' AS admin FROM part")
+def _(t):
+    return t.part.select("p_partkey", names.transliterate(F.concat(F.lit("Щука Ёь"), F.col("p_partkey").cast("string"))).alias("latin"), names.translate_admin(F.lit("Томская область")).alias("admin"))
+
+
+@query("h10_slug", "SELECT c_custkey, rtrim(substr(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40)) AS slug, substr(sha256(c_name || '|' || '54'), 1, 8) AS hash FROM customer")
+def _(t):
+    return t.customer.select("c_custkey", names.slug(F.col("c_name")).alias("slug"), names.name_hash(F.col("c_name"), F.lit("54")).alias("hash"))
+
+
+@query("h11_distances", f"SELECT terminal_id, round({hav('lat', 'lon', '55.0', '83.0')}, 6) AS km, round((pow((lat - 55.0) * 111000.0, 2) + pow((lon - 83.0) * 111000.0 * (1.0 - 0.0000152 * lat * lat), 2)) / 1e6, 6) AS m2 FROM v_terminals")
+def _(t):
+    a = (F.col("lat"), F.col("lon"), F.lit(55.0), F.lit(83.0))
+    return t.v_terminals.select("terminal_id", r6(geo.haversine_km(*a)).alias("km"), r6(geo.planar_m2(*a) / 1e6).alias("m2"))
+
+
+@query("h12_walking", "SELECT p_partkey, CAST(ceil(p_partkey / 1000.0 / 5 * 60) AS INT) AS minutes, CAST(floor(p_partkey / 5000.0 * 60) + 2 AS INT) AS transfer, round(p_partkey / 60.0 * 5, 6) AS radius FROM part")
+def _(t):
+    k = F.col("p_partkey").cast("double")
+    return t.part.select("p_partkey", geo.walk_minutes(k / 1000.0).alias("minutes"), geo.walk_transfer_minutes(k).alias("transfer"), r6(geo.walk_radius_km(k)).alias("radius"))
+
+
+@query("h13_grid_cell", "SELECT terminal_id, CAST(floor(lat / 0.5) AS INT) AS r, CAST(floor(lon / 0.5) AS INT) AS c, printf('%.4f,%.4f', lat, lon) AS cache_key, (CAST(floor(lat / 0.5) AS BIGINT) << 32) | CAST(floor(lon / 0.5) AS BIGINT) AS packed FROM v_terminals")
+def _(t):
+    cell = geo.grid_cell(F.col("lat"), F.col("lon"), 0.5)
+    return t.v_terminals.select("terminal_id", cell["r"].alias("r"), cell["c"].alias("c"), geo.geo_cache_key(F.col("lat"), F.col("lon")).alias("cache_key"), geo.geo_cell(F.col("lat"), F.col("lon"), 0.5).alias("packed"))
+
+
+@query("h14_stop_types", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'airport' WHEN 1 THEN 'hub' WHEN 2 THEN 'platform' ELSE 'station' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'airport' WHEN 2 THEN 'platform' ELSE 'hub' END AS tagged FROM part")
+def _(t):
+    n = F.element_at(F.array(F.lit("Аэропорт Томск"), F.lit("Томск АВ"), F.lit("Пов. на сад"), F.lit("Томск")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return t.part.select("p_partkey", names.infer_stop_type(n).alias("kind"), names.classify_stop(n, F.create_map(F.lit("amenity"), F.lit("bus_station"))).alias("tagged"))
+
+
+@query("h15_signals", "SELECT p_partkey, p_partkey % 2 = 0 AS signal, p_partkey % 2 = 1 AS contrast FROM part")
+def _(t):
+    n = F.when(F.col("p_partkey") % 2 == 0, "Томск, автовокзал").otherwise("Томск, речной вокзал")
+    return t.part.select("p_partkey", names.stop_type_signal(F.lit("hub"), n).alias("signal"), names.has_contrast_word(F.lit("Томский АВ"), n).alias("contrast"))
+
+
+@query("h16_parse_cell_time", "SELECT p_partkey, CASE WHEN p_partkey % 30 < 24 THEN (p_partkey % 30) * 60 + 5 END AS minutes, CASE WHEN p_partkey % 30 < 24 THEN '1,3' END AS days, p_partkey % 30 < 24 AS ok FROM part")
+def _(t):
+    c = clock.parse_cell_time(F.format_string("%d:05 (ср, Пн)", F.col("p_partkey") % 30))
+    return t.part.select("p_partkey", c["minutes"].cast("long").alias("minutes"), clock.weekday_csv(c["days"]).alias("days"), c["ok"].alias("ok"))
+
+
+@query("h17_parse_block_days", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'all' WHEN 1 THEN 'none' WHEN 2 THEN 'parity' WHEN 3 THEN 'days' WHEN 4 THEN 'error' ELSE 'all' END AS kind, CASE WHEN p_partkey % 6 = 3 THEN '0,1,5' END AS days FROM part")
+def _(t):
+    text = F.element_at(F.array(F.lit(""), F.lit("Нет отправлений"), F.lit("через день"), F.lit("пт; пн, вс"), F.lit("пн; завтра"), F.lit("ежедневно")), (F.col("p_partkey") % 6 + 1).cast("int"))
+    b = clock.parse_block_days(text)
+    return t.part.select("p_partkey", b["kind"].alias("kind"), clock.weekday_csv(b["days"]).alias("days"))
+
+
+@query("h18_parse_days_range", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '0,1,5,6' WHEN 1 THEN '2,4' ELSE '0,1,2,3,4,5,6' END AS days, '2024-05-01' AS s, '2024-09-30' AS e FROM part")
+def _(t):
+    text = F.element_at(F.array(F.lit("пт-пн"), F.lit("вт, четверг"), F.lit("иногда")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = clock.parse_period(F.lit("с 01.05 по 30.09"), F.lit("2024-03-03"))
+    return t.part.select("p_partkey", clock.weekday_csv(clock.parse_days_range(text)).alias("days"), p["start"].alias("s"), p["end"].alias("e"))
+
+
+@query("h19_feed_times", "SELECT p_partkey, CAST(p_partkey % 30 * 3600 + 125 AS BIGINT) AS s, printf('%02d:02:05', p_partkey % 30) AS hms, DATE '2024-02-29' AS d FROM part")
+def _(t):
+    text = F.format_string("%d:2:05", F.col("p_partkey") % 30)
+    return t.part.select("p_partkey", clock.feed_seconds(text).cast("long").alias("s"), clock.normalize_time(text).alias("hms"), clock.feed_date(F.lit("20240229")).alias("d"))
+
+
+@query("h20_modes", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'tram' WHEN 1 THEN 'rail' WHEN 2 THEN 'rail' WHEN 4 THEN 'flight' ELSE 'bus' END AS mode, CASE p_partkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 4 THEN 1100 ELSE 3 END AS kind, CASE p_partkey % 6 WHEN 1 THEN 250.0 WHEN 2 THEN 250.0 WHEN 4 THEN 1000.0 ELSE 120.0 END AS cap FROM part")
+def _(t):
+    m = clock.feed_mode((F.col("p_partkey") % 6).cast("string"))
+    return t.part.select("p_partkey", m.alias("mode"), clock.route_type(m).alias("kind"), clock.max_speed(m).alias("cap"))
+
+
+@query("h21_weekday_flags", "SELECT trip_id, CASE WHEN service_days = '1,2,3,4,5' THEN 1 ELSE 0 END AS monday, CASE WHEN service_days IN ('0,6', '0,3') THEN 1 ELSE 0 END AS sunday FROM v_trips")
+def _(t):
+    days = F.transform(F.filter(F.split("service_days", ","), lambda x: x != ""), lambda x: x.cast("int"))
+    flags = clock.weekday_flags(days)
+    return t.v_trips.select("trip_id", flags[0], flags[6])
+
+
+@query("h22_route_keys", "SELECT route_id, 'synthetic:' || substr(code, 1, 2) || ':' || substr(code, 4) || ':A-B:x:77' AS key, 'forward:3:1' AS part, CASE WHEN route_id % 2 = 0 THEN 0 END AS direction FROM v_routes")
+def _(t):
+    return t.v_routes.select("route_id", keys.route_key_of_code(F.col("code"), F.lit("A / B"), F.lit("--"), F.lit("77")).alias("key"), keys.split_trip_key(F.concat(F.col("code"), F.lit("|forward:3:1"))).alias("part"), keys.direction_id(F.when(F.col("route_id") % 2 == 0, " Forward")).alias("direction"))
+
+
+@query("h23_surrogate_id")
+def _(t):
+    return t.v_reviews.select("review_id", keys.surrogate_id(F.lit("terminal"), F.col("reason"), F.lit("osm"), F.col("fingerprint")).alias("id"))
+
+
+@query("h24_plan_id", "SELECT route_id, sha256('v1' || chr(0) || 'cfg' || chr(0) || 'a' || chr(0) || '~' || name) AS plan, TRUE AS fresh FROM v_routes")
+def _(t):
+    p = keys.plan_id(F.lit("v1"), F.lit("cfg"), F.array(F.col("name"), F.lit("a")))
+    return t.v_routes.select("route_id", keys.plan_id(F.lit("v1"), F.lit("cfg"), F.array(F.concat(F.lit("~"), "name"), F.lit("a"))).alias("plan"), keys.is_fresh(p, p).alias("fresh"))
+
+
+@query("h25_price_estimate", "SELECT p_partkey, CAST(floor(greatest(50.0, greatest(1.0, p_partkey / 7.0) * CASE WHEN p_partkey % 2 = 0 THEN 3.5 ELSE 2.5 END) + 0.5) AS DOUBLE) AS price, CASE WHEN p_partkey % 3 = 0 THEN 'USD' ELSE 'RUB' END AS currency FROM part")
+def _(t):
+    k = F.col("p_partkey")
+    return t.part.select("p_partkey", keys.price_estimate(k / 7.0, F.when(k % 2 == 0, "rail").otherwise("coach")).alias("price"), keys.currency_or_default(F.when(k % 3 == 0, " usd").when(k % 3 == 1, "XXX")).alias("currency"))
+
+
+@query("h26_levels", "SELECT p_partkey, CASE p_partkey % 11 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 6 THEN 3 WHEN 8 THEN 4 WHEN 9 THEN 5 WHEN 10 THEN 5 END AS level, CASE WHEN p_partkey % 2 = 0 THEN 'R, ' ELSE '' END || p_name AS query FROM part")
+def _(t):
+    k = F.col("p_partkey")
+    return t.part.select("p_partkey", keys.admin_level((k % 11).cast("int")).alias("level"), keys.geocode_query(F.when(k % 2 == 0, "R"), F.col("p_name")).alias("query"))
+
+
+@query("h27_transport", "SELECT terminal_id, CASE WHEN transport = 'rail' THEN 'bus+rail' ELSE 'bus' END AS modes, TRUE AS shared, TRUE AS context FROM v_terminals")
+def _(t):
+    x = F.concat_ws("+", F.col("transport"), F.lit("bus"), F.lit(""), F.col("transport"))
+    return t.v_terminals.select("terminal_id", names.normalize_transport(x).alias("modes"), names.transport_overlap(x, F.lit("tram+bus")).alias("shared"), names.name_adds_context(F.concat("settlement", F.lit(", "), "name"), F.col("name")).alias("context"))
+
+
+@query("h28_query_words", "SELECT p_partkey, lower(p_name) AS q, TRUE AS inside, FALSE AS broken, TRUE AS words FROM part")
+def _(t):
+    n = F.col("p_name")
+    q = names.normalize_query(F.concat(F.lit("  "), F.replace(n, F.lit(" "), F.lit("   "))))
+    return t.part.select("p_partkey", q.alias("q"), names.word_bound_contains(F.concat(F.lit("at "), n, F.lit(".")), n).alias("inside"), names.word_bound_contains(F.concat(F.lit("x"), n), n).alias("broken"), names.token_name_match(n, F.concat(n, F.lit(" stop"))).alias("words"))
+
+
+# ---- registry, attach and canon jobs on tables derived from the driver's
+
+BLOCK = "struct<days:string,dep:array<string>,dwell:array<string>,arr:array<string>,period:string>"
+
+
+def registry(t: Tables) -> dict[str, DataFrame]:
+    """Registry tables of the trips: two runs a schedule, winter times, one direction each."""
+    hm = lambda c: F.format_string("%02d:%02d", F.floor(F.col(c) / 3600) % 24, F.floor(F.col(c) / 60) % 60)
+    rows = t.v_stop_times.join(t.v_trips.select("trip_id", "direction", "service_id").dropDuplicates(["trip_id"]), "trip_id")
+    later = lambda c: F.format_string("%02d:%02d", (F.floor(F.col(c) / 3600) + 1) % 24, F.floor(F.col(c) / 60) % 60)
+    block = F.struct(F.when(F.col("trip_id") % 4 == 1, "пн, вт, ср, чт, пт").otherwise("ежедневно").alias("days"), F.array(hm("departure_s"), later("departure_s")).alias("dep"), F.array().cast("array<string>").alias("dwell"), F.array(hm("arrival_s"), later("arrival_s")).alias("arr"), F.lit("").alias("period"))
+    stop = F.struct(F.col("stop_id").cast("string").alias("stop"), F.format_string("%02d", F.col("stop_id") % 30).alias("region"), block.alias("winter"), F.lit(None).cast(BLOCK).alias("summer"))
+    code = F.concat(F.format_string("%02d.", F.col("trip_id") % 30), F.col("trip_id").cast("string"))
+    schedules = rows.select(code.alias("route"), "direction", (F.col("service_id").cast("long") + 1).alias("service_id"), "seq", stop.alias("s")).groupBy("route", "direction", "service_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s"))), lambda x: x["s"]).alias("stops"))
+    routes = schedules.select(F.col("route").alias("reg"), F.concat(F.lit("route "), "route").alias("name"), F.lit(None).cast("double").alias("order"), F.lit("firm").alias("carrier"), F.lit("77").alias("carrier_inn"))
+    stops = t.v_stops.select(F.col("stop_id").cast("string").alias("id"), "name", F.format_string("%02d", F.col("stop_id") % 30).alias("region"), F.lit("").alias("op_reg"), "lat", "lon")
+    services = t.v_trips.select((F.col("service_id").cast("long") + 1).alias("id")).distinct().select("id", F.lit("s").alias("name"), F.lit("1992-01-01").alias("start_date"), F.lit("1999-12-31").alias("end_date"))
+    days = services.select(F.col("id").alias("service_id"), (F.col("id") % 7).cast("int").alias("weekday"))
+    none = services.where("id < 0").select(F.col("id").alias("service_id"), F.lit("1995-01-01").alias("date"), F.lit("added").alias("exception_type"))
+    meta = t.region.agg(F.lit("registry").alias("source"), F.lit("1995-01-01").alias("snapshot"))
+    return {"meta": meta, "routes": routes, "stops": stops, "services": services, "service_days": days, "service_exceptions": none, "schedules": schedules, "carriers": routes.select(F.col("carrier").alias("name"), F.col("carrier_inn").alias("inn")).distinct()}
+
+
+@query("e03_flatten_trips", "SELECT count(*) AS stops, sum(CASE WHEN n THEN 1 ELSE 0 END) AS runs FROM (SELECT row_number() OVER (PARTITION BY trip_id) = 1 AS n FROM v_stop_times, (SELECT unnest([1, 2]))) t".replace("row_number() OVER (PARTITION BY trip_id) = 1", "row_number() OVER (PARTITION BY trip_id, k) = 1").replace("(SELECT unnest([1, 2]))", "(SELECT unnest([1, 2]) AS k)"))
+def _(t):
+    out = timetables.flatten_trips(registry(t)["schedules"])
+    return out["stops"].agg(F.count("*").alias("stops"), F.count_distinct("trip_key").alias("runs"))
+
+
+@query("e04_flatten_trips_daily")
+def _(t):
+    return timetables.flatten_trips_daily(registry(t), F.to_date(F.lit("1995-03-15")))["trips"].select("route", "direction", "run", "timed")
+
+
+@query("i01_validate_contract", "SELECT 'service' AS entity, CAST(id AS VARCHAR) AS key, 'id not positive' AS rule FROM (SELECT 0 AS id) WHERE FALSE UNION ALL SELECT 'stop', CAST(stop_id AS VARCHAR), 'point out of range' FROM v_stops WHERE stop_id % 10 = 0 UNION ALL SELECT 'schedule', 'none', 'unknown route' FROM region LIMIT (SELECT count(*) FROM v_stops WHERE stop_id % 10 = 0)")
+def _(t):
+    reg = registry(t)
+    reg["stops"] = reg["stops"].withColumn("lat", F.when(F.col("id").cast("int") % 10 == 0, 100.0).otherwise(F.col("lat")))
+    return timetables.validate_contract(reg)
+
+
+@query("i02_validate_network")
+def _(t):
+    net = {"stops": t.v_stops, "trips": t.v_trips, "stop_times": t.v_stop_times, "transfers": t.v_stops.limit(0).select(F.col("stop_id").alias("from_stop"), F.col("stop_id").alias("to_stop")), "connections": bus_legs(t)}
+    return timetables.validate_network(net).groupBy("entity", "severity", "field", "message").agg(F.count("*").alias("n"))
+
+
+def attached(t: Tables) -> dict[str, DataFrame]:
+    trips, stops = timetables.registry_trips(registry(t))
+    terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", (F.col("lat") + 0.0005).alias("lat"), "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), NO_CODES.alias("codes"), F.lit(True).alias("final"))
+    previous = trips.select(F.col("trip_nk").alias("trip_id"))
+    return timetables.attach_trips(trips, stops, terms, previous, linkage.LinkConfig(cell=0.02), cap_kmh=5000.0, churn_threshold=2.0)
+
+
+@query("i03_attach_trips")
+def _(t):
+    return attached(t)["outcomes"].groupBy("state", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("i04_run_trips_sync")
+def _(t):
+    terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", "lat", "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), NO_CODES.alias("codes"), F.lit(True).alias("final"))
+    reg = registry(t)
+    out = timetables.run_trips_sync(reg, terms, t.v_trips.limit(0).select(F.col("trip_id").cast("string").alias("trip_id")), cfg=linkage.LinkConfig(cell=0.02), cap_kmh=5000.0)
+    return out["by_route"]
+
+
+@query("i05_persist_attach")
+def _(t):
+    now = F.to_timestamp(F.lit("2030-01-01"))
+    out = attached(t)
+    none = out["outcomes"].limit(0)
+    canon_now = {
+        "trips": none.select(F.col("trip_nk").alias("trip_id"), "route_id", F.lit(None).cast("timestamp").alias("valid_to")),
+        "stop_times": none.select(F.col("trip_nk").alias("trip_id"), F.lit(0).alias("seq"), F.lit(0).cast("long").alias("terminal_id"), F.lit(0).alias("arrival_s"), F.lit(0).alias("departure_s")),
+        "staging": none.select(F.col("trip_nk").alias("trip_id"), "route_id", "state", now.alias("observed_at")),
+        "reviews": none.select(F.lit("trip").alias("entity_type"), F.xxhash64("trip_nk").alias("entity_id"), F.col("state").alias("reason"), F.lit(0.0).alias("score"), F.col("trip_nk").alias("fingerprint"), F.lit(0).cast("long").alias("seen"), now.alias("observed_at"), F.lit("open").alias("state")),
+    }
+    return canon.persist_attach(out, canon_now, now)["trips"].select("trip_id", "route_id")
+
+
+@query("i06_promote_skeleton")
+def _(t):
+    l, r = left_side(t), right_side(t)
+    return canon.promote_skeleton(linkage.blocked_fuzzy_join(l, r), l, r)["terminals"].select("left_id", "name", r6("confidence").alias("confidence"))
+
+
+@query("i07_tombstone_routes", "SELECT trip_id, route_id % 2 = 0 OR valid_to IS NOT NULL AS closed FROM v_trips")
+def _(t):
+    _, trips = canon.tombstone_routes(t.v_routes, t.v_trips, t.v_trips.where("route_id % 2 = 0"), F.to_date(F.lit("2030-01-01")))
+    return trips.select("trip_id", F.col("valid_to").isNotNull().alias("closed"))
+
+
+@query("i08_expire_staging", "SELECT trip_id, CASE WHEN state <> 'done' AND observed_at < DATE '1998-01-01' - INTERVAL 365 DAY THEN 'expired' ELSE state END AS state FROM v_outcomes")
+def _(t):
+    return canon.expire_staging(t.v_outcomes, 365, F.to_date(F.lit("1998-01-01"))).select("trip_id", "state")
+
+
+@query("i09_resolve_reviews", "SELECT review_id, CASE WHEN CAST(fingerprint AS INT) % 2 = 0 THEN 'resolved' ELSE 'open' END AS state FROM v_reviews")
+def _(t):
+    r = t.v_reviews.withColumn("entity_type", F.lit("trip")).withColumn("state", F.lit("open"))
+    return canon.resolve_reviews(r, r.where("CAST(fingerprint AS INT) % 2 = 0")).select("review_id", "state")
+
+
+@query("i10_upsert_reviews", "SELECT terminal_id AS entity_id, reason, count(*) + 1 AS seen, arg_max(score, (observed_at, score)) AS score FROM v_reviews GROUP BY terminal_id, reason")
+def _(t):
+    new = t.v_reviews.select(F.lit("terminal").alias("entity_type"), F.col("terminal_id").alias("entity_id"), "reason", "score", "fingerprint", "observed_at")
+    old = new.groupBy("entity_type", "entity_id", "reason").agg(F.lit(0.5).alias("score"), F.lit("f").alias("fingerprint"), F.lit(1).cast("long").alias("seen"), F.min("observed_at").alias("observed_at"), F.lit("open").alias("state"))
+    return canon.upsert_reviews(old, new).select("entity_id", "reason", "seen", "score")
+
+
+@query("i11_apply_overrides", f"SELECT entity_id, field, CASE WHEN entity_id % 5 = 0 THEN 'by hand' ELSE value END AS value, entity_id % 5 = 0 AS manual FROM ({ELECT})")
+def _(t):
+    now = sequences.elect_field(t.v_candidates)
+    hand = now.where("entity_id % 5 = 0").select("entity_id", "field", F.lit("by hand").alias("value"), F.lit(1).alias("actor_id"))
+    bad = now.where("entity_id % 5 = 1").select("entity_id", "field", F.lit("").alias("value"), F.lit(1).alias("actor_id"))
+    return canon.apply_overrides(now.select("entity_id", "field", "value"), hand.unionByName(bad))[0]
+
+
+@query("i12_approve_terminals", "SELECT terminal_id, CASE WHEN terminal_id % 3 = 0 THEN 'ok' WHEN NOT locked AND terminal_id % 2 = 0 THEN 'upd' ELSE name END AS name, locked OR terminal_id % 3 = 0 AS locked FROM v_terminals")
+def _(t):
+    rows = t.v_terminals.withColumn("verified_at", F.lit(None).cast("timestamp"))
+    ok = rows.where("terminal_id % 3 = 0").select("terminal_id", F.lit("ok").alias("name"), "lat", "lon")
+    upd = rows.where("terminal_id % 2 = 0").select("terminal_id", F.lit("upd").alias("name"), "lat", "lon")
+    return canon.approve_terminals(rows, ok, upd, F.to_timestamp(F.lit("2030-01-01")))[0].select("terminal_id", "name", "locked")
+
+
+@query("i13_clear_provider", "SELECT trip_id, seq FROM v_stop_times WHERE trip_id NOT IN (SELECT trip_id FROM v_trips WHERE route_id IN (SELECT route_id FROM v_routes WHERE provider = 'north'))")
+def _(t):
+    services = t.v_trips.select("service_id", F.lit("north").alias("provider"))
+    return canon.clear_provider({"routes": t.v_routes, "trips": t.v_trips, "stop_times": t.v_stop_times, "services": services}, "north")["stop_times"].select("trip_id", "seq")
+
+
+@query("i14_ensure_stops", "SELECT terminal_id, CASE WHEN terminal_id < 1000000 AND terminal_id % 2 = 0 THEN terminal_id ELSE -1 END AS stop_id, lat, terminal_id % 2 = 1 AS created FROM v_terminals")
+def _(t):
+    have = t.v_terminals.where("terminal_id % 2 = 0").select("terminal_id", F.explode(F.array(F.col("terminal_id"), F.col("terminal_id") + 7)).alias("stop_id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    out = canon.ensure_stops(t.v_terminals, have)
+    return out.select("terminal_id", F.when(F.col("created"), -1).otherwise(F.col("stop_id")).alias("stop_id"), "lat", "created")
+
+
+@query("i15_skip_fresh_chunks", "SELECT region AS chunk_key, count(*) AS n FROM v_terminals WHERE region <> 'ASIA' GROUP BY region")
+def _(t):
+    chunks = t.v_terminals.select(F.col("region").alias("chunk_key"), F.lit("p1").alias("plan_id"), "terminal_id")
+    done = chunks.select("chunk_key", F.when(F.col("chunk_key") == "ASIA", "p1").otherwise("p0").alias("plan_id")).distinct()
+    return canon.skip_fresh_chunks(chunks, done).groupBy("chunk_key").agg(F.count("*").alias("n"))
+
+
+@query("i16_record_provenance", "SELECT entity_id, source, max(observed_at) AS observed_at FROM v_candidates GROUP BY entity_id, source")
+def _(t):
+    v = t.v_candidates.select(F.lit("terminal").alias("entity_type"), "entity_id", "source", "confidence", "observed_at")
+    return canon.record_provenance(v.where("confidence < 0.5"), v.where("confidence >= 0.5"))[0].select("entity_id", "source", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
+
+
+@query("i17_orphan_check", "SELECT DISTINCT entity_id, 'terminal' AS entity_type FROM v_candidates WHERE entity_id NOT IN (SELECT stop_id FROM v_stops)")
+def _(t):
+    p = t.v_candidates.select(F.lit("terminal").alias("entity_type"), "entity_id").distinct()
+    return canon.orphan_check(p, {"terminal": t.v_stops.select(F.col("stop_id").alias("entity_id"))})
+
+
+@query("i18_audit_sample", "SELECT source AS method, least(count(*), 20) AS n FROM v_candidates WHERE confidence >= 0.6 GROUP BY source")
+def _(t):
+    m = t.v_candidates.select(F.col("event_id").alias("match_id"), F.col("source").alias("method"), F.when(F.col("confidence") >= 0.6, "verified").otherwise("rejected").alias("decision"))
+    return canon.audit_sample(m, 20).groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query("i19_golden_check")
+def _(t):
+    side = "struct<name:string,lat:double,lon:double,source:string,settlement:string,transport:string,codes:" + linkage.NO_CODES + ">"
+    pair = F.struct("name", "lat", "lon", F.lit("mintrans").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), NO_CODES.alias("codes")).cast(side)
+    far = F.struct(F.lit("elsewhere").alias("name"), (F.col("lat") + 3).alias("lat"), "lon", F.lit("osm").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), NO_CODES.alias("codes")).cast(side)
+    near = F.struct("name", "lat", "lon", F.lit("osm").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), NO_CODES.alias("codes")).cast(side)
+    cases = t.v_terminals.select(F.col("terminal_id").alias("id"), F.lit("urban").alias("class"), pair.alias("stop"), F.array(far, near).alias("terminals"), F.lit("verified").alias("expect"), F.lit(1).alias("expect_best"))
+    return timetables.golden_check(cases)
+
+
+@query("i20_log_stages", "SELECT event_id AS record_id, unnest(['normalize', 'enrich', 'dedup', 'verify', 'canonical']) AS stage FROM events")
+def _(t):
+    return canon.log_stages(t.events.select(F.col("event_id").alias("record_id"), F.lit(1.0).alias("confidence"), F.lit(0.0).alias("distance_m"), F.lit("osm").alias("source"))).select("record_id", "stage")
+
+
+@query("i21_apply_review_decisions", "SELECT review_id FROM v_reviews WHERE review_id % 4 > 1")
+def _(t):
+    d = t.v_reviews.select("review_id", F.when(F.col("review_id") % 4 == 0, "approve").when(F.col("review_id") % 4 == 1, "dismiss").otherwise("later").alias("decision"), F.lit(1).alias("actor_id"))
+    return canon.apply_review_decisions(t.v_reviews, d, t.v_terminals, F.to_timestamp(F.lit("2030-01-01")))["reviews"].select("review_id")
+
+
+@query("i22_apply_terminal_edits", "SELECT terminal_id, CASE WHEN terminal_id % 3 = 0 THEN 'edited' ELSE name END AS name, locked OR terminal_id % 3 = 0 AS locked FROM v_terminals")
+def _(t):
+    e = t.v_terminals.where("terminal_id % 3 <> 2").select(F.col("terminal_id").alias("edit_id"), "terminal_id", F.when(F.col("terminal_id") % 3 == 0, "edited").otherwise(" ").alias("name"), "lat", "lon", "settlement", (F.col("terminal_id") % 2 == 0).alias("approved"))
+    return canon.apply_terminal_edits(t.v_terminals, e, t.v_reviews, F.to_timestamp(F.lit("2030-01-01")))["terminals"].select("terminal_id", "name", "locked")
+
+
+@query("i23_dedupe_carriers", "SELECT CAST(n_nationkey AS VARCHAR) AS carrier_key, n_name AS name FROM nation UNION ALL SELECT DISTINCT 'name:' || p_brand, p_brand FROM part")
+def _(t):
+    firms = t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("inn"))
+    routes = t.customer.select(F.lit("other").alias("carrier"), F.col("c_nationkey").cast("string").alias("carrier_inn")).union(t.part.select("p_brand", F.lit("")))
+    return canon.dedupe_carriers(firms, routes).select("carrier_key", "name")
+
+
+# ---- network and journeys
+
+
+def canon_tables(t: Tables) -> dict[str, DataFrame]:
+    stops = t.v_stops.select("stop_id", F.col("stop_id").alias("terminal_id"), F.when(F.col("stop_id") % 2 == 0, F.col("name")).otherwise("").alias("name"), F.when(F.col("stop_id") % 3 != 0, F.col("lat")).alias("lat"), F.when(F.col("stop_id") % 3 != 0, F.col("lon")).alias("lon"), F.lit("north").alias("provider"))
+    return {"terminals": t.v_stops.withColumnRenamed("stop_id", "terminal_id"), "stops": stops, "routes": t.v_routes, "trips": t.v_trips, "stop_times": t.v_stop_times}
+
+
+@query("c27_load_network", f"WITH {LEGS} SELECT c.trip_id, c.seq, r.mode FROM conn c JOIN v_trips t ON t.trip_id = c.trip_id JOIN v_routes r ON r.route_id = t.route_id WHERE t.valid_to IS NULL AND r.valid_to IS NULL AND (t.service_days = '' OR list_contains(string_split(t.service_days, ','), '3'))")
+def _(t):
+    return network.load_network(canon_tables(t), F.to_date(F.lit("1995-03-15")))["connections"].select("trip_id", "seq", "mode")
+
+
+@query("c26_merge_networks", "SELECT CAST(stop_id AS VARCHAR) AS stop_id FROM v_stops UNION ALL SELECT CASE WHEN stop_id % 2 = 0 THEN 'b:' || stop_id ELSE 'x' || stop_id END FROM v_stops")
+def _(t):
+    a = {"stops": t.v_stops.select(F.col("stop_id").cast("string").alias("stop_id"), "name")}
+    b = {"stops": t.v_stops.select(F.when(F.col("stop_id") % 2 == 0, F.col("stop_id").cast("string")).otherwise(F.concat(F.lit("x"), "stop_id")).alias("stop_id"), "name")}
+    return network.merge_networks([("a", a), ("b", b)])["stops"].select("stop_id")
+
+
+def parts_of(t: Tables) -> DataFrame:
+    return journeys.trip_parts(t.v_stop_times, t.v_stops, t.v_trips.select("trip_id", F.lit("flight").alias("mode")).dropDuplicates(["trip_id"]))
+
+
+def walks_of(t: Tables) -> DataFrame:
+    return journeys.walk_closure(spatial.transfer_links(t.v_stops, 2.0))
+
+
+@query("p01_trip_parts", "SELECT trip_id, count(DISTINCT part) AS parts FROM (SELECT trip_id, sum(cut) OVER (PARTITION BY trip_id ORDER BY seq) AS part FROM (SELECT s.trip_id, s.seq, CASE WHEN s.arrival_s < lag(s.departure_s) OVER (PARTITION BY s.trip_id ORDER BY s.seq) THEN 1 ELSE 0 END AS cut FROM v_stop_times s)) GROUP BY trip_id")
+def _(t):
+    return parts_of(t).groupBy("trip_id").agg(F.count_distinct("part").alias("parts"))
+
+
+@query("p02_earliest_arrival")
+def _(t):
+    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
+    return journeys.earliest_arrival(req, parts_of(t), walks_of(t), 3).select("request_id", "stop_id", "arrival_s", F.size("path").alias("legs"))
+
+
+@query("p03_walk_relax")
+def _(t):
+    seed = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("arrival_s"), F.array().cast(journeys.HOP).alias("path"))
+    return journeys.walk_relax(seed, journeys.walk_closure(spatial.transfer_links(t.v_stops, 30.0))).select("request_id", "stop_id", "arrival_s")
+
+
+@query("p04_journey_legs")
+def _(t):
+    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
+    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t), 2)
+    goal = labels.withColumn("request_id", F.col("request_id") * 1000 + F.col("stop_id"))
+    return journeys.journey_legs(goal)
+
+
+@query("p05_limit_transfers")
+def _(t):
+    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
+    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t), 2).withColumn("legs", F.size("path"))
+    return journeys.limit_transfers(labels, 0).select("request_id", "stop_id", "legs")
+
+
+@query("p06_access_egress", f"SELECT point_id, stop_id, CAST(ceil(km / 5 * 60) AS INT) AS walk_minutes FROM ({NEAR}) WHERE km <= 10")
+def _(t):
+    return journeys.access_egress(t.v_terminals.withColumnRenamed("terminal_id", "point_id"), t.v_stops, 120.0)[0].select("point_id", "stop_id", "walk_minutes")
+
+
+@query("p07_gap_leg", f"SELECT terminal_id AS request_id, 28800 + CAST(ceil({hav('lat', 'lon', 'lat + 0.01', 'lon')} / 5 * 60) AS INT) * 60 AS arrival_s FROM v_terminals WHERE terminal_id % 2 = 0")
+def _(t):
+    req = t.v_terminals.select(F.col("terminal_id").alias("request_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), (F.col("lat") + 0.01).alias("to_lat"), F.col("lon").alias("to_lon"), F.lit(28800).alias("departure_s"), F.lit(True).alias("allow_gap"))
+    return journeys.gap_leg(req, t.v_terminals.where("terminal_id % 2 = 1").select(F.col("terminal_id").alias("request_id"))).select("request_id", "arrival_s")
+
+
+@query("p08_arrive_by")
+def _(t):
+    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.pmod(F.col("stop_id") + 1, F.lit(10)).alias("goal_stop"), F.lit(36000).alias("limit_s"))
+    return journeys.arrive_by(req, parts_of(t), walks_of(t), 1).select("request_id", "departure_s", "arrival_s")
+
+
+@query("p09_alternatives")
+def _(t):
+    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.pmod(F.col("stop_id") + 1, F.lit(10)).alias("goal_stop"), F.lit(28800).alias("departure_s"))
+    return journeys.alternatives(req, parts_of(t), walks_of(t), 2).select("request_id", "journey_id", "arrival_s", "transfers", "rank")
+
+
+@query("p10_price_journeys", f"WITH {LEGS} SELECT c.trip_id, c.seq, CASE WHEN c.trip_id % 2 = 0 THEN 99.0 ELSE floor(greatest(50.0, greatest(1.0, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')}) * 2.5) + 0.5) END AS price FROM conn c JOIN v_stops x ON x.stop_id = c.from_stop JOIN v_stops y ON y.stop_id = c.to_stop")
+def _(t):
+    legs = bus_legs(t).withColumn("leg_id", F.concat_ws("-", "trip_id", "seq")).withColumn("route_id", F.col("trip_id") % 2)
+    rules = t.region.where("r_regionkey = 0").select(F.lit(1).alias("rule_no"), F.lit("0").alias("route_id"), F.lit("").alias("from_zone"), F.lit("").alias("to_zone"), F.lit("a").alias("fare_id"))
+    fares = rules.select("fare_id", F.lit(99.0).alias("price"), F.lit("RUB").alias("currency"))
+    zones = t.v_stops.select("stop_id", F.lit("z").alias("zone_id"))
+    return journeys.price_journeys(legs, t.v_stops, rules, zones, fares).select("trip_id", "seq", "price")
+
+
+@query("p11_plan_requests")
+def _(t):
+    near = lambda c, d: (F.col(c) + d)
+    other = t.v_stops.select((F.col("stop_id") - 1).alias("stop_id"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"))
+    req = t.v_stops.join(other, "stop_id").select(F.col("stop_id").alias("request_id"), near("lat", 0.001).alias("from_lat"), F.col("lon").alias("from_lon"), F.lit(None).cast("string").alias("from_place"), "to_lat", "to_lon", F.lit(None).cast("string").alias("to_place"), F.lit(28800).alias("departure_s"), F.when(F.col("stop_id") % 20 == 0, 500).otherwise(60).alias("max_walk"), F.lit(5).alias("max_transfers"), F.lit(False).alias("allow_gap"))
+    net = {"stops": t.v_stops, "stop_times": t.v_stop_times, "modes": t.v_trips.select("trip_id", F.lit("flight").alias("mode")).dropDuplicates(["trip_id"]), "transfers": spatial.transfer_links(t.v_stops, 2.0)}
+    places = t.nation.select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name"), F.lit(55.0).alias("lat"), F.lit(83.0).alias("lon"))
+    out = journeys.plan_requests(req, net, places, 3)
+    return out["journeys"].select("request_id", F.lit("planned").alias("outcome"), "arrival_s").unionByName(out["errors"].select("request_id", F.col("error").alias("outcome"), F.lit(None).cast("int").alias("arrival_s")), allowMissingColumns=True)
+
+
+# ---- feeds: import of tables shaped as a feed, and export
+
+
+def feed(t: Tables) -> dict[str, DataFrame]:
+    hms = clock.feed_hms
+    return {
+        "stops": t.v_stops.select(F.col("stop_id").cast("string").alias("stop_id"), F.col("stop_id").cast("string").alias("stop_code"), F.col("name").alias("stop_name"), "lat", "lon"),
+        "calendar": t.v_trips.select(F.col("service_id").cast("string").alias("service_id")).distinct().select("service_id", *[F.lit("1").alias(d) for d in ("monday", "tuesday", "wednesday", "thursday", "friday")], F.lit("0").alias("saturday"), F.lit("0").alias("sunday"), F.lit("19950101").alias("start_date"), F.lit("19951231").alias("end_date")),
+        "calendar_dates": t.v_trips.select(F.col("service_id").cast("string").alias("service_id"), F.lit("19950501").alias("date"), F.lit("2").alias("exception_type")).distinct(),
+        "routes": t.v_routes.select(F.col("route_id").cast("string").alias("route_id"), F.lit("a").alias("agency_id"), F.col("name").alias("route_short_name"), F.lit(None).cast("string").alias("route_long_name"), clock.route_type(F.col("mode")).cast("string").alias("route_type")),
+        "trips": t.v_trips.select(F.col("route_id").cast("string").alias("route_id"), F.when(F.col("service_id") == 6, "weekend").otherwise(F.col("service_id").cast("string")).alias("service_id"), F.col("trip_id").cast("string").alias("trip_id"), F.when(F.col("direction") == "backward", "1").otherwise("0").alias("direction_id")),
+        "frequencies": t.v_trips.where("trip_id % 10 = 0").select(F.col("trip_id").cast("string").alias("trip_id"), F.lit("06:00:00").alias("start_time"), F.lit("25:00:00").alias("end_time"), F.lit("600").alias("headway_secs")),
+        "stop_times": t.v_stop_times.select(F.col("trip_id").cast("string").alias("trip_id"), hms(F.col("arrival_s")).alias("arrival_time"), hms(F.col("departure_s")).alias("departure_time"), F.col("stop_id").cast("string").alias("stop_id"), F.col("seq").cast("string").alias("stop_sequence")),
+    }
+
+
+@query("a02_import_feed", "SELECT CAST(s.trip_id AS VARCHAR) AS trip_id, s.seq, s.arrival_s, s.departure_s FROM v_stop_times s JOIN (SELECT DISTINCT trip_id FROM v_trips WHERE service_id <> 6) t ON t.trip_id = s.trip_id")
+def _(t):
+    return readers.import_feed(feed(t))["stop_times"].select("trip_id", "seq", "arrival_s", "departure_s")
+
+
+@query("a02_import_feed_trips", "SELECT CAST(trip_id AS VARCHAR) AS trip_id, 10000000000 + service_id AS service_id, direction, '1,2,3,4,5' AS service_days FROM v_trips WHERE service_id <> 6")
+def _(t):
+    return readers.import_feed(feed(t))["trips"].select("trip_id", "service_id", "direction", "service_days")
+
+
+@query("a08_explode_area_chain", "SELECT s_suppkey AS match_id, 0 AS pos, r_name AS name, NULL AS parent FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_suppkey, 1, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT s_suppkey, 2, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(t):
+    m = t.v_stops.select(F.col("stop_id").alias("match_id"), "name", F.array(F.struct(F.col("region").alias("name"), F.lit(2).alias("admin_level")), F.struct(F.col("settlement").alias("name"), F.lit(8).alias("admin_level"))).alias("areas"))
+    return readers.explode_area_chain(m).select("match_id", "pos", "name", "parent")
+
+
+@query("a09_validate_match", "SELECT terminal_id, CASE WHEN terminal_id % 3 = 0 THEN 'no name' WHEN terminal_id % 3 = 1 THEN 'coordinates out of range' ELSE 'unknown type' END AS reason FROM v_terminals WHERE terminal_id % 3 <> 2 OR terminal_id % 2 = 0")
+def _(t):
+    m = t.v_terminals.select("terminal_id", F.when(F.col("terminal_id") % 3 == 0, " ").otherwise(F.col("name")).alias("name"), F.when(F.col("terminal_id") % 3 == 1, 99.0).otherwise(F.col("lat")).alias("lat"), "lon", F.when(F.col("terminal_id") % 2 == 0, "ROCK").otherwise("STOP").alias("type"))
+    return readers.validate_match(m)[1].select("terminal_id", "reason")
+
+
+@query("a13_write_feed", "SELECT CAST(trip_id AS VARCHAR) AS trip_id, printf('%02d:%02d:%02d', arrival_s // 3600, arrival_s % 3600 // 60, arrival_s % 60) AS arrival_time, CAST(seq AS INT) AS stop_sequence FROM v_stop_times")
+def _(t):
+    none = t.v_stops.limit(0)
+    net = {"carriers": t.nation.select(F.col("n_nationkey").alias("carrier_id"), F.col("n_name").alias("name")), "zones": none.select("stop_id", F.lit("z").alias("zone_id")), "stops": t.v_stops, "routes": t.v_routes.withColumn("carrier_id", F.lit(1)), "trips": t.v_trips, "stop_times": t.v_stop_times, "services": t.v_trips.select("service_id", F.array(F.lit(1)).alias("weekdays"), F.col("service_date").alias("start_date"), F.col("service_date").alias("end_date")), "service_exceptions": t.v_trips.limit(0).select("service_id", F.col("service_date").alias("date"), F.lit("added").alias("exception_type")), "transfers": none.select(F.col("stop_id").alias("from_stop"), F.col("stop_id").alias("to_stop"), F.lit(1).alias("minutes")), "fares": none.select(F.lit("f").alias("fare_id"), F.lit(1.0).alias("price"), F.lit("RUB").alias("currency")), "fare_rules": none.select(F.lit("f").alias("fare_id"))}
+    return writers.feed_tables(net)["stop_times"].select(F.col("trip_id").cast("string").alias("trip_id"), "arrival_time", F.col("stop_sequence").cast("int").alias("stop_sequence"))
+
+
+@query("a14_region_feed", "SELECT trip_id FROM v_trips WHERE route_id IN (SELECT route_id FROM v_outcomes WHERE region = 'ASIA')")
+def _(t):
+    net = {"routes": t.v_trips.select("route_id").distinct(), "trips": t.v_trips, "stop_times": t.v_stop_times, "stops": t.v_stops, "transfers": t.v_stops.limit(0).select(F.col("stop_id").alias("from_stop"), F.col("stop_id").alias("to_stop"))}
+    return writers.region_feed(net, t.v_outcomes.select("route_id", "region").distinct(), "ASIA", "1995-01-01")["trips"].select("trip_id")
+
+
+@query("a21_build_gazetteer", "SELECT n_name AS name, min(lat) AS lat FROM v_terminals JOIN nation ON settlement = n_name GROUP BY n_name")
+def _(t):
+    rows = t.v_terminals.select(F.concat("settlement", F.lit(", автовокзал")).alias("name"), "lat", F.lit(1.0).alias("lon"), F.create_map(F.lit("a"), F.lit("b")).alias("tags"))
+    curated = t.nation.select(F.col("n_name").alias("name"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")).join(t.v_terminals.select(F.col("settlement").alias("name")), "name", "left_semi")
+    return readers.build_gazetteer(rows, curated).select("name", "lat")
+
+
+# ---- the batch twins of the streams
+
+
+@query("s02_publish_events", """SELECT 'terminal' AS aggregate, CAST(event_id AS VARCHAR) AS aggregate_id, '{"event_type":"' || event_type || '"}' AS payload FROM events""")
+def _(t):
+    return streams.event_rows(t.events.select("event_id", "event_type"), "terminal", "event_id", "terminal_created").select("aggregate", "aggregate_id", "payload")
+
+
+@query("s03_review_stream", "SELECT terminal_id AS entity_id, reason, count(*) AS seen, arg_max(score, (observed_at, score)) AS score FROM v_reviews GROUP BY terminal_id, reason")
+def _(t):
+    rows = t.v_reviews.select(F.lit("terminal").alias("entity_type"), F.col("terminal_id").alias("entity_id"), "reason", "score", "observed_at")
+    return streams.review_stream(rows).select("entity_id", "reason", "seen", "score")
+
+
+@query("s05_quota_stream", "SELECT event_type AS provider, CAST(ts AS DATE) AS day, count(*) AS calls, count(*) > 10 AS over FROM events GROUP BY ALL")
+def _(t):
+    return streams.quota_stream(t.events.select(F.col("event_type").alias("provider"), "ts"), 10)
