@@ -51,7 +51,7 @@ def parse_cell_time(c: Column) -> Column:
 def parse_block_days(c: Column) -> Column:
     """Struct (kind, days); kind is all, none, parity, days or error."""
     low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    parts = F.filter(F.transform(F.split(low, ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(low, ";"), lambda x: F.trim(x)), lambda x: x != "")
     lists = F.transform(parts, day_list)
     bad = F.exists(lists, lambda x: x.isNull()) | (F.size(parts) == 0)
     daily = F.array_position(parts, F.lit("ежедневно"))

@@ -37,7 +37,7 @@ def filter_regions(df: DataFrame, allow: list[str], column: str = "region") -> D
 
 def mode_list(csv: Column, known: tuple[str, ...] = ("bus", "rail", "tram", "metro", "flight", "walk")) -> Column:
     """Modes named in a comma list; coach is bus; unknown words and repeats go."""
-    words = F.transform(F.split(F.lower(csv), ","), F.trim)
+    words = F.transform(F.split(F.lower(csv), ","), lambda x: F.trim(x))
     return F.array_distinct(F.filter(F.transform(words, lambda m: F.when(m == "coach", "bus").otherwise(m)), lambda m: m.isin(*known)))
 
 
