@@ -45,7 +45,7 @@ def drop_site_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str,
     host, text = F.col(host_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
     keys = base.select(host.alias("_h"), F.xxhash64(F.col(id_col), text).alias("_d"), F.split(text, "\n").alias("_lines"))
     long_enough = lambda x: F.length(x) >= F.lit(max(1, least_chars))
-    marks = F.array_distinct(F.transform(F.filter(F.transform("_lines", F.btrim), long_enough), lambda x: F.xxhash64(x)))
+    marks = F.array_distinct(F.transform(F.filter(F.transform("_lines", lambda x: F.btrim(x)), long_enough), lambda x: F.xxhash64(x)))
     # 0 stands for the document itself, so one pass counts lines and documents.
     rows = keys.select("_h", "_d", marks.alias("_m"))
     pages = rows.select("_h", "_d").distinct().groupBy("_h").agg(F.count("*").alias("_pages"))
