@@ -168,6 +168,9 @@ class Model:
     def __init__(self, texts: list[str], toxic: np.ndarray):
         toxic = np.asarray(toxic, np.int64)
         self.lexicon = learned_lexicon(texts, toxic)
+        if not len(texts):
+            self.trees, self.knots, self.values = None, np.zeros(1), np.zeros(1)
+            return
         x = np.array([features(t, self.lexicon) for t in texts]).reshape(len(texts), len(FEATURES))
         aside = np.arange(len(texts)) % 4 == 3
         self.trees = Boosted().fit(x[~aside], toxic[~aside].astype(float))
@@ -175,6 +178,8 @@ class Model:
 
     def score(self, texts: list[str]) -> np.ndarray:
         x = np.array([features(t, self.lexicon) for t in texts]).reshape(len(texts), len(FEATURES))
+        if self.trees is None or not len(texts):
+            return np.zeros(len(texts))
         raw = self.trees.raw(x)
         # A trace of the raw score keeps the order within flat steps of the calibration.
         return np.clip(0.99 * np.interp(raw, self.knots, self.values) + 0.01 / (1 + np.exp(-raw)), 0.0, 1.0)
