@@ -937,7 +937,7 @@ def _(t):
     return timetables.flatten_trips_daily(registry(t), F.to_date(F.lit("1995-03-15")))["trips"].select("route", "direction", "run", "timed")
 
 
-@query("i01_validate_contract", "SELECT 'service' AS entity, CAST(id AS VARCHAR) AS key, 'id not positive' AS rule FROM (SELECT 0 AS id) WHERE FALSE UNION ALL SELECT 'stop', CAST(stop_id AS VARCHAR), 'point out of range' FROM v_stops WHERE stop_id % 10 = 0 UNION ALL SELECT 'schedule', 'none', 'unknown route' FROM region LIMIT (SELECT count(*) FROM v_stops WHERE stop_id % 10 = 0)")
+@query("i01_validate_contract", "SELECT 'stop' AS entity, CAST(stop_id AS VARCHAR) AS key, 'point out of range' AS rule FROM v_stops WHERE stop_id % 10 = 0")
 def _(t):
     reg = registry(t)
     reg["stops"] = reg["stops"].withColumn("lat", F.when(F.col("id").cast("int") % 10 == 0, 100.0).otherwise(F.col("lat")))
