@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute is used inside tasks
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,13 @@ def sketches(shingles: np.ndarray, counts: np.ndarray, num: int, den: int):
     return band, keys[order], np.bincount(owners, minlength=len(counts)), brief.reshape(len(counts), -1)
 
 
+def _by_pieces(batch: pa.RecordBatch, width: int, rows: int = 128):
+    """Slices of a batch of compressed texts with their shingle sets, so that memory follows the slice."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part, *shingle_sets([R.unsqueeze(x) for x in part.column("body").to_pylist()], width)
+
+
 def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
@@ -113,9 +121,9 @@ def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
 def _described(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            for low, high in R.chunks([len(x) for x in bodies], 1 << 20):
-                s, counts = shingle_sets(bodies[low:high], width)
+            size = pa.compute.binary_length(batch.column("body")).to_pylist()
+            for low, high in R.chunks(size, 1 << 20):
+                s, counts = shingle_sets(batch.column("body").slice(low, high - low).to_pylist(), width)
                 m = mix(s ^ U(0x2545F4914F6CDD1D))
                 sums = np.concatenate((np.zeros(1, U), np.cumsum(m, dtype=U)))
                 more = np.concatenate((np.zeros(1, U), np.cumsum(mix(m), dtype=U)))
@@ -148,10 +156,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, owner: DataFrame, width: int,
 
     def to_set(batches):
         for batch in batches:
-            s, counts = shingle_sets([R.unsqueeze(x) for x in batch.column("body").to_pylist()], width)
-            ends = np.cumsum(counts)
-            sets = [s[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            for part, s, counts in _by_pieces(batch, width):
+                sets = [s[e - n : e].tobytes() for e, n in zip(np.cumsum(counts), counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     where = keep(nodes.join(owner.select("node", *R.KEY), "node"), "where")
     sets = keep(R.squeezed(texts, where).join(where, R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(to_set, "node long, shingles binary"), "sets")
@@ -159,8 +166,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, owner: DataFrame, width: int,
     def compare(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
@@ -192,8 +199,8 @@ def _prefixes(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int,
 
     def explode(batches):
         for batch in batches:
-            s, counts = shingle_sets([R.unsqueeze(x) for x in batch.column("body").to_pylist()], width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), counts)), pa.array(s.view(np.int64)), pa.array(np.repeat(counts, counts))], ["node", "key", "n"])
+            for part, s, counts in _by_pieces(batch, width):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), counts)), pa.array(s.view(np.int64)), pa.array(np.repeat(counts, counts))], ["node", "key", "n"])
 
     where = keep(nodes.join(owner.select("node", *R.KEY), "node"), "where")
     every = keep(R.squeezed(texts, where).join(where, R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(explode, "node long, key long, n long"), "shingles")

@@ -21,6 +21,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute is used inside tasks
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
