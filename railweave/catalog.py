@@ -1280,3 +1280,137 @@ def _(t):
 @query("s05_quota_stream", "SELECT event_type AS provider, CAST(ts AS DATE) AS day, count(*) AS calls, count(*) > 10 AS over FROM events GROUP BY ALL")
 def _(t):
     return streams.quota_stream(t.events.select(F.col("event_type").alias("provider"), "ts"), 10)
+
+
+# ---- joins by name, and readers over rows shaped as their sources
+
+
+@query("c03_score_pair_records", f"SELECT t.terminal_id AS left_id, round((0.45 * CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.9 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE END + 0.3 * CASE WHEN d <= 100 THEN 1 WHEN d <= 500 THEN 0.6 WHEN d <= 2000 THEN 0.25 ELSE 0 END + 0.15 + 0.1 * CASE WHEN t.transport = 'bus' THEN 1 ELSE 0 END) / 1.0, 6) AS score FROM (SELECT t.*, trim(regexp_replace(lower(replace(t.name, '#', '')), '[ .,-]+', ' ', 'g')) AS x, trim(regexp_replace(lower(r.name), '[ .,-]+', ' ', 'g')) AS y, {hav('t.lat', 't.lon', 'r.lat', 'r.lon')} * 1000 AS d FROM v_terminals t JOIN v_records r ON r.record_id = t.terminal_id WHERE r.lat IS NOT NULL) t")
+def _(t):
+    a, b = left_side(t).alias("a"), right_side(t).where("lat IS NOT NULL").alias("b")
+    rows = a.join(b, F.col("a.left_id") == F.col("b.right_id"))
+    s = linkage.score_pair_records(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+    return rows.select("left_id", r6(s["score"]).alias("score"))
+
+
+@query("c04_decide_join")
+def _(t):
+    l, r = left_side(t), right_side(t).where("lat IS NOT NULL")
+    scored = linkage.scored_links(l, r, linkage.link_candidates(l, r))
+    return linkage.decide_join(scored).select("left_id", "right_id", "result", r6("score").alias("score"))
+
+
+@query("c17_resolve_stop_coords", "SELECT terminal_id AS stop_id, CASE WHEN terminal_id % 2 = 0 THEN lat END AS lat FROM v_terminals WHERE terminal_id % 2 = 1 UNION ALL SELECT terminal_id, lat FROM v_terminals WHERE terminal_id % 2 = 0")
+def _(t):
+    stops = t.v_terminals.select(F.col("terminal_id").alias("stop_id"), F.lit("unlike anything").alias("name"), F.when(F.col("terminal_id") % 2 == 0, F.col("lat")).alias("lat"), F.when(F.col("terminal_id") % 2 == 0, F.col("lon")).alias("lon"), "settlement")
+    return spatial.resolve_stop_coords(stops, t.v_terminals).select("stop_id", "lat")
+
+
+@query("c19_token_match", "SELECT p_partkey AS stop_id, p_partkey AS station_id, CASE WHEN p_partkey % 5 = 0 THEN 'override' ELSE 'tokens' END AS method FROM part")
+def _(t):
+    stops = t.part.select(F.col("p_partkey").alias("stop_id"), F.concat(F.lit("stop"), F.col("p_partkey").cast("string")).alias("name"), F.lit("").alias("settlement"))
+    stations = t.part.select(F.col("p_partkey").alias("station_id"), F.concat(F.lit("Stop"), F.col("p_partkey").cast("string")).alias("name"), F.lit("bus").alias("transport"))
+    fixed = t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("stop_id"), F.col("p_partkey").alias("station_id"))
+    return spatial.token_match(stops, stations, fixed).select("stop_id", "station_id", "method")
+
+
+@query("c20_token_geo_match", "SELECT terminal_id AS stop_id, terminal_id AS place_id, CASE WHEN terminal_id % 2 = 0 THEN 'near' ELSE 'words' END AS method FROM v_terminals")
+def _(t):
+    n = F.concat(F.lit("place"), F.col("terminal_id").cast("string")).alias("name")
+    stops = t.v_terminals.select(F.col("terminal_id").alias("stop_id"), n, F.when(F.col("terminal_id") % 2 == 0, F.col("lat")).alias("lat"), F.when(F.col("terminal_id") % 2 == 0, F.col("lon")).alias("lon"))
+    places = t.v_terminals.select(F.col("terminal_id").alias("place_id"), n, "lat", "lon")
+    return spatial.token_geo_match(stops, places, 1.0).select("stop_id", "place_id", "method")
+
+
+@query("c21_place_match_cascade", "SELECT terminal_id AS stop_id, CASE WHEN terminal_id % 2 = 0 THEN 1 ELSE 2 END AS rule FROM v_terminals")
+def _(t):
+    n = F.when(F.col("terminal_id") % 2 == 0, F.concat(F.lit("hub "), F.col("terminal_id").cast("string"))).otherwise("zzz")
+    stops = t.v_terminals.select(F.col("terminal_id").alias("stop_id"), n.alias("name"), "region", "settlement")
+    stations = t.v_terminals.where("terminal_id % 2 = 0").select(F.concat(F.lit("Hub "), F.col("terminal_id").cast("string")).alias("name"), "lat", "lon", F.lit(False).alias("hub"))
+    over = t.v_terminals.groupBy("settlement").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
+    gaz = t.nation.select(F.col("n_name").alias("name"), F.lit(55.0).alias("lat"), F.lit(85.0).alias("lon"))
+    centers = t.v_terminals.where("region = 'none'").groupBy("region").agg(F.avg("lat").alias("clat"), F.avg("lon").alias("clon"))
+    return spatial.place_match_cascade(stops, stations, gaz, over, centers, []).select("stop_id", "rule")
+
+
+@query("c22_resolve_hub", "SELECT n_nationkey AS hub_id, CASE WHEN n_nationkey % 2 = 0 THEN 'map' ELSE 'list' END AS source FROM nation")
+def _(t):
+    hubs = t.nation.select(F.col("n_nationkey").alias("hub_id"), F.concat("n_name", F.lit(" автовокзал")).alias("name"), F.array(F.lit("вокзал")).alias("aliases"))
+    point = (F.lit(55.0).alias("lat"), F.lit(83.0).alias("lon"))
+    a = t.nation.where("n_nationkey % 2 = 0").select(F.lit("map").alias("source"), F.lit(0).alias("priority"), F.col("n_name").alias("name"), *point)
+    b = t.nation.select(F.lit("list").alias("source"), F.lit(1).alias("priority"), F.col("n_name").alias("name"), *point)
+    return spatial.resolve_hub(hubs, a.unionByName(b)).select("hub_id", "source")
+
+
+@query("c24_stop_for_place", "SELECT stop_id AS request_id, stop_id FROM v_stops")
+def _(t):
+    req = t.v_stops.select(F.col("stop_id").alias("request_id"), F.col("name").alias("place"), "lat", "lon")
+    return spatial.stop_for_place(req, t.v_stops, summaries.origin_stops(t.v_stop_times), 5.0).select("request_id", "stop_id")
+
+
+@query("c28_recover_unverified", f"SELECT record_id, min(stop_id) AS station_id FROM (SELECT r.record_id, s.stop_id, {hav('r.lat', 'r.lon', 's.lat', 's.lon')} AS km FROM (SELECT * FROM v_records WHERE lat IS NOT NULL ORDER BY record_id LIMIT 200) r JOIN v_stops s ON abs(r.lat - s.lat) < 0.2) WHERE km <= 20 GROUP BY record_id")
+def _(t):
+    u = t.v_records.withColumn("ordinal", F.col("record_id"))
+    st = t.v_stops.select(F.col("stop_id").alias("station_id"), "name", "lat", "lon")
+    return spatial.recover_unverified(u, st, 20.0).select("record_id", "station_id")
+
+
+@query("c29_duplicate_suggestions", "SELECT n_nationkey AS review_id, n_nationkey AS terminal_id, 1 AS rank FROM nation")
+def _(t):
+    r = t.nation.select(F.col("n_nationkey").alias("review_id"), F.concat(F.lit("ОП "), F.lower(F.translate("n_name", " ", "x")), F.col("n_nationkey").cast("string")).alias("name"))
+    m = t.nation.select(F.col("n_nationkey").alias("terminal_id"), F.concat(F.lower(F.translate("n_name", " ", "x")), F.col("n_nationkey").cast("string")).alias("name"))
+    return spatial.duplicate_suggestions(r, m).select("review_id", "terminal_id", "rank")
+
+
+@query("c31_name_gate", "SELECT region, settlement, min(terminal_id) AS candidate_id FROM v_terminals GROUP BY region, settlement")
+def _(t):
+    c = t.v_terminals.select(F.col("terminal_id").alias("candidate_id"), "region", "settlement", F.col("settlement").alias("name"))
+    return spatial.name_gate(c).select("region", "settlement", "candidate_id")
+
+
+@query("a04_stations_to_records", "SELECT terminal_id AS record_id, CASE WHEN terminal_id % 10 <> 0 THEN lat END AS lat, CAST(terminal_id AS VARCHAR) AS code FROM v_terminals WHERE terminal_id % 7 <> 0")
+def _(t):
+    zero = F.col("terminal_id") % 10 == 0
+    rows = t.v_terminals.select(F.col("terminal_id").alias("id"), F.lit("node").alias("kind"), F.when(F.col("terminal_id") % 7 != 0, F.col("name")).otherwise(" ").alias("name"), F.create_map(F.lit("a"), F.lit("b")).alias("tags"), F.when(zero, 0.0).otherwise(F.col("lat")).alias("lat"), F.when(zero, 0.0).otherwise(F.col("lon")).alias("lon"))
+    return readers.stations_to_records(rows).select("record_id", "lat", F.element_at("codes", 1)["code"].alias("code"))
+
+
+@query("a05_flatten_station_tree", "SELECT settlement, name, lat, 'flight' AS transport FROM v_stops")
+def _(t):
+    station = F.struct(F.col("name").alias("title"), F.col("lon").cast("string").alias("longitude"), F.col("lat").cast("string").alias("latitude"), F.lit("plane").alias("transport_type"), F.lit("x").alias("station_type"), F.struct(F.col("stop_id").cast("string").alias("yandex_code"), F.lit("").alias("esr_code")).alias("codes"))
+    places = t.v_stops.groupBy("region", "settlement").agg(F.collect_list(station).alias("stations"))
+    regions = places.groupBy("region").agg(F.collect_list(F.struct(F.col("settlement").alias("title"), "stations")).alias("settlements"))
+    doc = regions.agg(F.array(F.struct(F.lit("C").alias("title"), F.collect_list(F.struct(F.col("region").alias("title"), "settlements")).alias("regions"))).alias("countries"))
+    return readers.flatten_station_tree(doc).select("settlement", "name", "lat", "transport")
+
+
+@query("a10_filter_tagged_objects", "SELECT terminal_id AS id, CASE WHEN terminal_id % 2 = 0 THEN lat ELSE lat + 0.5 END AS lat FROM v_terminals WHERE terminal_id % 3 <> 0")
+def _(t):
+    k = F.col("terminal_id")
+    objects = t.v_terminals.select(k.alias("id"), F.when(k % 2 == 0, "node").otherwise("way").alias("kind"), F.create_map(F.when(k % 3 == 0, "shop").otherwise("highway"), F.lit("bus_stop")).alias("tags"), F.when(k % 2 == 0, F.col("lat")).alias("lat"), F.when(k % 2 == 0, F.col("lon")).alias("lon"), F.array(k * 2, k * 2 + 1).alias("node_ids"))
+    nodes = t.v_terminals.select((k * 2).alias("node_id"), "lat", "lon").union(t.v_terminals.select(k * 2 + 1, F.col("lat") + 1, "lon"))
+    return readers.filter_tagged_objects(objects, nodes).select("id", "lat")
+
+
+@query("a11_threads_to_feed", "SELECT CAST(trip_id AS VARCHAR) AS trip_id, CAST(seq AS INT) AS seq, departure_s % 86400 AS departure_s FROM v_stop_times")
+def _(t):
+    hms = clock.feed_hms(F.col("departure_s") % 86400)
+    stop = F.struct(F.col("stop_id").cast("string").alias("code"), F.lit("x").alias("title"), F.lit(None).cast("string").alias("arrival"), hms.alias("departure"))
+    lists = t.v_stop_times.select("trip_id", "seq", stop.alias("s")).groupBy("trip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s"))), lambda x: x["s"]).alias("stops"))
+    threads = lists.select(F.col("trip_id").cast("string").alias("thread_id"), F.lit("").alias("number"), F.lit("t").alias("title"), F.col("trip_id").cast("string").alias("uid"), F.lit("bus").alias("transport_type"), F.explode(F.array(F.lit("2024-01-01"), F.lit("2024-01-02"))).alias("date"), "stops")
+    out = readers.threads_to_feed(threads, t.v_stops.select(F.col("stop_id").cast("string").alias("code")))
+    return out["stop_times"].select("trip_id", F.col("seq").cast("int").alias("seq"), "departure_s")
+
+
+@query("a12_extract_region_stations", "SELECT CAST(stop_id AS VARCHAR) AS code, settlement || ', ' || name AS display FROM v_stops WHERE region = 'ASIA'")
+def _(t):
+    tree = t.v_stops.select(F.lit("C").alias("country"), "region", "settlement", "name", F.lit("bus").alias("transport"), F.array(F.struct(F.lit("y").alias("system"), F.lit("y").alias("code_type"), F.col("stop_id").cast("string").alias("code"))).alias("codes"), F.col("stop_id").alias("ordinal"))
+    return readers.extract_region_stations(tree, "ASIA", "bus", "C").select("code", "display")
+
+
+@query("a22_build_registry", "SELECT region, count(DISTINCT name) AS stops FROM v_stops GROUP BY region")
+def _(t):
+    rows = t.v_stops.select(F.concat(F.lit("54."), F.col("settlement")).alias("reg"), F.col("stop_id").alias("seq"), "name", "region", F.lit("").alias("op_reg"), F.lit("10:00").alias("dep"), F.lit("10:05").alias("arr"), F.lit("пн-пт").alias("days"), F.lit("").alias("period"))
+    firms = t.nation.select(F.col("n_name").alias("name"), F.lit("1").alias("inn"), F.col("n_nationkey").alias("ordinal"))
+    out = readers.build_registry(rows.select("reg").distinct(), firms, rows, rows, [])
+    return out["stops"].groupBy("region").agg(F.count("*").alias("stops"))
