@@ -16,7 +16,11 @@ from railweave.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-NO_CODES = F.array().cast(linkage.NO_CODES)
+
+
+def no_codes():
+    return F.array().cast(linkage.NO_CODES)
+
 
 
 def query(name: str, sql: str | None = None):
@@ -270,11 +274,11 @@ def _(t):
 
 
 def left_side(t: Tables) -> DataFrame:
-    return t.v_terminals.select(F.col("terminal_id").alias("left_id"), F.col("terminal_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", NO_CODES.alias("codes"))
+    return t.v_terminals.select(F.col("terminal_id").alias("left_id"), F.col("terminal_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", no_codes().alias("codes"))
 
 
 def right_side(t: Tables) -> DataFrame:
-    return t.v_records.select(F.col("record_id").alias("right_id"), F.col("record_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", NO_CODES.alias("codes"))
+    return t.v_records.select(F.col("record_id").alias("right_id"), F.col("record_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", no_codes().alias("codes"))
 
 
 @query("c01_blocked_fuzzy_join")
@@ -305,11 +309,11 @@ def _(t):
 
 
 def stop_side(t: Tables) -> DataFrame:
-    return t.v_terminals.where("terminal_id % 2 = 0").select(F.col("terminal_id").alias("stop_key"), "name", (F.col("lat") + 0.001).alias("lat"), "lon", "settlement", F.lit("").alias("transport"), F.lit("mintrans").alias("source"), F.lit("urban").alias("density"), NO_CODES.alias("codes"))
+    return t.v_terminals.where("terminal_id % 2 = 0").select(F.col("terminal_id").alias("stop_key"), "name", (F.col("lat") + 0.001).alias("lat"), "lon", "settlement", F.lit("").alias("transport"), F.lit("mintrans").alias("source"), F.lit("urban").alias("density"), no_codes().alias("codes"))
 
 
 def term_side(t: Tables) -> DataFrame:
-    return t.v_terminals.select("terminal_id", "name", "lat", "lon", "settlement", "transport", "source", NO_CODES.alias("codes"), (F.col("terminal_id") % 3 != 0).alias("final"))
+    return t.v_terminals.select("terminal_id", "name", "lat", "lon", "settlement", "transport", "source", no_codes().alias("codes"), (F.col("terminal_id") % 3 != 0).alias("final"))
 
 
 @query("c07_attach_candidates", "SELECT s.terminal_id AS stop_key, t.terminal_id FROM v_terminals s JOIN v_terminals t ON floor((s.lat + 0.001) / 0.5) - floor(t.lat / 0.5) BETWEEN -1 AND 1 AND floor(s.lon / 0.5) - floor(t.lon / 0.5) BETWEEN -1 AND 1 WHERE s.terminal_id % 2 = 0")
@@ -350,7 +354,7 @@ def _(t):
 
 @query("d11_collapse_stop_area", "SELECT min(terminal_id) AS record_id, count(*) AS members FROM (SELECT terminal_id, lat, lon FROM v_terminals) GROUP BY lat, lon")
 def _(t):
-    rows = t.v_terminals.select(F.col("terminal_id").alias("record_id"), F.col("terminal_id").alias("ordinal"), F.lit("Same place").alias("name"), "lat", "lon", "transport", NO_CODES.alias("codes"))
+    rows = t.v_terminals.select(F.col("terminal_id").alias("record_id"), F.col("terminal_id").alias("ordinal"), F.lit("Same place").alias("name"), "lat", "lon", "transport", no_codes().alias("codes"))
     return linkage.collapse_stop_area(rows).select("record_id", "members")
 
 
@@ -952,7 +956,7 @@ def _(t):
 
 def attached(t: Tables) -> dict[str, DataFrame]:
     trips, stops = timetables.registry_trips(registry(t))
-    terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", (F.col("lat") + 0.0005).alias("lat"), "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), NO_CODES.alias("codes"), F.lit(True).alias("final"))
+    terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", (F.col("lat") + 0.0005).alias("lat"), "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), no_codes().alias("codes"), F.lit(True).alias("final"))
     previous = trips.select(F.col("trip_nk").alias("trip_id"))
     return timetables.attach_trips(trips, stops, terms, previous, linkage.LinkConfig(cell=0.02), cap_kmh=5000.0, churn_threshold=2.0)
 
@@ -964,7 +968,7 @@ def _(t):
 
 @query("i04_run_trips_sync")
 def _(t):
-    terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", "lat", "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), NO_CODES.alias("codes"), F.lit(True).alias("final"))
+    terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", "lat", "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), no_codes().alias("codes"), F.lit(True).alias("final"))
     reg = registry(t)
     out = timetables.run_trips_sync(reg, terms, t.v_trips.limit(0).select(F.col("trip_id").cast("string").alias("trip_id")), cfg=linkage.LinkConfig(cell=0.02), cap_kmh=5000.0)
     return out["by_route"]
@@ -1071,9 +1075,9 @@ def _(t):
 @query("i19_golden_check")
 def _(t):
     side = "struct<name:string,lat:double,lon:double,source:string,settlement:string,transport:string,codes:" + linkage.NO_CODES + ">"
-    pair = F.struct("name", "lat", "lon", F.lit("mintrans").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), NO_CODES.alias("codes")).cast(side)
-    far = F.struct(F.lit("elsewhere").alias("name"), (F.col("lat") + 3).alias("lat"), "lon", F.lit("osm").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), NO_CODES.alias("codes")).cast(side)
-    near = F.struct("name", "lat", "lon", F.lit("osm").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), NO_CODES.alias("codes")).cast(side)
+    pair = F.struct("name", "lat", "lon", F.lit("mintrans").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), no_codes().alias("codes")).cast(side)
+    far = F.struct(F.lit("elsewhere").alias("name"), (F.col("lat") + 3).alias("lat"), "lon", F.lit("osm").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), no_codes().alias("codes")).cast(side)
+    near = F.struct("name", "lat", "lon", F.lit("osm").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), no_codes().alias("codes")).cast(side)
     cases = t.v_terminals.select(F.col("terminal_id").alias("id"), F.lit("urban").alias("class"), pair.alias("stop"), F.array(far, near).alias("terminals"), F.lit("verified").alias("expect"), F.lit(1).alias("expect_best"))
     return timetables.golden_check(cases)
 

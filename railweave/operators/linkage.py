@@ -88,7 +88,7 @@ def decide(best: Column, other: Column, n: Column, density: Column, cfg: LinkCon
     return F.when(n == 0, "rejected").when(vague, "duplicate_ambiguous").when(sure, "verified").when(best["value"] >= cfg.threshold - cfg.margin, "low_confidence").otherwise("rejected")
 
 
-def match_best(scored: DataFrame, key: str, cfg: LinkConfig = LinkConfig(), semantics: str = "reference") -> DataFrame:
+def match_best(scored: DataFrame, key: str, cfg: LinkConfig = LinkConfig(), semantics: str = "smallest") -> DataFrame:
     """Best candidate and decision of each key; ``scored`` has (key, cand_no, density, s).
 
     The gap goes to the smallest other score, or to the second best with
@@ -98,7 +98,7 @@ def match_best(scored: DataFrame, key: str, cfg: LinkConfig = LinkConfig(), sema
     rank = F.struct(F.col("s.value").alias("value"), (-F.col("cand_no")).alias("nth"))
     best = scored.groupBy(key).agg(F.max_by(F.struct("cand_no", "s", "density"), rank).alias("top"), F.count("*").alias("n"), F.max(rank).alias("hi"))
     rest = scored.join(best.select(key, F.col("top.cand_no").alias("_b")), key).where(F.col("cand_no") != F.col("_b"))
-    pick = F.min("s.value") if semantics == "reference" else F.max("s.value")
+    pick = F.min("s.value") if semantics == "smallest" else F.max("s.value")
     rows = best.join(rest.groupBy(key).agg(pick.alias("other")), key, "left")
     return rows.select(key, F.col("top.cand_no").alias("cand_no"), F.col("top.s").alias("s"), "n", decide(F.col("top.s"), F.col("other"), F.col("n"), F.col("top.density"), cfg).alias("decision"))
 
