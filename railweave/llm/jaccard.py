@@ -228,26 +228,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of non-space bytes with A-Z in lower case; a text with fewer
     than ``width`` words is one shingle; null, empty and blank texts have none and
     link with nothing. Documents with equal sets are one node, whatever their
-    number. Rows with a null id are linked like others, and an id that repeats
-    takes the smallest component of its rows. Other columns are ignored, so their
+    number. Rows with a null id are linked like others; their component_id is null
+    only if no member has an id. An id that repeats with another text has the
+    component of each text in that text's row. Other columns are ignored, so their
     names can't clash; an empty table gives an empty result.
     """
+    found = _assigned(docs, id_col, text_col, width, num, den, small, cross)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _assigned(docs: DataFrame, id_col: str, text_col: str, width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, cross: int = 32) -> DataFrame:
+    """(id, th, n_shingles, root, component_id) of each row; root is one hash per component, null without shingles."""
     texts = R.keyed(docs, id_col, text_col)
     about = keep(_described(texts, width, num, den), "sketches")
     same = ["n_shingles", "s1", "s2"]
     full = about.where("n_shingles > 0")
-    # A node is a distinct set, named by the smallest id that has it; equal sets have equal sketches.
-    kinds = full.groupBy(*same, "band").agg(F.min(F.struct("kid", "th")).alias("rep"), F.any_value("keys").alias("keys"), F.any_value("brief").alias("brief"))
-    own = keep(kinds.select(F.col("rep.kid").alias("node"), "rep.*", *same, "band", "keys", "brief"), "nodes")
+    # A node is a distinct set, named by its hash, as ids can be null or repeat; equal sets have equal sketches.
+    kinds = full.groupBy(*same, "band").agg(F.min(F.struct("kid", "th")).alias("rep"), F.min("id").alias("first"), F.any_value("keys").alias("keys"), F.any_value("brief").alias("brief"))
+    own = keep(kinds.select(F.xxhash64(*same).alias("node"), "rep.*", "first", *same, "band", "keys", "brief"), "nodes")
     marks = own.select("node", F.explode("keys").alias("key"))
     pairs, hot = _candidates(marks, small)
     links = keep(_verified(pairs, texts, own, width, num, den), "links")
     roots = components(links, "a", "b")
     links, roots = _leftover(hot, links, roots, texts, own, width, num, den, small, cross)
-    member = about.select("id", "kid", *same).join(own.select(*same, "node"), same, "left")
-    named = _rooted(member.withColumn("node", F.coalesce("node", "kid")), roots)
-    lone = F.lit(-(2**63))
-    return named.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root") == lone, F.col("id")).otherwise(F.col("root")).alias("component_id"))
+    named = _rooted(own.select("node", "first", *same), roots)
+    low = roots.join(own.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("low"))
+    named = named.join(low, "root", "left").select(*same, "root", F.coalesce("low", "first").alias("component_id"))
+    member = about.select("id", "th", *same).join(named, same, "left")
+    return member.select("id", "th", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _leftover(hot, links, roots, texts, owner, width, num, den, small, cross):
@@ -280,11 +288,14 @@ def _leftover(hot, links, roots, texts, owner, width, num, den, small, cross):
 
 
 def keep_first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; columns stay.
+    """The row of ``docs`` with the smallest id of each component; columns stay.
 
     Rows with a null id stay: they have no order among themselves. A row that
-    repeats an id and text stays once.
+    repeats an id and text stays once; texts of one id are told apart, so that
+    none goes because another text of its id does.
     """
-    found = jaccard_components(docs, "doc_id", "text", **options).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    first = found.where("doc_id = component_id").select("doc_id")
-    return docs.where("doc_id is null").unionByName(docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = _assigned(docs, "doc_id", "text", **options).where("id is not null")
+    linked = found.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("x")).select("x.*")
+    first = linked.union(found.where("root is null").select("id", "th")).select(F.col("id").alias("doc_id"), F.col("th").alias("_th"))
+    named = docs.where("doc_id is not null").withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.where("doc_id is null").unionByName(named.join(first, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"]).drop("_th"))

@@ -117,6 +117,22 @@ def test_jaccard(spark, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, lone = (text() for _ in range(5))
+    # A group of copies and near copies with a null id among them; id 9 has the texts c and d.
+    rows = [(i, a) for i in range(20, 26)] + [(None, a), (30, f"{a} z"), (31, f"y {a}"), (None, b), (None, f"{b} z"), (9, c), (9, d), (12, f"{c} z"), (13, f"{d} z"), (4, f"y {c}"), (14, lone), (9, " ")]
+    for small in (8, 2):
+        found = jaccard.jaccard_components(table(spark, rows), small=small, cross=1).collect()
+        got = Counter((r.doc_id, r.component_id) for r in found)
+        want = Counter({(i, 20): 1 for i in (*range(20, 26), 30, 31, None)})
+        want += Counter({(None, None): 2, (9, 4): 1, (12, 4): 1, (4, 4): 1, (9, 9): 2, (13, 9): 1, (14, 14): 1})
+        assert got == want
+    kept = jaccard.keep_first_of_each(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(20, a), (None, a), (None, b), (None, f"{b} z"), (4, f"y {c}"), (9, d), (14, lone), (9, " ")])
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16)).astype(np.float32)
