@@ -43,19 +43,21 @@ def drop_site_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str,
     """
     base = docs.drop("n_lines", "n_dropped")
     host, text = F.col(host_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
-    keys = base.select(host.alias("_h"), F.xxhash64(F.col(id_col), text).alias("_d"), F.split(text, "\n").alias("_lines"))
+    # The host is part of a document, as lines common on one host may not be so on another.
+    own = F.xxhash64(host.isNull(), host, F.col(id_col), text)
+    keys = base.select(host.alias("_h"), own.alias("_d"), F.split(text, "\n").alias("_lines"))
     long_enough = lambda x: F.length(x) >= F.lit(max(1, least_chars))
     marks = F.array_distinct(F.transform(F.filter(F.transform("_lines", lambda x: F.btrim(x)), long_enough), lambda x: F.xxhash64(x)))
-    # 0 stands for the document itself, so one pass counts lines and documents.
-    rows = keys.select("_h", "_d", marks.alias("_m"))
-    pages = rows.select("_h", "_d").distinct().groupBy("_h").agg(F.count("*").alias("_pages"))
+    # One row for each document, so that neither count takes a repeated row twice.
+    rows = keys.select("_h", "_d", marks.alias("_m")).dropDuplicates(["_h", "_d"])
+    pages = rows.groupBy("_h").agg(F.count("*").alias("_pages"))
     held = rows.select("_h", "_d", F.explode("_m").alias("_line"))
     counts = held.groupBy("_h", "_line").agg(F.count("*").alias("_on")).where(F.col("_on") >= least)
     on = F.col("c._h").eqNullSafe(F.col("p._h"))
     common = counts.alias("c").join(pages.alias("p"), on).where(F.col("_on") > F.lit(ratio) * F.col("_pages")).select("c._h", "_line")
     same = F.col("x._h").eqNullSafe(F.col("y._h")) & (F.col("x._line") == F.col("y._line"))
     bad = held.alias("x").join(common.alias("y"), same, "left_semi").groupBy("_d").agg(F.collect_set("_line").alias("_bad"))
-    whole = base.withColumn("_d", F.xxhash64(F.col(id_col), text)).join(bad, "_d", "left")
+    whole = base.withColumn("_d", own).join(bad, "_d", "left")
     none = F.array().cast("array<bigint>")
     lines = F.when(F.col(text_col).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text_col), "\n"))
     stays = lambda x: ~(long_enough(F.btrim(x)) & F.array_contains(F.coalesce(F.col("_bad"), none), F.xxhash64(F.btrim(x))))

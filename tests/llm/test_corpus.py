@@ -284,6 +284,14 @@ def test_lines(spark):
     assert got[11] == ("", 1, 0)
 
 
+def test_lines_of_repeated_rows(spark):
+    # Page 0 stands in four rows; its own lines are on one of twelve pages. Page 20 is on two hosts.
+    rows = [(0, "own 0\nalso 0", "h")] * 4 + [(i, f"own {i}", "h") for i in range(1, 11)]
+    rows += [(20, "menu\nown 20", "h"), (20, "menu\nown 20", "g")] + [(30 + i, f"menu\nown {30 + i}", "g") for i in range(5)]
+    got = lines.drop_site_lines(table(spark, rows, "id long, text string, host string"), "id", "text", "host", 0.1).collect()
+    assert Counter((r.id, r.host, r.text) for r in got if r.id in (0, 20)) == Counter({(0, "h", "own 0\nalso 0"): 4, (20, "h", "menu\nown 20"): 1, (20, "g", "own 20"): 1})
+
+
 def test_chat(spark):
     say = lambda c, *turns: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(turns)]
     rows = say(1, "a", "b") + say(2, "a", "b", "c") + say(3, "a", "x") + say(4, "a", "b", "c") + say(5, "a") + [(None, 0, "user", "z"), (6, None, "user", "z"), (7, 0, None, None)]
