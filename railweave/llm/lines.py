@@ -30,21 +30,23 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
 
 
-def drop_site_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, ratio: float = 0.3, least: int = 4, least_chars: int = 1) -> DataFrame:
+def drop_site_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, ratio: float = 0.3, least: int = 4, least_chars: int = 1, by_text: bool = False) -> DataFrame:
     """Cut lines that stand on more than ``ratio`` of their host's documents.
 
     Returns the columns of ``docs`` with ``text_col`` reduced and n_lines and
     n_dropped added. Lines are compared trimmed; blank lines and lines under
     ``least_chars`` characters stay; a line is dropped only if it is on at least
     ``least`` documents. Rows that repeat id and text are one document in the
-    counts. The null host is a host. A null text stays null and has no lines;
+    counts; with ``by_text`` rows of one host that repeat the text alone are, so
+    that a group of copies doesn't make its own lines common. The null host is a
+    host. A null text stays null and has no lines;
     long texts are read whole; an empty table gives an empty result. Columns of
     the names n_lines and n_dropped are replaced.
     """
     base = docs.drop("n_lines", "n_dropped")
     host, text = F.col(host_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
     # The host is part of a document, as lines common on one host may not be so on another.
-    own = F.xxhash64(host.isNull(), host, F.col(id_col), text)
+    own = F.xxhash64(host.isNull(), host, *([] if by_text else [F.col(id_col)]), text)
     keys = base.select(host.alias("_h"), own.alias("_d"), F.split(text, "\n").alias("_lines"))
     long_enough = lambda x: F.length(x) >= F.lit(max(1, least_chars))
     marks = F.array_distinct(F.transform(F.filter(F.transform("_lines", lambda x: F.btrim(x)), long_enough), lambda x: F.xxhash64(x)))

@@ -327,3 +327,21 @@ def test_pipeline_stages(spark):
     pieces = P.packed(spark, mix, SF)
     assert pieces.select("doc_id").distinct().count() == len(want)
     assert all(x.columns == docs.columns for x in (clean, cut, first, mix))
+
+
+def test_pipeline_keeps_one_of_hot_copies(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clean = [r.doc_id for r in toxicity.score_toxicity(docs, labels).where("predicted = 0").collect()]
+    own = docs.where(F.col("doc_id").isin(clean)).orderBy(F.desc(F.size(F.split("text", "\n"))), "doc_id").first()
+    copies = spark.range(10**6, 10**6 + 40).select(F.col("id").alias("doc_id"), *[F.lit(own[c]).alias(c) for c in docs.columns[1:]])
+    docs.unionByName(copies).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    every = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cut = P.site_lines_out(spark, every, str(tmp_path))
+    assert {r.text for r in cut.where(F.col("doc_id") >= 10**6).collect()} == {own.text}
+    hot = [own.doc_id, *range(10**6, 10**6 + 40)]
+    out = P.run(spark, str(tmp_path)).where(F.col("doc_id").isin(hot)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert [r.doc_id for r in out] == [own.doc_id] and out[0].n > 10
