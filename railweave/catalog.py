@@ -1142,7 +1142,7 @@ def _(t):
 @query("p02_earliest_arrival")
 def _(t):
     req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
-    return journeys.earliest_arrival(req, parts_of(t), walks_of(t), 3).select("request_id", "stop_id", "arrival_s", F.size("path").alias("legs"))
+    return journeys.earliest_arrival(req, parts_of(t), walks_of(t)).select("request_id", "stop_id", "arrival_s", F.size("path").alias("legs"))
 
 
 @query("p03_walk_relax")
@@ -1154,7 +1154,7 @@ def _(t):
 @query("p04_journey_legs")
 def _(t):
     req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
-    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t), 2)
+    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t))
     goal = labels.withColumn("request_id", F.col("request_id") * 1000 + F.col("stop_id"))
     return journeys.journey_legs(goal)
 
@@ -1162,7 +1162,7 @@ def _(t):
 @query("p05_limit_transfers")
 def _(t):
     req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
-    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t), 2).withColumn("legs", F.size("path"))
+    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t)).withColumn("legs", F.size("path"))
     return journeys.limit_transfers(labels, 0).select("request_id", "stop_id", "legs")
 
 
@@ -1180,13 +1180,13 @@ def _(t):
 @query("p08_arrive_by")
 def _(t):
     req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.pmod(F.col("stop_id") + 1, F.lit(10)).alias("goal_stop"), F.lit(36000).alias("limit_s"))
-    return journeys.arrive_by(req, parts_of(t), walks_of(t), 1).select("request_id", "departure_s", "arrival_s")
+    return journeys.arrive_by(req, parts_of(t), walks_of(t)).select("request_id", "departure_s", "arrival_s")
 
 
 @query("p09_alternatives")
 def _(t):
     req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.pmod(F.col("stop_id") + 1, F.lit(10)).alias("goal_stop"), F.lit(28800).alias("departure_s"))
-    return journeys.alternatives(req, parts_of(t), walks_of(t), 2).select("request_id", "journey_id", "arrival_s", "transfers", "rank")
+    return journeys.alternatives(req, parts_of(t), walks_of(t)).select("request_id", "journey_id", "arrival_s", "transfers", "rank")
 
 
 @query("p10_price_journeys", f"WITH {LEGS} SELECT c.trip_id, c.seq, CASE WHEN c.trip_id % 2 = 0 THEN 99.0 ELSE floor(greatest(50.0, greatest(1.0, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')}) * 2.5) + 0.5) END AS price FROM conn c JOIN v_stops x ON x.stop_id = c.from_stop JOIN v_stops y ON y.stop_id = c.to_stop")
@@ -1205,7 +1205,7 @@ def _(t):
     req = t.v_stops.join(other, "stop_id").select(F.col("stop_id").alias("request_id"), near("lat", 0.001).alias("from_lat"), F.col("lon").alias("from_lon"), F.lit(None).cast("string").alias("from_place"), "to_lat", "to_lon", F.lit(None).cast("string").alias("to_place"), F.lit(28800).alias("departure_s"), F.when(F.col("stop_id") % 20 == 0, 500).otherwise(60).alias("max_walk"), F.lit(5).alias("max_transfers"), F.lit(False).alias("allow_gap"))
     net = {"stops": t.v_stops, "stop_times": t.v_stop_times, "modes": t.v_trips.select("trip_id", F.lit("flight").alias("mode")).dropDuplicates(["trip_id"]), "transfers": spatial.transfer_links(t.v_stops, 2.0)}
     places = t.nation.select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name"), F.lit(55.0).alias("lat"), F.lit(83.0).alias("lon"))
-    out = journeys.plan_requests(req, net, places, 3)
+    out = journeys.plan_requests(req, net, places)
     return out["journeys"].select("request_id", F.lit("planned").alias("outcome"), "arrival_s").unionByName(out["errors"].select("request_id", F.col("error").alias("outcome"), F.lit(None).cast("int").alias("arrival_s")), allowMissingColumns=True)
 
 

@@ -112,6 +112,46 @@ def test_labels_equal_serial_scan(spark):
     assert {(r.request_id, r.stop_id): r.arrival_s for r in labels.collect()} == best
 
 
+def test_journeys_of_many_rides(spark):
+    # Trip i rides from stop i to i + 1 only, so stop 11 takes 11 rides; the slow trip 50 goes there directly.
+    times = [(i, 0, i, 1000 * i, 1000 * i) for i in range(11)] + [(i, 1, i + 1, 1000 * i + 900, 1000 * i + 900) for i in range(11)]
+    times += [(50, 0, 0, 0, 0), (50, 1, 11, 50000, 50000), (60, 0, 0, 7, 7), (60, 1, 40, 8, 8)]
+    parts = spark.createDataFrame([(a, 0, b, c, d, e, "bus") for a, b, c, d, e in times], "trip_id long, part int, seq int, stop_id long, arrival_s int, departure_s int, mode string")
+    walks = journeys.walk_closure(spark.createDataFrame([(100 + i, 101 + i, 1) for i in range(20)], "from_stop long, to_stop long, minutes int"))
+    assert walks.count() == 20 * 21 // 2 and {r.minutes for r in walks.where("from_stop = 100 AND to_stop = 120").collect()} == {20}
+    req = spark.createDataFrame([(1, 0, 0)], "request_id long, stop_id long, departure_s int")
+    labels = {r.stop_id: (r.arrival_s, len(r.path)) for r in journeys.earliest_arrival(req, parts, walks).collect()}
+    assert labels[11] == (10900, 11)
+    limits = spark.createDataFrame([(1, 5)], "request_id long, most int")
+    labels = {r.stop_id: (r.arrival_s, len(r.path)) for r in journeys.earliest_arrival(req, parts, walks, limits=limits).collect()}
+    assert labels[5] == (4900, 5) and 6 not in labels and labels[11] == (50000, 1)
+    by = spark.createDataFrame([(1, 0, 11, 20000), (2, 0, 11, 10000), (3, 0, 40, 20000), (4, 102, 110, 20000)], "request_id long, stop_id long, goal_stop long, limit_s int")
+    assert {r.request_id: (r.departure_s, r.arrival_s, len(r.path)) for r in journeys.arrive_by(by, parts, walks).collect()} == {1: (0, 10900, 11), 3: (7, 8, 1), 4: (18200, 18680, 1)}
+
+
+def test_arrive_by_is_the_last_departure_in_time(spark):
+    rng = random.Random(11)
+    times = []
+    for trip in range(40):
+        t = rng.randrange(20000, 40000)
+        for seq, stop in enumerate(rng.sample(range(12), 4)):
+            times.append((trip, 0, seq, stop, t, t + 30, "bus"))
+            t += rng.randrange(300, 1500)
+    parts = spark.createDataFrame(times, "trip_id long, part int, seq int, stop_id long, arrival_s int, departure_s int, mode string")
+    walks = journeys.walk_closure(spark.createDataFrame([(0, 1, 5), (1, 0, 5), (4, 9, 7), (9, 4, 7)], "from_stop long, to_stop long, minutes int"))
+    by = [(a * 100 + b, a, b, 38000) for a in range(4) for b in range(12)]
+    runs = {(i, d): (i * 10**6 + d, a, d) for i, a, _, m in by for d in {x[5] for x in times if x[3] == a and x[5] <= m}}
+    labels = journeys.earliest_arrival(spark.createDataFrame(list(runs.values()), "request_id long, stop_id long, departure_s int"), parts, walks)
+    at = {(r.request_id, r.stop_id): r.arrival_s for r in labels.collect()}
+    want = {}
+    for i, _, b, m in by:
+        good = [(d, at[k[0], b]) for (j, d), k in runs.items() if j == i and at.get((k[0], b), m + 1) <= m]
+        if good:
+            want[i] = max(good)
+    got = journeys.arrive_by(spark.createDataFrame(by, "request_id long, stop_id long, goal_stop long, limit_s int"), parts, walks)
+    assert {r.request_id: (r.departure_s, r.arrival_s) for r in got.collect()} == want and len(want) > 20
+
+
 def test_match_trip_stops_is_exclusive(spark):
     s = lambda v: (v, 1.0, False, True, 10.0, 1.0, True)
     kind = "struct<value:double,trust:double,code:boolean,has_geom:boolean,metres:double,name_sim:double,guard:boolean>"
