@@ -342,7 +342,7 @@ def _(t):
 @query("c11_match_trip_stops")
 def _(t):
     s, m = stop_side(t), term_side(t)
-    scored = linkage.scored_attach(s, m, linkage.attach_candidates(s, m, 0.1))
+    scored = linkage.scored_attach(s, m, linkage.attach_candidates(s, m))
     trips = t.v_stop_times.join(s.select(F.col("stop_key").alias("stop_id")), "stop_id", "left_semi").select("trip_id", F.col("seq").cast("int").alias("seq"), F.col("stop_id").alias("stop_key"))
     return linkage.match_trip_stops(trips, scored).withColumn("value", r6("value"))
 
@@ -958,7 +958,7 @@ def attached(t: Tables) -> dict[str, DataFrame]:
     trips, stops = timetables.registry_trips(registry(t))
     terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", (F.col("lat") + 0.0005).alias("lat"), "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), no_codes().alias("codes"), F.lit(True).alias("final"))
     previous = trips.select(F.col("trip_nk").alias("trip_id"))
-    return timetables.attach_trips(trips, stops, terms, previous, linkage.LinkConfig(cell=0.02), cap_kmh=5000.0, churn_threshold=2.0)
+    return timetables.attach_trips(trips, stops, terms, previous, linkage.LinkConfig(), cap_kmh=5000.0, churn_threshold=2.0)
 
 
 @query("i03_attach_trips")
@@ -970,7 +970,7 @@ def _(t):
 def _(t):
     terms = t.v_stops.select(F.col("stop_id").alias("terminal_id"), "name", "lat", "lon", "settlement", F.lit("bus").alias("transport"), F.lit("osm").alias("source"), no_codes().alias("codes"), F.lit(True).alias("final"))
     reg = registry(t)
-    out = timetables.run_trips_sync(reg, terms, t.v_trips.limit(0).select(F.col("trip_id").cast("string").alias("trip_id")), cfg=linkage.LinkConfig(cell=0.02), cap_kmh=5000.0)
+    out = timetables.run_trips_sync(reg, terms, t.v_trips.limit(0).select(F.col("trip_id").cast("string").alias("trip_id")), cfg=linkage.LinkConfig(), cap_kmh=5000.0)
     return out["by_route"]
 
 

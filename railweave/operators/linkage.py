@@ -248,8 +248,7 @@ def merge_enrichment(left: DataFrame, right: DataFrame, links: DataFrame) -> Dat
 def attach_candidates(stops: DataFrame, terminals: DataFrame, cell: float = 0.5) -> DataFrame:
     """Distinct (stop_key, terminal_id): cells around, equal (system, code), terminals without a point.
 
-    Terminals without a point are candidates of every stop by rule; a stop meets
-    those that share a word of its core name or, by the first branch, a code.
+    Terminals without a point are candidates of every stop by rule.
     """
     point = "lat IS NOT NULL AND lon IS NOT NULL"
     s = stops.where(point).select("stop_key", F.explode(geo.neighbour_cells(F.col("lat"), F.col("lon"), cell)).alias("cell"))
@@ -257,8 +256,7 @@ def attach_candidates(stops: DataFrame, terminals: DataFrame, cell: float = 0.5)
     near = s.join(t, "cell").select("stop_key", "terminal_id")
     code = lambda df, key: df.select(key, F.explode("codes").alias("x")).where("x.code <> ''").select(key, "x.system", "x.code").distinct()
     coded = code(stops, "stop_key").join(code(terminals, "terminal_id"), ["system", "code"]).select("stop_key", "terminal_id")
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.split(names.core_name(F.col("name")), " "))).alias("w")).where("w <> ''")
-    bare = words(stops, "stop_key").join(words(terminals.where(f"NOT ({point})"), "terminal_id"), "w").select("stop_key", "terminal_id")
+    bare = stops.select("stop_key").crossJoin(terminals.where(f"NOT ({point})").select("terminal_id"))
     return near.union(coded).union(bare).distinct()
 
 
@@ -275,7 +273,14 @@ def match_trip_stops(trip_stops: DataFrame, scored: DataFrame, cfg: LinkConfig =
     A terminal is used once in a trip, but the last stop may return to the first
     matched terminal if it isn't the second stop. Returns (trip_id, seq, stop_key,
     terminal_id, decision, value, code).
+
+    A trip of n stops uses up at most n - 1 terminals before a stop, so of a stop's
+    candidates the n + 1 best and the n + 1 worst of the longest trip tell all.
     """
+    longest = trip_stops.groupBy("trip_id").count().agg(F.max("count")).first()[0] or 0
+    nth = lambda *order: F.row_number().over(Window.partitionBy("stop_key").orderBy(*order))
+    end = lambda *order, every=scored: every.withColumn("_n", nth(*order)).where(F.col("_n") <= longest + 1).drop("_n")
+    scored = end(F.desc("s.value"), "cand_no").union(end(F.asc_nulls_last("s.value"), "cand_no")).dropDuplicates(["stop_key", "cand_no"])
     lists = scored.groupBy("stop_key").agg(F.first("density").alias("density"), F.array_sort(F.collect_list(F.struct("cand_no", "s"))).alias("cands"))
     rows = trip_stops.join(lists, "stop_key", "left")
     trips = rows.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("seq", "stop_key", "density", "cands"))).alias("stops"))

@@ -161,6 +161,29 @@ def test_match_trip_stops_is_exclusive(spark):
     assert got == {0: (100, "verified"), 1: (200, "verified"), 2: (100, "verified")}
 
 
+def test_terminals_without_a_point_are_candidates_of_all(spark):
+    code = "array<struct<system:string,code_type:string,code:string>>"
+    stops = spark.createDataFrame([(1, "Vokzall", 55.0, 83.0, []), (2, "Rynok", None, None, [])], f"stop_key long, name string, lat double, lon double, codes {code}")
+    terminals = spark.createDataFrame([(10, "Vokzal", None, None, []), (11, "Far", 58.0, 83.0, []), (12, "Near", 55.6, 83.0, [])], f"terminal_id long, name string, lat double, lon double, codes {code}")
+    got = {(r.stop_key, r.terminal_id) for r in linkage.attach_candidates(stops, terminals).collect()}
+    assert got == {(1, 10), (2, 10), (1, 12)}
+
+
+def test_match_of_many_candidates(spark):
+    kind = "struct<value:double,trust:double,code:boolean,has_geom:boolean,metres:double,name_sim:double,guard:boolean>"
+    rng = random.Random(4)
+    rows = [(k, c, "urban", (rng.choice([0.2, 0.5, 0.7, 0.72, 0.8, 0.9]), 1.0, False, True, 10.0, 1.0, True)) for k in range(8) for c in range(k, k * 5 + 1)]
+    scored = spark.createDataFrame(rows, f"stop_key long, cand_no long, density string, s {kind}")
+    trips = spark.createDataFrame([(k, 0, k) for k in range(8)], "trip_id long, seq int, stop_key long")
+    best = {r.stop_key: (r.decision, r.s.value, r.cand_no) for r in linkage.match_best(scored, "stop_key").collect()}
+    for r in linkage.match_trip_stops(trips, scored).collect():
+        assert (r.decision, r.value) == best[r.stop_key][:2] and r.terminal_id in (None, best[r.stop_key][2])
+    # Three visits of one stop take its terminals from the best on, those of one score by number.
+    again = linkage.match_trip_stops(spark.createDataFrame([(1, i, 7) for i in range(4)], "trip_id long, seq int, stop_key long"), scored)
+    order = [c for _, c in sorted((-x[3][0], x[1]) for x in rows if x[0] == 7)]
+    assert [r.terminal_id for r in again.orderBy("seq").collect()][:3] == order[:3]
+
+
 def test_second_run_changes_nothing(spark):
     now = F.to_timestamp(F.lit("2030-01-01"))
     old = datetime.datetime(2020, 1, 1)
