@@ -293,8 +293,7 @@ def _(t):
 
 @query("c02_full_fuzzy_join")
 def _(t):
-    # A stated query set, every hundredth left row, against all right rows.
-    return linkage.full_fuzzy_join(left_side(t).where("left_id % 100 = 0"), right_side(t)).select("left_id", "right_id", "result")
+    return linkage.full_fuzzy_join(left_side(t), right_side(t)).select("left_id", "right_id", "result")
 
 
 @query("c05_unmatched_right")
@@ -309,7 +308,7 @@ def _(t):
 
 
 def stop_side(t: Tables) -> DataFrame:
-    return t.v_terminals.where("terminal_id % 2 = 0").select(F.col("terminal_id").alias("stop_key"), "name", (F.col("lat") + 0.001).alias("lat"), "lon", "settlement", F.lit("").alias("transport"), F.lit("mintrans").alias("source"), F.lit("urban").alias("density"), no_codes().alias("codes"))
+    return t.v_terminals.select(F.col("terminal_id").alias("stop_key"), "name", (F.col("lat") + 0.001).alias("lat"), "lon", "settlement", F.lit("").alias("transport"), F.lit("mintrans").alias("source"), F.lit("urban").alias("density"), no_codes().alias("codes"))
 
 
 def term_side(t: Tables) -> DataFrame:
@@ -318,7 +317,7 @@ def term_side(t: Tables) -> DataFrame:
 
 @query("c07_attach_candidates", "SELECT s.terminal_id AS stop_key, t.terminal_id FROM v_terminals s JOIN v_terminals t ON floor((s.lat + 0.001) / 0.5) - floor(t.lat / 0.5) BETWEEN -1 AND 1 AND floor(s.lon / 0.5) - floor(t.lon / 0.5) BETWEEN -1 AND 1 WHERE s.terminal_id % 2 = 0")
 def _(t):
-    return linkage.attach_candidates(stop_side(t), term_side(t))
+    return linkage.attach_candidates(stop_side(t).where("stop_key % 2 = 0"), term_side(t))
 
 
 @query("c08_score_pair_attach")

@@ -221,13 +221,17 @@ def blocked_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = Link
     return left.select("left_id").join(found, "left_id", "left").select("left_id", "right_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("second", F.lit(0.0)).alias("second"), F.coalesce("result", F.lit("identity_only")).alias("result"))
 
 
-def full_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig(), most: int = 10_000) -> DataFrame:
-    """The same without blocking, against a right side of at most ``most`` rows, which is checked."""
-    if right.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} right rows: use blocked_fuzzy_join")
-    pairs = left.select("left_id").crossJoin(F.broadcast(right.select("right_id")))
-    # Every left row shares its candidates with all others, so rounds would settle one row each.
-    links = decide_join(scored_links(left, right, pairs, cfg), cfg, rounds=0)
+def full_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
+    """Each left row alone against all right rows, without blocking, so a right row can serve several.
+
+    A left row keeps only its two best pairs, by partial ranks before the shuffle.
+    """
+    pairs = left.alias("a").crossJoin(right.alias("b"))
+    scored = pairs.select("left_id", "a.ordinal", "right_id", F.col("b.ordinal").alias("right_no"), score_pair_records(_side("a"), _side("b"), cfg).alias("s")).select("left_id", "ordinal", "right_id", "right_no", "s.*")
+    nth = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_no"))
+    two = scored.where("score > 0").withColumn("_n", nth).where("_n <= 2").drop("_n")
+    sizes = left.select("left_id").crossJoin(right.agg(F.count("*").alias("size")))
+    links = _judge(two, sizes, cfg)
     return left.select("left_id").join(links.select("left_id", F.when(F.col("result") != "identity_only", F.col("right_id")).alias("right_id"), "score", "second", "result"), "left_id", "left").na.fill({"score": 0.0, "second": 0.0, "result": "identity_only"})
 
 

@@ -161,6 +161,16 @@ def test_match_trip_stops_is_exclusive(spark):
     assert got == {0: (100, "verified"), 1: (200, "verified"), 2: (100, "verified")}
 
 
+def test_full_fuzzy_join_takes_each_left_row_alone(spark):
+    code = "array<struct<system:string,code_type:string,code:string>>"
+    side = lambda key, rows: spark.createDataFrame(rows, "id long, name string, lat double, lon double").select(F.col("id").alias(key), F.col("id").alias("ordinal"), "name", "lat", "lon", F.lit("").alias("settlement"), F.lit("").alias("transport"), F.lit("osm").alias("source"), F.array().cast(code).alias("codes"))
+    left = side("left_id", [(i, "Vokzal", 55.0, 83.0) for i in range(3)] + [(3, "Rynok", 56.0, 84.0)])
+    # More than 10,000 right rows, of which one is the station.
+    right = side("right_id", [(0, "Vokzal", 55.0, 83.0)] + [(i, f"Zavod {i}", 50.0 + i % 7, 70.0) for i in range(1, 10_003)])
+    got = {r.left_id: (r.result, r.right_id) for r in linkage.full_fuzzy_join(left, right).collect()}
+    assert {got[i] for i in range(3)} == {("enriched", 0)} and got[3] == ("identity_only", None)
+
+
 def test_terminals_without_a_point_are_candidates_of_all(spark):
     code = "array<struct<system:string,code_type:string,code:string>>"
     stops = spark.createDataFrame([(1, "Vokzall", 55.0, 83.0, []), (2, "Rynok", None, None, [])], f"stop_key long, name string, lat double, lon double, codes {code}")
