@@ -9,11 +9,11 @@ phrase once with its number of uses in the parse:
 
 * phrases whose trigger context occurs once leave the work at once;
 * a phrase used twice or more repeats with all its windows, decided on the parse;
-* phrases used once beside others of the same context are ordered with them,
+* phrases used once beside others of the same context are compared with them,
   window by window, in the dictionary alone.
 
-Only equality to the depth of one window matters, so orders are of hashes of
-that depth, not of letters, and no suffix array of the whole corpus is built.
+Only equality to the depth of one window matters, so grouping by hashes of that
+depth replaces the suffix arrays of dictionary and parse; neither is built.
 """
 
 from __future__ import annotations
