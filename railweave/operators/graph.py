@@ -1,4 +1,4 @@
-"""Shared-folder tables and connected components .
+"""Shared-folder tables and connected components.
 
 Lineage is cut by writing parquet below the folder that the cluster names in
 ``spark.checkpoint.dir``; a lost executor only costs the tasks it ran, because
@@ -7,6 +7,7 @@ every later read starts from files all executors can see.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (tests)."""
+    """The session's checkpoint folder; a temporary one only where none is set and all tasks run on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="railweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can read")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="railweave-"))
     return context.getCheckpointDir()
 
 
@@ -39,6 +43,28 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """The kept tables of one computation, which are deleted once its result has been written."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def add(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.add(keep(df, name))
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df``, delete all tables kept before, and read it back."""
+        out = keep(df, name)
+        for table in self.tables:
+            drop(table)
+        self.tables = []
+        return out
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components as (node, root), root being the smallest node id.
 
