@@ -1,39 +1,48 @@
 """Operator 9, n-gram Jaccard join by parity sketches.
 
-A document's set of word shingles is thrown into blocks, and each block keeps
-the XOR of its shingles' hashes. A shingle that only one of two documents has
-changes one block at most, so the number of unequal blocks (the Hamming distance
-of the sketches) never exceeds the size of the symmetric difference, which is at
-most (|A| + |B|) * (1 - t) / (1 + t) at Jaccard similarity t. With more blocks
-than that, some block is equal: a join on (size band, block, value) finds the
-pair, and exact set sizes decide.
-
-Large sets would need as many blocks as their largest allowed difference. They
-are thinned by hash first, at one rate for both sides of a size band, so that a
-pair at the threshold changes one shingle for each block on average; all of
-``BLOCKS`` = 48 blocks then miss such a pair with a chance near 1e-9, and any
-nearer pair with a smaller one. Sets of at most ``TINY`` shingles keep a block for each shingle.
-
-Blocks shared by more than ``SMALL`` documents are joined to the smallest one
-only; once those links have been verified, the pairs between different components
-that are left in such a block are settled exactly (see ``_leftover``).
+A document's shingles are thrown into blocks by hash, and each block keeps the
+XOR of its shingles' hashes. A shingle that only one of two documents has changes
+one block at most, so the number of unequal blocks (the Hamming distance of the
+sketches) never exceeds the size of the symmetric difference, which at Jaccard
+similarity t is at most D = (|A| + |B|) * (1 - t) / (1 + t).
+
+Sizes fall into bands of a factor 2. A document has a sketch in its own band and
+in each lower one in which a smaller partner can be; a band's sketches have more
+blocks than D for its sizes. Of the M blocks of a document that are not empty, at
+least M - D equal its partner's. That is the pigeonhole, and it is used twice:
+
+* a document stays only if M - D of its blocks occur with others at all;
+* of those it enters as many of its rarest blocks as leave M - D - 1 out, since
+  of M - D equal blocks one is then among them.
+
+Nothing is left to chance: M > D is checked for every document, and the sketches
+are made finer until it holds. Sets are compared exactly before a link is made.
+
+Blocks of many documents are joined to a central one first. What a large block
+still holds in several components afterwards is joined again by narrow size
+bands on the rarest shingles, where the bound on the overlap is tight.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute is used inside tasks
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from railweave.llm import repeats as R
 from railweave.llm.rolling import joined_words, mix, prefix, span, within, word_hashes
-from railweave.llm.store import components, keep
-
-BLOCKS, TINY, SMALL = 48, 48, 8
-#: Equal blocks that a pair of larger sets needs before its texts are read; at the threshold 17 of 48 are expected, and fewer than 2 come up with a chance below 1e-7.
-EQUAL = 2
+from railweave.llm.store import Scratch, components
+
+#: Blocks for each difference that a band allows, and the size up to which each shingle is a block of its own.
+SPREAD, TINY = 1.5, 32
+#: Blocks up to this many documents are compared pair by pair at once.
+SMALL = 4
+#: Ratio of the narrow size bands.
+NARROW = 1.04
 U = np.uint64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -67,101 +76,148 @@ def shingle_sets(bodies: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nd
     return h[first], np.bincount(own[first], minlength=len(bodies))
 
 
-def sketches(shingles: np.ndarray, counts: np.ndarray, num: int, den: int):
-    """Of each set: its size band, join keys for the two bands in which partners can be, and its blocks.
+def sketches(shingles: np.ndarray, counts: np.ndarray, num: int, den: int, spread: float, tiny: int, bits: int):
+    """The sketches of each set: (set, band, need, blocks) by set, and the concatenated keys of their blocks.
 
-    Blocks are 16 bits of each block's XOR, 0 for an empty one, first for the own
-    band with the next, then for the one before with the own. Sets that are tiny
-    in a band have a key for each shingle there and no blocks.
+    ``need`` is M - D: so many of the blocks a partner has too.
     """
-    ratio, own = den / num, np.repeat(np.arange(len(counts)), counts)
-    band = np.floor(np.log(np.maximum(counts, 1)) / np.log(ratio) + 1e-9).astype(np.int64)
-    chance = (mix(shingles ^ U(0x5851F42D4C957F2D)) >> U(11)).astype(np.float64) * 2.0**-53
-    block = (mix(shingles ^ U(0x14057B7EF767814F)) % U(BLOCKS)).astype(np.int64)
-    brief = np.zeros((len(counts), 2, BLOCKS), np.int16)
-    keys, owners = [], []
-    for side in (0, 1):
-        j = band - side
-        top = ratio ** (j + 2.0)
-        salt = mix((j + 1000).astype(U))
-        tiny = (top <= TINY)[own]
-        keys.append(mix(shingles[tiny] ^ salt[own[tiny]]))
-        owners.append(own[tiny])
-        rate = np.minimum(1.0, BLOCKS / (2 * top * (den - num) / (den + num)))
-        chosen = np.flatnonzero(~tiny & (chance < rate[own]))
-        cell = own[chosen] * BLOCKS + block[chosen]
-        order = np.argsort(cell, kind="stable")
-        cell, chosen = cell[order], chosen[order]
-        if not len(cell):
+    own = np.repeat(np.arange(len(counts)), counts)
+    band = np.frexp(np.maximum(counts, 1))[1].astype(np.int64) - 1
+    found = []
+    for back in range(1 + math.ceil(math.log2(den / num))):
+        low = band - back
+        most = (np.int64(2) << np.maximum(low, 0)) - 1  # the largest set of the band
+        inside = (counts > 0) & (low >= 0) & ((back == 0) | (counts * num <= most * den))
+        partner = counts * den // num if back == 0 else most
+        differ = (counts + partner) * (den - num) // (den + num)
+        blocks = np.ceil(spread * most * (den - num) / num).astype(np.int64)
+        single = most <= tiny
+        at = np.flatnonzero(inside[own])
+        who = own[at]
+        salt = mix((low + 1000).astype(U))[who]
+        h = shingles[at]
+        # A block of its own for each shingle is a block numbered by the shingle's place.
+        place = np.where(single[who], at, (mix(h ^ salt) % np.maximum(blocks[who], 1).astype(U)).astype(np.int64))
+        order = np.lexsort((place, who))
+        who, place, h, salt = who[order], place[order], h[order], salt[order]
+        if not len(who):
             continue
-        at = np.flatnonzero(np.diff(cell, prepend=-1))
-        value = np.bitwise_xor.reduceat(shingles[chosen], at)
-        who, which = cell[at] // BLOCKS, cell[at] % BLOCKS
-        key = mix(value ^ mix(which.astype(U) ^ salt[who]))
-        keys.append(key)
-        owners.append(who)
-        brief[who, side, which] = (key >> U(48)).astype(np.uint16).view(np.int16) | np.int16(1)
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return band, keys[order], np.bincount(owners, minlength=len(counts)), brief.reshape(len(counts), -1)
+        new = np.ones(len(who), bool)
+        new[1:] = (who[1:] != who[:-1]) | (place[1:] != place[:-1])
+        first = np.flatnonzero(new)
+        value = np.bitwise_xor.reduceat(h, first)
+        number = np.where(single[who[first]], 0, place[first]).astype(U)
+        key = mix(value ^ mix(number ^ salt[first])) >> U(64 - bits)
+        many = np.bincount(who[first], minlength=len(counts))
+        mine = np.flatnonzero(inside)
+        found.append((mine, low[mine], (many - differ)[mine], many[mine], key))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.astype(U)
+    mine, low, need, many, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(mine, kind="stable")
+    start = np.cumsum(many) - many
+    many = many[order]
+    return mine[order], low[order], need[order], many, key[np.repeat(start[order], many) + within(many)]
 
 
-def _by_pieces(batch: pa.RecordBatch, width: int, rows: int = 128):
-    """Slices of a batch of compressed texts with their shingle sets, so that memory follows the slice."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
-        yield part, *shingle_sets([R.unsqueeze(x) for x in part.column("body").to_pylist()], width)
+def _lists(flat: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), flat)
 
 
-def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+ABOUT = "kid long, th long, id long, n_shingles long, s1 long, s2 long, worst long, sketches array<struct<band:long,need:long,keys:array<long>>>"
 
 
-def _described(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _described(texts: DataFrame, width: int, num: int, den: int, spread: float, tiny: int, bits: int) -> DataFrame:
+    """Each row's set size, two sums that name the set, its sketches and the least of their needs."""
+
     def run(batches):
         for batch in batches:
             size = pa.compute.binary_length(batch.column("body")).to_pylist()
             for low, high in R.chunks(size, 1 << 20):
                 s, counts = shingle_sets(batch.column("body").slice(low, high - low).to_pylist(), width)
                 m = mix(s ^ U(0x2545F4914F6CDD1D))
-                sums = np.concatenate((np.zeros(1, U), np.cumsum(m, dtype=U)))
-                more = np.concatenate((np.zeros(1, U), np.cumsum(mix(m), dtype=U)))
                 ends = np.cumsum(counts)
-                band, keys, n_keys, brief = sketches(s, counts, num, den)
+                sums = [np.concatenate((np.zeros(1, U), np.cumsum(x, dtype=U))) for x in (m, mix(m))]
+                own, band, need, many, keys = sketches(s, counts, num, den, spread, tiny, bits)
+                worst = np.full(len(counts), 1 << 60, np.int64)
+                np.minimum.at(worst, own, need)
+                inner = pa.StructArray.from_arrays([pa.array(band), pa.array(need), _lists(pa.array(keys.view(np.int64)), many)], ["band", "need", "keys"])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x).slice(low, high - low) for x in ("kid", "th", "id")), pa.array(counts, pa.int64()), *(pa.array((x[ends] - x[ends - counts]).view(np.int64)) for x in (sums, more)), pa.array(band, pa.int64()), _lists(keys.view(np.int64), n_keys, pa.int64()), _lists(brief.reshape(-1), np.full(len(counts), 2 * BLOCKS), pa.int16())],
-                    ["kid", "th", "id", "n_shingles", "s1", "s2", "band", "keys", "brief"],
+                    [*(batch.column(x).slice(low, high - low) for x in ("kid", "th", "id")), pa.array(counts, pa.int64()), *(pa.array((x[ends] - x[ends - counts]).view(np.int64)) for x in sums), pa.array(worst), _lists(inner, np.bincount(own, minlength=len(counts)))],
+                    ["kid", "th", "id", "n_shingles", "s1", "s2", "worst", "sketches"],
                 )
 
-    return texts.mapInArrow(run, "kid long, th long, id long, n_shingles long, s1 long, s2 long, band long, keys array<long>, brief array<smallint>")
+    return texts.mapInArrow(run, ABOUT)
+
 
+def _shared(about: DataFrame, rows: int) -> DataFrame:
+    """(key, seen, node, n, band, need): the blocks of each set that other sets have too.
 
-def _near(pairs: DataFrame, own: DataFrame, ratio: float) -> DataFrame:
-    """Pairs whose sketches are near enough in Hamming distance for the texts to be compared."""
-    side = lambda n, i: own.select(F.col("node").alias(n), F.col("band").alias(f"band{i}"), F.col("brief").alias(f"brief{i}"))
-    two = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    half = lambda c, upper: F.slice(c, F.when(upper, BLOCKS + 1).otherwise(1), F.lit(BLOCKS))
-    x = half("brief1", F.col("band1") > F.col("band2"))
-    y = half("brief2", F.col("band2") > F.col("band1"))
-    equal = F.aggregate(F.zip_with(x, y, lambda p, q: F.when((p == q) & (p != 0), 1).otherwise(0)), F.lit(0), lambda n, v: n + v)
-    tiny = F.pow(F.lit(ratio), F.least("band1", "band2") + 2.0) <= 2 * TINY
-    return two.where((F.abs(F.col("band1") - F.col("band2")) <= 1) & (tiny | (equal >= EQUAL))).select("a", "b")
+    One shuffle of all blocks. Keys that a sample of some 8192 rows shows 16 times
+    (few, as the sample is bounded) are dealt out over many tasks; they count as
+    shared, and as the most frequent ones, whatever their number.
+    """
+    salts, part = max(8, rows >> 18), max(1, rows // 8192)
+    sets = about.where("n_shingles > 0").select(F.xxhash64("n_shingles", "s1", "s2").alias("node"), F.col("n_shingles").alias("n"), "kid", "th", F.explode("sketches").alias("x"))
+    marks = lambda of: of.select("node", "n", "x.band", "x.need", F.explode("x.keys").alias("key"))
+    sample = marks(sets.where(F.pmod(F.xxhash64("kid", "th"), F.lit(part)) == 0))
+    hot = sample.groupBy("key").agg(F.count("*").alias("m")).where("m >= 16").select("key", F.lit(True).alias("hot"))
+    salted = marks(sets).join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(salts)) + 1).otherwise(0)).drop("hot")
+    by_node = Window.partitionBy("key", "salt").orderBy("node")
+    every = by_node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = F.when(F.col("salt") > 0, F.lit(2**62)).otherwise(F.count("*").over(every))
+    told = salted.select("*", F.lag("node").over(by_node).alias("before"), F.first("node").over(every).alias("low"), F.last("node").over(every).alias("high"), seen.alias("seen"))
+    return told.where("(salt > 0 OR low <> high) AND (before IS NULL OR before <> node)").select("key", "seen", "node", "n", "band", "need")
+
+
+def _blocks(shared: DataFrame) -> DataFrame:
+    """(key, node, n, lack): of each set that has blocks enough in common with others, the rarest of them.
+
+    ``lack`` is smaller the more of a set's blocks others have.
+    """
+    held = shared.groupBy("node", "n", "band", "need").agg(F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("all")).withColumn("have", F.size("all")).where("have >= need")
+    return held.select("node", "n", (F.col("need") / F.col("have")).alias("lack"), F.explode(F.expr("slice(all, 1, int(have - need + 1))")).alias("x")).select("x.key", "node", "n", "lack")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, owner: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes with den * |A & B| >= num * |A | B|."""
-    pairs = keep(_near(pairs, owner, den / num), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _centred(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks of two or more sets, with their number and the set that has most in common with others."""
+    centre = F.min(F.struct("lack", "node", "n")).alias("c")
+    return blocks.join(blocks.groupBy("key").agg(F.count("*").alias("seen"), centre).where("seen >= 2"), "key").select("key", "node", "n", "seen", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+
+
+def _near_sizes(a: str, b: str, num: int, den: int):
+    return (F.col(a) * num <= F.col(b) * den) & (F.col(b) * num <= F.col(a) * den)
+
+
+def _candidates(rows: DataFrame, small: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the blocks: with the central set, and all pairs up to ``small`` sets."""
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    star = rows.where("node <> centre").where(_near_sizes("n", "centre_n", num, den)).select(*ordered("node", "centre"))
+    few = rows.where(F.col("seen").between(3, small)).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("all"))
+    inner = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
+    return star.union(inner.where(_near_sizes("x.n", "y.n", num, den)).select(*ordered("x.node", "y.node"))).distinct()
+
+
+def _sets(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """(node, shingles): the sets of some nodes, as sorted 64-bit hashes, made anew from one text each."""
 
     def to_set(batches):
         for batch in batches:
-            for part, s, counts in _by_pieces(batch, width):
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                s, counts = shingle_sets([R.unsqueeze(x) for x in part.column("body").to_pylist()], width)
                 sets = [s[e - n : e].tobytes() for e, n in zip(np.cumsum(counts), counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    where = keep(nodes.join(owner.select("node", *R.KEY), "node"), "where")
-    sets = keep(R.squeezed(texts, where).join(where, R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(to_set, "node long, shingles binary"), "sets")
+    where = scratch.keep(nodes.join(owner.select("node", *R.KEY), "node"), "where")
+    one = R.squeezed(texts, where).join(where, R.KEY).dropDuplicates(["node"])
+    return scratch.keep(one.select("node", "body").mapInArrow(to_set, "node long, shingles binary"), "sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, owner: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of nodes with den * |A & B| >= num * |A | B|."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), texts, owner, width, scratch)
 
     def compare(batches):
         for batch in batches:
@@ -170,7 +226,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, owner: DataFrame, width: int,
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -181,46 +237,54 @@ def _rooted(marks: DataFrame, roots: DataFrame) -> DataFrame:
     return marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _open_groups(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, node, root) of the blocks whose documents are not yet one component."""
-    now = _rooted(hot, roots)
-    split = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return now.join(split, "key")
-
-
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of documents in one block but in different components."""
-    x, y = (rows.select("key", F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("a", "ra"), ("b", "rb")))
-    return x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-
+def _open(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, node, n, root) of the blocks that hold several components, and (key, big, s, cross) of these blocks.
 
-def _prefixes(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, key): each set's rarest shingles, as many as a partner can't all lack."""
+    ``big`` is a block's largest component, ``s`` its number of sets, ``cross`` that of its pairs between components.
+    """
+    now = _rooted(rows.select("key", "node", "n"), roots)
+    m = F.col("m")
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("s"), F.sum(m * m).alias("sq"), F.count("*").alias("k")).where("k > 1")
+    about = parts.select("key", F.col("x.root").alias("big"), "s", ((F.col("s") * F.col("s") - F.col("sq")) / 2).alias("cross"))
+    return now.join(about.select("key"), "key"), about
 
-    def explode(batches):
-        for batch in batches:
-            for part, s, counts in _by_pieces(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), counts)), pa.array(s.view(np.int64)), pa.array(np.repeat(counts, counts))], ["node", "key", "n"])
 
-    where = keep(nodes.join(owner.select("node", *R.KEY), "node"), "where")
-    every = keep(R.squeezed(texts, where).join(where, R.KEY).dropDuplicates(["node"]).select("node", "body").mapInArrow(explode, "node long, key long, n long"), "shingles")
-    often = every.groupBy("key").agg(F.count("*").alias("seen"))
-    ranked = every.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("all"))
-    size = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
-    return ranked.select("node", F.explode(F.slice("all", 1, size)).alias("x")).select("node", "x.key")
+def _between(rows: DataFrame, big: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a block's sets that are in different components: those outside its largest one with all."""
+    x = rows.join(big.select("key", "big"), "key").where("root <> big").select("key", "big", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "root")))
+    y = rows.select("key", *(F.col(c).alias(f"y{c}") for c in ("node", "n", "root")))
+    both = x.join(y, "key").where((F.col("xroot") != F.col("yroot")) & ((F.col("yroot") == F.col("big")) | (F.col("xnode") < F.col("ynode"))) & _near_sizes("xn", "yn", num, den))
+    return both.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
 
 
-def _candidates(marks: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the blocks (all pairs up to ``small`` documents, else with the smallest), and the rows of the larger blocks."""
-    shared = marks.groupBy("key").agg(F.count("*").alias("seen"), F.min("node").alias("low")).where("seen >= 2")
-    rows = keep(marks.join(shared, "key"), "blocks")
-    star = rows.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    few = rows.where(F.col("seen").between(3, small)).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
-    inner = few.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
-    return star.union(inner).distinct(), rows.where(F.col("seen") > small).select("key", "node")
+def _by_shingles(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(key, node, n): rarest shingles of some sets for each pair of narrow size bands.
 
+    Partners of sizes n and m have (n + m) * num / (num + den) shingles in common
+    at least. Of the ``have`` shingles of a set that others have too, one of the
+    ``have - overlap + 1`` rarest is therefore shared.
+    """
+    step, reach = math.log(NARROW), math.ceil(math.log(den / num) / math.log(NARROW)) + 1
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, cross: int = 32) -> DataFrame:
+    def explode(batches):
+        for batch in batches:
+            for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles"), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h), pa.array(np.full(len(h), len(h)))], ["node", "h", "n"])
+
+    every = scratch.keep(_sets(nodes, texts, owner, width, scratch).mapInArrow(explode, "node long, h long, n long"), "shingles")
+    often = every.groupBy("h").agg(F.count("*").alias("seen")).where("seen >= 2")
+    held = every.join(often, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "h"))).alias("all"))
+    mine = F.floor(F.log("n") / step).cast("int")
+    of = held.select("node", "n", "all", mine.alias("i")).withColumn("j", F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)))
+    least = F.greatest(F.floor(F.pow(F.lit(NARROW), F.col("j"))) - 1, F.lit(1))  # no set of band j is smaller
+    overlap = F.ceil((F.col("n") + least) * num / (num + den))
+    deep = of.withColumn("depth", (F.size("all") - overlap + 1).cast("int")).where("depth > 0")
+    rare = deep.select("node", "n", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.explode(F.expr("slice(all, 1, depth)")).alias("x"))
+    return rare.select(F.xxhash64("lo", "hi", "x.h").alias("key"), "node", "n").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, cross: int = 8, spread: float = SPREAD, tiny: int = TINY) -> DataFrame:
     """Link documents whose shingle sets reach Jaccard similarity num / den.
 
     Returns (id_col, n_shingles, component_id), one row per input row;
@@ -233,57 +297,61 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component of each text in that text's row. Other columns are ignored, so their
     names can't clash; an empty table gives an empty result.
     """
-    found = _assigned(docs, id_col, text_col, width, num, den, small, cross)
+    found = _assigned(docs, id_col, text_col, width, num, den, small, cross, spread, tiny)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
-def _assigned(docs: DataFrame, id_col: str, text_col: str, width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, cross: int = 32) -> DataFrame:
+def _assigned(docs: DataFrame, id_col: str, text_col: str, width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, cross: int = 8, spread: float = SPREAD, tiny: int = TINY) -> DataFrame:
     """(id, th, n_shingles, root, component_id) of each row; root is one hash per component, null without shingles."""
+    scratch = Scratch()
     texts = R.keyed(docs, id_col, text_col)
-    about = keep(_described(texts, width, num, den), "sketches")
+    rows = docs.count()
+    bits = min(63, 30 + max(1, rows).bit_length())  # chance meetings of blocks stay rare; they only add candidates
+    while True:
+        about = scratch.keep(_described(texts, width, num, den, spread, tiny, bits), "sketches")
+        if (about.agg(F.min("worst")).first()[0] or 1) >= 1:
+            break
+        spread *= 2  # more blocks, of which fewer are shared by several shingles
     same = ["n_shingles", "s1", "s2"]
-    full = about.where("n_shingles > 0")
     # A node is a distinct set, named by its hash, as ids can be null or repeat; equal sets have equal sketches.
-    kinds = full.groupBy(*same, "band").agg(F.min(F.struct("kid", "th")).alias("rep"), F.min("id").alias("first"), F.any_value("keys").alias("keys"), F.any_value("brief").alias("brief"))
-    own = keep(kinds.select(F.xxhash64(*same).alias("node"), "rep.*", "first", *same, "band", "keys", "brief"), "nodes")
-    marks = own.select("node", F.explode("keys").alias("key"))
-    pairs, hot = _candidates(marks, small)
-    links = keep(_verified(pairs, texts, own, width, num, den), "links")
-    roots = components(links, "a", "b")
-    links, roots = _leftover(hot, links, roots, texts, own, width, num, den, small, cross)
-    named = _rooted(own.select("node", "first", *same), roots)
-    low = roots.join(own.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("low"))
+    kinds = about.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("kid", "th")).alias("rep"), F.min("id").alias("first"))
+    owner = scratch.keep(kinds.select(F.xxhash64(*same).alias("node"), "rep.*", "first", *same), "nodes")
+    blocks = scratch.keep(_centred(scratch.keep(_blocks(_shared(about, rows)), "rarest")), "blocks")
+    pairs = scratch.keep(_candidates(blocks, small, num, den), "pairs")
+    links = scratch.keep(_verified(pairs, texts, owner, width, num, den, scratch), "links")
+    links, roots = _leftover(blocks, pairs, links, texts, owner, width, num, den, cross, scratch)
+    named = _rooted(owner.select("node", "first", *same), roots)
+    low = roots.join(owner.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("low"))
     named = named.join(low, "root", "left").select(*same, "root", F.coalesce("low", "first").alias("component_id"))
     member = about.select("id", "th", *same).join(named, same, "left")
-    return member.select("id", "th", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = member.select("id", "th", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return scratch.result(found, "components")
 
 
-def _leftover(hot, links, roots, texts, owner, width, num, den, small, cross):
-    """Settle large blocks that still hold several components.
+def _leftover(blocks, pairs, links, texts, owner, width, num, den, cross, scratch):
+    """Settle the blocks that still hold several components after the first comparison.
 
-    A block in which the pairs between components are few for its size is
-    compared pair by pair. Documents of the other blocks, which share common
-    passages without being alike, are joined again on their rarest shingles: of
-    n shingles a partner can't lack n - ceil(t * n) + 1, so one of those is shared.
-    What is still open after that is compared pair by pair between components.
+    Where the pairs between components are few for a block's size they are
+    compared. The sets of the other blocks, which share passages without being
+    alike, go to the narrow size bands, and what is open there is compared.
     """
+    roots = scratch.add(components(links, "a", "b"))
+    rows, about = (scratch.keep(x, "open") for x in _open(blocks, roots))
+    light = F.col("cross") <= cross * F.col("s")
+    tried = pairs
     for level in (1, 2):
-        rows = keep(_open_groups(hot, roots), "open")
-        if rows.isEmpty():
-            return links, roots
-        part = rows.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("sq"))
-        light = part.where(F.col("s") * F.col("s") - F.col("sq") <= 2 * cross * F.col("s")).select("key") if level == 1 else part.select("key")
-        pairs = _cross_pairs(rows.join(light, "key"))
-        links = keep(links.union(_verified(pairs, texts, owner, width, num, den)), "links")
-        roots = components(links, "a", "b")
         if level == 2:
-            break
-        rest = keep(_open_groups(rows.join(light, "key", "left_anti").select("key", "node"), roots).select("node").distinct(), "rest")
-        if rest.isEmpty():
-            break
-        pairs, hot = _candidates(_prefixes(rest, texts, owner, width, num, den), small)
-        links = keep(links.union(_verified(pairs, texts, owner, width, num, den)), "links")
-        roots = components(links, "a", "b")
+            heavy = about.where(~light).select("key")
+            nodes = scratch.keep(_open(rows.join(heavy, "key"), roots)[0].select("node").distinct(), "rest")
+            if nodes.isEmpty():
+                break
+            rows, about = (scratch.keep(x, "open") for x in _open(_by_shingles(nodes, texts, owner, width, num, den, scratch), roots))
+        more = scratch.keep(_between(rows.drop("big"), about.where(light) if level == 1 else about, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        links = scratch.keep(links.union(_verified(more, texts, owner, width, num, den, scratch)), "links")
+        roots = scratch.add(components(links, "a", "b"))
+        tried = tried.union(more)
     return links, roots
 
 

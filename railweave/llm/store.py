@@ -1,5 +1,5 @@
 """Shared-folder tables and connected components, as the rest of the library has them."""
 
-from railweave.operators.graph import components, drop, keep, shared_dir
+from railweave.operators.graph import Scratch, components, drop, keep, shared_dir
 
-__all__ = ["components", "drop", "keep", "shared_dir"]
+__all__ = ["Scratch", "components", "drop", "keep", "shared_dir"]
