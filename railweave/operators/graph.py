@@ -56,6 +56,10 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return self.add(keep(df, name))
 
+    def drop(self, table: DataFrame) -> None:
+        self.tables = [x for x in self.tables if x is not table]
+        drop(table)
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df``, delete all tables kept before, and read it back."""
         out = keep(df, name)
