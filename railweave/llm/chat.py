@@ -2,7 +2,7 @@
 
 Logs often hold a conversation once for each time it grew. Rolling hashes over
 the turns name every prefix; a conversation whose whole is a proper prefix of a
-longer one is dropped by an anti-join on (length, hash), and of equal ones the
+longer one is dropped by an anti-join on the hash, and of equal ones the
 smallest id stays. What is left is rendered.
 """
 

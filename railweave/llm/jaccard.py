@@ -18,9 +18,12 @@ least M - D equal its partner's. That is the pigeonhole, and it is used twice:
 Nothing is left to chance: M > D is checked for every document, and the sketches
 are made finer until it holds. Sets are compared exactly before a link is made.
 
-Blocks of many documents are joined to a central one first. What a large block
-still holds in several components afterwards is joined again by narrow size
-bands on the rarest shingles, where the bound on the overlap is tight.
+A pair of sizes n and m differs by less than the worst partner of either, so a
+block counts for it only if both have enough blocks left from there on.
+
+Blocks of many documents are joined to a central one first. The documents of large
+blocks that still hold several components afterwards are joined again by narrow
+size bands on their rarest shingles, where the bound on the overlap is tight.
 """
 
 from __future__ import annotations
@@ -35,14 +38,12 @@ from pyspark.sql import functions as F
 
 from railweave.llm import repeats as R
 from railweave.llm.rolling import joined_words, mix, prefix, span, within, word_hashes
-from railweave.llm.store import Scratch, components
+from railweave.llm.store import Scratch, components, fresh
 
 #: Blocks for each difference that a band allows, and the size up to which each shingle is a block of its own.
 SPREAD, TINY = 1.5, 32
-#: Blocks up to this many documents are compared pair by pair at once.
-SMALL = 4
-#: Ratio of the narrow size bands.
-NARROW = 1.04
+#: Blocks up to these numbers of documents are compared pair by pair, at once and after the first links.
+SMALL, FEW = 4, 8
 U = np.uint64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -77,9 +78,10 @@ def shingle_sets(bodies: list[bytes], width: int = 5) -> tuple[np.ndarray, np.nd
 
 
 def sketches(shingles: np.ndarray, counts: np.ndarray, num: int, den: int, spread: float, tiny: int, bits: int):
-    """The sketches of each set: (set, band, need, blocks) by set, and the concatenated keys of their blocks.
+    """The sketches of each set: (set, back, need, blocks) by set, and the concatenated keys of their blocks.
 
-    ``need`` is M - D: so many of the blocks a partner has too.
+    ``back`` is how far a sketch's band is below the set's own, ``need`` is M - D: so
+    many of the blocks a partner has too.
     """
     own = np.repeat(np.arange(len(counts)), counts)
     band = np.frexp(np.maximum(counts, 1))[1].astype(np.int64) - 1
@@ -110,22 +112,22 @@ def sketches(shingles: np.ndarray, counts: np.ndarray, num: int, den: int, sprea
         key = mix(value ^ mix(number ^ salt[first])) >> U(64 - bits)
         many = np.bincount(who[first], minlength=len(counts))
         mine = np.flatnonzero(inside)
-        found.append((mine, low[mine], (many - differ)[mine], many[mine], key))
+        found.append((mine, np.full(len(mine), back), (many - differ)[mine], many[mine], key))
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.astype(U)
-    mine, low, need, many, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    mine, back, need, many, key = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(mine, kind="stable")
     start = np.cumsum(many) - many
     many = many[order]
-    return mine[order], low[order], need[order], many, key[np.repeat(start[order], many) + within(many)]
+    return mine[order], back[order], need[order], many, key[np.repeat(start[order], many) + within(many)]
 
 
 def _lists(flat: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), flat)
 
 
-ABOUT = "kid long, th long, id long, n_shingles long, s1 long, s2 long, worst long, sketches array<struct<band:long,need:long,keys:array<long>>>"
+ABOUT = "kid long, th long, id long, n_shingles long, s1 long, s2 long, worst long, sketches array<struct<back:long,need:long,keys:array<long>>>"
 
 
 def _described(texts: DataFrame, width: int, num: int, den: int, spread: float, tiny: int, bits: int) -> DataFrame:
@@ -139,10 +141,10 @@ def _described(texts: DataFrame, width: int, num: int, den: int, spread: float,
                 m = mix(s ^ U(0x2545F4914F6CDD1D))
                 ends = np.cumsum(counts)
                 sums = [np.concatenate((np.zeros(1, U), np.cumsum(x, dtype=U))) for x in (m, mix(m))]
-                own, band, need, many, keys = sketches(s, counts, num, den, spread, tiny, bits)
+                own, back, need, many, keys = sketches(s, counts, num, den, spread, tiny, bits)
                 worst = np.full(len(counts), 1 << 60, np.int64)
                 np.minimum.at(worst, own, need)
-                inner = pa.StructArray.from_arrays([pa.array(band), pa.array(need), _lists(pa.array(keys.view(np.int64)), many)], ["band", "need", "keys"])
+                inner = pa.StructArray.from_arrays([pa.array(back), pa.array(need), _lists(pa.array(keys.view(np.int64)), many)], ["back", "need", "keys"])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(x).slice(low, high - low) for x in ("kid", "th", "id")), pa.array(counts, pa.int64()), *(pa.array((x[ends] - x[ends - counts]).view(np.int64)) for x in sums), pa.array(worst), _lists(inner, np.bincount(own, minlength=len(counts)))],
                     ["kid", "th", "id", "n_shingles", "s1", "s2", "worst", "sketches"],
@@ -152,15 +154,17 @@ def _described(texts: DataFrame, width: int, num: int, den: int, spread: float,
 
 
 def _shared(about: DataFrame, rows: int) -> DataFrame:
-    """(key, seen, node, n, band, need): the blocks of each set that other sets have too.
+    """(key, seen, node, tag): the blocks of each set that other sets have too.
 
-    One shuffle of all blocks. Keys that a sample of some 8192 rows shows 16 times
+    One shuffle of all blocks; ``tag`` packs the set's size, its sketch's number of
+    blocks, and ``back``. Keys that a sample of some 8192 rows shows 16 times
     (few, as the sample is bounded) are dealt out over many tasks; they count as
     shared, and as the most frequent ones, whatever their number.
     """
     salts, part = max(8, rows >> 18), max(1, rows // 8192)
-    sets = about.where("n_shingles > 0").select(F.xxhash64("n_shingles", "s1", "s2").alias("node"), F.col("n_shingles").alias("n"), "kid", "th", F.explode("sketches").alias("x"))
-    marks = lambda of: of.select("node", "n", "x.band", "x.need", F.explode("x.keys").alias("key"))
+    sets = about.where("n_shingles > 0").select(F.xxhash64("n_shingles", "s1", "s2").alias("node"), "n_shingles", "kid", "th", F.explode("sketches").alias("x"))
+    tag = F.shiftleft("n_shingles", 34) + F.shiftleft(F.size("x.keys").cast("long"), 4) + F.col("x.back")
+    marks = lambda of: of.select("node", tag.alias("tag"), F.explode("x.keys").alias("key"))
     sample = marks(sets.where(F.pmod(F.xxhash64("kid", "th"), F.lit(part)) == 0))
     hot = sample.groupBy("key").agg(F.count("*").alias("m")).where("m >= 16").select("key", F.lit(True).alias("hot"))
     salted = marks(sets).join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("node", F.lit(salts)) + 1).otherwise(0)).drop("hot")
@@ -168,35 +172,54 @@ def _shared(about: DataFrame, rows: int) -> DataFrame:
     every = by_node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = F.when(F.col("salt") > 0, F.lit(2**62)).otherwise(F.count("*").over(every))
     told = salted.select("*", F.lag("node").over(by_node).alias("before"), F.first("node").over(every).alias("low"), F.last("node").over(every).alias("high"), seen.alias("seen"))
-    return told.where("(salt > 0 OR low <> high) AND (before IS NULL OR before <> node)").select("key", "seen", "node", "n", "band", "need")
+    return told.where("(salt > 0 OR low <> high) AND (before IS NULL OR before <> node)").select("key", "seen", "node", "tag")
 
 
-def _blocks(shared: DataFrame) -> DataFrame:
-    """(key, node, n, lack): of each set that has blocks enough in common with others, the rarest of them.
+def _blocks(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, node, n, m, slack, lack): of each set that has blocks enough in common with others, the rarest of them.
 
-    ``lack`` is smaller the more of a set's blocks others have.
+    ``slack`` is how many of the set's common blocks are more frequent than this
+    one, ``lack`` is smaller the more of the set's ``m`` blocks others have.
     """
-    held = shared.groupBy("node", "n", "band", "need").agg(F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("all")).withColumn("have", F.size("all")).where("have >= need")
-    return held.select("node", "n", (F.col("need") / F.col("have")).alias("lack"), F.explode(F.expr("slice(all, 1, int(have - need + 1))")).alias("x")).select("x.key", "node", "n", "lack")
+    held = shared.groupBy("node", "tag").agg(F.sort_array(F.collect_list(F.struct("seen", "key"))).alias("all")).withColumn("have", F.size("all"))
+    held = held.withColumns({"n": F.shiftright("tag", 34), "m": F.shiftright("tag", 4).bitwiseAND(F.lit((1 << 30) - 1)), "back": F.col("tag").bitwiseAND(F.lit(15))})
+    # As in sketches(): the largest partner, and by how much it can differ.
+    below = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") + 0.5)) - F.col("back") + 1).cast("long") - 1
+    partner = F.when(F.col("back") == 0, F.floor(F.col("n") * den / num)).otherwise(below)
+    held = held.withColumn("need", F.col("m") - F.floor((F.col("n") + partner) * (den - num) / (den + num))).where("have >= need")
+    each = held.select("node", "n", "m", "have", (F.col("need") / F.col("have")).alias("lack"), F.posexplode(F.expr("slice(all, 1, int(have - need + 1))")).alias("pos", "x"))
+    return each.select("x.key", "node", "n", "m", (F.col("have") - F.col("pos") - 1).alias("slack"), "lack")
 
 
 def _centred(blocks: DataFrame) -> DataFrame:
     """The rows of blocks of two or more sets, with their number and the set that has most in common with others."""
-    centre = F.min(F.struct("lack", "node", "n")).alias("c")
-    return blocks.join(blocks.groupBy("key").agg(F.count("*").alias("seen"), centre).where("seen >= 2"), "key").select("key", "node", "n", "seen", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n"))
+    centre = F.min(F.struct("lack", "node", "n", "m", "slack")).alias("c")
+    return blocks.join(blocks.groupBy("key").agg(F.count("*").alias("seen"), centre).where("seen >= 2"), "key").select("key", "node", "n", "m", "slack", "seen", F.struct("c.node", "c.n", "c.m", "c.slack").alias("c"))
+
 
+def _by_blocks(x: str, y: str, num: int, den: int):
+    """Whether two sets that meet in a block can be similar, if this is the rarest one they share."""
+    a, b = (lambda c: F.col(f"{x}{c}")), (lambda c: F.col(f"{y}{c}"))
+    differ = F.floor((a("n") + b("n")) * (den - num) / (den + num))
+    sizes = (a("n") * num <= b("n") * den) & (b("n") * num <= a("n") * den)
+    return sizes & (a("slack") + 1 >= a("m") - differ) & (b("slack") + 1 >= b("m") - differ)
 
-def _near_sizes(a: str, b: str, num: int, den: int):
-    return (F.col(a) * num <= F.col(b) * den) & (F.col(b) * num <= F.col(a) * den)
+
+def _by_overlap(x: str, y: str, num: int, den: int):
+    """The same for sets that meet in a shingle."""
+    a, b = (lambda c: F.col(f"{x}{c}")), (lambda c: F.col(f"{y}{c}"))
+    overlap = F.ceil((a("n") + b("n")) * num / (num + den))
+    sizes = (a("n") * num <= b("n") * den) & (b("n") * num <= a("n") * den)
+    return sizes & (a("slack") + 1 >= overlap) & (b("slack") + 1 >= overlap)
 
 
 def _candidates(rows: DataFrame, small: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of the blocks: with the central set, and all pairs up to ``small`` sets."""
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = rows.where("node <> centre").where(_near_sizes("n", "centre_n", num, den)).select(*ordered("node", "centre"))
-    few = rows.where(F.col("seen").between(3, small)).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("all"))
+    star = rows.where("node <> c.node").where(_by_blocks("", "c.", num, den)).select(*ordered("node", "c.node"))
+    few = rows.where(F.col("seen").between(3, small)).groupBy("key").agg(F.collect_list(F.struct("node", "n", "m", "slack")).alias("all"))
     inner = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
-    return star.union(inner.where(_near_sizes("x.n", "y.n", num, den)).select(*ordered("x.node", "y.node"))).distinct()
+    return star.union(inner.where(_by_blocks("x.", "y.", num, den)).select(*ordered("x.node", "y.node"))).distinct()
 
 
 def _sets(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int, scratch: Scratch) -> DataFrame:
@@ -238,33 +261,33 @@ def _rooted(marks: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, node, n, root) of the blocks that hold several components, and (key, big, s, cross) of these blocks.
+    """Rows (key, node, n, m, slack, root) of the blocks that hold several components, and (key, big, s) of these blocks.
 
-    ``big`` is a block's largest component, ``s`` its number of sets, ``cross`` that of its pairs between components.
+    ``big`` is a block's largest component, ``s`` its number of sets.
     """
-    now = _rooted(rows.select("key", "node", "n"), roots)
-    m = F.col("m")
-    parts = now.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("s"), F.sum(m * m).alias("sq"), F.count("*").alias("k")).where("k > 1")
-    about = parts.select("key", F.col("x.root").alias("big"), "s", ((F.col("s") * F.col("s") - F.col("sq")) / 2).alias("cross"))
+    now = _rooted(rows.select("key", "node", "n", "m", "slack"), roots)
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"), F.sum("c").alias("s"), F.count("*").alias("k")).where("k > 1")
+    about = parts.select("key", F.col("x.root").alias("big"), "s")
     return now.join(about.select("key"), "key"), about
 
 
-def _between(rows: DataFrame, big: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a block's sets that are in different components: those outside its largest one with all."""
-    x = rows.join(big.select("key", "big"), "key").where("root <> big").select("key", "big", *(F.col(c).alias(f"x{c}") for c in ("node", "n", "root")))
-    y = rows.select("key", *(F.col(c).alias(f"y{c}") for c in ("node", "n", "root")))
-    both = x.join(y, "key").where((F.col("xroot") != F.col("yroot")) & ((F.col("yroot") == F.col("big")) | (F.col("xnode") < F.col("ynode"))) & _near_sizes("xn", "yn", num, den))
+def _between(rows: DataFrame, about: DataFrame, can, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of a block's sets that are in different components: those outside its largest one with all that ``can`` be similar."""
+    side = lambda df, c, *more: df.select("key", *more, *(F.col(x).alias(f"{c}{x}") for x in ("node", "n", "m", "slack", "root")))
+    x = side(rows.join(about.select("key", "big"), "key").where("root <> big"), "x", "big")
+    apart = (F.col("xroot") != F.col("yroot")) & ((F.col("yroot") == F.col("big")) | (F.col("xnode") < F.col("ynode")))
+    both = x.join(side(rows, "y"), "key").where(apart & can("x", "y", num, den))
     return both.select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
 
 
 def _by_shingles(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """(key, node, n): rarest shingles of some sets for each pair of narrow size bands.
+    """(key, node, n, m, slack): rarest shingles of some sets for each pair of narrow size bands.
 
     Partners of sizes n and m have (n + m) * num / (num + den) shingles in common
     at least. Of the ``have`` shingles of a set that others have too, one of the
-    ``have - overlap + 1`` rarest is therefore shared.
+    ``have - overlap + 1`` rarest is therefore shared. A band keeps the first seven
+    bits of a size, so sizes below 128 are bands of their own.
     """
-    step, reach = math.log(NARROW), math.ceil(math.log(den / num) / math.log(NARROW)) + 1
 
     def explode(batches):
         for batch in batches:
@@ -272,19 +295,21 @@ def _by_shingles(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: in
                 h = np.frombuffer(x.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(h), pa.array(np.full(len(h), len(h)))], ["node", "h", "n"])
 
-    every = scratch.keep(_sets(nodes, texts, owner, width, scratch).mapInArrow(explode, "node long, h long, n long"), "shingles")
+    every = scratch.keep(_sets(nodes, texts, owner, width, scratch).mapInArrow(R.gathered(explode), "node long, h long, n long"), "shingles")
     often = every.groupBy("h").agg(F.count("*").alias("seen")).where("seen >= 2")
     held = every.join(often, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "h"))).alias("all"))
-    mine = F.floor(F.log("n") / step).cast("int")
-    of = held.select("node", "n", "all", mine.alias("i")).withColumn("j", F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)))
-    least = F.greatest(F.floor(F.pow(F.lit(NARROW), F.col("j"))) - 1, F.lit(1))  # no set of band j is smaller
-    overlap = F.ceil((F.col("n") + least) * num / (num + den))
-    deep = of.withColumn("depth", (F.size("all") - overlap + 1).cast("int")).where("depth > 0")
-    rare = deep.select("node", "n", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.explode(F.expr("slice(all, 1, depth)")).alias("x"))
-    return rare.select(F.xxhash64("lo", "hi", "x.h").alias("key"), "node", "n").distinct()
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, cross: int = 8, spread: float = SPREAD, tiny: int = TINY) -> DataFrame:
+    cut = lambda n: F.greatest(F.floor(F.log2(n + 0.5)) - 6, F.lit(0)).cast("int")  # noqa: E731  bits that a band drops
+    band = lambda n: cut(n) * 64 + F.call_function("shiftright", n, cut(n))
+    lowest, highest = F.ceil(F.col("n") * num / den), F.floor(F.col("n") * den / num)
+    of = held.select("node", "n", "all", band(F.col("n")).alias("i"), F.explode(F.sequence(band(lowest), band(highest))).alias("j"))
+    dropped = F.greatest(F.floor(F.col("j") / 64) - 1, F.lit(0)).cast("int")
+    least = F.greatest(F.call_function("shiftleft", F.col("j") - dropped * 64, dropped), F.lit(1))  # no set of band j is smaller
+    deep = of.withColumn("depth", (F.size("all") - F.ceil((F.col("n") + least) * num / (num + den)) + 1).cast("int")).where("depth > 0")
+    rare = deep.select("node", "n", F.size("all").alias("have"), F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.posexplode(F.expr("slice(all, 1, depth)")).alias("pos", "x"))
+    return rare.select(F.xxhash64("lo", "hi", "x.h").alias("key"), "node", "n", F.col("n").alias("m"), (F.col("have") - F.col("pos") - 1).alias("slack"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, few: int = FEW, spread: float = SPREAD, tiny: int = TINY) -> DataFrame:
     """Link documents whose shingle sets reach Jaccard similarity num / den.
 
     Returns (id_col, n_shingles, component_id), one row per input row;
@@ -297,11 +322,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component of each text in that text's row. Other columns are ignored, so their
     names can't clash; an empty table gives an empty result.
     """
-    found = _assigned(docs, id_col, text_col, width, num, den, small, cross, spread, tiny)
+    found = _assigned(docs, id_col, text_col, width, num, den, small, few, spread, tiny)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
-def _assigned(docs: DataFrame, id_col: str, text_col: str, width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, cross: int = 8, spread: float = SPREAD, tiny: int = TINY) -> DataFrame:
+def _assigned(docs: DataFrame, id_col: str, text_col: str, width: int = 5, num: int = 75, den: int = 100, small: int = SMALL, few: int = FEW, spread: float = SPREAD, tiny: int = TINY) -> DataFrame:
     """(id, th, n_shingles, root, component_id) of each row; root is one hash per component, null without shingles."""
     scratch = Scratch()
     texts = R.keyed(docs, id_col, text_col)
@@ -316,10 +341,13 @@ def _assigned(docs: DataFrame, id_col: str, text_col: str, width: int = 5, num:
     # A node is a distinct set, named by its hash, as ids can be null or repeat; equal sets have equal sketches.
     kinds = about.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("kid", "th")).alias("rep"), F.min("id").alias("first"))
     owner = scratch.keep(kinds.select(F.xxhash64(*same).alias("node"), "rep.*", "first", *same), "nodes")
-    blocks = scratch.keep(_centred(scratch.keep(_blocks(_shared(about, rows)), "rarest")), "blocks")
+    rarest = scratch.keep(_blocks(_shared(about, rows), num, den), "rarest")
+    wide, about = about, scratch.keep(about.select("id", "th", *same), "sizes")
+    scratch.drop(wide)
+    blocks = scratch.keep(_centred(rarest), "blocks")
     pairs = scratch.keep(_candidates(blocks, small, num, den), "pairs")
     links = scratch.keep(_verified(pairs, texts, owner, width, num, den, scratch), "links")
-    links, roots = _leftover(blocks, pairs, links, texts, owner, width, num, den, cross, scratch)
+    links, roots = _leftover(blocks, pairs, links, texts, owner, width, num, den, few, scratch)
     named = _rooted(owner.select("node", "first", *same), roots)
     low = roots.join(owner.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("low"))
     named = named.join(low, "root", "left").select(*same, "root", F.coalesce("low", "first").alias("component_id"))
@@ -328,30 +356,29 @@ def _assigned(docs: DataFrame, id_col: str, text_col: str, width: int = 5, num:
     return scratch.result(found, "components")
 
 
-def _leftover(blocks, pairs, links, texts, owner, width, num, den, cross, scratch):
+def _leftover(blocks, pairs, links, texts, owner, width, num, den, few, scratch):
     """Settle the blocks that still hold several components after the first comparison.
 
-    Where the pairs between components are few for a block's size they are
-    compared. The sets of the other blocks, which share passages without being
-    alike, go to the narrow size bands, and what is open there is compared.
+    Blocks of up to ``few`` sets are compared pair by pair. The sets of the others,
+    which share passages without being alike, go to the narrow size bands, and what
+    is open there is compared.
     """
     roots = scratch.add(components(links, "a", "b"))
     rows, about = (scratch.keep(x, "open") for x in _open(blocks, roots))
-    light = F.col("cross") <= cross * F.col("s")
-    tried = pairs
-    for level in (1, 2):
-        if level == 2:
-            heavy = about.where(~light).select("key")
-            nodes = scratch.keep(_open(rows.join(heavy, "key"), roots)[0].select("node").distinct(), "rest")
-            if nodes.isEmpty():
-                break
-            rows, about = (scratch.keep(x, "open") for x in _open(_by_shingles(nodes, texts, owner, width, num, den, scratch), roots))
-        more = scratch.keep(_between(rows.drop("big"), about.where(light) if level == 1 else about, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
+    light = about.where(F.col("s") <= few)
+    more = scratch.keep(_between(rows, light, _by_blocks, num, den).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
         links = scratch.keep(links.union(_verified(more, texts, owner, width, num, den, scratch)), "links")
         roots = scratch.add(components(links, "a", "b"))
-        tried = tried.union(more)
+    heavy = about.where(F.col("s") > few).select("key")
+    nodes = scratch.keep(_open(rows.join(heavy, "key"), roots)[0].select("node").distinct(), "rest")
+    if nodes.isEmpty():
+        return links, roots
+    rows, about = (scratch.keep(x, "open") for x in _open(scratch.keep(_by_shingles(nodes, texts, owner, width, num, den, scratch), "rare"), roots))
+    last = scratch.keep(_between(rows, about, _by_overlap, num, den).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
+    if not last.isEmpty():
+        links = scratch.keep(links.union(_verified(last, texts, owner, width, num, den, scratch)), "links")
+        roots = scratch.add(components(links, "a", "b"))
     return links, roots
 
 
@@ -362,8 +389,9 @@ def keep_first_of_each(docs: DataFrame, **options) -> DataFrame:
     repeats an id and text stays once; texts of one id are told apart, so that
     none goes because another text of its id does.
     """
+    (th,) = fresh(docs, "_th")
     found = _assigned(docs, "doc_id", "text", **options).where("id is not null")
     linked = found.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "th")).alias("x")).select("x.*")
-    first = linked.union(found.where("root is null").select("id", "th")).select(F.col("id").alias("doc_id"), F.col("th").alias("_th"))
-    named = docs.where("doc_id is not null").withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return docs.where("doc_id is null").unionByName(named.join(first, ["doc_id", "_th"], "left_semi").dropDuplicates(["doc_id", "_th"]).drop("_th"))
+    first = linked.union(found.where("root is null").select("id", "th")).select(F.col("id").alias("doc_id"), F.col("th").alias(th))
+    named = docs.where("doc_id is not null").withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return docs.where("doc_id is null").unionByName(named.join(first, ["doc_id", th], "left_semi").dropDuplicates(["doc_id", th]).drop(th))

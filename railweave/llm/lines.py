@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from railweave.llm.store import fresh
+
 #: Elements whose content is not text, and tags that end a line.
 HIDDEN = r"(?is)<(script|style|head|template|noscript)\b.*?</\1\s*>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|article|section|nav|header|footer|aside|main|blockquote|pre|figure|figcaption|form|body|html|title)\b[^>]*>"
@@ -41,9 +43,10 @@ def drop_site_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str,
     that a group of copies doesn't make its own lines common. The null host is a
     host. A null text stays null and has no lines;
     long texts are read whole; an empty table gives an empty result. Columns of
-    the names n_lines and n_dropped are replaced.
+    the names n_lines and n_dropped are replaced; all others stay.
     """
     base = docs.drop("n_lines", "n_dropped")
+    doc, cut, every, kept = fresh(base, "_d", "_bad", "_all", "_kept")
     host, text = F.col(host_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
     # The host is part of a document, as lines common on one host may not be so on another.
     own = F.xxhash64(host.isNull(), host, *([] if by_text else [F.col(id_col)]), text)
@@ -58,11 +61,11 @@ def drop_site_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str,
     on = F.col("c._h").eqNullSafe(F.col("p._h"))
     common = counts.alias("c").join(pages.alias("p"), on).where(F.col("_on") > F.lit(ratio) * F.col("_pages")).select("c._h", "_line")
     same = F.col("x._h").eqNullSafe(F.col("y._h")) & (F.col("x._line") == F.col("y._line"))
-    bad = held.alias("x").join(common.alias("y"), same, "left_semi").groupBy("_d").agg(F.collect_set("_line").alias("_bad"))
-    whole = base.withColumn("_d", own).join(bad, "_d", "left")
+    bad = held.alias("x").join(common.alias("y"), same, "left_semi").groupBy(F.col("_d").alias(doc)).agg(F.collect_set("_line").alias(cut))
+    whole = base.withColumn(doc, own).join(bad, doc, "left")
     none = F.array().cast("array<bigint>")
     lines = F.when(F.col(text_col).isNull(), F.array().cast("array<string>")).otherwise(F.split(F.col(text_col), "\n"))
-    stays = lambda x: ~(long_enough(F.btrim(x)) & F.array_contains(F.coalesce(F.col("_bad"), none), F.xxhash64(F.btrim(x))))
-    whole = whole.withColumn("_all", lines).withColumn("_kept", F.filter("_all", stays))
-    out = F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))
-    return whole.withColumns({text_col: out, "n_lines": F.size("_all").cast("long"), "n_dropped": (F.size("_all") - F.size("_kept")).cast("long")}).drop("_d", "_bad", "_all", "_kept")
+    stays = lambda x: ~(long_enough(F.btrim(x)) & F.array_contains(F.coalesce(F.col(cut), none), F.xxhash64(F.btrim(x))))
+    whole = whole.withColumn(every, lines).withColumn(kept, F.filter(every, stays))
+    out = F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n"))
+    return whole.withColumns({text_col: out, "n_lines": F.size(every).cast("long"), "n_dropped": (F.size(every) - F.size(kept)).cast("long")}).drop(doc, cut, every, kept)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from railweave.llm.store import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,16 +49,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, salts: int = 16) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, salts: int | None = None) -> DataFrame:
     """Copies to take of each document so that sources meet their targets.
 
-    Returns (id_col, th, size, source_size, target, copies, taken), one row per
+    Returns (id_col, th, sh, size, source_size, target, copies, taken), one row per
     input row: size in words (null text: 0), taken = copies * size. th is the
-    hash of the text. The null source is a source. Reruns agree, as places follow
+    hash of the text, sh that of the source. A cell is dealt to ``salts`` hash
+    classes, one more for each 2**18 rows if not given. The null source is a source. Reruns agree, as places follow
     size, hash, id and text; rows that repeat all of those are interchangeable.
     Sources without words have target 0 and are not taken. Other columns are
     ignored; an empty table gives an empty result.
     """
+    salts = salts or 16 + (docs.count() >> 18)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1.0) * 16).cast("int")).withColumn("salt", F.pmod(F.xxhash64("id", "th", F.lit(seed)), F.lit(salts)).cast("int"))
     cells = rows.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -72,20 +76,24 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = (F.floor(offset + rate * F.col("rank")) - F.floor(offset + rate * (F.col("rank") - 1))).cast("long")
     copies = F.least(copies, F.lit(int(most)))
-    return full.withColumn("copies", copies).select(F.col("id").alias(id_col), "th", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return full.withColumn("copies", copies).select(F.col("id").alias(id_col), "th", _source_hash(F.col("source")).alias("sh"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _source_hash(source: Column) -> Column:
+    return F.xxhash64(source.isNull(), source)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as often as it is taken; columns stay.
+    """The documents themselves, each as often as it is taken; columns stay, whatever their names.
 
     Rows that repeat id, text and source share their copies: the first stands for all.
+    Null ids, texts and sources are values like others here.
     """
-    found = mix_sources(docs, **options).groupBy("doc_id", "th").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    first = keyed.dropDuplicates(["doc_id", "_th"]) if _repeats(keyed) else keyed
-    on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._th") == F.col("f.th"))
-    return first.alias("d").join(found.alias("f"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_th", "_copy")
-
-
-def _repeats(keyed: DataFrame) -> bool:
-    return not keyed.groupBy("doc_id", "_th").count().where("count > 1").isEmpty()
+    th, sh, copy = fresh(docs, "_th", "_sh", "_copy")
+    found = mix_sources(docs, **options).groupBy("doc_id", "th", "sh").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    keyed = docs.withColumns({th: F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), sh: _source_hash(F.col("source").cast("string"))})
+    key = ["doc_id", th, sh]
+    once = keyed.groupBy(*key).count().where("count > 1").isEmpty()
+    first = keyed if once else keyed.dropDuplicates(key)
+    on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{th}") == F.col("f.th")) & (F.col(f"d.{sh}") == F.col("f.sh"))
+    return first.alias("d").join(found.alias("f"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).drop(th, sh, copy)
