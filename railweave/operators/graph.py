@@ -101,5 +101,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         drop(hooks)
         live = live_next
     if names is None:
-        return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        names = live.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        names._kept_at = live._kept_at
+    else:
+        drop(live)
     return names
