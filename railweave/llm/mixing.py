@@ -96,4 +96,4 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     once = keyed.groupBy(*key).count().where("count > 1").isEmpty()
     first = keyed if once else keyed.dropDuplicates(key)
     on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{th}") == F.col("f.th")) & (F.col(f"d.{sh}") == F.col("f.sh"))
-    return first.alias("d").join(found.alias("f"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).drop(th, sh, copy)
+    return first.alias("d").join(found.alias("f"), on).select("d.*", F.explode(F.sequence(F.lit(1), F.col("f.copies"))).alias(copy)).drop(th, sh, copy)
