@@ -4,16 +4,19 @@ Triggers of a rolling hash cut texts into phrases; a place is a trigger if its
 gram hash is the smallest among ``reach`` places, so a phrase is never longer
 than that and the cuts depend on the text around them alone. As in prefix-free
 parsing each phrase runs on past its end, here by the window width, so that a
-phrase tells all windows starting in it. The dictionary holds each distinct
-phrase once with its number of uses in the parse:
-
-* phrases whose trigger context occurs once leave the work at once;
-* a phrase used twice or more repeats with all its windows, decided on the parse;
-* phrases used once beside others of the same context are compared with them,
-  window by window, in the dictionary alone.
-
-Only equality to the depth of one window matters, so grouping by hashes of that
-depth replaces the suffix arrays of dictionary and parse; neither is built.
+phrase tells all windows starting in it. Phrases whose trigger context occurs
+once hold no repeat and leave at once. Of the others
+
+* the dictionary has each distinct phrase once, and its suffix array is made, in
+  buckets of trigger contexts: all suffixes that start in the phrase proper,
+  ordered by context and then by their bytes to the depth of a window;
+* the parse is ordered by phrase, which gives each its number of uses. As phrases
+  overlap by a whole window, no tie is left that the phrases after one would have
+  to break, so the order of the parse needs no deeper than its first phrase.
+
+Together they are the order of the corpus to the depth of a window: a string
+repeats if its phrase is used twice or a neighbour in the suffix array is equal.
+Very common contexts are counted by hash instead (see ``repeats``).
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from railweave.llm import repeats as R
-from railweave.llm.rolling import byte_symbols, regions
+from railweave.llm.rolling import BYTE_SYMBOL, byte_symbols, regions
+from railweave.llm.store import Scratch
 
 REACH, GRAM = 64, 16
 
 
-def parse(texts: DataFrame, width: int, piece: int = 1 << 20) -> DataFrame:
-    """Phrases of all texts as regions; texts beyond ``piece`` bytes go piece by piece."""
+def parse(texts: DataFrame, width: int, piece: int = 1 << 20, bits: int = 63) -> DataFrame:
+    """Phrases of all texts as regions, contexts cut to ``bits`` bits; texts beyond ``piece`` bytes go piece by piece."""
 
     def cut(batches):
         for batch in batches:
@@ -47,11 +51,15 @@ def parse(texts: DataFrame, width: int, piece: int = 1 << 20) -> DataFrame:
                 if len(a):
                     own = np.searchsorted(ends, a, side="right")
                     row = np.array([x[0] for x in part])[own]
-                    yield R.region_batch(kid[row], th[row], a - (ends - sizes)[own] + np.array([x[1] for x in part])[own], n, k, e)
+                    yield R.region_batch(kid[row], th[row], a - (ends - sizes)[own] + np.array([x[1] for x in part])[own], n, k >> np.uint64(64 - bits), e)
 
     return texts.mapInArrow(cut, R.REGION)
 
 
+def raw_bytes(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, np.uint8)
+
+
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
     """Cut every byte covered by a ``width``-byte string that also starts elsewhere.
 
@@ -62,9 +70,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     can't clash. Texts of any length are read whole; an empty table gives an
     empty result.
     """
+    scratch = Scratch()
     texts = R.keyed(docs, id_col, text_col)
     packed = R.squeezed(texts)
-    runs = R.covered(parse(texts, width), texts, byte_symbols, width, first_stays=False)
+    bits = min(63, 22 + docs.count().bit_length())  # contexts that meet by chance stay rare; they are told apart later
+    runs = R.covered(parse(texts, width, bits=bits), texts, raw_bytes, lambda raw: BYTE_SYMBOL[raw], width, False, scratch)
 
     def cut(batches):
         for batch in batches:
@@ -78,4 +88,5 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kept.append(data[~out].tobytes())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return scratch.result(out, "kept-bytes")

@@ -4,8 +4,9 @@ Words at positions whose remainder by ``period`` lies in ``cover`` start an
 anchor of ``width - period + 1`` words. Every remainder difference occurs in the
 cover, so two equal windows of ``width`` words, wherever they start, share an
 anchor at one and the same distance from their starts. Anchors seen once are
-dropped; the windows around the others are extended to the full width and
-compared. With period 13, four of 13 positions are hashed.
+dropped; the windows around the others are extended to the full width, whole
+phrases of them at once, and compared in order. With period 13, four of 13
+positions are hashed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from railweave.llm import repeats as R
 from railweave.llm.rolling import regions, window_hashes, word_bounds, word_hashes
-from railweave.llm.store import keep
+from railweave.llm.store import Scratch
 
 #: Perfect difference cover: each difference modulo 13 occurs exactly once.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -43,24 +44,7 @@ def anchors(texts: DataFrame, width: int, period: int, cover: tuple[int, ...], b
                     ["kid", "th", "p", "h"],
                 )
 
-    return texts.mapInArrow(gathered(hashed), "kid long, th long, p int, h long")
-
-
-def gathered(make, rows: int = 20_000):
-    """Join the small record batches of ``make`` to larger ones."""
-
-    def run(batches):
-        held, size = [], 0
-        for batch in make(batches):
-            held.append(batch)
-            size += batch.num_rows
-            if size >= rows:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return run
+    return texts.mapInArrow(R.gathered(hashed), "kid long, th long, p int, h long")
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
@@ -73,6 +57,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of ``docs`` are ignored, so their names can't clash. Texts of any length are
     read whole; an empty table gives an empty result.
     """
+    scratch = Scratch()
     texts = R.keyed(docs, id_col, text_col)
     packed = R.squeezed(texts)
     # Enough hash bits that chance meetings stay near 1 % of the anchors; they only add candidates.
@@ -95,8 +80,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 if len(a):
                     yield R.region_batch(np.full(len(a), kid), np.full(len(a), th), a, n, k, e)
 
-    found = keep(R.with_text(lists, packed).mapInArrow(gathered(around), R.REGION), "found")
-    runs = R.covered(found, texts, word_hashes, width, first_stays=True)
+    found = scratch.keep(R.with_text(lists, packed).mapInArrow(R.gathered(around), R.REGION), "found")
+    runs = R.covered(found, texts, word_hashes, lambda words: words, width, True, scratch)
 
     def cut(batches):
         for batch in batches:
@@ -110,7 +95,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kept.append(b" ".join([data[s:e] for s, e in zip(start[~out].tolist(), end[~out].tolist(), strict=True)]).decode())
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string())], [id_col, "n_words", "n_removed", "kept_text"])
 
-    return R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
+    out = R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
+    return scratch.result(out, "kept-texts")
 
 
 def digest(kept: str) -> str:
