@@ -12,7 +12,8 @@ Candidates are then compared in double precision.
 Equal vectors are one entry with a count. Large cells are cut into blocks of
 ``block`` entries on either side, so no task holds a whole cell; a block pair
 returns counts and a spanning forest of its links, never the links themselves.
-The codebooks come from at most ``sample`` vectors; all vectors are indexed.
+The codebooks come from at most ``sample`` vectors; all vectors are indexed. A
+pair found from one side only counts for both.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ import pyarrow.compute  # noqa: F401  pa.compute is used inside tasks
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railweave.llm.store import components, keep
+from railweave.llm.store import Scratch, components
+
+#: Vectors of a length of which there are fewer than this share one cell, as a codebook would have one centre.
+FEW = 450
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -59,7 +63,7 @@ class Grid:
 
     def __init__(self, sample: np.ndarray, total: int, threshold: float, recall: float, seed: int = 5):
         self.half = sample.shape[1] // 2 if len(sample) else 0
-        k = int(min(1024, max(1, round(np.sqrt(total / 200)))))
+        k = int(max(1, min(4096, len(sample) // 4, round(np.sqrt(total / 200)))))
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True) if len(sample) else sample
         self.one = kmeans(unit[:, : self.half], k, seed=seed) if len(unit) else unit
         self.two = kmeans(unit[:, self.half :], k, seed=seed + 1) if len(unit) else unit
@@ -95,26 +99,31 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     length never link. Rows that repeat id and vector count as vectors of their
     own. Other columns are ignored; an empty table gives an empty result.
     """
+    scratch = Scratch()
     kind = "<f4" if "float" in dict(vectors.dtypes)[vector_col] else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    good = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    distinct = keep(good.groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("node")), "vectors")
-    widths = [r[0] for r in distinct.select(F.size("v")).distinct().limit(64).collect()]
-    found = None
-    for width in sorted(widths):
-        part = _links(distinct.where(F.size("v") == width), threshold, recall, sample, block, kind)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = distinct.select("node", F.col("node").alias("other"), F.lit(0).cast("long").alias("links"))
-    found = keep(found, "links")
-    roots = components(found.where("node <> other"), "node", "other")
+    usable = F.col("id").isNotNull() & F.coalesce((F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    good = rows.where(usable)
+    # A node is a distinct vector, named by its hash, as ids can repeat.
+    distinct = good.groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("first")).select(F.xxhash64("v").alias("node"), F.size("v").alias("width"), "v", "copies", "first")
+    distinct = scratch.keep(distinct, "vectors")
+    many = {r[0]: r[1] for r in distinct.groupBy("width").agg(F.count("*").alias("n")).where(F.col("n") >= FEW).toLocalIterator()}
+    found = _links(distinct.where(~F.col("width").isin(*many)) if many else distinct, None, threshold, block, kind)
+    for width, total in sorted(many.items()):
+        part = distinct.where(F.col("width") == width)
+        some = part.orderBy("node").limit(sample).select("v").toLocalIterator()
+        found = found.union(_links(part, Grid(np.array([r[0] for r in some]), total, threshold, recall), threshold, block, kind))
+    found = scratch.keep(found, "links")
+    roots = scratch.add(components(found.where("node <> other"), "node", "other"))
+    low = roots.join(distinct.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("low"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    told = distinct.join(counts, "node", "left").join(roots, "node", "left")
-    told = told.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+    told = distinct.join(counts, "node", "left").join(roots.join(low, "root").select("node", "low"), "node", "left")
+    told = told.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "first").alias("component_id"))
     linked = good.join(told, "v").select("id", "n_links", "component_id")
-    rest = rows.where(~(F.col("id").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rest = rows.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    every = linked.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return scratch.result(every, "components")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -122,35 +131,34 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _links(distinct: DataFrame, threshold: float, recall: float, sample: int, block: int, kind: str) -> DataFrame:
+def _links(distinct: DataFrame, grid: Grid | None, threshold: float, block: int, kind: str) -> DataFrame:
     """Rows (node, other, links): counts of links, and forest edges with links 0.
 
     Components travel as given, in 4 bytes each if the column holds floats, and
-    are brought to unit length in double precision where they are compared.
+    are brought to unit length in double precision where they are compared. Without
+    a grid all vectors of one length share a cell.
     """
-    total = distinct.count()
-    some = distinct.orderBy(F.xxhash64("node"), "node").limit(sample).select("v").toLocalIterator()
-    grid = distinct.sparkSession.sparkContext.broadcast(Grid(np.array([r[0] for r in some]), total, threshold, recall))
+    shared = distinct.sparkSession.sparkContext.broadcast(grid)
 
     def place(batches):
-        g = grid.value
+        g = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 cut = batch.slice(at, 1000)
-                v = np.array(cut.column("v").to_pylist(), np.float64)
-                unit = _unit(v)
-                a, b = g.distances(unit)
                 rows: list[tuple] = []
+                vectors = [np.array(v, np.float64) for v in cut.column("v").to_pylist()]
+                a, b = g.distances(_unit(np.stack(vectors))) if g else (None, None)
                 for i, (node, copies) in enumerate(zip(cut.column("node").to_pylist(), cut.column("copies").to_pylist(), strict=True)):
-                    body = v[i].astype(kind).tobytes()
-                    home = (int(a[i].argmin()), int(b[i].argmin()))
-                    rows.append((home[0] * 65536 + home[1], False, node, copies, body))
-                    rows += [(x * 65536 + y, True, node, copies, body) for x, y in traverse(a[i], b[i], g.visits)]
-                cells, probes, nodes, counts, bodies = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(probes), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary())], ["cell", "probe", "node", "copies", "v"])
-
-    placed = distinct.select("node", "copies", "v").mapInArrow(place, "cell long, probe boolean, node long, copies long, v binary")
-    size = distinct.select("node", "copies", "v").mapInArrow(place, "cell long, probe boolean, node long, copies long, v binary").groupBy("cell").agg(F.count_if("probe").alias("probes"), F.count_if(~F.col("probe")).alias("held")).where("held > 0")
+                    body = vectors[i].astype(kind).tobytes()
+                    visits = np.array([x * 65536 + y for x, y in traverse(a[i], b[i], g.visits)] if g else [len(vectors[i])], np.int64)
+                    home = int(visits[0])
+                    rows.append((home, False, node, copies, body, home, visits.tobytes()))
+                    rows += [(x, True, node, copies, body, home, None) for x in visits.tolist()]
+                cells, probes, nodes, counts, bodies, homes, seen = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(probes), pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(bodies, pa.binary()), pa.array(homes, pa.int64()), pa.array(seen, pa.binary())], ["cell", "probe", "node", "copies", "v", "home", "visits"])
+
+    placed = distinct.select("node", "copies", "v").mapInArrow(place, "cell long, probe boolean, node long, copies long, v binary, home long, visits binary")
+    size = placed.groupBy("cell").agg(F.count_if("probe").alias("probes"), F.count_if(~F.col("probe")).alias("held")).where("held > 0")
     size = size.select("cell", F.ceil(F.col("probes") / block).cast("int").alias("np"), F.ceil(F.col("held") / block).cast("int").alias("nh"))
     sized = placed.join(size, "cell")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("probe"), F.col("np")).otherwise(F.col("nh"))).cast("int")
@@ -167,11 +175,17 @@ def _links(distinct: DataFrame, threshold: float, recall: float, sample: int, bl
         nx, ny, copies = seek["node"].to_numpy(), held["node"].to_numpy(), held["copies"].to_numpy()
         hit = (x @ y.T >= threshold) & (nx[:, None] != ny)
         links = hit @ copies
+        # What a held vector would not find from its side, as it doesn't visit the other's cell, counts for it here.
+        back, mine = np.zeros(len(ny), np.int64), seek["copies"].to_numpy()
+        homes, visits = seek["home"].to_numpy(), np.stack([np.frombuffer(b, np.int64) for b in held["visits"].to_pylist()])
+        for home in np.unique(homes[links > 0]):
+            from_there, unseen = homes == home, ~(visits == home).any(1)
+            back[unseen] += mine[from_there] @ hit[np.ix_(from_there, unseen)]
         edges = forest(nx, ny, hit)
-        some = np.flatnonzero(links)
-        return pa.table({"node": np.concatenate((nx[some], edges[:, 0])), "other": np.concatenate((nx[some], edges[:, 1])), "links": np.concatenate((links[some], np.zeros(len(edges), np.int64)))})
+        some, more = np.flatnonzero(links), np.flatnonzero(back)
+        return pa.table({"node": np.concatenate((nx[some], ny[more], edges[:, 0])), "other": np.concatenate((nx[some], ny[more], edges[:, 1])), "links": np.concatenate((links[some], back[more], np.zeros(len(edges), np.int64)))})
 
-    return dealt.select("cell", "p", "h", "probe", "node", "copies", "v").groupBy("cell", "p", "h").applyInArrow(compare, "node long, other long, links long")
+    return dealt.select("cell", "p", "h", "probe", "node", "copies", "v", "home", "visits").groupBy("cell", "p", "h").applyInArrow(compare, "node long, other long, links long")
 
 
 def forest(nx: np.ndarray, ny: np.ndarray, hit: np.ndarray) -> np.ndarray:
