@@ -14,7 +14,6 @@ hash of the id. Scoring goes over all rows in one pass without a shuffle.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -189,17 +188,24 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fifth.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000, most_mb: int = 64) -> Model:
+    """Fit on at most ``sample`` labelled ids outside the held-out fifth, and ``most_mb`` MB of their texts.
 
-    Conflicting labels of one id count as toxic if any does. No labels give a
-    constant score.
+    Conflicting labels of one id count as toxic if any does; of an id's texts the
+    first by code point is taken. No labels give a constant score.
     """
     marks = labels.where("toxic is not null").groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id")
-    got = sorted(rows.select("_id", "text", "toxic").toLocalIterator(), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1] or ""))[: 2 * sample]
-    return Model([r[1] or "" for r in got], np.array([int(r[2] > 0) for r in got], np.int64))
+    one = rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts, toxic, room = [], [], most_mb << 20
+    for row in one.orderBy(F.crc32(F.col("_id").cast("string").cast("binary")), "_id").toLocalIterator():
+        room -= len((row["text"] or "").encode())
+        if room < 0:
+            break
+        texts.append(row["text"] or "")
+        toxic.append(int(row["toxic"] > 0))
+    return Model(texts, np.array(toxic, np.int64))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 6000) -> DataFrame:
