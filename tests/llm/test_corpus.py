@@ -81,7 +81,7 @@ def test_byte_parse_by_pieces(spark):
     whole = table(spark, rows)
     texts = bytespans.R.keyed(whole, "doc_id", "text")
     found = bytespans.parse(texts, 200, piece=700)
-    runs = bytespans.R.covered(found, texts, bytespans.byte_symbols, 200, first_stays=False)
+    runs = bytespans.R.covered(found, texts, bytespans.raw_bytes, lambda raw: bytespans.BYTE_SYMBOL[raw], 200, False, bytespans.Scratch())
     assert sorted(int(bytespans.R.gone([], 0, 200).sum()) for _ in (0, 1)) == [0, 0]
     got = {r.kid: sum(len(range(x.a, x.a + x.n)) for x in r["items"]) for r in runs.collect()}
     assert got == {0: 4801, 1: 4801}
@@ -110,8 +110,8 @@ def test_jaccard(spark, texts):
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = {i: (len(sets[i]), c) for i, c in components(links, sets).items()}
-    for small, cross in ((4, 8), (2, 0)):  # with 0, all open blocks go to the narrow size bands
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts), small=small, cross=cross).collect()}
+    for small, few in ((4, 8), (2, 0)):  # with 0, all open blocks go to the narrow size bands
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts), small=small, few=few).collect()}
         assert got == want
     kept = jaccard.keep_first_of_each(table(spark, texts + [(5, texts[5][1])]))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
@@ -123,8 +123,8 @@ def test_jaccard_null_and_repeated_ids(spark):
     a, b, c, d, lone = (text() for _ in range(5))
     # A group of copies and near copies with a null id among them; id 9 has the texts c and d.
     rows = [(i, a) for i in range(20, 26)] + [(None, a), (30, f"{a} z"), (31, f"y {a}"), (None, b), (None, f"{b} z"), (9, c), (9, d), (12, f"{c} z"), (13, f"{d} z"), (4, f"y {c}"), (14, lone), (9, " ")]
-    for small, cross in ((4, 8), (2, 0)):
-        found = jaccard.jaccard_components(table(spark, rows), small=small, cross=cross).collect()
+    for small, few in ((4, 8), (2, 0)):
+        found = jaccard.jaccard_components(table(spark, rows), small=small, few=few).collect()
         got = Counter((r.doc_id, r.component_id) for r in found)
         want = Counter({(i, 20): 1 for i in (*range(20, 26), 30, 31, None)})
         want += Counter({(None, None): 2, (9, 4): 1, (12, 4): 1, (4, 4): 1, (9, 9): 2, (13, 9): 1, (14, 14): 1})
