@@ -148,11 +148,12 @@ class Boosted:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots and non-decreasing values."""
-    order = np.argsort(raw, kind="stable")
+    """Pool-adjacent-violators: ascending knots and non-decreasing values. Rows of one raw score are one point."""
+    points, where, counts = np.unique(raw, return_inverse=True, return_counts=True)
+    means = np.bincount(where, y, len(points)) / counts
     pools: list[list[float]] = []
-    for x, value in zip(raw[order], y[order], strict=True):
-        pools.append([float(value), 1.0, float(x), float(x)])
+    for x, value, n in zip(points.tolist(), means.tolist(), counts.tolist(), strict=True):
+        pools.append([value, float(n), x, x])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             v, w, _, hi = pools.pop()
             q = pools[-1]

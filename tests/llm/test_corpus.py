@@ -249,6 +249,11 @@ def test_isotonic_never_falls():
     x = np.array([0.1, 0.2, 0.3, 0.4, 0.5])
     knots, values = toxicity.isotonic(x, np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(values) >= 0).all() and (np.diff(knots) >= 0).all()
+    # A thousand clean rows and a toxic one of one raw score, in any order, and a toxic one above.
+    for order in (slice(None), slice(None, None, -1)):
+        x, y = np.array([0.1] * 1001 + [0.9]), np.array([0.0] * 1000 + [1, 1])
+        knots, values = toxicity.isotonic(x[order], y[order])
+        assert np.interp(0.1, knots, values) == pytest.approx(1 / 1001) and np.interp(0.9, knots, values) == 1
 
 
 def test_media_round_trip(spark, texts):
