@@ -197,29 +197,33 @@ def _centred(blocks: DataFrame) -> DataFrame:
     return blocks.join(blocks.groupBy("key").agg(F.count("*").alias("seen"), centre).where("seen >= 2"), "key").select("key", "node", "n", "m", "slack", "seen", F.struct("c.node", "c.n", "c.m", "c.slack").alias("c"))
 
 
+def _by_size(x: str, y: str, num: int, den: int):
+    """Whether two sets are near enough in size to be similar."""
+    a, b = F.col(f"{x}n"), F.col(f"{y}n")
+    return (a * num <= b * den) & (b * num <= a * den)
+
+
 def _by_blocks(x: str, y: str, num: int, den: int):
     """Whether two sets that meet in a block can be similar, if this is the rarest one they share."""
     a, b = (lambda c: F.col(f"{x}{c}")), (lambda c: F.col(f"{y}{c}"))
     differ = F.floor((a("n") + b("n")) * (den - num) / (den + num))
-    sizes = (a("n") * num <= b("n") * den) & (b("n") * num <= a("n") * den)
-    return sizes & (a("slack") + 1 >= a("m") - differ) & (b("slack") + 1 >= b("m") - differ)
+    return _by_size(x, y, num, den) & (a("slack") + 1 >= a("m") - differ) & (b("slack") + 1 >= b("m") - differ)
 
 
 def _by_overlap(x: str, y: str, num: int, den: int):
     """The same for sets that meet in a shingle."""
     a, b = (lambda c: F.col(f"{x}{c}")), (lambda c: F.col(f"{y}{c}"))
     overlap = F.ceil((a("n") + b("n")) * num / (num + den))
-    sizes = (a("n") * num <= b("n") * den) & (b("n") * num <= a("n") * den)
-    return sizes & (a("slack") + 1 >= overlap) & (b("slack") + 1 >= overlap)
+    return _by_size(x, y, num, den) & (a("slack") + 1 >= overlap) & (b("slack") + 1 >= overlap)
 
 
 def _candidates(rows: DataFrame, small: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of the blocks: with the central set, and all pairs up to ``small`` sets."""
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = rows.where("node <> c.node").where(_by_blocks("", "c.", num, den)).select(*ordered("node", "c.node"))
+    star = rows.where("node <> c.node").where(_by_size("", "c.", num, den)).select(*ordered("node", "c.node"))
     few = rows.where(F.col("seen").between(3, small)).groupBy("key").agg(F.collect_list(F.struct("node", "n", "m", "slack")).alias("all"))
     inner = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("y"))
-    return star.union(inner.where(_by_blocks("x.", "y.", num, den)).select(*ordered("x.node", "y.node"))).distinct()
+    return star.union(inner.where(_by_size("x.", "y.", num, den)).select(*ordered("x.node", "y.node"))).distinct()
 
 
 def _sets(nodes: DataFrame, texts: DataFrame, owner: DataFrame, width: int, scratch: Scratch) -> DataFrame:
