@@ -74,7 +74,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = R.keyed(docs, id_col, text_col)
     packed = R.squeezed(texts)
     bits = min(63, 22 + docs.count().bit_length())  # contexts that meet by chance stay rare; they are told apart later
-    runs = R.covered(parse(texts, width, bits=bits), texts, raw_bytes, lambda raw: BYTE_SYMBOL[raw], width, False, scratch)
+    runs = scratch.result(R.covered(parse(texts, width, bits=bits), texts, raw_bytes, lambda raw: BYTE_SYMBOL[raw], width, False, scratch), "runs")
 
     def cut(batches):
         for batch in batches:
@@ -88,5 +88,4 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kept.append(data[~out].tobytes())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return scratch.result(out, "kept-bytes")
+    return R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")

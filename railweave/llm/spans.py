@@ -81,7 +81,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     yield R.region_batch(np.full(len(a), kid), np.full(len(a), th), a, n, k, e)
 
     found = scratch.keep(R.with_text(lists, packed).mapInArrow(R.gathered(around), R.REGION), "found")
-    runs = R.covered(found, texts, word_hashes, lambda words: words, width, True, scratch)
+    runs = scratch.result(R.covered(found, texts, word_hashes, lambda words: words, width, True, scratch), "runs")
 
     def cut(batches):
         for batch in batches:
@@ -95,8 +95,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 kept.append(b" ".join([data[s:e] for s, e in zip(start[~out].tolist(), end[~out].tolist(), strict=True)]).decode())
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string())], [id_col, "n_words", "n_removed", "kept_text"])
 
-    out = R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
-    return scratch.result(out, "kept-texts")
+    return R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
 
 
 def digest(kept: str) -> str:
