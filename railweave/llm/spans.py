@@ -12,6 +12,7 @@ positions are hashed.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from railweave.llm import repeats as R
-from railweave.llm.rolling import regions, window_hashes, word_bounds, word_hashes
+from railweave.llm.rolling import joined_words, prefix, regions, span, within, word_hashes
 from railweave.llm.store import Scratch
 
 #: Perfect difference cover: each difference modulo 13 occurs exactly once.
@@ -28,21 +29,26 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 
 def anchors(texts: DataFrame, width: int, period: int, cover: tuple[int, ...], bits: int) -> DataFrame:
     """(kid, th, p, h): hashes of the anchors, cut to ``bits`` bits."""
-    span = width - period + 1
+    size = width - period + 1
     drop = np.uint64(64 - bits)
+    covers = np.isin(np.arange(period), cover)
 
     def hashed(batches):
         for batch in batches:
-            for kid, th, body in zip(batch.column("kid").to_pylist(), batch.column("th").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                words = word_hashes(body)
-                if len(words) < width:
-                    continue
-                h = window_hashes(words, span)
-                p = np.flatnonzero(np.isin(np.arange(len(h)) % period, cover))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), kid, np.int64)), pa.array(np.full(len(p), th, np.int64)), pa.array(p.astype(np.int32)), pa.array((h[p] >> drop).view(np.int64))],
-                    ["kid", "th", "p", "h"],
-                )
+            kid, th, bodies = batch.column("kid").to_numpy(), batch.column("th").to_numpy(), batch.column("body").to_pylist()
+            for low, high in R.chunks([len(x) for x in bodies], 1 << 20):
+                # Short texts together, a long one on its own, piece by piece.
+                if high - low == 1:
+                    words = word_hashes(bodies[low])
+                    counts = np.array([len(words)])
+                else:
+                    words, counts = joined_words(bodies[low:high])
+                own, place = np.repeat(np.arange(low, high), counts), within(counts)
+                of = np.repeat(counts, counts)
+                at = np.flatnonzero((of >= width) & (place <= of - size) & covers[place % period])
+                if len(at):
+                    h = span(prefix(words), at, size) >> drop
+                    yield pa.RecordBatch.from_arrays([pa.array(kid[own[at]]), pa.array(th[own[at]]), pa.array(place[at].astype(np.int32)), pa.array(h.view(np.int64))], ["kid", "th", "p", "h"])
 
     return texts.mapInArrow(R.gathered(hashed), "kid long, th long, p int, h long")
 
@@ -87,12 +93,12 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ids, counts, removed, kept = batch.column("id"), [], [], []
             for body, items in zip(batch.column("body").to_pylist(), batch.column("items"), strict=True):
-                data = R.unsqueeze(body)
-                start, end = word_bounds(data)
-                out = R.gone(items.values if items.is_valid else None, len(start), width)
-                counts.append(len(start))
-                removed.append(int(out.sum()))
-                kept.append(b" ".join([data[s:e] for s, e in zip(start[~out].tolist(), end[~out].tolist(), strict=True)]).decode())
+                # bytes.split() parts at space and the control characters 9 to 13.
+                words = R.unsqueeze(body).split()
+                out = R.gone(items.values, len(words), width) if items.is_valid else None
+                counts.append(len(words))
+                removed.append(0 if out is None else int(out.sum()))
+                kept.append(b" ".join(words if out is None else compress(words, (~out).tolist())).decode())
             yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string())], [id_col, "n_words", "n_removed", "kept_text"])
 
     return R.with_text(runs, packed, "left").select("id", "body", "items").mapInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_text string")
