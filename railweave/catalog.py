@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from railweave.functions import clock, geo, keys, names
 from railweave.operators import canon, filters, linkage, lookups, sequences, spatial, summaries, tables, timetables
+from railweave.operators.graph import shared_dir
 from railweave.plans import journeys, network
 from railweave.plans.views import Tables, twin
 from railweave.sources import readers, writers
@@ -273,6 +275,11 @@ def _(t):
 # ---- linkage
 
 
+def sim_sql(x: str, y: str) -> str:
+    """Similarity of two names of one word each, of which neither holds the other."""
+    return f"CASE WHEN {x} = {y} THEN 1e0 ELSE 1e0 - levenshtein({x}, {y}) / greatest(length({x}), length({y}))::DOUBLE END"
+
+
 def left_side(t: Tables) -> DataFrame:
     return t.v_terminals.select(F.col("terminal_id").alias("left_id"), F.col("terminal_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", no_codes().alias("codes"))
 
@@ -291,7 +298,17 @@ def _(t):
     return linkage.link_candidates(left_side(t), right_side(t).where("lat IS NOT NULL"))
 
 
-@query("c02_full_fuzzy_join")
+#: All pairs of terminals and records with their scores, as C03 has them for this data.
+RECORDS = f"""names AS (SELECT terminal_id AS left_id, lat, lon, settlement, transport, trim(lower(replace(name, '#', ''))) AS x FROM v_terminals), held AS (SELECT record_id AS right_id, lat AS rlat, lon AS rlon, settlement AS rset, trim(regexp_replace(lower(name), '[ .,-]+', ' ', 'g')) AS y FROM v_records),
+both_sides AS (SELECT *, CASE WHEN rlat IS NOT NULL THEN {hav('lat', 'lon', 'rlat', 'rlon')} * 1000e0 END AS metres FROM names, held),
+scored AS (SELECT left_id, right_id, metres, (((({sim_sql('x', 'y')}) * 45e-2 + CASE WHEN metres IS NULL THEN 0e0 WHEN metres <= 100 THEN 3e-1 WHEN metres <= 500 THEN 6e-1 * 3e-1 WHEN metres <= 2000 THEN 25e-2 * 3e-1 ELSE 0e0 END) + CASE WHEN settlement = rset THEN 15e-2 ELSE 0e0 END) + CASE WHEN transport = 'bus' THEN 1e-1 ELSE 0e0 END) / CASE WHEN metres IS NULL THEN 45e-2 + 15e-2 + 1e-1 ELSE 45e-2 + 3e-1 + 15e-2 + 1e-1 END AS score,
+    metres IS NULL OR pow((lat - rlat) * 111000.0, 2) + pow((lon - rlon) * 111000.0 * (1.0 - 0.0000152 * lat * lat), 2) <= 4000000 AS near FROM both_sides)"""
+
+
+@query("c02_full_fuzzy_join", f"""WITH {RECORDS}, ranked AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS after FROM scored WHERE score > 0 WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id)),
+top AS (SELECT left_id, right_id, score, coalesce(after, 0) AS second, metres FROM ranked WHERE k = 1),
+told AS (SELECT *, CASE WHEN score >= 0.6 AND (score - second >= 0.1 OR second = 0) AND coalesce(metres <= 500, FALSE) THEN 'enriched' WHEN score >= 0.5 AND score - second < 0.05 THEN 'ambiguous' ELSE 'identity_only' END AS result FROM top)
+SELECT t.terminal_id AS left_id, CASE WHEN result <> 'identity_only' THEN right_id END AS right_id, coalesce(result, 'identity_only') AS result FROM v_terminals t LEFT JOIN told ON told.left_id = t.terminal_id""")
 def _(t):
     return linkage.full_fuzzy_join(left_side(t), right_side(t)).select("left_id", "right_id", "result")
 
@@ -315,16 +332,22 @@ def term_side(t: Tables) -> DataFrame:
     return t.v_terminals.select("terminal_id", "name", "lat", "lon", "settlement", "transport", "source", no_codes().alias("codes"), (F.col("terminal_id") % 3 != 0).alias("final"))
 
 
-@query("c07_attach_candidates", "SELECT s.terminal_id AS stop_key, t.terminal_id FROM v_terminals s JOIN v_terminals t ON floor((s.lat + 0.001) / 0.5) - floor(t.lat / 0.5) BETWEEN -1 AND 1 AND floor(s.lon / 0.5) - floor(t.lon / 0.5) BETWEEN -1 AND 1 WHERE s.terminal_id % 2 = 0")
+@query("c07_attach_candidates", "SELECT s.terminal_id AS stop_key, t.terminal_id FROM v_terminals s JOIN v_terminals t ON floor((s.lat + 0.001) / 0.5) - floor(t.lat / 0.5) BETWEEN -1 AND 1 AND floor(s.lon / 0.5) - floor(t.lon / 0.5) BETWEEN -1 AND 1")
 def _(t):
-    return linkage.attach_candidates(stop_side(t).where("stop_key % 2 = 0"), term_side(t))
+    return linkage.attach_candidates(stop_side(t), term_side(t))
 
 
-@query("c08_score_pair_attach")
+#: Candidates of stops with name similarity, distance, score and guard, as C08 has them for this data: names of one word, no codes, no transport, sources of two voices.
+SCORED = f"""pair AS (SELECT s.terminal_id AS stop_key, t.terminal_id AS cand_no, {hav('(s.lat + 0.001)', 's.lon', 't.lat', 't.lon')} * 1000e0 AS metres, s.settlement = t.settlement AS same,
+    {sim_sql("lower(replace(s.name, '#', ''))", "lower(replace(t.name, '#', ''))")} AS sim
+    FROM v_terminals s JOIN v_terminals t ON floor((s.lat + 0.001) / 0.5) - floor(t.lat / 0.5) BETWEEN -1 AND 1 AND floor(s.lon / 0.5) - floor(t.lon / 0.5) BETWEEN -1 AND 1),
+scored AS (SELECT stop_key, cand_no, metres, metres <= 500 AS guard, ((sim * 45e-2 + CASE WHEN metres <= 100 THEN 1e0 WHEN metres <= 500 THEN 6e-1 WHEN metres <= 2000 THEN 25e-2 ELSE 0e0 END * 3e-1) + CASE WHEN same THEN 15e-2 ELSE 0e0 END) / (45e-2 + 3e-1 + 15e-2) AS value FROM pair)"""
+
+
+@query("c08_score_pair_attach", f"WITH {SCORED} SELECT stop_key, cand_no, round(value, 6) AS value, 1e0 AS trust, guard, round(metres, 6) AS metres FROM scored")
 def _(t):
     s, m = stop_side(t), term_side(t)
-    pairs = linkage.attach_candidates(s, m).join(m.select("terminal_id"), "terminal_id").where("stop_key = terminal_id")
-    return linkage.scored_attach(s, m, pairs).select("stop_key", r6("s.value").alias("value"), "s.trust", "s.guard", r6("s.metres").alias("metres"))
+    return linkage.scored_attach(s, m, linkage.attach_candidates(s, m)).select("stop_key", "cand_no", r6("s.value").alias("value"), "s.trust", "s.guard", r6("s.metres").alias("metres"))
 
 
 @query("c09_trust", "SELECT event_id, CASE WHEN origin = 'seed' THEN 0.4 WHEN source = 'osm' THEN 0.6 ELSE 1.0 END AS trust FROM v_candidates")
@@ -332,7 +355,9 @@ def _(t):
     return t.v_candidates.select("event_id", linkage.trust(F.when(F.col("origin") == "seed", "seed").otherwise(F.col("source")), F.lit("MOTIS ")).alias("trust"))
 
 
-@query("c10_match_best")
+@query("c10_match_best", f"""WITH {SCORED}, best AS (SELECT stop_key, count(*) AS n, arg_max(cand_no, (value, -cand_no)) AS cand_no, max(value) AS value, arg_max(guard, (value, -cand_no)) AS guard FROM scored GROUP BY stop_key),
+other AS (SELECT b.*, (SELECT min(s.value) FROM scored s WHERE s.stop_key = b.stop_key AND s.cand_no <> b.cand_no) AS low FROM best b)
+SELECT stop_key, cand_no, n, CASE WHEN n > 1 AND value >= 0.5 AND value - low < 0.05 THEN 'duplicate_ambiguous' WHEN value >= 0.6 AND guard THEN 'verified' WHEN value >= 0.5 THEN 'low_confidence' ELSE 'rejected' END AS decision, round(value, 6) AS value FROM other""")
 def _(t):
     s, m = stop_side(t), term_side(t)
     return linkage.match_best(linkage.scored_attach(s, m, linkage.attach_candidates(s, m)), "stop_key").select("stop_key", "cand_no", "n", "decision", r6("s.value").alias("value"))
@@ -346,7 +371,8 @@ def _(t):
     return linkage.match_trip_stops(trips, scored).withColumn("value", r6("value"))
 
 
-@query("c18_legacy_match")
+@query("c18_legacy_match", f"""WITH {RECORDS}, best AS (SELECT left_id, arg_max(right_id, (score, -right_id)) AS right_id, max(score) AS score FROM scored WHERE near AND (metres IS NOT NULL OR score >= 0.45 - 1e-9) GROUP BY left_id)
+SELECT t.terminal_id AS left_id, CASE WHEN score >= 0.6 THEN right_id END AS right_id, round(coalesce(score, 0), 6) AS score, CASE WHEN score >= 0.6 THEN 'matched' ELSE 'review' END AS outcome, CASE WHEN score >= 0.6 THEN NULL ELSE 'legacy_unmatched' END AS reason FROM v_terminals t LEFT JOIN best ON best.left_id = t.terminal_id""")
 def _(t):
     return linkage.legacy_match(left_side(t), right_side(t)).withColumn("score", r6("score"))
 
@@ -438,9 +464,9 @@ def _(t):
     return summaries.route_listing(t.v_routes, t.v_trips).select("route_id", "name", "carrier", "live_trips")
 
 
-@query("d16_trip_listing", "SELECT t.trip_id, count(s.seq) AS stops, count(*) FILTER (s.provisional) AS provisional, t.valid_to IS NULL AS live FROM v_trips t LEFT JOIN v_stop_times s ON s.trip_id = t.trip_id WHERE t.route_id < 20 GROUP BY t.trip_id, t.valid_to")
+@query("d16_trip_listing", "SELECT t.trip_id, count(s.seq) AS stops, count(*) FILTER (s.provisional) AS provisional, t.valid_to IS NULL AS live FROM v_trips t LEFT JOIN v_stop_times s ON s.trip_id = t.trip_id GROUP BY t.trip_id, t.valid_to")
 def _(t):
-    trips = t.v_trips.where("route_id < 20").dropDuplicates(["trip_id"])
+    trips = t.v_trips.dropDuplicates(["trip_id"])
     return summaries.trip_listing(trips, t.v_stop_times).select("trip_id", "stops", "provisional", "live")
 
 
@@ -870,9 +896,20 @@ def _(t):
     return t.v_routes.select("route_id", keys.route_key_of_code(F.col("code"), F.lit("A / B"), F.lit("--"), F.lit("77")).alias("key"), keys.split_trip_key(F.concat(F.col("code"), F.lit("|forward:3:1"))).alias("part"), keys.direction_id(F.when(F.col("route_id") % 2 == 0, " Forward")).alias("direction"))
 
 
-@query("h23_surrogate_id")
+@query("h23_surrogate_id", "SELECT min(review_id) AS first, count(*) AS n, TRUE AS negative FROM v_reviews GROUP BY reason, fingerprint")
+def _(t):
+    rows = t.v_reviews.select("review_id", keys.surrogate_id(F.lit("terminal"), F.col("reason"), F.lit("osm"), F.col("fingerprint")).alias("id"))
+    return rows.groupBy("id").agg(F.min("review_id").alias("first"), F.count("*").alias("n"), F.bool_and(F.col("id") < 0).alias("negative")).drop("id")
+
+
+@query("h05_settlement_keys", "SELECT DISTINCT n_name, key FROM (SELECT n_name, unnest([c, CASE WHEN length(c) > 4 THEN c[:-2] END, CASE WHEN length(c) > 5 THEN c[:-3] END]) AS key FROM (SELECT n_name, lower(replace(n_name, '_', '')) AS c FROM nation)) WHERE key IS NOT NULL")
 def _(t):
-    return t.v_reviews.select("review_id", keys.surrogate_id(F.lit("terminal"), F.col("reason"), F.lit("osm"), F.col("fingerprint")).alias("id"))
+    return t.nation.select("n_name", F.explode(names.settlement_keys(F.col("n_name"))).alias("key"))
+
+
+@query("h07_normalized_similarity", f"SELECT stop_id, round(greatest(0e0, {sim_sql('x', 'y')}), 6) AS similarity, round(1e0 - ({sim_sql('x', 'y')}), 6) AS distance FROM (SELECT stop_id, lower(replace(name, '#', '')) AS x, lower(replace(settlement, '_', '')) AS y FROM v_stops)")
+def _(t):
+    return t.v_stops.select("stop_id", r6(names.normalized_similarity(F.col("name"), F.col("settlement"))).alias("similarity"), r6(names.lev_ratio(F.col("name"), F.col("settlement"))).alias("distance"))
 
 
 @query("h24_plan_id", "SELECT route_id, sha256('v1' || chr(0) || 'cfg' || chr(0) || 'a' || chr(0) || '~' || name) AS plan, TRUE AS fresh FROM v_routes")
@@ -929,13 +966,13 @@ def registry(t: Tables) -> dict[str, DataFrame]:
     return {"meta": meta, "routes": routes, "stops": stops, "services": services, "service_days": days, "service_exceptions": none, "schedules": schedules, "carriers": routes.select(F.col("carrier").alias("name"), F.col("carrier_inn").alias("inn")).distinct()}
 
 
-@query("e03_flatten_trips", "SELECT count(*) AS stops, sum(CASE WHEN n THEN 1 ELSE 0 END) AS runs FROM (SELECT row_number() OVER (PARTITION BY trip_id) = 1 AS n FROM v_stop_times, (SELECT unnest([1, 2]))) t".replace("row_number() OVER (PARTITION BY trip_id) = 1", "row_number() OVER (PARTITION BY trip_id, k) = 1").replace("(SELECT unnest([1, 2]))", "(SELECT unnest([1, 2]) AS k)"))
+@query("e03_flatten_trips", "SELECT count(*) AS stops, sum(CASE WHEN n THEN 1 ELSE 0 END) AS runs FROM (SELECT row_number() OVER (PARTITION BY trip_id, k) = 1 AS n FROM v_stop_times, (SELECT unnest([1, 2]) AS k)) t")
 def _(t):
     out = timetables.flatten_trips(registry(t)["schedules"])
     return out["stops"].agg(F.count("*").alias("stops"), F.count_distinct("trip_key").alias("runs"))
 
 
-@query("e04_flatten_trips_daily")
+@query("e04_flatten_trips_daily", "SELECT lpad(CAST(trip_id % 30 AS VARCHAR), 2, '0') || '.' || trip_id AS route, direction, CAST(run AS INT) AS run, n AS timed FROM (SELECT trip_id, count(*) AS n FROM v_stop_times GROUP BY trip_id HAVING count(*) >= 2) JOIN v_trips USING (trip_id), (SELECT unnest([0, 1]) AS run) WHERE service_id = 2")
 def _(t):
     return timetables.flatten_trips_daily(registry(t), F.to_date(F.lit("1995-03-15")))["trips"].select("route", "direction", "run", "timed")
 
@@ -947,7 +984,16 @@ def _(t):
     return timetables.validate_contract(reg)
 
 
-@query("i02_validate_network")
+@query("i02_validate_network", f"""WITH {LEGS}, g AS (SELECT c.trip_id, {hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS km, (c.arrival_s - c.departure_s) / 3600.0 AS h FROM conn c JOIN v_stops x ON x.stop_id = c.from_stop JOIN v_stops y ON y.stop_id = c.to_stop),
+found AS (SELECT 'stop' AS entity, 'info' AS severity, 'stop_times' AS field, 'no stop times' AS message, stop_id AS id FROM v_stops WHERE stop_id NOT IN (SELECT stop_id FROM v_stop_times)
+UNION SELECT 'stop', 'error', 'id', 'repeated id', stop_id FROM v_stops GROUP BY stop_id HAVING count(*) > 1
+UNION SELECT 'stop_time', 'error', 'stop', 'unknown stop', stop_id FROM v_stop_times WHERE stop_id NOT IN (SELECT stop_id FROM v_stops)
+UNION SELECT 'stop_time', 'error', 'time', 'departure before arrival', trip_id FROM v_stop_times WHERE departure_s < arrival_s
+UNION SELECT 'trip', 'error', 'stop_times', 'empty trip', trip_id FROM v_trips WHERE trip_id NOT IN (SELECT trip_id FROM v_stop_times)
+UNION SELECT 'connection', 'error', 'time', 'arrival before departure', trip_id FROM g WHERE h < 0
+UNION SELECT 'connection', 'warn', 'distance', 'very long leg', trip_id FROM g WHERE km > 800
+UNION SELECT 'connection', 'warn', 'speed', 'too fast for its mode', trip_id FROM g WHERE km > 10 AND h > 0 AND km / h > 180)
+SELECT entity, severity, field, message, count(*) AS n FROM found GROUP BY ALL""")
 def _(t):
     net = {"stops": t.v_stops, "trips": t.v_trips, "stop_times": t.v_stop_times, "transfers": t.v_stops.limit(0).select(F.col("stop_id").alias("from_stop"), F.col("stop_id").alias("to_stop")), "connections": bus_legs(t)}
     return timetables.validate_network(net).groupBy("entity", "severity", "field", "message").agg(F.count("*").alias("n"))
@@ -1071,7 +1117,7 @@ def _(t):
     return canon.audit_sample(m, 20).groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query("i19_golden_check")
+@query("i19_golden_check", "SELECT terminal_id AS id, 'verified' AS expect, 'verified' AS decision, 1 AS expect_best, 1 AS best, TRUE AS ok FROM v_terminals")
 def _(t):
     side = "struct<name:string,lat:double,lon:double,source:string,settlement:string,transport:string,codes:" + linkage.NO_CODES + ">"
     pair = F.struct("name", "lat", "lon", F.lit("mintrans").alias("source"), F.lit("").alias("settlement"), F.lit("").alias("transport"), no_codes().alias("codes")).cast(side)
@@ -1133,18 +1179,43 @@ def walks_of(t: Tables) -> DataFrame:
     return journeys.walk_closure(spatial.transfer_links(t.v_stops, 2.0))
 
 
+def nation_requests(t: Tables) -> DataFrame:
+    """A request from the first stop of each nation at eight; its labels are those of all stops."""
+    first = t.v_stops.groupBy("settlement").agg(F.min("stop_id").alias("stop_id"))
+    return first.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
+
+
+def walks_sql(km: float, doublings: int) -> str:
+    """Walks over chains of links within ``km``, doubled as often as given; CTEs w0, w1, ..."""
+    near = f"SELECT a.stop_id AS f, b.stop_id AS t, CAST(ceil({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 5 * 60) AS INT) AS m FROM v_stops a JOIN v_stops b ON a.stop_id <> b.stop_id WHERE {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {km}"
+    steps = [f"w0 AS ({near})"]
+    for i in range(doublings):
+        steps.append(f"w{i + 1} AS (SELECT f, t, min(m) AS m FROM (SELECT * FROM w{i} UNION ALL SELECT x.f, y.t, x.m + y.m FROM w{i} x JOIN w{i} y ON x.t = y.f WHERE x.f <> y.t) GROUP BY f, t)")
+    return ", ".join(steps)
+
+
+def arrivals_sql(rounds: int, doublings: int = 3) -> str:
+    """Earliest arrivals t_s after so many rides, each followed by a walk; CTEs a0, a1, ..."""
+    walk = lambda x: f"SELECT r, s, min(t_s) AS t_s FROM (SELECT * FROM ({x}) UNION ALL SELECT z.r, w.t, z.t_s + w.m * 60 FROM ({x}) z JOIN w{doublings} w ON w.f = z.s) GROUP BY r, s"
+    steps = [walks_sql(2.0, doublings), "q AS (SELECT min(stop_id) AS s FROM v_stops GROUP BY settlement)", f"a0 AS MATERIALIZED ({walk('SELECT s AS r, s, 28800 AS t_s FROM q')})"]
+    for i in range(rounds):
+        ride = f"SELECT b.r, e.stop_id AS s, min(e.arrival_s) AS t_s FROM (SELECT a.r, p.trip_id, min(p.seq) AS seq FROM a{i} a JOIN st p ON p.stop_id = a.s AND p.departure_s >= a.t_s GROUP BY a.r, p.trip_id) b JOIN st e ON e.trip_id = b.trip_id AND e.seq > b.seq GROUP BY b.r, e.stop_id"
+        steps.append(f"b{i} AS MATERIALIZED ({ride})")
+        steps.append(f"a{i + 1} AS MATERIALIZED (SELECT r, s, min(t_s) AS t_s FROM (SELECT * FROM a{i} UNION ALL SELECT * FROM ({walk(f'SELECT * FROM b{i}')})) GROUP BY r, s)")
+    return "WITH st AS MATERIALIZED (SELECT trip_id, seq, stop_id, arrival_s, departure_s FROM v_stop_times), " + ", ".join(steps)
+
+
 @query("p01_trip_parts", "SELECT trip_id, count(DISTINCT part) AS parts FROM (SELECT trip_id, sum(cut) OVER (PARTITION BY trip_id ORDER BY seq) AS part FROM (SELECT s.trip_id, s.seq, CASE WHEN s.arrival_s < lag(s.departure_s) OVER (PARTITION BY s.trip_id ORDER BY s.seq) THEN 1 ELSE 0 END AS cut FROM v_stop_times s)) GROUP BY trip_id")
 def _(t):
     return parts_of(t).groupBy("trip_id").agg(F.count_distinct("part").alias("parts"))
 
 
-@query("p02_earliest_arrival")
+@query("p02_earliest_arrival", f"{arrivals_sql(8)} SELECT r AS request_id, s AS stop_id, t_s AS arrival_s FROM a8")
 def _(t):
-    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
-    return journeys.earliest_arrival(req, parts_of(t), walks_of(t)).select("request_id", "stop_id", "arrival_s", F.size("path").alias("legs"))
+    return journeys.earliest_arrival(nation_requests(t), parts_of(t), walks_of(t)).select("request_id", "stop_id", "arrival_s")
 
 
-@query("p03_walk_relax")
+@query("p03_walk_relax", f"WITH {walks_sql(30.0, 7)} SELECT stop_id AS request_id, stop_id, 28800 AS arrival_s FROM v_stops UNION ALL SELECT f, t, 28800 + m * 60 FROM w7")
 def _(t):
     seed = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("arrival_s"), F.array().cast(journeys.HOP).alias("path"))
     return journeys.walk_relax(seed, journeys.walk_closure(spatial.transfer_links(t.v_stops, 30.0))).select("request_id", "stop_id", "arrival_s")
@@ -1152,17 +1223,15 @@ def _(t):
 
 @query("p04_journey_legs")
 def _(t):
-    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
-    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t))
+    labels = journeys.earliest_arrival(nation_requests(t), parts_of(t), walks_of(t))
     goal = labels.withColumn("request_id", F.col("request_id") * 1000 + F.col("stop_id"))
     return journeys.journey_legs(goal)
 
 
 @query("p05_limit_transfers")
 def _(t):
-    req = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
-    labels = journeys.earliest_arrival(req, parts_of(t), walks_of(t)).withColumn("legs", F.size("path"))
-    return journeys.limit_transfers(labels, 0).select("request_id", "stop_id", "legs")
+    labels = journeys.earliest_arrival(nation_requests(t), parts_of(t), walks_of(t)).withColumn("legs", F.size("path"))
+    return journeys.limit_transfers(labels, 0).select("request_id", "stop_id", "arrival_s", "legs")
 
 
 @query("p06_access_egress", f"SELECT point_id, stop_id, CAST(ceil(km / 5 * 60) AS INT) AS walk_minutes FROM ({NEAR}) WHERE km <= 10")
@@ -1417,3 +1486,102 @@ def _(t):
     firms = t.nation.select(F.col("n_name").alias("name"), F.lit("1").alias("inn"), F.col("n_nationkey").alias("ordinal"))
     out = readers.build_registry(rows.select("reg").distinct(), firms, rows, rows, [])
     return out["stops"].groupBy("region").agg(F.count("*").alias("stops"))
+
+
+# ---- readers and writers over files made of the driver's tables, and streams over the tables
+
+
+def folder(t: Tables, name: str) -> str:
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a01_read_feed", "SELECT CAST(trip_id AS VARCHAR) AS trip_id, printf('%02d:%02d:%02d', arrival_s // 3600, arrival_s % 3600 // 60, arrival_s % 60) AS arrival_time, CAST(stop_id AS VARCHAR) AS stop_id, CAST(seq AS VARCHAR) AS stop_sequence FROM v_stop_times")
+def _(t):
+    at = folder(t, "feed")
+    for name, df in feed(t).items():
+        df.withColumnsRenamed({"lat": " stop_lat", "lon": "stop_lon "} if name == "stops" else {}).write.option("header", True).csv(f"{at}/{name}.txt")
+    return readers.read_feed(t.spark, at)["stop_times"].select("trip_id", "arrival_time", "stop_id", "stop_sequence")
+
+
+@query("a03_read_registry", "SELECT lpad(CAST(trip_id % 30 AS VARCHAR), 2, '0') || '.' || trip_id AS route, direction, count(*) AS stops FROM v_stop_times JOIN v_trips USING (trip_id) GROUP BY trip_id, direction")
+def _(t):
+    # One document for each region's routes.
+    reg, at = registry(t), folder(t, "registry")
+    rows = reg["schedules"].withColumn("part", F.substring("route", 1, 2))
+    docs = rows.groupBy("part").agg(F.struct(F.lit("registry").alias("source"), F.lit("1995-01-01").alias("snapshot")).alias("meta"), F.collect_list(F.struct("route", "direction", "service_id", "stops")).alias("schedules"))
+    docs.write.partitionBy("part").json(at)
+    return readers.read_registry(t.spark, at)["schedules"].select("route", "direction", F.size("stops").cast("long").alias("stops"))
+
+
+@query("a06_read_map_elements", "SELECT CAST(stop_id AS VARCHAR) AS code, name, lat FROM v_stops WHERE stop_id % 5 <> 0")
+def _(t):
+    at = folder(t, "elements")
+    element = F.struct(F.lit("node").alias("type"), F.col("stop_id").alias("id"), F.when(F.col("stop_id") % 2 == 0, F.col("lat")).alias("lat"), F.when(F.col("stop_id") % 2 == 0, F.col("lon")).alias("lon"), F.when(F.col("stop_id") % 2 == 1, F.struct("lat", "lon")).alias("center"), F.when(F.col("stop_id") % 5 != 0, F.create_map(F.lit("name"), F.col("name"))).alias("tags"))
+    t.v_stops.groupBy("settlement").agg(F.collect_list(element).alias("elements")).write.partitionBy("settlement").json(at)
+    return readers.read_map_elements(t.spark, at).select("code", "name", "lat")
+
+
+@query("a07_read_route_relations", "SELECT trip_id AS relation_id, CAST(trip_id AS VARCHAR) AS ref, CAST(count(*) AS INT) AS stop_count FROM v_stop_times GROUP BY trip_id")
+def _(t):
+    at = folder(t, "relations")
+    members = F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop_id"))), lambda x: F.struct(F.lit("node").alias("type"), x["stop_id"].alias("ref"), F.lit("").alias("role")))
+    routes = t.v_stop_times.groupBy("trip_id").agg(members.alias("members")).withColumn("part", F.pmod("trip_id", F.lit(64)))
+    name = F.col("trip_id").cast("string")
+    element = F.struct(F.lit("relation").alias("type"), F.col("trip_id").alias("id"), "members", F.create_map(F.lit("ref"), name, F.lit("name"), name, F.lit("route"), F.lit("bus")).alias("tags"))
+    routes.groupBy("part").agg(F.collect_list(element).alias("elements")).write.partitionBy("part").json(at)
+    return readers.read_route_relations(t.spark, at).select("relation_id", "ref", "stop_count")
+
+
+@query("a18_skip_unchanged", "SELECT 'first' AS run, 1 AS files UNION ALL SELECT 'second', 0")
+def _(t):
+    none = t.nation.limit(0).select(F.lit("p").alias("provider"), F.lit("h").alias("sha256"), F.lit(0).alias("imported_at"))
+    first = readers.skip_unchanged(t.spark, f"{t.sf_dir}/supplier.parquet", "p", none)
+    second = readers.skip_unchanged(t.spark, f"{t.sf_dir}/supplier.parquet", "p", first.select("provider", "sha256", F.lit(1).alias("imported_at")))
+    return first.agg(F.lit("first").alias("run"), F.count("*").alias("files")).unionByName(second.agg(F.lit("second").alias("run"), F.count("*").alias("files")))
+
+
+@query("a19_ops_log", "SELECT user_id AS chunk_key, arg_max(event_id, (us, event_id)) AS event_id FROM (SELECT user_id, event_id, epoch_us(ts) AS us FROM events WHERE event_id % 3 <> 0) GROUP BY user_id")
+def _(t):
+    at = folder(t, "ops")
+    rows = t.events.select(F.col("user_id").alias("chunk_key"), "event_id", F.when(F.col("event_id") % 3 != 0, "done").otherwise("started").alias("state"), F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("n")).alias("at"))
+    writers.write_ops_log(rows, at)
+    return writers.read_ops_log(t.spark, at, "chunk_key long, event_id long, state string, at struct<us:long,n:long>").select("chunk_key", "event_id")
+
+
+@query("a20_read_seed_places", "SELECT name, lower(name) AS query, 'seed' AS origin, lat FROM v_stops")
+def _(t):
+    at = folder(t, "places")
+    place = F.struct("name", F.array("settlement").alias("aliases"), "lat", "lon")
+    t.v_stops.groupBy("settlement").agg(F.to_json(F.collect_list(place)).alias("value")).write.partitionBy("settlement").text(at)
+    return readers.read_seed_places(t.spark, at).select("name", "query", "origin", "lat")
+
+
+@query("a23_write_review_csv", "SELECT CAST(terminal_id AS VARCHAR) AS entity_id, reason, round(score, 6) AS score FROM v_reviews")
+def _(t):
+    at = folder(t, "reviews")
+    writers.write_review_csv(t.v_reviews.select(F.lit("terminal").alias("entity_type"), F.col("terminal_id").alias("entity_id"), "reason", "score", "observed_at"), at)
+    back = t.spark.read.schema("entity_type string, entity_id string, reason string, score double, observed_at string").option("header", True).csv(at)
+    return back.select("entity_id", "reason", r6("score").alias("score"))
+
+
+@query("s01_consume_outbox", "SELECT DISTINCT event_type AS region FROM events")
+def _(t):
+    regions: list[str] = []
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/event[s].parquet")
+    rows = stream.select(F.lit("terminal_created").alias("event"), F.col("event_type").alias("region"))
+    streams.consume_outbox(rows, regions.extend, folder(t, "outbox")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.createDataFrame([(r,) for r in sorted(set(regions))], "region string")
+
+
+@query("s04_expiry_stream", "SELECT user_id, count(*) AS seen, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_s FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, session")
+def _(t):
+    gone = streams.expiry_stream(t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "1 day")
+    return gone.select("user_id", "seen", F.unix_timestamp("first_seen").alias("first_s"), F.unix_timestamp("last_seen").alias("last_s"))
+
+
+@query("s06_cache_stream", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'miss' WHEN (epoch(ts) - epoch((SELECT min(ts) FROM events))) / 86400 <= 10 THEN 'fresh' ELSE 'stale' END AS state FROM events")
+def _(t):
+    first = t.events.agg(F.min("ts").cast("timestamp").alias("cached_at"))
+    asked = t.events.select("event_id", F.col("event_type").alias("text"), F.when(F.col("event_id") % 4 == 0, "osm").otherwise("yandex").alias("provider"), F.col("ts").cast("timestamp").alias("asked_at"))
+    cache = t.events.select(names.normalize_query(F.col("event_type")).alias("query")).distinct().join(first).select("query", F.lit("osm").alias("provider"), "cached_at", F.lit("live").alias("origin"), F.lit(True).alias("verified"))
+    return streams.cache_stream(asked, cache, days=10).select("event_id", "state")

@@ -182,14 +182,25 @@ def name_hash(name: Column, region: Column) -> Column:
     return F.substring(F.sha2(F.concat(name, F.lit("|"), region), 256), 1, 8)
 
 
+# Words, inner texts and beginnings that mark rural halts and turn-offs.
+HALT_WORDS, HALT_HEADS = ("оп", "о.п"), ("оп«", 'оп"')
+HALT_TEXTS = ("ост. пункт", "остановочный", "поворот", "пов.", " оп ", " оп«", "оп «", " пов ")
+HALT_STARTS = ("оп ", "пов ")
+# Words and texts of hubs, and the text of airports.
+HUB_WORDS, HUB_TEXTS, AIRPORT = ("ав", "авт", "а/в"), ("автовокзал", "автостанция"), "аэропорт"
+
+
+def _holds(c: Column, texts) -> Column:
+    return F.exists(F.array(*[F.lit(t) for t in texts]), lambda t: F.contains(c, t))
+
+
 def is_village_name(c: Column) -> Column:
     """Names of rural halts and turn-offs."""
     low = F.lower(c)
     words = F.transform(_tokens(low), lambda t: F.btrim(t, F.lit(" \t\"'«».,;:!*")))
-    halt = F.exists(words, lambda w: w.isin("оп", "о.п") | (F.length(w).between(3, 5) & (w.startswith("оп«") | w.startswith('оп"'))))
-    text = F.contains(low, F.lit("ост. пункт")) | F.contains(low, F.lit("остановочный")) | F.contains(low, F.lit("поворот")) | F.contains(low, F.lit("пов."))
-    loose = low.startswith("оп ") | F.contains(low, F.lit(" оп ")) | F.contains(low, F.lit(" оп«")) | F.contains(low, F.lit("оп «")) | F.contains(low, F.lit(" пов ")) | low.startswith("пов ")
-    return halt | text | loose
+    starts = lambda x, heads: F.exists(F.array(*[F.lit(h) for h in heads]), lambda h: F.startswith(x, h))
+    halt = F.exists(words, lambda w: _in(w, HALT_WORDS) | (F.length(w).between(3, 5) & starts(w, HALT_HEADS)))
+    return halt | _holds(low, HALT_TEXTS) | starts(low, HALT_STARTS)
 
 
 def village_penalty(c: Column) -> Column:
@@ -204,8 +215,8 @@ def is_plausible_settlement(c: Column) -> Column:
 def infer_stop_type(c: Column) -> Column:
     """Airport, hub, platform or station from the name."""
     low = F.lower(c)
-    hub = F.exists(_tokens(low), lambda t: t.isin("ав", "авт", "а/в")) | F.contains(low, F.lit("автовокзал")) | F.contains(low, F.lit("автостанция"))
-    return F.when(F.contains(low, F.lit("аэропорт")), "airport").when(hub, "hub").when(is_village_name(c), "platform").otherwise("station")
+    hub = F.exists(_tokens(low), lambda t: _in(t, HUB_WORDS)) | _holds(low, HUB_TEXTS)
+    return F.when(F.contains(low, F.lit(AIRPORT)), "airport").when(hub, "hub").when(is_village_name(c), "platform").otherwise("station")
 
 
 def classify_stop(name: Column, tags: Column) -> Column:
@@ -218,7 +229,7 @@ def classify_stop(name: Column, tags: Column) -> Column:
 def stop_type_signal(stop_type: Column, terminal_name: Column) -> Column:
     """The terminal's name has the word for the stop's type."""
     low = F.lower(terminal_name)
-    return F.when(stop_type == "hub", F.contains(low, F.lit("автовокзал")) | F.contains(low, F.lit("автостанция"))).when(stop_type == "airport", F.contains(low, F.lit("аэропорт"))).otherwise(False)
+    return F.when(stop_type == "hub", _holds(low, HUB_TEXTS)).when(stop_type == "airport", F.contains(low, F.lit(AIRPORT))).otherwise(False)
 
 
 def has_contrast_word(stop_name: Column, terminal_name: Column) -> Column:

@@ -26,7 +26,7 @@ def persist_attach(report: dict[str, DataFrame], canon: dict[str, DataFrame], no
     times = canon["stop_times"].join(fresh.select("trip_id"), "trip_id", "left_anti").unionByName(named)
     staged = report["outcomes"].where("outcome = 'staged'").select(F.col("trip_nk").alias("trip_id"), "route_id", "state", now.alias("observed_at"))
     staging = canon["staging"].join(report["outcomes"].select(F.col("trip_nk").alias("trip_id")), "trip_id", "left_anti").unionByName(staged)
-    opened = report["outcomes"].where("state IN ('incomplete_trip', 'needs_review', 'duplicate_ambiguous', 'low_confidence')").select(F.lit("trip").alias("entity_type"), F.xxhash64("trip_nk").alias("entity_id"), F.col("state").alias("reason"), F.lit(0.0).alias("score"), F.col("trip_nk").alias("fingerprint"), now.alias("observed_at"))
+    opened = report["outcomes"].where("state IN ('incomplete_trip', 'needs_review', 'duplicate_ambiguous', 'low_confidence')").select(F.lit("trip").alias("entity_type"), keys.surrogate_id(F.lit("trip"), F.col("state"), F.lit("attach"), F.col("trip_nk")).alias("entity_id"), F.col("state").alias("reason"), F.lit(0.0).alias("score"), F.col("trip_nk").alias("fingerprint"), now.alias("observed_at"))
     reviews = resolve_reviews(upsert_reviews(canon["reviews"], opened), fresh.select(F.col("trip_id").alias("fingerprint")))
     return dict(canon) | {"trips": trips, "stop_times": times, "staging": staging, "reviews": reviews}
 

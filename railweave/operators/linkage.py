@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railweave.functions import geo, names
-from railweave.operators.graph import components, keep
+from railweave.operators.graph import components, drop, keep
 from railweave.operators.sequences import first_per_key
 
 # Weights of name, geometry, settlement and transport.
@@ -113,24 +113,26 @@ def _code_keys(df: DataFrame, key: str) -> DataFrame:
     return one.select(key, F.explode(F.array(F.struct(F.lit("type").alias("kind"), F.coalesce("x.code_type", F.lit("")).alias("grp"), F.col("x.code").alias("code")), F.struct(F.lit("system").alias("kind"), F.coalesce("x.system", F.lit("")).alias("grp"), F.col("x.code").alias("code")))).alias("k")).select(key, "k.*").distinct()
 
 
-def link_candidates(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig(), exact: bool = False) -> DataFrame:
+def link_candidates(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
     """C01, blocking: distinct (left_id, right_id) that may link.
 
-    Same or neighbouring grid cell within the window; equal codes; and where a side has no point,
-    pairs that share a word of their core names, without which no name reaches the
-    ambiguity floor. ``exact`` takes every pair there, for small inputs only.
+    Same or neighbouring grid cell within the window; equal codes; and where a side
+    has no point, every pair that scores enough to change a decision. A row without
+    a point is a candidate of everything by rule, and the score may come from the
+    settlement or from letters alone, so no key finds these pairs: the rows without
+    a point are compared with all rows, and only pairs above the floor leave the
+    comparison. The floor is ``threshold - margin - ambiguity``: a best pair below
+    ``threshold - margin`` decides nothing, and a second one counts within
+    ``ambiguity`` or ``margin`` of it only.
     """
     point = "lat IS NOT NULL AND lon IS NOT NULL"
     l = left.where(point).select("left_id", "lat", "lon").withColumn("cell", F.explode(geo.neighbour_cells(F.col("lat"), F.col("lon"), cfg.cell)))
     r = right.where(point).select("right_id", F.col("lat").alias("rlat"), F.col("lon").alias("rlon")).withColumn("cell", geo.geo_cell(F.col("rlat"), F.col("rlon"), cfg.cell))
     near = l.join(r, "cell").where(geo.planar_m2(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) <= cfg.window_m**2).select("left_id", "right_id")
     coded = _code_keys(left, "left_id").join(_code_keys(right, "right_id"), ["kind", "grp", "code"]).select("left_id", "right_id")
-    bare_l, bare_r = left.where(f"NOT ({point})"), right.where(f"NOT ({point})")
-    if exact:
-        loose = left.select("left_id").crossJoin(F.broadcast(bare_r.select("right_id"))).union(bare_l.select("left_id").crossJoin(F.broadcast(right.select("right_id"))))
-    else:
-        words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split(names.core_name(F.col("name")), " "), lambda w: w != ""))).alias("w"))
-        loose = words(left, "left_id").join(words(bare_r, "right_id"), "w").select("left_id", "right_id").union(words(bare_l, "left_id").join(words(right, "right_id"), "w").select("left_id", "right_id"))
+    floor = cfg.threshold - cfg.margin - cfg.ambiguity - 1e-9
+    good = lambda a, b: a.alias("a").crossJoin(b.alias("b")).where(score_pair_records(_side("a"), _side("b"), cfg)["score"] >= floor).select("left_id", "right_id")
+    loose = good(left, right.where(f"NOT ({point})")).union(good(left.where(f"NOT ({point})"), right.where(point)))
     return near.union(coded).union(loose).distinct()
 
 
@@ -169,7 +171,8 @@ def decide_join(scored: DataFrame, cfg: LinkConfig = LinkConfig(), rounds: int =
         settled = keep(_judge(live.join(ready, "left_id"), sizes, cfg), "settled")
         done = settled if done is None else done.unionByName(settled)
         used = settled.where("result <> 'identity_only'").select("right_id")
-        live = keep(live.join(settled.select("left_id"), "left_id", "left_anti").join(used, "right_id", "left_anti"), "live")
+        before, live = live, keep(live.join(settled.select("left_id"), "left_id", "left_anti").join(used, "right_id", "left_anti"), "live")
+        drop(before)
     if not live.isEmpty():
         done = done.unionByName(_serially(live, sizes, cfg)) if done is not None else _serially(live, sizes, cfg)
     if done is None:
@@ -210,13 +213,14 @@ def _serially(live: DataFrame, sizes: DataFrame, cfg: LinkConfig) -> DataFrame:
     return rows.groupBy("root").applyInPandas(group, schema)
 
 
-def blocked_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig(), exact: bool = False) -> DataFrame:
+def blocked_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
     """(left_id, right_id, score, second, result) for every left row.
 
-    Result is enriched, ambiguous or identity_only; right_id is NULL for the last.
+    Result is enriched, ambiguous or identity_only; right_id is NULL for the last,
+    whose score and second are those of the candidates of :func:`link_candidates`.
     Columns of both sides: their id, ordinal, name, lat, lon, settlement, transport, codes.
     """
-    links = decide_join(scored_links(left, right, link_candidates(left, right, cfg, exact), cfg), cfg)
+    links = decide_join(scored_links(left, right, link_candidates(left, right, cfg), cfg), cfg)
     found = links.select("left_id", F.when(F.col("result") != "identity_only", F.col("right_id")).alias("right_id"), "score", "second", "result")
     return left.select("left_id").join(found, "left_id", "left").select("left_id", "right_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("second", F.lit(0.0)).alias("second"), F.coalesce("result", F.lit("identity_only")).alias("result"))
 
@@ -336,25 +340,25 @@ def collapse_stop_area(records: DataFrame, metres: float = 300.0) -> DataFrame:
     return tagged.groupBy("grp").agg(F.min_by("record_id", base).alias("record_id"), F.min_by("name", base).alias("name"), F.min_by("lat", base).alias("lat"), F.min_by("lon", base).alias("lon"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split(F.coalesce("transport", F.lit("")), r"\+"), lambda x: x != ""))))), "+").alias("transport"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"), F.count("*").alias("members")).drop("grp")
 
 
-def group_terminals(stops: DataFrame, metres: float = 200.0, rounds: int = 64) -> DataFrame:
+def group_terminals(stops: DataFrame, metres: float = 200.0) -> DataFrame:
     """First-fit grouping: in input order a stop joins the first leader nearer than ``metres``, else leads.
 
     Rounds: a stop without an earlier undecided stop in range is decided, as a
-    member of the earliest leader in range or as a leader. Stops without a point lead alone.
+    member of the earliest leader in range or as a leader. The first undecided
+    stop is decided in every round, so the loop ends with none left. Stops without
+    a point lead alone.
     """
     from railweave.operators.spatial import near_join
 
     held = stops.select(F.col("ordinal").alias("o2"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
     pairs = keep(near_join(stops.select("stop_id", "ordinal", "lat", "lon"), held, metres / 1000.0).where(F.col("km") * 1000 < metres).where("o2 < ordinal").select("ordinal", "o2"), "fits")
     state = keep(stops.select("ordinal", F.lit(None).cast("long").alias("leader")), "state")
-    for _ in range(rounds):
-        open_ = state.where("leader IS NULL").select("ordinal")
-        if open_.isEmpty():
-            break
+    while not state.where("leader IS NULL").isEmpty():
         known = pairs.join(state.select(F.col("ordinal").alias("o2"), F.col("leader").alias("l2")), "o2")
         seen = known.groupBy("ordinal").agg(F.bool_or(F.col("l2").isNull()).alias("wait"), F.min(F.when(F.col("l2") == F.col("o2"), F.col("o2"))).alias("lead"), F.min(F.when(F.col("l2").isNull(), F.col("o2"))).alias("pending"))
         now = state.join(seen, "ordinal", "left")
         # An earlier leader settles the matter even if later rows in range are still open.
         settle = F.when(F.col("lead").isNotNull() & (F.col("pending").isNull() | (F.col("lead") < F.col("pending"))), F.col("lead")).when(~F.coalesce("wait", F.lit(False)), F.col("ordinal"))
-        state = keep(now.select("ordinal", F.coalesce("leader", settle).alias("leader")), "state")
+        before, state = state, keep(now.select("ordinal", F.coalesce("leader", settle).alias("leader")), "state")
+        drop(before)
     return stops.select("stop_id", "ordinal").join(state, "ordinal").join(stops.select(F.col("ordinal").alias("leader"), F.col("stop_id").alias("terminal_id")), "leader").select("stop_id", "terminal_id")

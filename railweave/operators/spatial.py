@@ -84,13 +84,13 @@ def resolve_stop_coords(stops: DataFrame, terminals: DataFrame, floor: float = 0
     keys = lambda df, c: df.withColumn("_key", F.explode(names.settlement_keys(F.col(c))))
     own = keys(bare, "settlement").join(keys(held, "tplace"), "_key").where(names.same_settlement(F.col("settlement"), F.col("tplace"))).drop("_key").dropDuplicates(["stop_id", "terminal_id"])
     rest = bare.join(own.select("stop_id").distinct(), "stop_id", "left_anti")
-    # Homeless terminals meet a stop only through a word of its name, without which no score reaches the floor.
-    words = lambda c: F.explode(F.filter(F.split(names.core_name(F.col(c)), " "), lambda w: w != ""))
-    loose = rest.withColumn("_w", words("name")).join(held.where("tplace = ''").withColumn("_w", words("tname")), "_w").drop("_w").dropDuplicates(["stop_id", "terminal_id"])
     kind = names.infer_stop_type(F.col("name"))
     score = names.name_similarity(F.col("name"), F.col("tname"))
     total = score + F.when(names.stop_type_signal(kind, F.col("tname")), 0.25).otherwise(0.0) - F.when(names.has_contrast_word(F.col("name"), F.col("tname")), 0.25).otherwise(0.0)
-    scored = own.unionByName(loose).withColumn("score", total)
+    # Terminals without a settlement are open to all these stops by rule, and names need share no word;
+    # below the floor neither a best nor a second one counts, so no such pair leaves the comparison.
+    loose = rest.crossJoin(held.where("tplace = ''")).withColumn("score", total).where(F.col("score") >= floor)
+    scored = own.withColumn("score", total).unionByName(loose)
     w = Window.partitionBy("stop_id").orderBy(F.desc("score"), "terminal_id")
     top = scored.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("score").over(w)).where("n = 1")
     good = top.where((F.col("score") >= floor) & (F.col("second").isNull() | (F.col("second") < floor) | (F.col("score") - F.col("second") >= gap)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from railweave.functions import names
+from railweave.operators.graph import drop, keep
 from railweave.operators.sequences import first_per_key
 
 
@@ -173,20 +174,25 @@ def kpi_report(coverage: DataFrame, outcomes: DataFrame, staging: DataFrame, sha
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
-def closure_table(places: DataFrame, root: int | None = None, most: int = 32) -> DataFrame:
+def closure_table(places: DataFrame, root: int | None = None) -> DataFrame:
     """(ancestor, descendant, depth) of a parent-pointer hierarchy, depth 0 included.
 
-    Doubles the reach each round, so a hierarchy of depth d takes log2(d) joins;
-    ``most`` bounds the depth and with it a broken hierarchy that runs in a circle.
+    Doubles the reach each round, so a hierarchy of depth d takes log2(d) joins. A
+    place that is its own ancestor has no depth: that raises an error.
     """
     up = places.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("ancestor"), F.col("place_id").alias("descendant"), F.lit(1).alias("depth"))
-    reach, have = 1, up
-    while reach < most:
+    reach, have = 1, keep(up, "closure")
+    while True:
+        if not have.where("ancestor = descendant").isEmpty():
+            raise ValueError("the hierarchy runs in a circle")
         step = have.where(F.col("depth") == reach)
         far = have.alias("a").join(step.alias("b"), F.col("a.ancestor") == F.col("b.descendant")).select("b.ancestor", "a.descendant", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        if far.isEmpty():
+        more = keep(have.unionByName(far).distinct(), "closure")
+        if more.where(F.col("depth") > reach).isEmpty():
+            drop(more)
             break
-        have, reach = have.unionByName(far).distinct(), reach * 2
+        drop(have)
+        have, reach = more, reach * 2
     own = places.select(F.col("place_id").alias("ancestor"), F.col("place_id").alias("descendant"), F.lit(0).alias("depth"))
     full = own.unionByName(have)
     if root is None:

@@ -25,7 +25,7 @@ VIEWS = {
         UNION ALL SELECT CAST(2000000 + n_nationkey AS BIGINT), CAST(1000000 + n_regionkey AS BIGINT), n_name, 4 FROM {nation}
         UNION ALL SELECT CAST(3000000 + s_suppkey AS BIGINT), CAST(2000000 + s_nationkey AS BIGINT), s_name, 5 FROM {supplier}""",
     "v_routes": """SELECT c_custkey AS route_id, c_name AS name, n_name AS carrier, lpad(CAST(c_nationkey AS VARCHAR(4)), 2, '0') || '.' || CAST(c_custkey AS VARCHAR(12)) AS code, CASE WHEN c_custkey % 5 = 0 THEN 'rail' ELSE 'bus' END AS mode,
-        CASE WHEN c_custkey % 13 = 0 THEN CAST('2024-01-01' AS DATE) END AS valid_to, CASE WHEN c_custkey % 2 = 0 THEN 'north' ELSE 'south' END AS provider FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey < 200""",
+        CASE WHEN c_custkey % 13 = 0 THEN CAST('2024-01-01' AS DATE) END AS valid_to, CASE WHEN c_custkey % 2 = 0 THEN 'north' ELSE 'south' END AS provider FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "v_outcomes": """SELECT o_orderkey AS trip_id, o_custkey % 200 AS route_id, r_name AS region, CASE WHEN o_orderkey % 5 = 0 THEN 'dead' WHEN o_orderkey % 3 = 0 THEN 'staged' ELSE 'promoted' END AS outcome,
         CASE WHEN o_orderkey % 3 = 0 THEN 'awaiting_times' WHEN o_orderkey % 5 = 0 THEN 'skeleton_gap' ELSE 'done' END AS state, CAST(o_orderdate AS DATE) AS observed_at
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",

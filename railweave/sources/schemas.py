@@ -1,4 +1,7 @@
-"""Schemas of all sources; nothing is inferred."""
+"""Schemas of all sources; nothing is inferred.
+
+Fixed values: the field names are those of the files that are read.
+"""
 
 CODES = "array<struct<system:string,code_type:string,code:string>>"
 STATIONS = "id long, kind string, name string, tags map<string,string>, lat double, lon double"

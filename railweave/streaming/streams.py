@@ -60,6 +60,6 @@ def quota_stream(stream: DataFrame, limit: int, time: str = "ts", late: str = "1
     return rows.select("provider", F.to_date("w.start").alias("day"), "calls", (F.col("calls") > limit).alias("over"))
 
 
-def cache_stream(stream: DataFrame, cache: DataFrame, now: str = "asked_at") -> DataFrame:
+def cache_stream(stream: DataFrame, cache: DataFrame, now: str = "asked_at", days: int = 90, short_days: int = 7) -> DataFrame:
     """Queries with their cache state, against a static cache table."""
-    return geocode_cache_join(stream, cache, F.col(now))
+    return geocode_cache_join(stream, cache, F.col(now), days, short_days)
