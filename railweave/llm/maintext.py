@@ -232,6 +232,8 @@ LABELLED = [
     '<div class="entry" data-main><h1>[5]</h1><p>[30]</p><p>[6]</p></div><p><a href=x>[3]</a></p><div class="content" data-main><p>[10.]</p><p>[12]</p></div><p><a href=x>[3]</a></p>',
     '<article data-main><p>[8.]</p><p>[3]</p></article>', '<main data-main><p>[20]</p><p>[9]</p></main>', '<footer>[4]</footer><article data-main><p>[30.]</p><ul><li>[4]</li><li>[2]</li></ul></article>',
     '<nav><a href=x>[2]</a></nav><div class="content" data-main><h1>[3]</h1><p>[14]</p></div>', '<div class="ad">[9]</div><section class="post" data-main><p>[2]</p><p>[1]</p></section>',
+    '<article data-main><p>[5]</p><p>[4] copyright [2]</p></article>', '<main data-main><p><a href=x>[4]</a></p><p>[3]</p></main>', '<article data-main><p>© [3]</p></article>',
+    '<nav><a href=x>[2]</a></nav><main data-main><p>[12.]</p><p>[7] terms</p></main>', '<article data-main><p>[9.]</p><p><a href=x>[2]</a></p><p>cookies [8]</p></article>',
     '<article data-main><p>© [5.]</p><h2>cookies</h2><p>login [30.]</p></article><div class="cookie">[12.] cookies accept</div>',
     '<div>[1]</div><div>[2]</div><div data-main><p>[18.]</p><p>[1.]</p><p>[16.]</p><p>[3.]</p><p>[25.]</p></div><div><p><a href=x>[2]</a></p><p><a href=x>[2]</a></p></div><div>[2]</div>',
     '<div><a href=x>[2]</a> <a href=x>[2]</a></div><h1 data-main>[8]</h1><p data-main>[12.]</p><h2 data-main>[2]</h2><p data-main>[14.]</p><p data-main>[8.]</p><p data-main>[11.]</p><div><a href=x>[1]</a> <a href=x>[1]</a></div><div>© [5]</div>',
