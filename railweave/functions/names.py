@@ -93,13 +93,21 @@ def _stem_fits(adj: Column, city: Column) -> Column:
 
 def same_settlement(a: Column, b: Column) -> Column:
     """Equal cores, or one the adjective of the other."""
-    x, y = core_name(a), core_name(b)
+    return same_core(core_name(a), core_name(b))
+
+
+def same_core(x: Column, y: Column) -> Column:
+    """H04 for core names made beforehand."""
     return F.coalesce((x != "") & (y != "") & ((x == y) | _stem_fits(x, y) | _stem_fits(y, x)), F.lit(False))
 
 
 def settlement_keys(c: Column) -> Column:
     """Keys of which two names share one whenever H04 holds; a re-check follows the join."""
-    core = core_name(c)
+    return core_keys(core_name(c))
+
+
+def core_keys(core: Column) -> Column:
+    """H05 for a core name made beforehand."""
     stems = [F.when(core.endswith(e) & (F.length(core) - len(e) >= 4), core.substr(F.lit(1), F.length(core) - len(e))) for e in ADJECTIVE]
     heads = [F.when(F.length(core) - k >= 4, core.substr(F.lit(1), F.length(core) - k)) for k in (1, 2)]
     return F.array_distinct(F.filter(F.array(F.when(core != "", core), *stems, *heads), lambda x: x.isNotNull()))
@@ -115,22 +123,26 @@ def _ratio(x: Column, y: Column) -> Column:
     return F.when(x == y, 0.0).when((F.length(x) == 0) | (F.length(y) == 0), 1.0).otherwise(F.levenshtein(x, y) / most)
 
 
-def _plain_similarity(x: Column, y: Column) -> Column:
+def plain_similarity(x: Column, y: Column) -> Column:
     inside = (F.length(x) >= 3) & (F.length(y) >= 3) & (F.contains(x, y) | F.contains(y, x))
     return F.when(x == y, 1.0).when(inside, 0.9).otherwise(F.greatest(F.lit(0.0), 1.0 - _ratio(x, y)))
 
 
 def normalized_similarity(a: Column, b: Column) -> Column:
     """Similarity of normalised names, without the subset step."""
-    return _plain_similarity(normalize_name(a), normalize_name(b))
+    return plain_similarity(normalize_name(a), normalize_name(b))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
     """Similarity of core names; of normalised names where a core is empty."""
-    x, y = core_name(a), core_name(b)
+    return core_similarity(core_name(a), core_name(b), normalize_name(a), normalize_name(b))
+
+
+def core_similarity(x: Column, y: Column, a: Column, b: Column) -> Column:
+    """H06 for core names x, y and normalised names a, b made beforehand."""
     p, q = F.split(x, " "), F.split(y, " ")
     subset = (F.size(F.array_except(p, q)) == 0) | (F.size(F.array_except(q, p)) == 0)
-    return F.when((x == "") | (y == ""), normalized_similarity(a, b)).when(x == y, 1.0).when(subset, 0.95).otherwise(_plain_similarity(x, y))
+    return F.when((x == "") | (y == ""), plain_similarity(a, b)).when(x == y, 1.0).when(subset, 0.95).otherwise(plain_similarity(x, y))
 
 
 def name_match(a: Column, b: Column, threshold: float) -> Column:
@@ -238,17 +250,17 @@ def has_contrast_word(stop_name: Column, terminal_name: Column) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in CONTRAST]), lambda w: F.contains(t, w) & ~F.contains(s, w))
 
 
-def _parts(c: Column) -> Column:
+def modes(c: Column) -> Column:
     return F.filter(F.split(c, r"\+"), lambda x: x != "")
 
 
 def normalize_transport(c: Column) -> Column:
     """Distinct modes in order, joined by +."""
-    return F.array_join(F.array_sort(F.array_distinct(_parts(c))), "+")
+    return F.array_join(F.array_sort(F.array_distinct(modes(c))), "+")
 
 
 def transport_overlap(a: Column, b: Column) -> Column:
-    return F.arrays_overlap(_parts(a), _parts(b))
+    return F.arrays_overlap(modes(a), modes(b))
 
 
 def name_adds_context(long: Column, short: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +34,32 @@ def codes_match(a: Column, b: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def _features(a: Callable[[str], Column], b: Callable[[str], Column], name: Column, t: Column | float) -> tuple[Column, Column]:
+def _facts(name: Column, settlement: Column, transport: Column) -> dict[str, Column]:
+    """What the scores need of one side's names, each worked out once a record."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return {"norm": names.normalize_name(name), "core": names.core_name(name), "place": names.core_name(settlement), "settled": some(settlement), "modes": names.modes(transport), "moved": some(transport)}
+
+
+def prepared(df: DataFrame) -> DataFrame:
+    """``df`` with a struct ``facts`` of its names, so that pairs don't normalise them again."""
+    return df.withColumn("facts", F.struct(*[c.alias(k) for k, c in _facts(F.col("name"), F.col("settlement"), F.col("transport")).items()]))
+
+
+def _known(side: Callable[[str], Column], ready: bool) -> Callable[[str], Column]:
+    """A side's facts by name, from its ``facts`` column if it is prepared."""
+    if ready:
+        return lambda k: side("facts")[k]
+    facts = _facts(side("name"), side("settlement"), side("transport"))
+    return lambda k: facts[k]
+
+
+def _features(a: Callable[[str], Column], b: Callable[[str], Column], x: Callable[[str], Column], y: Callable[[str], Column], name: Column, t: Column | float) -> tuple[Column, Column]:
     """Weighted score over the features that are present, and the distance in metres."""
     metres = geo.haversine_km(a("lat"), a("lon"), b("lat"), b("lon")) * 1000.0
     far = t if isinstance(t, Column) else F.lit(float(t))
     band = F.when(metres <= far / 5, 1.0).when(metres <= far, 0.6).when(metres <= far * 4, 0.25).otherwise(0.0)
-    some = lambda c: F.coalesce(c, F.lit("")) != ""
-    has = [F.lit(True), metres.isNotNull(), some(a("settlement")) & some(b("settlement")), some(a("transport")) & some(b("transport"))]
-    value = [name, band, F.when(names.same_settlement(a("settlement"), b("settlement")), 1.0).otherwise(0.0), F.when(names.transport_overlap(a("transport"), b("transport")), 1.0).otherwise(0.0)]
+    has = [F.lit(True), metres.isNotNull(), x("settled") & y("settled"), x("moved") & y("moved")]
+    value = [name, band, F.when(names.same_core(x("place"), y("place")), 1.0).otherwise(0.0), F.when(F.arrays_overlap(x("modes"), y("modes")), 1.0).otherwise(0.0)]
     top, bottom = F.lit(0.0), F.lit(0.0)
     for h, v, w in zip(has, value, WEIGHTS, strict=True):
         top = top + F.when(h, v * w).otherwise(0.0)
@@ -48,10 +67,14 @@ def _features(a: Callable[[str], Column], b: Callable[[str], Column], name: Colu
     return top / bottom, metres
 
 
-def score_pair_records(a: Callable[[str], Column], b: Callable[[str], Column], cfg: LinkConfig = LinkConfig(), name_sim=names.normalized_similarity) -> Column:
-    """Struct (score, metres, code) of two records; ``a`` and ``b`` give a side's column by name."""
+def score_pair_records(a: Callable[[str], Column], b: Callable[[str], Column], cfg: LinkConfig = LinkConfig(), ready: bool = False) -> Column:
+    """Struct (score, metres, code) of two records; ``a`` and ``b`` give a side's column by name.
+
+    With ``ready`` both sides come from :func:`prepared`.
+    """
+    x, y = _known(a, ready), _known(b, ready)
     code = codes_match(a("codes"), b("codes"))
-    score, metres = _features(a, b, name_sim(a("name"), b("name")), cfg.distance_m)
+    score, metres = _features(a, b, x, y, names.plain_similarity(x("norm"), y("norm")), cfg.distance_m)
     return F.struct(F.when(code, 1.0).otherwise(score).alias("score"), metres.alias("metres"), code.alias("code"))
 
 
@@ -66,15 +89,16 @@ def trust(a: Column, b: Column) -> Column:
     return out.when(x == y, 0.6).otherwise(1.0)
 
 
-def score_pair_attach(a: Callable[[str], Column], b: Callable[[str], Column], density: Column, distance_m: Column | float = 500.0, name_sim=names.name_similarity) -> Column:
+def score_pair_attach(a: Callable[[str], Column], b: Callable[[str], Column], density: Column, distance_m: Column | float = 500.0, ready: bool = False) -> Column:
     """Struct (value, trust, code, has_geom, metres, name_sim, guard) of a stop and a terminal."""
+    x, y = _known(a, ready), _known(b, ready)
     t = trust(a("source"), b("source"))
     code = codes_match(a("codes"), b("codes"))
-    sim = name_sim(a("name"), b("name"))
-    score, metres = _features(a, b, sim, distance_m)
+    sim = names.core_similarity(x("core"), y("core"), x("norm"), y("norm"))
+    score, metres = _features(a, b, x, y, sim, distance_m)
     rural = density.isin("rural", "suburban")
     close = F.coalesce(metres <= (distance_m if isinstance(distance_m, Column) else F.lit(float(distance_m))), F.lit(False))
-    guard = code | close | F.coalesce(rural & (sim >= 0.8) & names.same_settlement(a("settlement"), b("settlement")) & (t >= 1), F.lit(False))
+    guard = code | close | F.coalesce(rural & (sim >= 0.8) & names.same_core(x("place"), y("place")) & (t >= 1), F.lit(False))
     return F.struct(F.when(code, t).otherwise(t * score).alias("value"), t.alias("trust"), code.alias("code"), (~code & metres.isNotNull()).alias("has_geom"), F.when(~code, metres).alias("metres"), sim.alias("name_sim"), guard.alias("guard"))
 
 
@@ -113,17 +137,96 @@ def _code_keys(df: DataFrame, key: str) -> DataFrame:
     return one.select(key, F.explode(F.array(F.struct(F.lit("type").alias("kind"), F.coalesce("x.code_type", F.lit("")).alias("grp"), F.col("x.code").alias("code")), F.struct(F.lit("system").alias("kind"), F.coalesce("x.system", F.lit("")).alias("grp"), F.col("x.code").alias("code")))).alias("k")).select(key, "k.*").distinct()
 
 
+def _in_blocks(left: DataFrame, right: DataFrame, rows: int = 1 << 12) -> DataFrame:
+    """Every left row with every right row: the right side in blocks, to each of which the left side is sent.
+
+    For rules that ask for all pairs. Blocks are keys of an equi-join, so neither
+    side is broadcast and no task gets more than one block of the right side.
+    """
+    blocks = max(1, -(-right.count() // rows))
+    l = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    r = right.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
+    return l.alias("a").join(r.alias("b"), "_block")
+
+
+def _letters(text: Column) -> Column:
+    """Letters, each with its number among its like, so that multisets meet as sets; '' for an empty name."""
+    chars = F.split(text, "")
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string"))))
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of three letters."""
+    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: dict[str, float]) -> DataFrame:
+    """Pairs (x, y) of distinct names with a similarity of at least ``least[kind]``, exactly.
+
+    Rows are (kind, norm); only rows of one kind meet. A similarity s of 1 - edits
+    over the longer length leaves at least s times the longer length of letters in
+    common, as multisets. Of letters in one order, rarest first, two such names
+    share one among the first n - ceil(s n) + 1 of each (prefix filter), and their
+    lengths differ by the factor s at most. A name inside another shares its
+    rarest run of three letters with it. What meets is compared in full, once for
+    each pair of names.
+    """
+    both = [df.distinct() for df in (left, right)]
+    bound = F.element_at(F.create_map(*[F.lit(x) for kv in least.items() for x in kv]), F.col("kind"))
+    out = []
+    for cut, fits in ((_letters, F.least(F.length("x"), F.length("y")) >= bound * F.greatest(F.length("x"), F.length("y")) - 1e-9), (_grams, F.contains("x", F.col("y")) | F.contains("y", F.col("x")))):
+        lists = [df.select("kind", "norm", F.posexplode(cut(F.col("norm"))).alias("at", "t")).drop("at") for df in both]
+        rare = lists[0].select("t").union(lists[1].select("t")).groupBy("t").agg(F.count("*").alias("n"))
+        sides = []
+        for rows in lists:
+            ranked = rows.join(rare, "t").groupBy("kind", "norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("ts"))
+            size = F.size("ts")
+            sides.append(ranked.withColumn("first", F.slice("ts", F.lit(1), size - F.ceil(bound * size - 1e-9).cast("int") + 1) if cut is _letters else F.slice("ts", 1, 1)))
+        named = lambda df, name, lot: df.select("kind", F.col("norm").alias(name), F.col(lot).alias(f"{name}s"), F.explode(lot).alias("t"))
+        l, r = sides
+        if cut is _letters:
+            met = named(l, "x", "first").join(named(r, "y", "first"), ["kind", "t"]).where(fits)
+            # A pair meets at each common letter; it is compared at the first one only.
+            met = met.where(F.element_at(F.array_intersect("xs", "ys"), 1) == F.col("t")).select("kind", "x", "y")
+        else:
+            one = named(l, "x", "first").join(named(r, "y", "ts"), ["kind", "t"])
+            two = named(l, "x", "ts").join(named(r, "y", "first"), ["kind", "t"])
+            met = one.select("kind", "x", "y").union(two.select("kind", "x", "y")).where(fits)
+        out.append(met.where(names.plain_similarity(F.col("x"), F.col("y")) >= bound - 1e-9))
+    return out[0].union(out[1]).select("x", "y", "kind").distinct()
+
+
+def _alike(left: DataFrame, right: DataFrame, floor: float, cfg: LinkConfig) -> DataFrame:
+    """(left_id, right_id) of prepared rows whose score without geometry reaches ``floor``.
+
+    Rows of one settlement meet by its keys. Other pairs get nothing from the
+    settlement, so their names alone must be like enough: by how much follows from
+    the weights, the settlement being absent on a side or contradicting.
+    """
+    name, _, place, mode = WEIGHTS
+    # The best the other features can do: the transport agrees, or is absent.
+    need = lambda w: min((floor * (name + w + mode) - mode) / name, floor * (name + w) / name)
+    least = {"any": need(0.0), "blank": need(0.0), "both": need(place)}
+    keyed = lambda df, key, other: df.where("facts.place <> ''").select(F.col(key).alias(other), F.explode(names.core_keys(F.col("facts.place"))).alias("_key"))
+    at_home = keyed(left, "left_id", "left_id").join(keyed(right, "right_id", "right_id"), "_key").select("left_id", "right_id").distinct()
+    kinds = lambda yes, no: F.explode(F.when(F.col("facts.settled"), F.array(*[F.lit(k) for k in yes])).otherwise(F.array(*[F.lit(k) for k in no]))).alias("kind")
+    l = left.select("left_id", "facts.norm", kinds(("blank", "both"), ("any",)))
+    r = right.select("right_id", "facts.norm", kinds(("any", "both"), ("any", "blank")))
+    like = similar_names(l.select("kind", "norm"), r.select("kind", "norm"), least)
+    abroad = l.withColumnRenamed("norm", "x").join(like, ["kind", "x"]).join(r.withColumnRenamed("norm", "y"), ["kind", "y"]).select("left_id", "right_id")
+    pairs = at_home.union(abroad).distinct()
+    rows = pairs.join(left.alias("a"), "left_id").join(right.alias("b"), "right_id")
+    return rows.where(score_pair_records(_side("a"), _side("b"), cfg, ready=True)["score"] >= floor).select("left_id", "right_id")
+
+
 def link_candidates(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
     """C01, blocking: distinct (left_id, right_id) that may link.
 
     Same or neighbouring grid cell within the window; equal codes; and where a side
-    has no point, every pair that scores enough to change a decision. A row without
-    a point is a candidate of everything by rule, and the score may come from the
-    settlement or from letters alone, so no key finds these pairs: the rows without
-    a point are compared with all rows, and only pairs above the floor leave the
-    comparison. The floor is ``threshold - margin - ambiguity``: a best pair below
-    ``threshold - margin`` decides nothing, and a second one counts within
-    ``ambiguity`` or ``margin`` of it only.
+    has no point, every pair that scores enough to change a decision, by a
+    similarity join (see :func:`_alike`). The floor is ``threshold - margin -
+    ambiguity``: a best pair below ``threshold - margin`` decides nothing, and a
+    second one counts within ``ambiguity`` or ``margin`` of it only.
     """
     point = "lat IS NOT NULL AND lon IS NOT NULL"
     l = left.where(point).select("left_id", "lat", "lon").withColumn("cell", F.explode(geo.neighbour_cells(F.col("lat"), F.col("lon"), cfg.cell)))
@@ -131,86 +234,94 @@ def link_candidates(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkCon
     near = l.join(r, "cell").where(geo.planar_m2(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")) <= cfg.window_m**2).select("left_id", "right_id")
     coded = _code_keys(left, "left_id").join(_code_keys(right, "right_id"), ["kind", "grp", "code"]).select("left_id", "right_id")
     floor = cfg.threshold - cfg.margin - cfg.ambiguity - 1e-9
-    good = lambda a, b: a.alias("a").crossJoin(b.alias("b")).where(score_pair_records(_side("a"), _side("b"), cfg)["score"] >= floor).select("left_id", "right_id")
-    loose = good(left, right.where(f"NOT ({point})")).union(good(left.where(f"NOT ({point})"), right.where(point)))
+    a, b = prepared(left), prepared(right)
+    loose = _alike(a, b.where(f"NOT ({point})"), floor, cfg).union(_alike(a.where(f"NOT ({point})"), b.where(point), floor, cfg))
     return near.union(coded).union(loose).distinct()
 
 
 def scored_links(left: DataFrame, right: DataFrame, pairs: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
     """(left_id, ordinal, right_id, right_no, score, metres, code) of candidate pairs."""
-    rows = pairs.join(left.alias("a"), "left_id").join(right.alias("b"), "right_id")
-    return rows.select("left_id", "a.ordinal", "right_id", F.col("b.ordinal").alias("right_no"), score_pair_records(_side("a"), _side("b"), cfg).alias("s")).select("left_id", "ordinal", "right_id", "right_no", "s.*")
+    rows = pairs.join(prepared(left).alias("a"), "left_id").join(prepared(right).alias("b"), "right_id")
+    return rows.select("left_id", "a.ordinal", "right_id", F.col("b.ordinal").alias("right_no"), score_pair_records(_side("a"), _side("b"), cfg, ready=True).alias("s")).select("left_id", "ordinal", "right_id", "right_no", "s.*")
 
 
-def _judge(cands: DataFrame, sizes: DataFrame, cfg: LinkConfig) -> DataFrame:
-    """Decision of each left row from its free candidates; sizes count used ones too."""
+def _judge(cands: DataFrame, cfg: LinkConfig) -> DataFrame:
+    """Decision of each left row from its free candidates; ``size`` counts used ones too."""
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_no")
     top = cands.withColumn("n", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("n = 1").drop("n")
     guard = F.col("code") | F.coalesce(F.col("metres") <= cfg.distance_m, F.lit(False))
     sure = (F.col("score") >= cfg.threshold) & ((F.col("score") - F.col("second") >= cfg.margin) | (F.col("second") == 0)) & guard
     vague = (F.col("size") > 1) & (F.col("score") >= cfg.threshold - cfg.margin) & (F.col("score") - F.col("second") < cfg.ambiguity)
-    return top.join(sizes, "left_id").withColumn("result", F.when(sure, "enriched").when(vague, "ambiguous").otherwise("identity_only"))
+    return top.withColumn("result", F.when(sure, "enriched").when(vague, "ambiguous").otherwise("identity_only"))
 
 
-def decide_join(scored: DataFrame, cfg: LinkConfig = LinkConfig(), rounds: int = 24) -> DataFrame:
-    """Greedy exclusive linkage in input order, in commit rounds.
+def decide_join(scored: DataFrame, cfg: LinkConfig = LinkConfig(), most: int = 1 << 21) -> DataFrame:
+    """Greedy exclusive linkage in input order (ordinal, then left_id), as a serial loop gives it.
 
-    A left row is settled in a round if no earlier open row shares one of its
-    free candidates; it then sees just what a serial loop would show it. A right
-    row is used up by an enriched or an ambiguous result. Rows left after
-    ``rounds`` are settled one component of shared candidates at a time.
+    A right row is used up by an enriched or an ambiguous result, so it can only
+    be taken by a left row that scores ``threshold - margin`` with it. A left row's
+    decision hangs on its two best free candidates alone; it is settled in a round
+    if no earlier open row could take either. When such rounds settle few rows,
+    the open rows contend in chains: then the earliest rows, with at most about
+    ``most`` candidate pairs, are settled in order in one task, and rounds go on
+    with what that leaves. A task's share is bounded, whatever the chains' length.
     """
     sizes = scored.groupBy("left_id").agg(F.count("*").alias("size"))
-    live = keep(scored.where("score > 0"), "live")
-    done = None
-    for _ in range(rounds):
-        if live.isEmpty():
+    live = keep(scored.where("score > 0").join(sizes, "left_id"), "live")
+    order = F.struct("ordinal", "left_id")
+    done, stuck = None, False
+    while True:
+        pairs = live.count()
+        if done is not None and not pairs:
             break
-        first = live.groupBy("right_id").agg(F.min("ordinal").alias("first"))
-        ready = live.join(first, "right_id").groupBy("left_id").agg(F.bool_and(F.col("ordinal") == F.col("first")).alias("ready")).where("ready").select("left_id")
-        settled = keep(_judge(live.join(ready, "left_id"), sizes, cfg), "settled")
+        if stuck and pairs:
+            last = live.agg(F.percentile_approx("ordinal", min(1.0, most / pairs), 10000)).first()[0]
+            settled = keep(_in_order(live.where(F.col("ordinal") <= last), cfg), "settled")
+        else:
+            takers = live.where(F.col("score") >= cfg.threshold - cfg.margin).groupBy("right_id").agg(F.min(order).alias("first"))
+            nth = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_no"))
+            two = live.withColumn("_n", nth).where("_n <= 2").drop("_n").join(takers, "right_id", "left")
+            ready = two.groupBy("left_id").agg(F.bool_and(F.coalesce(F.col("first") >= order, F.lit(True))).alias("ready")).where("ready").select("left_id")
+            settled = keep(_judge(two.drop("first").join(ready, "left_id"), cfg), "settled")
+        stuck = not stuck and settled.count() * 8 < live.select("left_id").distinct().count()
         done = settled if done is None else done.unionByName(settled)
         used = settled.where("result <> 'identity_only'").select("right_id")
         before, live = live, keep(live.join(settled.select("left_id"), "left_id", "left_anti").join(used, "right_id", "left_anti"), "live")
         drop(before)
-    if not live.isEmpty():
-        done = done.unionByName(_serially(live, sizes, cfg)) if done is not None else _serially(live, sizes, cfg)
-    if done is None:
-        return _judge(live, sizes, cfg)
+    drop(live)
     return done
 
 
-def _serially(live: DataFrame, sizes: DataFrame, cfg: LinkConfig) -> DataFrame:
-    """The serial loop, one group of rows chained by shared candidates in a task."""
-    edges = live.select(F.xxhash64(F.lit("l"), "left_id").alias("a"), F.xxhash64(F.lit("r"), "right_id").alias("b"))
-    roots = components(edges, "a", "b")
-    rows = live.withColumn("node", F.xxhash64(F.lit("l"), "left_id")).join(roots, "node").drop("node").join(sizes, "left_id")
-    schema = rows.drop("root").withColumn("second", F.lit(0.0)).withColumn("result", F.lit("")).schema
+def _in_order(rows: DataFrame, cfg: LinkConfig) -> DataFrame:
+    """The serial loop over a bounded number of candidate pairs."""
+    schema = rows.withColumn("second", F.lit(0.0)).withColumn("result", F.lit("")).schema
 
     def group(pdf):
-        used, out = set(), []
-        for _, part in pdf.sort_values(["ordinal", "left_id"]).groupby("ordinal", sort=False):
-            free = part[~part.right_id.isin(used)].sort_values(["score", "right_no"], ascending=[False, True])
-            if free.empty:
+        pdf = pdf.sort_values(["ordinal", "left_id", "score", "right_no"], ascending=[True, True, False, True], ignore_index=True)
+        right = pdf.right_id.factorize()[0]
+        free, left = np.ones(len(pdf), bool), pdf.left_id.to_numpy()
+        score, size, code = pdf.score.to_numpy(), pdf["size"].to_numpy(), pdf.code.to_numpy(bool)
+        near = pdf.metres.to_numpy(float, na_value=np.inf) <= cfg.distance_m
+        starts = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(pdf) else []
+        at, second, result = [], [], []
+        for lo, hi in zip(starts, np.append(starts[1:], len(pdf)), strict=True):
+            two = np.flatnonzero(free[right[lo:hi]])[:2] + lo
+            if not len(two):
                 continue
-            row = free.iloc[0].drop("root").to_dict()
-            row["second"] = float(free.iloc[1].score) if len(free) > 1 else 0.0
-            guard = bool(row["code"]) or (row["metres"] == row["metres"] and row["metres"] is not None and row["metres"] <= cfg.distance_m)
-            gap = row["score"] - row["second"]
-            if row["score"] >= cfg.threshold and (gap >= cfg.margin or row["second"] == 0) and guard:
-                row["result"] = "enriched"
-            elif row["size"] > 1 and row["score"] >= cfg.threshold - cfg.margin and gap < cfg.ambiguity:
-                row["result"] = "ambiguous"
-            else:
-                row["result"] = "identity_only"
-            if row["result"] != "identity_only":
-                used.add(row["right_id"])
-            out.append(row)
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=[f.name for f in schema])
-
-    return rows.groupBy("root").applyInPandas(group, schema)
+            best, next_score = score[two[0]], score[two[1]] if len(two) > 1 else 0.0
+            gap, kind = best - next_score, "identity_only"
+            if best >= cfg.threshold and (gap >= cfg.margin or next_score == 0) and (code[two[0]] or near[two[0]]):
+                kind = "enriched"
+            elif size[two[0]] > 1 and best >= cfg.threshold - cfg.margin and gap < cfg.ambiguity:
+                kind = "ambiguous"
+            if kind != "identity_only":
+                free[right[two[0]]] = False
+            at.append(two[0])
+            second.append(float(next_score))
+            result.append(kind)
+        return pdf.iloc[at].assign(second=second, result=result)[[f.name for f in schema]]
+
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(group, schema)
 
 
 def blocked_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
@@ -228,14 +339,14 @@ def blocked_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = Link
 def full_fuzzy_join(left: DataFrame, right: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:
     """Each left row alone against all right rows, without blocking, so a right row can serve several.
 
-    A left row keeps only its two best pairs, by partial ranks before the shuffle.
+    Meant for a few left rows (a request, or legacy rows) against a whole table:
+    the left rows visit each block of the right side. Only their two best pairs of
+    each task leave it, by partial ranks before the shuffle.
     """
-    pairs = left.alias("a").crossJoin(right.alias("b"))
-    scored = pairs.select("left_id", "a.ordinal", "right_id", F.col("b.ordinal").alias("right_no"), score_pair_records(_side("a"), _side("b"), cfg).alias("s")).select("left_id", "ordinal", "right_id", "right_no", "s.*")
+    scored = _in_blocks(prepared(left), prepared(right)).select("left_id", "a.ordinal", "right_id", F.col("b.ordinal").alias("right_no"), score_pair_records(_side("a"), _side("b"), cfg, ready=True).alias("s")).select("left_id", "ordinal", "right_id", "right_no", "s.*")
     nth = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_no"))
     two = scored.where("score > 0").withColumn("_n", nth).where("_n <= 2").drop("_n")
-    sizes = left.select("left_id").crossJoin(right.agg(F.count("*").alias("size")))
-    links = _judge(two, sizes, cfg)
+    links = _judge(two.withColumn("size", F.lit(right.count())), cfg)
     return left.select("left_id").join(links.select("left_id", F.when(F.col("result") != "identity_only", F.col("right_id")).alias("right_id"), "score", "second", "result"), "left_id", "left").na.fill({"score": 0.0, "second": 0.0, "result": "identity_only"})
 
 
@@ -264,14 +375,16 @@ def attach_candidates(stops: DataFrame, terminals: DataFrame, cell: float = 0.5)
     near = s.join(t, "cell").select("stop_key", "terminal_id")
     code = lambda df, key: df.select(key, F.explode("codes").alias("x")).where("x.code <> ''").select(key, "x.system", "x.code").distinct()
     coded = code(stops, "stop_key").join(code(terminals, "terminal_id"), ["system", "code"]).select("stop_key", "terminal_id")
-    bare = stops.select("stop_key").crossJoin(terminals.where(f"NOT ({point})").select("terminal_id"))
-    return near.union(coded).union(bare).distinct()
+    # Pairs with these can't repeat, nor be found by cells: only codes may name them too.
+    loose = terminals.where(f"NOT ({point})").select("terminal_id")
+    bare = _in_blocks(stops.select("stop_key"), loose).select("stop_key", "terminal_id")
+    return near.union(coded.join(loose, "terminal_id", "left_anti").select("stop_key", "terminal_id")).distinct().union(bare)
 
 
 def scored_attach(stops: DataFrame, terminals: DataFrame, pairs: DataFrame, distance_m: float = 500.0) -> DataFrame:
     """(stop_key, cand_no, density, s): candidate terminals of stops with their scores."""
-    rows = pairs.join(stops.alias("a"), "stop_key").join(terminals.alias("b"), "terminal_id")
-    return rows.select("stop_key", F.col("terminal_id").alias("cand_no"), F.col("a.density").alias("density"), score_pair_attach(_side("a"), _side("b"), F.col("a.density"), distance_m).alias("s"))
+    rows = pairs.join(prepared(stops).alias("a"), "stop_key").join(prepared(terminals).alias("b"), "terminal_id")
+    return rows.select("stop_key", F.col("terminal_id").alias("cand_no"), F.col("a.density").alias("density"), score_pair_attach(_side("a"), _side("b"), F.col("a.density"), distance_m, ready=True).alias("s"))
 
 
 def match_trip_stops(trip_stops: DataFrame, scored: DataFrame, cfg: LinkConfig = LinkConfig()) -> DataFrame:

@@ -47,6 +47,66 @@ def test_records_without_a_point_lose_no_decision(spark):
     assert any(r == "ambiguous" for _, r in got.values())
 
 
+def serial(rows, cfg):
+    """The greedy loop itself over (left_id, ordinal, right_id, right_no, score, metres, code)."""
+    lists, used, out = {}, set(), {}
+    for r in rows:
+        lists.setdefault((r.ordinal, r.left_id), []).append(r)
+    for (_, left), every in sorted(lists.items()):
+        free = sorted((r for r in every if r.right_id not in used and r.score > 0), key=lambda r: (-r.score, r.right_no))
+        if not free:
+            continue
+        best, second = free[0], free[1].score if len(free) > 1 else 0.0
+        gap, result = best.score - second, "identity_only"
+        if best.score >= cfg.threshold and (gap >= cfg.margin or second == 0) and (best.code or (best.metres is not None and best.metres <= cfg.distance_m)):
+            result = "enriched"
+        elif len(every) > 1 and best.score >= cfg.threshold - cfg.margin and gap < cfg.ambiguity:
+            result = "ambiguous"
+        if result != "identity_only":
+            used.add(best.right_id)
+        out[left] = (best.right_id, second, result)
+    return out
+
+
+LINKS = "left_id long, ordinal long, right_id long, right_no long, score double, metres double, code boolean"
+
+
+@pytest.mark.parametrize("most", [1 << 21, 40])
+def test_contested_links_are_settled_as_in_the_loop(spark, most):
+    rng = random.Random(4)
+    rows = [(i, (i * 7) % 60, r, r, rng.choice([0.0, 0.3, 0.46, 0.5, 0.52, 0.55, 0.6, 0.7, 0.9]), rng.choice([None, 100.0, 900.0]), rng.random() < 0.2) for i in range(60) for r in sorted(rng.sample(range(25), rng.randrange(1, 9)))]
+    df = spark.createDataFrame(rows, LINKS)
+    got = {r.left_id: (r.right_id, r.second, r.result) for r in linkage.decide_join(df, most=most).collect()}
+    assert got == serial(df.collect(), linkage.LinkConfig())
+
+
+def test_long_chain_of_contested_links(spark):
+    # Row 0 takes 1; each row i prefers i, which the row before it has taken, and is left with i + 1.
+    n = 100000
+    rows = spark.range(n).selectExpr("id AS left_id", "id AS ordinal", "explode(array(id, id + 1)) AS right_id").selectExpr("left_id", "ordinal", "right_id", "right_id AS right_no", "CASE WHEN right_id = left_id THEN 0.8D ELSE 0.78D END AS score", "100.0D AS metres", "false AS code").where("right_id > 0")
+    got = linkage.decide_join(rows)
+    want = serial(rows.collect(), linkage.LinkConfig())
+    assert want[n - 1][0] == n
+    assert {r.left_id: (r.right_id, r.second, r.result) for r in got.collect()} == want
+
+
+def test_similar_names_are_those_of_the_full_product(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("аабвгд ") for _ in range(rng.randrange(0, 31))).strip()
+    some = [word() for _ in range(70)]
+    bent = [w[: len(w) // 2] + rng.choice(["", "а", "ж"]) + w[len(w) // 2 + rng.randrange(2) :] for w in some[:40]] + [w[2:9] for w in some[40:60]] + [word() for _ in range(20)]
+    least = {"low": 0.33, "high": 0.7}
+    side = lambda lot: spark.createDataFrame([(k, w) for k in least for w in lot], "kind string, norm string")
+    left, right = side(some), side(bent)
+    got = {(r.kind, r.x, r.y) for r in linkage.similar_names(left, right, least).collect()}
+    pairs = left.distinct().alias("a").join(right.distinct().alias("b"), "kind").select("kind", F.col("a.norm").alias("x"), F.col("b.norm").alias("y"))
+    from railweave.functions import names
+
+    every = pairs.select("*", names.plain_similarity(F.col("x"), F.col("y")).alias("s")).collect()
+    assert got == {(r.kind, r.x, r.y) for r in every if r.s >= least[r.kind] - 1e-9}
+    assert len(got) > 100
+
+
 def test_stop_without_settlement_match_finds_a_like_name(spark):
     stops = spark.createDataFrame([(1, "Томск", None, None, "Томск")], "stop_id long, name string, lat double, lon double, settlement string")
     terminals = spark.createDataFrame([(7, "Томск1", 56.5, 85.0, "")], "terminal_id long, name string, lat double, lon double, settlement string")
