@@ -288,21 +288,42 @@ def right_side(t: Tables) -> DataFrame:
     return t.v_records.select(F.col("record_id").alias("right_id"), F.col("record_id").alias("ordinal"), "name", "lat", "lon", "settlement", "transport", "source", no_codes().alias("codes"))
 
 
-@query("c01_blocked_fuzzy_join")
-def _(t):
-    return linkage.blocked_fuzzy_join(left_side(t), right_side(t)).withColumn("score", r6("score"))
+def records_sql(settlement: str = "settlement") -> str:
+    """All pairs of terminals and records with their scores, as C03 has them for this data."""
+    place = f"CASE WHEN {settlement} IS NULL THEN 0e0 ELSE 15e-2 END"
+    return f"""names AS (SELECT terminal_id AS left_id, name, lat, lon, {settlement} AS settlement, transport, trim(lower(replace(name, '#', ''))) AS x FROM v_terminals), held AS (SELECT record_id AS right_id, name AS rname, lat AS rlat, lon AS rlon, settlement AS rset, trim(regexp_replace(lower(name), '[ .,-]+', ' ', 'g')) AS y FROM v_records),
+both_sides AS (SELECT *, CASE WHEN rlat IS NOT NULL THEN {hav('lat', 'lon', 'rlat', 'rlon')} * 1000e0 END AS metres FROM names, held),
+scored AS (SELECT left_id, right_id, metres, (((({sim_sql('x', 'y')}) * 45e-2 + CASE WHEN metres IS NULL THEN 0e0 WHEN metres <= 100 THEN 3e-1 WHEN metres <= 500 THEN 6e-1 * 3e-1 WHEN metres <= 2000 THEN 25e-2 * 3e-1 ELSE 0e0 END) + CASE WHEN settlement = rset THEN 15e-2 ELSE 0e0 END) + CASE WHEN transport = 'bus' THEN 1e-1 ELSE 0e0 END) / (45e-2 + CASE WHEN metres IS NULL THEN 0e0 ELSE 3e-1 END + {place.replace(settlement, 'settlement')} + 1e-1) AS score,
+    metres IS NULL OR pow((lat - rlat) * 111000.0, 2) + pow((lon - rlon) * 111000.0 * (1.0 - 0.0000152 * lat * lat), 2) <= 4000000 AS near, right(settlement, 1) = right(rset, 1) AS akin FROM both_sides)"""
+
+
+RECORDS = records_sql()
+
+
+def greedy_sql(settlement: str = "settlement") -> str:
+    """The serial loop of C04 over the left rows, with the right rows used so far as a list."""
+    return f"""RECURSIVE {records_sql(settlement)},
+cand AS MATERIALIZED (SELECT left_id, right_id, score, coalesce(metres <= 500, FALSE) AS guard, count(*) OVER (PARTITION BY left_id) AS size FROM scored WHERE near AND score > 0 AND (metres IS NOT NULL OR score >= 0.45 - 1e-9)),
+ids AS (SELECT left_id, row_number() OVER (ORDER BY left_id) AS i FROM names),
+run AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS left_id, NULL::BIGINT AS right_id, 0e0 AS score, 0e0 AS second, '' AS result
+    UNION ALL SELECT i, CASE WHEN result <> 'identity_only' THEN list_append(used, right_id) ELSE used END, left_id, right_id, score, second, result
+    FROM (SELECT *, CASE WHEN score >= 0.6 AND (score - second >= 0.1 OR second = 0) AND guard THEN 'enriched' WHEN size > 1 AND score >= 0.5 AND score - second < 0.05 THEN 'ambiguous' ELSE 'identity_only' END AS result
+        FROM (SELECT n.i, any_value(r.used) AS used, n.left_id, arg_max(c.right_id, (c.score, -c.right_id)) AS right_id, coalesce(max(c.score), 0e0) AS score, coalesce(list_reverse_sort(list(c.score) FILTER (c.score IS NOT NULL))[2], 0e0) AS second, coalesce(arg_max(c.guard, (c.score, -c.right_id)), FALSE) AS guard, coalesce(max(c.size), 0) AS size
+            FROM run r JOIN ids n ON n.i = r.i + 1 LEFT JOIN cand c ON c.left_id = n.left_id AND NOT list_contains(r.used, c.right_id) GROUP BY n.i, n.left_id) x) y),
+greedy AS (SELECT left_id, right_id AS best, CASE WHEN result <> 'identity_only' THEN right_id END AS right_id, score, second, result FROM run WHERE i > 0)"""
 
 
-@query("c01_candidates_near", "SELECT t.terminal_id AS left_id, r.record_id AS right_id FROM v_terminals t JOIN v_records r ON abs(t.lat - r.lat) < 0.03 WHERE pow((t.lat - r.lat) * 111000.0, 2) + pow((t.lon - r.lon) * 111000.0 * (1.0 - 0.0000152 * t.lat * t.lat), 2) <= 4000000")
+GREEDY = greedy_sql()
+
+
+@query("c01_blocked_fuzzy_join", f"WITH {GREEDY} SELECT left_id, right_id, round(score, 6) AS score, round(second, 6) AS second, result FROM greedy")
 def _(t):
-    return linkage.link_candidates(left_side(t), right_side(t).where("lat IS NOT NULL"))
+    return linkage.blocked_fuzzy_join(left_side(t), right_side(t)).withColumns({"score": r6("score"), "second": r6("second")})
 
 
-#: All pairs of terminals and records with their scores, as C03 has them for this data.
-RECORDS = f"""names AS (SELECT terminal_id AS left_id, lat, lon, settlement, transport, trim(lower(replace(name, '#', ''))) AS x FROM v_terminals), held AS (SELECT record_id AS right_id, lat AS rlat, lon AS rlon, settlement AS rset, trim(regexp_replace(lower(name), '[ .,-]+', ' ', 'g')) AS y FROM v_records),
-both_sides AS (SELECT *, CASE WHEN rlat IS NOT NULL THEN {hav('lat', 'lon', 'rlat', 'rlon')} * 1000e0 END AS metres FROM names, held),
-scored AS (SELECT left_id, right_id, metres, (((({sim_sql('x', 'y')}) * 45e-2 + CASE WHEN metres IS NULL THEN 0e0 WHEN metres <= 100 THEN 3e-1 WHEN metres <= 500 THEN 6e-1 * 3e-1 WHEN metres <= 2000 THEN 25e-2 * 3e-1 ELSE 0e0 END) + CASE WHEN settlement = rset THEN 15e-2 ELSE 0e0 END) + CASE WHEN transport = 'bus' THEN 1e-1 ELSE 0e0 END) / CASE WHEN metres IS NULL THEN 45e-2 + 15e-2 + 1e-1 ELSE 45e-2 + 3e-1 + 15e-2 + 1e-1 END AS score,
-    metres IS NULL OR pow((lat - rlat) * 111000.0, 2) + pow((lon - rlon) * 111000.0 * (1.0 - 0.0000152 * lat * lat), 2) <= 4000000 AS near FROM both_sides)"""
+@query("c01_candidates_near", f"WITH {RECORDS} SELECT left_id, right_id FROM scored WHERE near AND (metres IS NOT NULL OR score >= 0.45 - 1e-9)")
+def _(t):
+    return linkage.link_candidates(left_side(t), right_side(t))
 
 
 @query("c02_full_fuzzy_join", f"""WITH {RECORDS}, ranked AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS after FROM scored WHERE score > 0 WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id)),
@@ -313,12 +334,13 @@ def _(t):
     return linkage.full_fuzzy_join(left_side(t), right_side(t)).select("left_id", "right_id", "result")
 
 
-@query("c05_unmatched_right")
+@query("c05_unmatched_right", f"WITH {GREEDY} SELECT right_id FROM held WHERE right_id NOT IN (SELECT right_id FROM greedy WHERE right_id IS NOT NULL)")
 def _(t):
     return linkage.unmatched_right(right_side(t), linkage.blocked_fuzzy_join(left_side(t), right_side(t))).select("right_id")
 
 
-@query("c06_merge_enrichment")
+@query("c06_merge_enrichment", f"""WITH {greedy_sql("CASE WHEN terminal_id % 2 = 0 THEN settlement END")}
+SELECT n.left_id, n.name, h.rname AS alt_name, n.lat, n.lon, coalesce(n.settlement, h.rset) AS settlement, n.transport FROM names n LEFT JOIN greedy g ON g.left_id = n.left_id AND g.result = 'enriched' LEFT JOIN held h ON h.right_id = g.right_id""")
 def _(t):
     l, r = left_side(t).withColumn("settlement", F.when(F.col("left_id") % 2 == 0, F.col("settlement"))), right_side(t)
     return linkage.merge_enrichment(l, r, linkage.blocked_fuzzy_join(l, r)).drop("codes")
@@ -401,7 +423,8 @@ def _(t):
     return summaries.gate_pass(summaries.coverage_by_region(t.v_best, 0.4), 0.55).select(F.array_join("below", ",").alias("below"), "passed")
 
 
-SWEEP = "SELECT threshold, count(*) FILTER (score >= threshold AND guard) AS verified, count(*) FILTER (score >= threshold - 0.1 AND NOT coalesce(score >= threshold AND guard, FALSE)) AS in_margin, count(*) AS total FROM v_best, (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY threshold"
+#: Each stop by its best score alone; a stop without one has 0. Whether the pair is near isn't asked.
+SWEEP = "SELECT threshold, count(*) FILTER (coalesce(score, 0) >= threshold) AS verified, count(*) FILTER (coalesce(score, 0) < threshold AND coalesce(score, 0) >= threshold - 0.1) AS in_margin, count(*) AS total FROM v_best, (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY threshold"
 
 
 @query("d03_threshold_sweep", f"SELECT *, total - verified - in_margin AS rejected, round(verified / total::DOUBLE, 6) AS rate FROM ({SWEEP})")
@@ -409,7 +432,7 @@ def _(t):
     return summaries.threshold_sweep(t.v_best, [0.5, 0.7, 0.9]).withColumn("rate", r6("rate"))
 
 
-@query("d04_calibrate", f"SELECT threshold, verified, 'clean' AS set, 0.0 AS shift_m FROM ({SWEEP}) UNION ALL SELECT threshold, count(*) FILTER (score - 0.15 >= threshold AND guard), 'shifted', 555.0 FROM v_best, (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY threshold")
+@query("d04_calibrate", f"SELECT threshold, verified, 'clean' AS set, 0.0 AS shift_m FROM ({SWEEP}) UNION ALL SELECT threshold, count(*) FILTER (score - 0.15 >= threshold), 'shifted', 555.0 FROM v_best, (SELECT unnest([0.5, 0.7, 0.9])::DOUBLE AS threshold) GROUP BY threshold")
 def _(t):
     worse = t.v_best.withColumn("score", F.col("score") - 0.15)
     return summaries.calibrate(t.v_best, worse, [0.5, 0.7, 0.9], 0.005).select("threshold", "verified", "set", "shift_m")
@@ -1033,7 +1056,7 @@ def _(t):
     return canon.persist_attach(out, canon_now, now)["trips"].select("trip_id", "route_id")
 
 
-@query("i06_promote_skeleton")
+@query("i06_promote_skeleton", f"WITH {GREEDY} SELECT left_id, n.name, CASE WHEN result = 'enriched' THEN round(score, 6) ELSE 0.4 END AS confidence FROM names n JOIN greedy USING (left_id) WHERE result <> 'ambiguous'")
 def _(t):
     l, r = left_side(t), right_side(t)
     return canon.promote_skeleton(linkage.blocked_fuzzy_join(l, r), l, r)["terminals"].select("left_id", "name", r6("confidence").alias("confidence"))
@@ -1357,17 +1380,16 @@ def _(t):
 # ---- joins by name, and readers over rows shaped as their sources
 
 
-@query("c03_score_pair_records", f"SELECT t.terminal_id AS left_id, round((0.45 * CASE WHEN x = y THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN 0.9 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE END + 0.3 * CASE WHEN d <= 100 THEN 1 WHEN d <= 500 THEN 0.6 WHEN d <= 2000 THEN 0.25 ELSE 0 END + 0.15 + 0.1 * CASE WHEN t.transport = 'bus' THEN 1 ELSE 0 END) / 1.0, 6) AS score FROM (SELECT t.*, trim(regexp_replace(lower(replace(t.name, '#', '')), '[ .,-]+', ' ', 'g')) AS x, trim(regexp_replace(lower(r.name), '[ .,-]+', ' ', 'g')) AS y, {hav('t.lat', 't.lon', 'r.lat', 'r.lon')} * 1000 AS d FROM v_terminals t JOIN v_records r ON r.record_id = t.terminal_id WHERE r.lat IS NOT NULL) t")
+@query("c03_score_pair_records", f"WITH {RECORDS} SELECT left_id, right_id, round(score, 6) AS score FROM scored WHERE akin")
 def _(t):
-    a, b = left_side(t).alias("a"), right_side(t).where("lat IS NOT NULL").alias("b")
-    rows = a.join(b, F.col("a.left_id") == F.col("b.right_id"))
+    a, b = left_side(t).withColumn("akin", F.right("settlement", F.lit(1))).alias("a"), right_side(t).withColumn("akin", F.right("settlement", F.lit(1))).alias("b")
     s = linkage.score_pair_records(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
-    return rows.select("left_id", r6(s["score"]).alias("score"))
+    return a.join(b, "akin").select("left_id", "right_id", r6(s["score"]).alias("score"))
 
 
-@query("c04_decide_join")
+@query("c04_decide_join", f"WITH {GREEDY} SELECT left_id, best AS right_id, result, round(score, 6) AS score FROM greedy WHERE best IS NOT NULL")
 def _(t):
-    l, r = left_side(t), right_side(t).where("lat IS NOT NULL")
+    l, r = left_side(t), right_side(t)
     scored = linkage.scored_links(l, r, linkage.link_candidates(l, r))
     return linkage.decide_join(scored).select("left_id", "right_id", "result", r6("score").alias("score"))
 

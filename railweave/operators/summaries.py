@@ -26,12 +26,14 @@ def gate_pass(coverage: DataFrame, gate: float) -> DataFrame:
 def threshold_sweep(best: DataFrame, thresholds: list[float], margin: float = 0.1) -> DataFrame:
     """Verified, margin band and rejected stops for each threshold, in one pass over the scores.
 
-    ``best`` has (score, guard); the thresholds are columns of one aggregate, so nothing is multiplied.
+    ``best`` has each stop's best score, NULL counting as 0: the score alone tells,
+    without the guard of a decision. The thresholds are columns of one aggregate,
+    so nothing is multiplied.
     """
     aggs = []
     for i, t in enumerate(thresholds):
-        sure = F.coalesce((F.col("score") >= t) & F.col("guard"), F.lit(False))
-        near = F.coalesce(F.col("score") >= t - margin, F.lit(False)) & ~sure
+        score = F.coalesce("score", F.lit(0.0))
+        sure, near = score >= t, (score < t) & (score >= t - margin)
         aggs += [F.count_if(sure).alias(f"v{i}"), F.count_if(near).alias(f"m{i}")]
     one = best.agg(F.count("*").alias("total"), *aggs)
     cells = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"v{i}").alias("verified"), F.col(f"m{i}").alias("in_margin")) for i, t in enumerate(thresholds)])
