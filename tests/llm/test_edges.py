@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from railweave.llm import bytespans, chat, jaccard, lines, media, mixing, neighbors, packing, queries, repeats, spans, toxicity
+from railweave.llm import bytespans, chat, jaccard, lines, media, mixing, neighbors, packing, queries, repeats, rolling, spans, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -218,3 +218,39 @@ def test_sketches_get_finer_until_the_pigeonhole_holds(spark):
     for spread in (0.05, 1.5):
         got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, spread=spread).collect()}
         assert got == up
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_thue_morse_texts_are_told_apart(spark):
+    """A text of 2,048 symbols and its mirror: as one word for operators 3 and 9, as words for 3, as bytes for 5."""
+    words = ["".join(thue_morse(2048, a, b)) for a, b in ("ab", "ba")]
+    assert len(set(rolling.word_hashes(" ".join(words).encode()).tolist())) == 2
+    rest = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join([*rest[:10], w, *rest[10:]])) for i, w in enumerate(words)], "doc_id long, text string")
+    cut = {r.doc_id: r.n_removed for r in spans.remove_repeated_spans(docs).collect()}
+    assert cut == {0: 0, 1: 20}
+    alone = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(alone).collect()} == {0: 0, 1: 1}
+
+    def brute(texts, width):
+        seen, out = {}, []
+        for d, t in enumerate(texts):
+            for i in range(len(t) - width + 1):
+                seen.setdefault(tuple(t[i : i + width]), []).append((d, i))
+        for d, t in enumerate(texts):
+            gone = [False] * len(t)
+            for places in seen.values():
+                for e, i in places[1:] if width == 20 else places * (len(places) > 1):
+                    if e == d:
+                        gone[i : i + width] = [True] * width
+            out.append(sum(gone))
+        return out
+
+    for width, glue in ((20, " "), (200, "")):
+        texts = [thue_morse(2048, a, b) for a, b in ("ab", "ba")]
+        table = spark.createDataFrame([(i, glue.join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        found = spans.remove_repeated_spans(table) if width == 20 else bytespans.remove_repeated_bytes(table)
+        assert [r.n_removed for r in found.orderBy("doc_id").collect()] == brute(texts, width)
