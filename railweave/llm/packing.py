@@ -85,7 +85,7 @@ def fill(sizes: list[int], capacity: int) -> list[list[int]]:
         ways += 1
 
 
-_encoders: dict[tuple[str, str], object] = {}
+_encoders: dict[tuple, object] = {}
 
 
 def token_ids(texts: list[str], name: str = "byte_bpe_50k", folder: str | None = None) -> list[np.ndarray]:
@@ -110,9 +110,11 @@ def token_ids(texts: list[str], name: str = "byte_bpe_50k", folder: str | None =
     fast, out = _encoders[name, folder], []
     for text in texts:
         if "<|endoftext|>" in text:
-            from tokenizers import Tokenizer
+            if (name, folder, "whole") not in _encoders:
+                from tokenizers import Tokenizer
 
-            out.append(np.array(Tokenizer.from_file(where(f"{name}.json")).encode(text, add_special_tokens=False).ids, np.uint32))
+                _encoders[name, folder, "whole"] = Tokenizer.from_file(where(f"{name}.json"))
+            out.append(np.array(_encoders[name, folder, "whole"].encode(text, add_special_tokens=False).ids, np.uint32))
         else:
             out.append(np.array(fast.encode_ordinary(text), np.uint32))
     return out
