@@ -1262,6 +1262,13 @@ def _(t):
     return journeys.access_egress(t.v_terminals.withColumnRenamed("terminal_id", "point_id"), t.v_stops, 120.0)[0].select("point_id", "stop_id", "walk_minutes")
 
 
+@query("p06_points_out_of_range", f"""WITH alone AS (SELECT terminal_id, lat, lon FROM v_terminals WHERE terminal_id NOT IN (SELECT point_id FROM ({NEAR}) WHERE km <= 2.5)),
+every AS (SELECT a.terminal_id, s.stop_id, round({hav('a.lat', 'a.lon', 's.lat', 's.lon')}, 9) AS km FROM alone a, v_stops s)
+SELECT terminal_id AS point_id, arg_min(stop_id, (km, stop_id)) AS nearest_stop, CAST(ceil(min(km) / 5 * 60) AS INT) AS needed_minutes FROM every GROUP BY terminal_id""")
+def _(t):
+    return journeys.access_egress(t.v_terminals.withColumnRenamed("terminal_id", "point_id"), t.v_stops, 30.0)[1].select("point_id", "nearest_stop", "needed_minutes")
+
+
 @query("p07_gap_leg", f"SELECT terminal_id AS request_id, 28800 + CAST(ceil({hav('lat', 'lon', 'lat + 0.01', 'lon')} / 5 * 60) AS INT) * 60 AS arrival_s FROM v_terminals WHERE terminal_id % 2 = 0")
 def _(t):
     req = t.v_terminals.select(F.col("terminal_id").alias("request_id"), F.col("lat").alias("from_lat"), F.col("lon").alias("from_lon"), (F.col("lat") + 0.01).alias("to_lat"), F.col("lon").alias("to_lon"), F.lit(28800).alias("departure_s"), F.lit(True).alias("allow_gap"))

@@ -64,6 +64,50 @@ def nearest_stops(points: DataFrame, stops: DataFrame, max_walk_minutes: float =
     return out if limit is None else out.where(F.col("rank") <= limit)
 
 
+EARTH_KM = 6371.0
+
+
+def _in_space(lat: Column, lon: Column) -> list[Column]:
+    """Kilometres from the middle of the earth along three axes."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.lit(EARTH_KM) * F.cos(a) * F.cos(b), F.lit(EARTH_KM) * F.cos(a) * F.sin(b), F.lit(EARTH_KM) * F.sin(a)]
+
+
+def nearest_of_all(points: DataFrame, stops: DataFrame, finest_km: float = 1.0) -> DataFrame:
+    """(point_id, stop_id, km): the nearest of all stops, however far; the smallest id of equals.
+
+    Cells are cubes in space, so neither poles nor the date line are special. From
+    cells of a quarter of the earth down to ``finest_km``, each four times as fine as
+    the one before, a point keeps the cells that can still hold its nearest stop:
+    no further than the nearest of the cells' sample stops. Distances through the
+    earth order stops as those around it do. Points and stops that are NULL or at
+    (0, 0) are left out.
+    """
+    real = lambda df: df.where("lat IS NOT NULL AND lon IS NOT NULL AND (lat <> 0 OR lon <> 0)")
+    axes, cell = ("x", "y", "z"), ["i", "j", "k"]
+    sides = [finest_km * 4.0**n for n in range(math.ceil(math.log(EARTH_KM / finest_km, 4)), -1, -1)]
+    at = lambda df: df.withColumns({a: c for a, c in zip(axes, _in_space(F.col("lat"), F.col("lon")), strict=True)})
+    placed = at(real(stops).select("stop_id", "lat", "lon"))
+    corner = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip((i, j, k), cell, strict=True)]) for i in (-1, 0) for j in (-1, 0) for k in (-1, 0)])
+    front = at(real(points).select("point_id", "lat", "lon")).withColumn("c", F.explode(corner)).select("point_id", "lat", "lon", *axes, "c.*")
+    for side in sides:
+        own = [F.floor(F.col(a) / side).cast("int").alias(c) for a, c in zip(axes, cell, strict=True)]
+        one = placed.select(*own, F.struct(*axes).alias("some")).groupBy(*cell).agg(F.min("some").alias("some"))
+        if side is not sides[0]:
+            finer = one.select(*[F.floor(F.col(c) / 4).cast("int").alias(c) for c in cell], F.struct(*cell).alias("sub"), "some")
+        else:
+            finer = one.select(*cell, F.struct(*cell).alias("sub"), "some")
+        met = front.join(finer, cell)
+        far = lambda c: F.sqrt(sum((F.col(a) - c(a, n)) ** 2 for a, n in zip(axes, cell, strict=True)))
+        met = met.withColumn("most", far(lambda a, n: F.col(f"some.{a}"))).withColumn("least", far(lambda a, n, side=side: (F.col(f"sub.{n}") + 0.5) * side) - side * math.sqrt(3) / 2)
+        bound = F.min("most").over(Window.partitionBy("point_id"))
+        front = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound") + 1e-6).select("point_id", "lat", "lon", *axes, "sub.*")
+    held = placed.select("stop_id", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), *[F.floor(F.col(a) / sides[-1]).cast("int").alias(c) for a, c in zip(axes, cell, strict=True)])
+    km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
+    best = front.join(held, cell).groupBy("point_id").agg(F.min(F.struct(km.alias("km"), "stop_id")).alias("x"))
+    return best.select("point_id", "x.stop_id", "x.km")
+
+
 def knn_staged(points: DataFrame, staged: DataFrame, km: float, k: int = 20) -> DataFrame:
     """The k nearest records of another source in the same run."""
     held = staged.select(F.col("code").alias("other_code"), F.col("source").alias("other_source"), F.col("run_id").alias("other_run"), F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))

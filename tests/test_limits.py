@@ -121,3 +121,19 @@ def test_many_blocked_regions_block_all_their_routes(spark):
     low = stops.select("region", F.when(F.col("region") == "r7", 0.9).otherwise(0.1).alias("ratio"))
     assert [r.trip_id for r in timetables.attachable_trips(trips, stops, low, 0.5).collect()] == ["t7"]
     assert timetables.attachable_trips(trips, stops, low, 0.5, force=True).count() == n
+
+
+def test_nearest_stop_of_all_at_any_distance(spark):
+    import math
+
+    rng = random.Random(6)
+    stops = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(40)] + [(40 + i, 55 + rng.random(), 82 + rng.random()) for i in range(60)] + [(200, 0.0, 0.0), (201, None, 5.0)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(40)] + [(50, 90.0, 0.0), (51, -90.0, 7.0), (52, 10.0, 180.0), (53, 10.0, -180.0), (54, 56.0, 83.0), (55, None, 1.0)]
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 12742.0 * math.asin(math.sqrt(min(1.0, h)))
+
+    got = {r.point_id: r.stop_id for r in spatial.nearest_of_all(spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(stops, "stop_id long, lat double, lon double")).collect()}
+    assert got == {p[0]: min(stops[:100], key=lambda s: (km(p, s), s[0]))[0] for p in points[:-1]}
