@@ -71,7 +71,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     bits = min(63, max(24, int(np.ceil(np.log2(volume + 2))) + 3))
     marks = anchors(texts, width, period, cover, bits)
     again = marks.groupBy("h").agg(F.count("*").alias("seen")).where("seen >= 2").select("h")
-    lists = marks.join(again, "h").groupBy(*R.KEY).agg(F.collect_list("p").alias("items"))
+    # The keys seen again are distinct, so a hash table of them is small in each task and the marks need no sort.
+    lists = marks.join(again.hint("shuffle_hash"), "h").groupBy(*R.KEY).agg(F.collect_list("p").alias("items"))
 
     def around(batches):
         for batch in batches:
