@@ -285,8 +285,10 @@ def decide_join(scored: DataFrame, cfg: LinkConfig = LinkConfig(), most: int = 1
             settled = keep(_judge(two.drop("first").join(ready, "left_id"), cfg), "settled")
         stuck = not stuck and settled.count() * 8 < live.select("left_id").distinct().count()
         done = settled if done is None else done.unionByName(settled)
-        used = settled.where("result <> 'identity_only'").select("right_id")
-        before, live = live, keep(live.join(settled.select("left_id"), "left_id", "left_anti").join(used, "right_id", "left_anti"), "live")
+        # An earlier open row keeps a right row that a later one took: it can't take it, but it may report it.
+        used = settled.where("result <> 'identity_only'").select(F.col("right_id").alias("_taken"), order.alias("_by"))
+        open_rows = live.join(settled.select("left_id"), "left_id", "left_anti")
+        before, live = live, keep(open_rows.join(used, (F.col("right_id") == F.col("_taken")) & (F.col("_by") < order), "left_anti"), "live")
         drop(before)
     drop(live)
     return done
