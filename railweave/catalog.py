@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from railweave.functions import clock, geo, keys, names
@@ -1240,20 +1240,39 @@ def _(t):
 
 @query("p03_walk_relax", f"WITH {walks_sql(30.0, 7)} SELECT stop_id AS request_id, stop_id, 28800 AS arrival_s FROM v_stops UNION ALL SELECT f, t, 28800 + m * 60 FROM w7")
 def _(t):
-    seed = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("arrival_s"), F.array().cast(journeys.HOP).alias("path"))
-    return journeys.walk_relax(seed, journeys.walk_closure(spatial.transfer_links(t.v_stops, 30.0))).select("request_id", "stop_id", "arrival_s")
+    seed = t.v_stops.select(F.col("stop_id").alias("request_id"), "stop_id", F.lit(28800).alias("departure_s"))
+    return journeys.walk_relax(journeys.seeds(seed), journeys.walk_closure(spatial.transfer_links(t.v_stops, 30.0))).select("request_id", "stop_id", "arrival_s")
+
+
+def nation_journeys(t: Tables) -> DataFrame:
+    found = journeys.search(nation_requests(t), parts_of(t), walks_of(t))
+    return found.paths(found.best())
 
 
 @query("p04_journey_legs")
 def _(t):
-    labels = journeys.earliest_arrival(nation_requests(t), parts_of(t), walks_of(t))
-    goal = labels.withColumn("request_id", F.col("request_id") * 1000 + F.col("stop_id"))
-    return journeys.journey_legs(goal)
+    return journeys.journey_legs(nation_journeys(t))
 
 
-@query("p05_limit_transfers")
+@query("p04_journey_ends", f"{arrivals_sql(8)} SELECT r AS request_id, s AS stop_id, r AS from_stop, s AS to_stop, 28800 <= t_s AS in_order, 0 AS breaks, t_s AS arrival_s FROM a8 WHERE r <> s")
 def _(t):
-    labels = journeys.earliest_arrival(nation_requests(t), parts_of(t), walks_of(t)).withColumn("legs", F.size("path"))
+    legs = journeys.journey_legs(nation_journeys(t))
+    w = Window.partitionBy("request_id", "stop_id").orderBy("leg_no")
+    broken = (F.lag("to_stop").over(w) != F.col("from_stop")) | (F.lag("arrival_s").over(w) > F.col("departure_s")) | (F.col("departure_s") > F.col("arrival_s"))
+    rows = legs.withColumn("broken", F.coalesce(broken, F.lit(False)).cast("int"))
+    at = "leg_no"
+    return rows.groupBy("request_id", "stop_id").agg(F.min_by("from_stop", at).alias("from_stop"), F.max_by("to_stop", at).alias("to_stop"), (F.min("departure_s") >= 28800).alias("in_order"), F.sum("broken").cast("int").alias("breaks"), F.max_by("arrival_s", at).alias("arrival_s"))
+
+
+DIRECT = """, l0 AS (SELECT s AS r, s, 28800 AS t_s, 0 AS legs FROM q UNION ALL SELECT q.s, w.t, 28800 + w.m * 60, 1 FROM q JOIN w3 w ON w.f = q.s),
+boarded AS (SELECT l.r, p.trip_id, min(p.seq) AS seq, arg_min(l.legs, p.seq) AS legs FROM l0 l JOIN st p ON p.stop_id = l.s AND p.departure_s >= l.t_s GROUP BY l.r, p.trip_id),
+rode AS (SELECT b.r, e.stop_id AS s, e.arrival_s AS t_s, b.legs + 1 AS legs FROM boarded b JOIN st e ON e.trip_id = b.trip_id AND e.seq > b.seq WHERE b.legs = 0),
+few AS (SELECT * FROM l0 UNION ALL SELECT DISTINCT x.* FROM rode x LEFT JOIN l0 ON l0.r = x.r AND l0.s = x.s WHERE l0.t_s IS NULL OR x.t_s < l0.t_s)"""
+
+
+@query("p05_limit_transfers", f"{arrivals_sql(8)}{DIRECT} SELECT few.r AS request_id, few.s AS stop_id, few.t_s AS arrival_s, few.legs FROM few JOIN a8 ON a8.r = few.r AND a8.s = few.s AND a8.t_s = few.t_s")
+def _(t):
+    labels = journeys.earliest_arrival(nation_requests(t), parts_of(t), walks_of(t))
     return journeys.limit_transfers(labels, 0).select("request_id", "stop_id", "arrival_s", "legs")
 
 

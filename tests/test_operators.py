@@ -120,10 +120,10 @@ def test_journeys_of_many_rides(spark):
     walks = journeys.walk_closure(spark.createDataFrame([(100 + i, 101 + i, 1) for i in range(20)], "from_stop long, to_stop long, minutes int"))
     assert walks.count() == 20 * 21 // 2 and {r.minutes for r in walks.where("from_stop = 100 AND to_stop = 120").collect()} == {20}
     req = spark.createDataFrame([(1, 0, 0)], "request_id long, stop_id long, departure_s int")
-    labels = {r.stop_id: (r.arrival_s, len(r.path)) for r in journeys.earliest_arrival(req, parts, walks).collect()}
+    labels = {r.stop_id: (r.arrival_s, r.legs) for r in journeys.earliest_arrival(req, parts, walks).collect()}
     assert labels[11] == (10900, 11)
     limits = spark.createDataFrame([(1, 5)], "request_id long, most int")
-    labels = {r.stop_id: (r.arrival_s, len(r.path)) for r in journeys.earliest_arrival(req, parts, walks, limits=limits).collect()}
+    labels = {r.stop_id: (r.arrival_s, r.legs) for r in journeys.earliest_arrival(req, parts, walks, limits=limits).collect()}
     assert labels[5] == (4900, 5) and 6 not in labels and labels[11] == (50000, 1)
     by = spark.createDataFrame([(1, 0, 11, 20000), (2, 0, 11, 10000), (3, 0, 40, 20000), (4, 102, 110, 20000)], "request_id long, stop_id long, goal_stop long, limit_s int")
     assert {r.request_id: (r.departure_s, r.arrival_s, len(r.path)) for r in journeys.arrive_by(by, parts, walks).collect()} == {1: (0, 10900, 11), 3: (7, 8, 1), 4: (18200, 18680, 1)}
