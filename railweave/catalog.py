@@ -340,10 +340,10 @@ def _(t):
 
 
 @query("c06_merge_enrichment", f"""WITH {greedy_sql("CASE WHEN terminal_id % 2 = 0 THEN settlement END")}
-SELECT n.left_id, n.name, h.rname AS alt_name, n.lat, n.lon, coalesce(n.settlement, h.rset) AS settlement, n.transport FROM names n LEFT JOIN greedy g ON g.left_id = n.left_id AND g.result = 'enriched' LEFT JOIN held h ON h.right_id = g.right_id""")
+SELECT n.left_id, n.name, h.rname AS alt_name, round(n.lat, 6) AS lat, round(n.lon, 6) AS lon, coalesce(n.settlement, h.rset) AS settlement, n.transport FROM names n LEFT JOIN greedy g ON g.left_id = n.left_id AND g.result = 'enriched' LEFT JOIN held h ON h.right_id = g.right_id""")
 def _(t):
     l, r = left_side(t).withColumn("settlement", F.when(F.col("left_id") % 2 == 0, F.col("settlement"))), right_side(t)
-    return linkage.merge_enrichment(l, r, linkage.blocked_fuzzy_join(l, r)).drop("codes")
+    return linkage.merge_enrichment(l, r, linkage.blocked_fuzzy_join(l, r)).drop("codes").withColumns({"lat": r6("lat"), "lon": r6("lon")})
 
 
 def stop_side(t: Tables) -> DataFrame:
@@ -557,6 +557,15 @@ def _(t):
     return summaries.closure_table(t.v_places, 1000002)
 
 
+MOVED = "CASE WHEN level = 2 AND place_id % 2 = 1 THEN 1000000 WHEN level = 4 AND place_id % 5 = 0 THEN place_id + 1 ELSE parent_id END"
+
+
+@query("d26_closure_update", f"{CLOSURE.replace('closure(', 'moved AS (SELECT place_id, ' + MOVED + ' AS parent_id FROM v_places), closure(').replace('FROM v_places UNION', 'FROM moved UNION').replace('JOIN v_places', 'JOIN moved')} SELECT ancestor, descendant, depth FROM closure")
+def _(t):
+    moved = t.v_places.withColumn("old_id", F.col("parent_id")).withColumn("parent_id", F.expr(MOVED).cast("bigint"))
+    return summaries.closure_update(summaries.closure_table(t.v_places), moved, moved.where("NOT old_id <=> parent_id").select("place_id"))
+
+
 @query("d27_closure_diff", f"{CLOSURE} SELECT descendant, string_agg(CAST(ancestor AS VARCHAR), ',' ORDER BY ancestor) AS missing FROM closure WHERE descendant % 10 = 0 AND depth > 0 GROUP BY descendant")
 def _(t):
     broken = summaries.closure_table(t.v_places).where("descendant % 10 <> 0 OR depth = 0")
@@ -1398,6 +1407,12 @@ def _(t):
     return streams.review_stream(rows).select("entity_id", "reason", "seen", "score")
 
 
+@query("s03_review_episodes", "SELECT terminal_id AS entity_id, reason, count(*) AS seen, max(observed_at) AS observed_at FROM (SELECT *, sum(opens) OVER (PARTITION BY terminal_id, reason ORDER BY observed_at) AS episode FROM (SELECT terminal_id, reason, observed_at, CASE WHEN observed_at - lag(observed_at) OVER (PARTITION BY terminal_id, reason ORDER BY observed_at) < INTERVAL 30 DAY THEN 0 ELSE 1 END AS opens FROM v_reviews)) GROUP BY terminal_id, reason, episode")
+def _(t):
+    rows = t.v_reviews.select(F.lit("terminal").alias("entity_type"), F.col("terminal_id").alias("entity_id"), "reason", "score", "observed_at")
+    return streams.review_episodes(rows, 30 * 86400).select("entity_id", "reason", "seen", "observed_at")
+
+
 @query("s05_quota_stream", "SELECT event_type AS provider, CAST(ts AS DATE) AS day, count(*) AS calls, count(*) > 10 AS over FROM events GROUP BY ALL")
 def _(t):
     return streams.quota_stream(t.events.select(F.col("event_type").alias("provider"), "ts"), 10)

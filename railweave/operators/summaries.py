@@ -203,6 +203,26 @@ def closure_table(places: DataFrame, root: int | None = None) -> DataFrame:
     return full.join(below, "descendant", "left_semi").join(below.withColumnRenamed("descendant", "ancestor"), "ancestor", "left_semi").select("ancestor", "descendant", "depth")
 
 
+def closure_update(closure: DataFrame, places: DataFrame, changed: DataFrame) -> DataFrame:
+    """The closure after an edit; ``changed`` (place_id) holds the places that are new, gone or have another parent.
+
+    ``closure`` is that of the hierarchy before, ``places`` the one after. Only
+    rows of the changed places and of what lay below them are made anew: within
+    that part by doubling, and above it from the rows that stay. Unchanged places
+    keep their rows, which are read once and not joined among themselves.
+    """
+    stale = keep(closure.join(changed.select(F.col("place_id").alias("ancestor")), "ancestor", "left_semi").select(F.col("descendant").alias("place_id")).union(changed.select("place_id")).distinct(), "stale")
+    stays = closure.join(stale.select(F.col("place_id").alias("descendant")), "descendant", "left_anti").select("ancestor", "descendant", "depth")
+    rows = places.select("place_id", "parent_id").join(stale, "place_id", "left_semi")
+    marked = keep(rows.join(stale.select(F.col("place_id").alias("parent_id"), F.lit(True).alias("inside")), "parent_id", "left"), "moved")
+    inner = closure_table(marked.select("place_id", F.when(F.col("inside"), F.col("parent_id")).alias("parent_id")))
+    roots = marked.where("inside IS NULL AND parent_id IS NOT NULL").select(F.col("place_id").alias("top"), F.col("parent_id").alias("up"))
+    above = roots.join(stays.where("depth > 0"), F.col("up") == F.col("descendant")).select("top", "ancestor", "depth")
+    above = above.union(roots.select("top", F.col("up").alias("ancestor"), F.lit(0).alias("depth")))
+    outer = above.join(inner.select(F.col("ancestor").alias("top"), "descendant", F.col("depth").alias("down")), "top").select("ancestor", "descendant", (F.col("depth") + 1 + F.col("down")).alias("depth"))
+    return stays.union(inner.select("ancestor", "descendant", "depth")).union(outer)
+
+
 def closure_diff(places: DataFrame, closure: DataFrame) -> DataFrame:
     """For each descendant the ancestors its closure rows lack or have too many."""
     k = ["ancestor", "descendant"]
