@@ -1584,6 +1584,18 @@ def _(t):
     return readers.read_map_elements(t.spark, at).select("code", "name", "lat")
 
 
+@query("a06_read_map_elements_split", "SELECT CAST(stop_id AS VARCHAR) AS code, name, lat FROM v_stops")
+def _(t):
+    # One large document a region, written as a stream of lines and read by many tasks.
+    at = folder(t, "elements")
+    element = F.struct(F.lit("node").alias("type"), F.col("stop_id").alias("id"), "lat", "lon", F.create_map(F.lit("name"), F.col("name"), F.lit("note"), F.lit('}, "elements": [{')).alias("tags"))
+    rows = t.v_stops.select("region", F.lit(1).alias("part"), F.concat(F.lit(","), F.to_json(element)).alias("value"))
+    for part, text in ((0, '{"version": {"n": {}}, "elements": [{}'), (2, "]}")):
+        rows = rows.unionByName(t.region.select(F.col("r_name").alias("region"), F.lit(part).alias("part"), F.lit(text).alias("value")))
+    rows.repartition("region").sortWithinPartitions("region", "part").select("region", "value").write.partitionBy("region").text(at)
+    return readers.read_map_elements(t.spark, at, split=True).select("code", "name", "lat")
+
+
 @query("a07_read_route_relations", "SELECT trip_id AS relation_id, CAST(trip_id AS VARCHAR) AS ref, CAST(count(*) AS INT) AS stop_count FROM v_stop_times GROUP BY trip_id")
 def _(t):
     at = folder(t, "relations")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from railweave.functions import clock, geo, names
 from railweave.operators.sequences import first_per_key
+from railweave.sources import documents
 from railweave.sources import schemas as S
 
 # Transport names of the station tree that differ from ours.
@@ -62,10 +63,25 @@ def import_feed(feed: dict[str, DataFrame], offset: int = 10**10) -> dict[str, D
     return {"services": services, "service_exceptions": exceptions, "routes": routes, "trips": trips, "stops": stops, "stop_times": times, "frequencies": heads}
 
 
-def read_registry(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a registry snapshot, one nested document a file."""
+def _array_rows(spark: SparkSession, path: str, schema: str, name: str | None, split: bool) -> DataFrame:
+    """Rows of the array ``name`` of JSON documents, or of documents that are arrays; ``split``: by many tasks a document."""
+    kind = T.StructType.fromDDL(schema)
+    if not split:
+        rows = spark.read.schema(kind).json(path, multiLine=True)
+        return rows.select(F.explode(name).alias("e")).select("e.*") if name else rows
+    rows = documents.elements(spark, path, keyed=name is not None).where(F.col("name") == (name or ""))
+    return rows.select(F.from_json("value", kind[name].dataType.elementType if name else kind).alias("e")).select("e.*")
+
+
+def read_registry(spark: SparkSession, path: str, split: bool = False) -> dict[str, DataFrame]:
+    """Tables of a registry snapshot, one nested document a file; ``split``: large documents by many tasks."""
+    tables = ("routes", "stops", "carriers", "services", "service_days", "service_exceptions", "schedules")
+    if split:
+        kind, rows = T.StructType.fromDDL(S.REGISTRY), documents.elements(spark, path)
+        meta = documents.frame(rows).select(F.from_json("value", kind).alias("d")).select("d.meta.*")
+        return {n: rows.where(F.col("name") == n).select(F.from_json("value", kind[n].dataType.elementType).alias("x")).select("x.*") for n in tables} | {"meta": meta}
     doc = spark.read.schema(S.REGISTRY).json(path, multiLine=True)
-    return {name: doc.select(F.explode(name).alias("x")).select("x.*") for name in ("routes", "stops", "carriers", "services", "service_days", "service_exceptions", "schedules")} | {"meta": doc.select("meta.*")}
+    return {name: doc.select(F.explode(name).alias("x")).select("x.*") for name in tables} | {"meta": doc.select("meta.*")}
 
 
 def _codes(*pairs: tuple[str, str, Column]) -> Column:
@@ -76,9 +92,9 @@ def _record(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def read_stations(spark: SparkSession, path: str) -> DataFrame:
+def read_stations(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Records of a flat list of tagged map stations; nameless ones go, (0, 0) is no point."""
-    return stations_to_records(spark.read.schema(S.STATIONS).json(path, multiLine=True))
+    return stations_to_records(_array_rows(spark, path, S.STATIONS, None, split))
 
 
 def stations_to_records(rows: DataFrame) -> DataFrame:
@@ -101,17 +117,17 @@ def flatten_station_tree(doc: DataFrame) -> DataFrame:
     return rows.select("country", "region", "settlement", F.col("x.title").alias("name"), number("x.latitude").alias("lat"), number("x.longitude").alias("lon"), F.coalesce(F.try_element_at(book, F.col("x.transport_type")), F.col("x.transport_type")).alias("transport"), F.col("x.station_type").alias("station_type"), F.lit("yandex").alias("source"), _codes(("yandex", "yandex_code", F.col("x.codes.yandex_code")), ("esr", "esr_code", F.col("x.codes.esr_code"))).alias("codes"))
 
 
-def read_map_elements(spark: SparkSession, path: str) -> DataFrame:
+def read_map_elements(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Records of map elements, at their point or centre; nameless and placeless ones go."""
-    rows = spark.read.schema(S.MAP_FILE).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+    rows = _array_rows(spark, path, S.MAP_FILE, "elements", split)
     code = F.when(F.col("type") == "node", F.col("id").cast("string")).otherwise(F.concat_ws("/", "type", F.col("id").cast("string")))
     name = F.coalesce(_blank(F.try_element_at("tags", F.lit("name:ru"))), _blank(F.try_element_at("tags", F.lit("name"))))
     return _record(rows, code=code, name=name, lat=F.coalesce("lat", "center.lat"), lon=F.coalesce("lon", "center.lon"), codes=_codes(("osm", "id", code))).where("name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
 
 
-def read_route_relations(spark: SparkSession, path: str) -> DataFrame:
+def read_route_relations(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Routes of map relations with their member stops in order."""
-    rows = spark.read.schema(S.MAP_FILE).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*").where("type = 'relation'")
+    rows = _array_rows(spark, path, S.MAP_FILE, "elements", split).where("type = 'relation'")
     tag = lambda k: _blank(F.try_element_at("tags", F.lit(k)))
     stop = F.filter("members", lambda m: m["type"].isin("node", "way"))
     stops = F.transform(stop, lambda m, i: F.struct(i.alias("seq"), F.when(m["type"] == "node", m["ref"].cast("string")).otherwise(F.concat_ws("/", m["type"], m["ref"].cast("string"))).alias("code"), F.coalesce(F.nullif(m["role"], F.lit("")), F.lit("stop")).alias("role")))
@@ -174,9 +190,9 @@ def skip_unchanged(spark: SparkSession, path: str, provider: str, imports: DataF
     return one.join(last, ["provider", "sha256"], "left_anti")
 
 
-def read_seed_places(spark: SparkSession, path: str) -> DataFrame:
+def read_seed_places(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Seed places as cache rows."""
-    rows = spark.read.schema(S.PLACES).json(path, multiLine=True)
+    rows = _array_rows(spark, path, S.PLACES, None, split)
     return rows.select(names.normalize_query(F.col("name")).alias("query"), "name", "lat", "lon", F.lit("seed").alias("origin"), geo.geo_cache_key(F.col("lat"), F.col("lon")).alias("cache_key"))
 
 
