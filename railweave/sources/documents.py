@@ -35,15 +35,15 @@ def _before(c: str, *keys: str, by: str) -> Column:
 
 def _change(bare: Column, outside_after: Column) -> Column:
     """The change of depth over a fragment: what it opens, less what it closes, its end included."""
-    signs = F.regexp_replace(bare, r'"[^"]*+(?:"|\z)', "")
-    count = lambda s: F.length(signs) - F.length(F.translate(signs, s, ""))
-    return (count("{[") - count("]") - outside_after.cast("int")).cast("long")
+    signs = F.regexp_replace(bare, r'"[^"]*+(?:"|\z)|[^"\[\]{]++', "")
+    closed = F.length(signs) - F.length(F.replace(signs, F.lit("]"), F.lit("")))
+    return (F.length(signs) - 2 * closed - outside_after.cast("int")).cast("long")
 
 
 def _fragments(spark: SparkSession, path: str) -> DataFrame:
     """Fragments with running counts in their block, for a block that begins outside (0) and inside (1) a string."""
     rows = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
-    rows = rows.withColumn("bare", F.regexp_replace("value", r"(?s)\\.", "")).withColumn("quotes", (F.length("bare") - F.length(F.translate("bare", '"', ""))).cast("long"))
+    rows = rows.withColumn("bare", F.regexp_replace("value", r"(?s)\\.", "")).withColumn("quotes", (F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit("")))).cast("long"))
     w = _so_far(*BLOCK, by="n")
     rows = rows.withColumn("quotes_here", F.sum("quotes").over(w))
     odd = (F.col("quotes_here") - F.col("quotes")) % 2
