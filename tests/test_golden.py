@@ -47,13 +47,15 @@ def test_sync_of_the_register_slice(spark, register, terminals):
     assert {r.ratio for r in out["coverage"].collect()} == {1.0}
 
 
-def test_calibration_recommends_seven_tenths(register, terminals):
+def matched(register, held):
+    """The best terminal of each stop of the register, if any."""
     asked = register["stops"].select(F.xxhash64("id").alias("stop_key"), "name", "lat", "lon", names.extract_settlement(F.col("name")).alias("settlement"), F.lit("").alias("transport"), F.lit("mintrans").alias("source"), F.lit("urban").alias("density"), F.array().cast(CODES).alias("codes"))
+    scored = linkage.scored_attach(asked, held, linkage.attach_candidates(asked, held))
+    return linkage.match_best(scored, "stop_key")
 
-    def best(held):
-        scored = linkage.scored_attach(asked, held, linkage.attach_candidates(asked, held))
-        return linkage.match_best(scored, "stop_key").select(F.col("s.value").alias("score"), F.col("s.guard").alias("guard"))
 
+def test_calibration_recommends_seven_tenths(register, terminals):
+    best = lambda held: matched(register, held).select(F.col("s.value").alias("score"), F.col("s.guard").alias("guard"))
     shifted = terminals.withColumn("lat", F.col("lat") + 0.005).withColumn("lon", F.col("lon") + 0.005)
     report = summaries.calibrate(best(terminals), best(shifted), [0.3, 0.4, 0.5, 0.6, 0.7, 0.8], 0.005)
     assert summaries.recommend_threshold(report, 0.8).first().threshold == 0.7
@@ -61,6 +63,19 @@ def test_calibration_recommends_seven_tenths(register, terminals):
     assert clean[0.6] == (16, 16)
 
 
+@pytest.mark.parametrize("kind", ["clean", "shifted", "empty"])
+def test_gate_methods(register, terminals, kind):
+    held = {"clean": terminals, "shifted": terminals.withColumn("lat", F.col("lat") + 0.005).withColumn("lon", F.col("lon") + 0.005), "empty": terminals.where("false")}[kind]
+    best = matched(register, held).select("stop_key", F.col("s.value").alias("score"), "decision")
+    rows = register["stops"].select(F.xxhash64("id").alias("stop_key"), "region").join(best, "stop_key", "left")
+    rates = [(r.soft_rate, r.verified_rate) for r in summaries.compare_gates(rows, 0.4).collect()]
+    assert rates and all(verified <= soft for soft, verified in rates)
+    if kind == "clean":
+        assert set(rates) == {(1.0, 1.0)}
+    if kind == "empty":
+        assert set(rates) == {(0.0, 0.0)}
+
+
 KEMEROVO = {"name": "Кемерово автовокзал", "settlement": "кемерово"}
 AT = {"lat": 55.3416, "lon": 86.061}
 NEAR = KEMEROVO | {"lat": 55.3417, "lon": 86.0612, "source": "osm", "transport": "bus"}
