@@ -50,3 +50,38 @@ def test_stem_of_an_adjective_tells_what_the_full_comparison_tells(spark):
     df = spark.createDataFrame([(x, y) for x in lot for y in lot], "x string, y string")
     x, y = F.col("x"), F.col("y")
     assert df.where(names.same_core(x, y) != names.same_core_by_stem(x, names.core_stem(x), y, names.core_stem(y))).count() == 0
+
+
+def test_fold_along_trips_equals_a_loop(spark):
+    kind = "struct<value:double,trust:double,code:boolean,has_geom:boolean,metres:double,name_sim:double,guard:boolean>"
+    rng = random.Random(12)
+    rows = [(k, c, "rural" if k % 2 else "urban", (rng.choice([0.4, 0.52, 0.6, 0.64, 0.7, 0.9]), 1.0, rng.random() < 0.1, rng.random() < 0.7, 10.0, 1.0, rng.random() < 0.9)) for k in range(12) for c in sorted(rng.sample(range(20), rng.randrange(0, 14)))]
+    trips = [(t, i, rng.randrange(12)) for t in range(120) for i in range(rng.randrange(1, 7))]
+    want = {}
+    for t in range(120):
+        mine = sorted(x for x in trips if x[0] == t)
+        used, first = [], None
+        for i, (_, seq, k) in enumerate(mine):
+            last = i == len(mine) - 1 and i > 1
+            free = [x for x in rows if x[0] == k and (x[1] not in used or (last and x[1] == first))]
+            if not free:
+                want[t, seq] = (None, "rejected", None)
+                continue
+            best = min(free, key=lambda x: (-x[3][0], x[1]))
+            value, _, code, geom, _, _, guard = best[3]
+            other = min((x[3][0] for x in free if x is not best), default=None)
+            gap = None if other is None else value - other
+            if gap is not None and value >= 0.5 and gap < 0.05:
+                kind_of = "duplicate_ambiguous"
+            elif value >= 0.6 and guard and (code or geom or best[2] == "urban" or gap is None or gap >= 0.05):
+                kind_of = "verified"
+            else:
+                kind_of = "low_confidence" if value >= 0.5 else "rejected"
+            want[t, seq] = (best[1] if kind_of == "verified" else None, kind_of, value)
+            if kind_of == "verified":
+                used.append(best[1])
+                first = best[1] if first is None else first
+    got = linkage.match_trip_stops(spark.createDataFrame(trips, "trip_id long, seq int, stop_key long"), spark.createDataFrame(rows, f"stop_key long, cand_no long, density string, s {kind}"))
+    # Each list is filtered once a stop; the expression used to be repeated wherever it was named.
+    assert _plan(got).count("filter(coalesce(") <= 4
+    assert {(r.trip_id, r.seq): (r.terminal_id, r.decision, r.value) for r in got.collect()} == want
