@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,44 +32,67 @@ def _ints() -> Column:
     return F.array().cast("array<int>")
 
 
+# A list of short weekday names up to the end of the text or a semicolon. Such lists are read by patterns and not by
+# lambdas, which Spark neither compiles nor works out only once where an expression names them several times.
+DAYS = rf"[,\s]*(?:(?:{'|'.join(WEEKDAY)})(?:[,\s]+|(?=;|\z)))+"
+
+
+def _days_named(low: Column) -> Column:
+    """Weekday numbers, in order, whose names a text of valid lists holds."""
+    named = F.array(*[F.when(F.contains(low, F.lit(name)), F.lit(day)) for name, day in sorted(WEEKDAY.items(), key=lambda x: x[1])])
+    return F.array_except(named, F.array(F.lit(None).cast("int")))
+
+
 def day_list(c: Column) -> Column:
     """Weekday numbers of a list of short names; NULL if a name is unknown or none is there."""
-    words = F.filter(F.split(F.lower(c), r"[,\s]+"), lambda x: x != "")
-    days = F.transform(words, lambda w: F.try_element_at(_map(WEEKDAY), w))
-    return F.when((F.size(days) > 0) & F.forall(days, lambda d: d.isNotNull()), F.array_sort(F.array_distinct(days)))
+    low = F.lower(c)
+    return F.when(low.rlike(rf"\A{DAYS}\z"), _days_named(low))
 
 
 def is_no_service(c: Column) -> Column:
     return F.lower(F.trim(c)).startswith("нет")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_cell_time(c: Column) -> Column:
     """Struct (minutes, days, ok) of an hour, a colon, two digits of minutes and perhaps days in brackets; days NULL where the cell names none."""
-    text = F.trim(c)
-    noted = F.contains(text, F.lit("("))
-    clock = F.split(F.rtrim(F.split_part(text, F.lit("("), F.lit(1))), ":")
-    # What is between the first bracket and the last sign, which must be the only closing one.
-    note = text.substr(F.instr(text, "(") + 1, F.length(text) - F.instr(text, "(") - 1)
-    closed = ~noted | (text.endswith(")") & ~F.contains(note, F.lit(")")))
-    hour, minute = (F.try_element_at(clock, F.lit(i)) for i in (1, 2))
-    shaped = (F.size(clock) == 2) & hour.rlike("^[0-9]{1,2}$") & minute.rlike("^[0-9]{2}$") & closed
-    h, m = hour.try_cast("int"), minute.try_cast("int")
-    inner = F.when(noted, F.trim(note)).otherwise("")
-    days = F.when(inner != "", day_list(inner))
-    ok = F.coalesce(shaped & (h <= 23) & (m <= 59) & ((inner == "") | days.isNotNull()), F.lit(False))
-    return F.struct(F.when(ok, h * 60 + m).alias("minutes"), F.when(ok, days).alias("days"), ok.alias("ok"))
+
+    def cut(text):
+        noted = F.contains(text, F.lit("("))
+        clock = F.split(F.rtrim(F.split_part(text, F.lit("("), F.lit(1))), ":")
+        # What is between the first bracket and the last sign, which must be the only closing one.
+        note = text.substr(F.instr(text, "(") + 1, F.length(text) - F.instr(text, "(") - 1)
+        return F.struct(clock.alias("clock"), F.when(noted, F.trim(note)).otherwise("").alias("inner"), (~noted | (text.endswith(")") & ~F.contains(note, F.lit(")")))).alias("closed"))
+
+    def read(x):
+        hour, minute = (F.try_element_at(x["clock"], F.lit(i)) for i in (1, 2))
+        shaped = (F.size(x["clock"]) == 2) & hour.rlike("^[0-9]{1,2}$") & minute.rlike("^[0-9]{2}$") & x["closed"]
+        days = F.when(x["inner"] != "", day_list(x["inner"]))
+        return F.struct(shaped.alias("shaped"), hour.try_cast("int").alias("h"), minute.try_cast("int").alias("m"), (x["inner"] == "").alias("bare"), days.alias("days"))
+
+    def checked(x):
+        ok = x["shaped"] & (x["h"] <= 23) & (x["m"] <= 59) & (x["bare"] | x["days"].isNotNull())
+        return F.struct((x["h"] * 60 + x["m"]).alias("minutes"), x["days"].alias("days"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    only = lambda x: F.struct(F.when(x["ok"], x["minutes"]).alias("minutes"), F.when(x["ok"], x["days"]).alias("days"), x["ok"].alias("ok"))
+    return _let(_let(_let(_let(F.trim(c), cut), read), checked), only)
 
 
 def parse_block_days(c: Column) -> Column:
     """Struct (kind, days); kind is all, none, parity, days or error."""
-    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    parts = F.filter(F.transform(F.split(low, ";"), lambda x: F.trim(x)), lambda x: x != "")
-    lists = F.transform(parts, day_list)
-    bad = F.exists(lists, lambda x: x.isNull()) | (F.size(parts) == 0)
-    daily = F.array_position(parts, F.lit("ежедневно"))
-    wrong_before = F.exists(F.slice(lists, 1, F.greatest(daily - 1, F.lit(0)).cast("int")), lambda x: x.isNull())
-    kind = F.when(low == "", "all").when(low.startswith("нет"), "none").when(F.contains(low, F.lit("через")), "parity").when((daily > 0) & ~wrong_before, "all").when(bad, "error").otherwise("days")
-    return F.struct(kind.alias("kind"), F.when(kind == "days", F.array_sort(F.array_distinct(F.flatten(lists)))).alias("days"))
+
+    def read(low):
+        daily = low.rlike(rf"\A(?:(?: *|{DAYS});)* *ежедневно *(?:;|\z)")  # what is before it must be lists
+        lists = low.rlike(rf"\A(?: *|{DAYS})(?:;(?: *|{DAYS}))*\z") & low.rlike("[^; ]")
+        kind = F.when(low == "", "all").when(low.startswith("нет"), "none").when(F.contains(low, F.lit("через")), "parity").when(daily, "all").when(lists, "days").otherwise("error")
+        return F.struct(kind.alias("kind"), low.alias("low"))
+
+    told = lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"] == "days", _days_named(x["low"])).alias("days"))
+    return _let(_let(F.lower(F.trim(F.coalesce(c, F.lit("")))), read), told)
 
 
 def parse_days_range(c: Column) -> Column:

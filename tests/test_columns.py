@@ -55,6 +55,13 @@ def test_block_days(spark):
         assert tuple(one(spark, clock.parse_block_days(F.lit(text)))[0]) == want
 
 
+@pytest.mark.parametrize("parse", [clock.parse_cell_time, clock.parse_block_days])
+def test_parsers_work_out_their_text_once(spark, parse):
+    # Named dozens of times, what makes the text was worked out anew at each mention.
+    made = spark.range(1).select(parse(F.concat(F.lit("10:"), F.col("id").cast("string"))).alias("x"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("id#") <= 3
+
+
 def test_feed_fields(spark):
     assert tuple(one(spark, clock.feed_seconds(F.lit("25:10")), clock.feed_seconds(F.lit("1:02:03")), clock.feed_seconds(F.lit("x")), clock.feed_hms(F.lit(90065)))) == (90600, 3723, None, "25:01:05")
     assert one(spark, clock.parse_days_range(F.lit("пт-пн")))[0] == [0, 1, 5, 6]
