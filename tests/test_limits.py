@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from railweave import catalog
 from railweave.operators import linkage, spatial, summaries, timetables
 
 NO_CODES = linkage.NO_CODES
@@ -137,3 +138,9 @@ def test_nearest_stop_of_all_at_any_distance(spark):
 
     got = {r.point_id: r.stop_id for r in spatial.nearest_of_all(spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(stops, "stop_id long, lat double, lon double")).collect()}
     assert got == {p[0]: min(stops[:100], key=lambda s: (km(p, s), s[0]))[0] for p in points[:-1]}
+
+
+def test_documents_of_a_region_stay_small(spark):
+    rows = spark.range(0, 600_000, 30).select(F.concat(F.lit("00."), "id").alias("route"), F.lit("forward").alias("direction"), F.lit(1).alias("service_id"), F.array().cast("array<string>").alias("stops"))
+    sizes = [r.n for r in catalog.registry_documents(rows).select(F.size("schedules").alias("n")).collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 3_334
