@@ -11,18 +11,26 @@ from railweave.operators.sequences import first_per_key
 def fare_for_leg(legs: DataFrame, rules: DataFrame, zones: DataFrame, fares: DataFrame) -> DataFrame:
     """Fare of the first rule, in list order, whose route and zones are blank or match.
 
-    Blank columns are wildcards, so a leg is looked up under its eight patterns
-    of kept and blanked values: an equi-join, whatever the number of rules.
+    Blank columns are wildcards, so a case is looked up under its eight patterns of
+    kept and blanked values: an equi-join, whatever the number of rules. A case is
+    a route and the zones of both stops; legs share few, so the legs themselves are
+    neither multiplied nor sorted.
     """
-    z = lambda side: zones.select(F.col("stop_id").alias(f"{side}_stop"), F.col("zone_id").alias(f"{side}_zone"))
-    rows = legs.join(z("from"), "from_stop", "left").join(z("to"), "to_stop", "left")
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("route_id", "from_zone", "to_zone")]
-    patterns = F.array_distinct(F.array(*[F.concat_ws("\u0001", *[p if mask >> i & 1 else F.lit("") for i, p in enumerate(parts)]) for mask in range(8)]))
-    key = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("route_id", "from_zone", "to_zone")])
-    held = first_per_key(rules.withColumn("_k", key), ["_k"], ["rule_no"]).select("_k", "rule_no", "fare_id")
-    hits = rows.select("leg_id", F.explode(patterns).alias("_k")).join(held, "_k")
-    best = first_per_key(hits, ["leg_id"], ["rule_no"]).select("leg_id", "fare_id")
-    return legs.join(best.join(fares.select("fare_id", "price", "currency"), "fare_id"), "leg_id", "left")
+    held = zones.groupBy("stop_id").agg(F.array_sort(F.collect_set(F.coalesce(F.col("zone_id").cast("string"), F.lit("")))).alias("zones"))
+    z = lambda side: held.select(F.col("stop_id").alias(f"{side}_stop"), F.col("zones").alias(f"_{side}"))
+    bare = F.array(F.lit(""))
+    route = F.coalesce(F.col("route_id").cast("string"), F.lit(""))
+    rows = legs.join(z("from"), "from_stop", "left").join(z("to"), "to_stop", "left").withColumns({"_route": route, "_from": F.coalesce("_from", bare), "_to": F.coalesce("_to", bare)})
+    case = ["_route", "_from", "_to"]
+    asked = rows.select(*case).distinct().select(*case, F.explode("_from").alias("a")).select(*case, "a", F.explode("_to").alias("b"))
+    sep = "\u0001"
+    patterns = F.array_distinct(F.array(*[F.concat_ws(sep, *[F.col(c) if mask >> i & 1 else F.lit("") for i, c in enumerate(("_route", "a", "b"))]) for mask in range(8)]))
+    key = F.concat_ws(sep, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("route_id", "from_zone", "to_zone")])
+    known = first_per_key(rules.withColumn("_k", key), ["_k"], ["rule_no"]).select("_k", "rule_no", "fare_id")
+    hits = asked.select(*case, F.explode(patterns).alias("_k")).join(known, "_k")
+    best = hits.groupBy(*case).agg(F.min(F.struct("rule_no", "fare_id")).alias("x")).select(*case, "x.fare_id")
+    told = rows.join(best.join(fares.select("fare_id", "price", "currency"), "fare_id"), case, "left")
+    return told.select("leg_id", *[c for c in legs.columns if c != "leg_id"], "fare_id", "price", "currency")
 
 
 def join_by_code(df: DataFrame, identifiers: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from railweave import catalog
-from railweave.operators import linkage, spatial, summaries, timetables
+from railweave.operators import linkage, lookups, spatial, summaries, timetables
 
 NO_CODES = linkage.NO_CODES
 
@@ -144,3 +144,24 @@ def test_documents_of_a_region_stay_small(spark):
     rows = spark.range(0, 600_000, 30).select(F.concat(F.lit("00."), "id").alias("route"), F.lit("forward").alias("direction"), F.lit(1).alias("service_id"), F.array().cast("array<string>").alias("stops"))
     sizes = [r.n for r in catalog.registry_documents(rows).select(F.size("schedules").alias("n")).collect()]
     assert sum(sizes) == 20_000 and max(sizes) <= 3_334
+
+
+def test_fares_are_found_by_case_and_not_by_leg(spark):
+    rng = random.Random(4)
+    zones = [(s, z) for s in range(9) for z in rng.sample(["1", "2", "3", None], rng.randrange(3))]
+    rules = [(i, rng.choice(["", "0", "1"]), rng.choice(["", "1", "2"]), rng.choice(["", "2", "3"]), rng.choice("abc")) for i in range(25)]
+    legs = [(i, rng.choice([None, 0, 1]), rng.randrange(11), rng.choice([None, *range(9)])) for i in range(200)]
+    price = {"a": 1.0, "b": 2.0}
+    out = lookups.fare_for_leg(
+        spark.createDataFrame(legs, "leg_id int, route_id int, from_stop int, to_stop int"),
+        spark.createDataFrame(rules, "rule_no int, route_id string, from_zone string, to_zone string, fare_id string"),
+        spark.createDataFrame(zones, "stop_id int, zone_id string"),
+        spark.createDataFrame([(k, v, "RUB") for k, v in price.items()], "fare_id string, price double, currency string"),
+    )
+    assert "hashpartitioning(leg_id" not in out._jdf.queryExecution().executedPlan().toString()
+    of = lambda stop: {z or "" for s, z in zones if s == stop} or {""}
+    want = {}
+    for leg, route, a, b in legs:
+        hits = [f for _, r, x, y, f in rules if r in ("", str(route) if route is not None else "") and x in {"", *of(a)} and y in {"", *of(b)}]
+        want[leg] = price.get(hits[0]) if hits else None
+    assert {r.leg_id: r.price for r in out.collect()} == want and out.count() == len(legs)
