@@ -165,3 +165,9 @@ def test_fares_are_found_by_case_and_not_by_leg(spark):
         hits = [f for _, r, x, y, f in rules if r in ("", str(route) if route is not None else "") and x in {"", *of(a)} and y in {"", *of(b)}]
         want[leg] = price.get(hits[0]) if hits else None
     assert {r.leg_id: r.price for r in out.collect()} == want and out.count() == len(legs)
+
+
+def test_periods_are_told_before_stops_are_rows(spark):
+    rows = spark.createDataFrame([], f"route string, direction string, service_id long, stops array<struct<stop:string,region:string,winter:{catalog.BLOCK},summer:{catalog.BLOCK}>>")
+    plan = timetables.run_rows(rows)._jdf.queryExecution().analyzed().toString()
+    assert max(plan.index(f"posexplode({c}") for c in ("stops",)) < plan.index("Window [")
