@@ -1,8 +1,10 @@
 """All-pairs rules: rows meet in tiles, whatever the keys' frequencies."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from railweave.operators import linkage
+from railweave.operators import linkage, spatial
 
 
 def test_tiles_hold_every_pair_of_a_key_once_and_share_it_out(spark):
@@ -15,3 +17,29 @@ def test_tiles_hold_every_pair_of_a_key_once_and_share_it_out(spark):
     shares = [sum(r.task == t for r in rows if r.k == "big") for t in {r.task for r in rows}]
     assert len(shares) >= 16 and max(shares) < 280 * 80 / 4
     assert linkage.tiles(left.limit(0), right).count() == 0 and linkage.tiles(left, right).count() == 300 * 90
+
+def test_stops_take_the_point_of_the_best_name_in_their_settlement(spark):
+    rng = random.Random(4)
+    words = ["Вокзал", "Автовокзал", "Аэропорт", "Речной вокзал", "Рынок", "Рынок Южный", "Томск Восточный", "Порт", ""]
+    towns = ["Томск", "Томская", "Омск", "Омский", "", None]
+    stops = spark.createDataFrame([(i, rng.choice(words + [None]), None, None, rng.choice(towns)) for i in range(60)], "stop_id long, name string, lat double, lon double, settlement string")
+    terminals = spark.createDataFrame([(i, rng.choice(words + [None]), 50.0 + i, 80.0, rng.choice(towns)) for i in range(25)], "terminal_id long, name string, lat double, lon double, settlement string")
+    from railweave.functions import names
+
+    t = terminals.select("terminal_id", F.col("name").alias("tname"), F.coalesce("settlement", F.lit("")).alias("tplace"))
+    fits = F.coalesce(names.same_settlement(F.col("settlement"), F.col("tplace")), F.lit(False))
+    n, m = F.col("name"), F.col("tname")
+    score = names.name_similarity(n, m) + F.when(names.stop_type_signal(names.infer_stop_type(n), m), 0.25).otherwise(0.0) - F.when(names.has_contrast_word(n, m), 0.25).otherwise(0.0)
+    every = {}
+    for r in stops.crossJoin(t).select("stop_id", "terminal_id", "tplace", fits.alias("own"), score.alias("score")).collect():
+        every.setdefault(r.stop_id, []).append(r)
+    want = {}
+    for stop, rows in every.items():
+        open_to = [r for r in rows if r.own] or [r for r in rows if r.tplace == ""]
+        top = sorted(((-r.score, r.terminal_id) for r in open_to if r.score >= 0.6))
+        want[stop] = top[0][1] if top and (len(top) < 2 or -top[0][0] + top[1][0] >= 0.15) else None
+    got = spatial.resolve_stop_coords(stops, terminals)
+    assert {r.stop_id: r.resolved_by for r in got.collect()} == want
+    assert 5 < sum(x is not None for x in want.values()) < 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan
