@@ -43,3 +43,46 @@ def test_stops_take_the_point_of_the_best_name_in_their_settlement(spark):
     assert 5 < sum(x is not None for x in want.values()) < 60
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def sides(spark, seed):
+    rng = random.Random(seed)
+    words = ["Томск", "Томск1", "Омск", "Бийск", "Бийск Южный", "Рынок", "Ринок", "Порт", ""]
+    code = lambda: [("esr", "id", str(rng.randrange(6)))] if rng.random() < 0.1 else []
+    point = lambda: (None, None) if rng.random() < 0.3 else (rng.choice([55.0, 55.001, 55.01, 56.0, 89.9]), rng.choice([83.0, 83.002, 83.02, 179.999, -179.999]))
+    row = lambda i: (i, i, rng.choice(words), *point(), rng.choice(["", "Томск", "Омск"]), rng.choice(["", "bus", "rail"]), "osm", code())
+    schema = "{} long, ordinal long, name string, lat double, lon double, settlement string, transport string, source string, codes " + linkage.NO_CODES
+    return spark.createDataFrame([row(i) for i in range(60)], schema.format("left_id")), spark.createDataFrame([row(i) for i in range(45)], schema.format("right_id"))
+
+
+def ranked(rows):
+    lists = {}
+    for r in sorted((r for r in rows if r.score > 0), key=lambda r: (-r.score, r.right_no)):
+        lists.setdefault(r.left_id, []).append(r)
+    return lists
+
+
+def test_full_join_by_bounds_is_that_of_the_whole_product(spark):
+    cfg = linkage.LinkConfig()
+    left, right = sides(spark, 11)
+    lists = ranked(linkage.scored_links(left, right, left.select("left_id").crossJoin(right.select("right_id"))).collect())
+    want = {i: (None, 0.0, 0.0) for i in range(60)}
+    for i, rows in lists.items():
+        best, second = rows[0], rows[1].score if len(rows) > 1 else 0.0
+        sure = best.score >= cfg.threshold and (best.score - second >= cfg.margin or second == 0) and (best.code or (best.metres is not None and best.metres <= cfg.distance_m))
+        vague = best.score >= cfg.threshold - cfg.margin and best.score - second < cfg.ambiguity
+        want[i] = (best.right_id if sure or vague else None, best.score, second)
+    got = {r.left_id: (r.right_id, r.score, r.second) for r in linkage.full_fuzzy_join(left, right).collect()}
+    assert got == want and sum(x is not None for x, _, _ in want.values()) > 10
+
+
+def test_legacy_rows_take_the_best_of_all_candidates(spark):
+    left, right = sides(spark, 12)
+    lists = ranked(linkage.scored_links(left, right, linkage.link_candidates(left, right)).collect())
+    got = {r.left_id: (r.right_id, r.score) for r in linkage.legacy_match(left, right).collect()}
+    assert got == {i: ((lists[i][0].right_id if lists[i][0].score >= 0.6 else None, lists[i][0].score) if i in lists else (None, 0.0)) for i in range(60)}
+    a, b = linkage.prepared(left), linkage.prepared(right)
+    few = linkage._top_pairs(a, b, linkage.LinkConfig(), pilot=8).collect()
+    every = ranked(linkage.scored_links(left, right, left.select("left_id").crossJoin(right.select("right_id"))).collect())
+    assert {i: [r.right_id for r in rows[:2]] for i, rows in ranked(few).items()} == {i: [r.right_id for r in rows[:2]] for i, rows in every.items()}
+    assert len(few) < 60 * 45 / 2
