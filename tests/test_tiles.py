@@ -86,3 +86,17 @@ def test_legacy_rows_take_the_best_of_all_candidates(spark):
     every = ranked(linkage.scored_links(left, right, left.select("left_id").crossJoin(right.select("right_id"))).collect())
     assert {i: [r.right_id for r in rows[:2]] for i, rows in ranked(few).items()} == {i: [r.right_id for r in rows[:2]] for i, rows in every.items()}
     assert len(few) < 60 * 45 / 2
+
+
+def test_names_all_alike_give_the_pairs_of_the_similarity_join(spark):
+    left, right = sides(spark, 13)
+    cfg = linkage.LinkConfig()
+    a, b = linkage.prepared(left), linkage.prepared(right)
+    pair = lambda df: sorted((r.left_id, r.right_id) for r in df.collect())
+    for floor in (0.45, 0.8):
+        tiled, counted = linkage._alike(a, b, floor, cfg), linkage._alike(a, b, floor, cfg, dense=0)
+        every = linkage._rated(a.alias("a").crossJoin(b.alias("b")), cfg).where(F.col("score") >= floor)
+        want = pair(every.where("NOT code"))
+        assert [x for x in pair(tiled) if x in set(want)] == want and len(want) > 100
+        assert set(pair(counted)) >= {(r.left_id, r.right_id) for r in every.where("metres IS NULL AND NOT code").collect()}
+    assert linkage._meetings(left.select("name"), right.select("name"), "name") == left.select("name").join(right.select("name"), "name").count()
