@@ -100,3 +100,19 @@ def test_names_all_alike_give_the_pairs_of_the_similarity_join(spark):
         assert [x for x in pair(tiled) if x in set(want)] == want and len(want) > 100
         assert set(pair(counted)) >= {(r.left_id, r.right_id) for r in every.where("metres IS NULL AND NOT code").collect()}
     assert linkage._meetings(left.select("name"), right.select("name"), "name") == left.select("name").join(right.select("name"), "name").count()
+
+
+def test_nearest_stops_pairs_only_the_first_of_a_place(spark, monkeypatch):
+    rows = [(i, 55.0 + (i % 3) * 0.01, 83.0) for i in range(150)]
+    stops = spark.createDataFrame(rows, "stop_id long, lat double, lon double")
+    points = spark.createDataFrame([(1, 55.004, 83.0), (2, 55.02, 83.0), (3, 57.0, 83.0)], "point_id long, lat double, lon double")
+    made, real = [], spatial.near_join
+
+    def counted(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(spatial, "near_join", counted)
+    got = {(r.point_id, r.rank): r.stop_id for r in spatial.nearest_stops(points, stops, 60.0, 4).collect()}
+    assert got == {(1, 1): 0, (1, 2): 3, (1, 3): 6, (1, 4): 9, (2, 1): 2, (2, 2): 5, (2, 3): 8, (2, 4): 11}
+    assert made[0].count() <= 2 * 3 * 4
