@@ -85,3 +85,42 @@ def test_fold_along_trips_equals_a_loop(spark):
     # Each list is filtered once a stop; the expression used to be repeated wherever it was named.
     assert _plan(got).count("filter(coalesce(") <= 4
     assert {(r.trip_id, r.seq): (r.terminal_id, r.decision, r.value) for r in got.collect()} == want
+
+
+def _attached(spark, seed, size=60):
+    rng = random.Random(seed)
+    words = ["Томск", "Томск1", "Омск", "Бийск", "Бийск Южный", "Рынок", "Порт", "", None]
+    code = lambda: [(rng.choice(["s", "u", None]), rng.choice(["t", "v"]), str(rng.randrange(6)))] if rng.random() < 0.15 else []
+    lat, lon = [55.0, 55.001, 55.004, 55.01, 55.3, 56.0, 89.9, 0.0], [83.0, 83.002, 83.02, 83.4, 179.999, -179.999, 0.0]
+    point = lambda: (None, None) if rng.random() < 0.1 else (rng.choice(lat[:6]), rng.choice(lon[:4])) if rng.random() < 0.9 else (rng.choice(lat), rng.choice(lon))
+    row = lambda i, *more: (i if rng.random() < 0.9 else rng.randrange(size), rng.choice(words), *point(), rng.choice(["", "Томск", "Омск", None]), rng.choice(["", "bus", "rail"]), rng.choice(["osm", "seed", "yandex"]), code(), *more)
+    schema = "name string, lat double, lon double, settlement string, transport string, source string, codes " + CODES
+    return spark.createDataFrame([row(i, rng.choice(["urban", "rural"])) for i in range(size)], f"stop_key long, {schema}, density string"), spark.createDataFrame([row(i) for i in range(size * 2)], f"terminal_id long, {schema}")
+
+
+def test_few_candidates_tell_what_all_of_them_tell(spark):
+    seed = 3
+    stops, terms = _attached(spark, seed)
+    every = linkage.scored_attach(stops, terms)
+    pick = ["stop_key", "cand_no", "n", "decision", "s.value", "s.code"]
+    want = sorted(map(tuple, linkage.match_best(every, "stop_key").select(*pick).collect()), key=str)
+    got = sorted(map(tuple, linkage.best_attach(stops, terms).select(*pick).collect()), key=str)
+    assert [r[:1] + r[2:] for r in got] == [r[:1] + r[2:] for r in want] and len(want) > 40
+    # Keys of several rows may give a candidate several best rows.
+    assert got == want
+    rng = random.Random(seed)
+    trips = spark.createDataFrame([(t, i, rng.randrange(60)) for t in range(80) for i in range(rng.randrange(1, 5))], "trip_id long, seq int, stop_key long")
+    few = linkage.few_attach(stops, terms, linkage.longest_trip(trips) + 1)
+    fold = lambda scored: sorted(map(tuple, linkage.match_trip_stops(trips, scored).collect()), key=str)
+    assert fold(few) == fold(every)
+
+
+def test_stops_with_a_sure_best_have_few_candidates_scored(spark):
+    schema = "name string, lat double, lon double, settlement string, transport string, source string, codes " + CODES
+    rows = [(i, f"Stop {i % 40}", 55.0 + (i % 40) * 0.03, 83.0, "Томск", "bus", "osm", []) for i in range(400)]
+    stops = spark.createDataFrame(rows, f"stop_key long, {schema}").withColumn("density", F.lit("urban")).withColumn("source", F.lit("mintrans"))
+    terms = spark.createDataFrame(rows, f"terminal_id long, {schema}")
+    few, every = linkage.few_attach(stops, terms, 3), linkage.scored_attach(stops, terms)
+    assert few.count() * 4 < every.count()
+    pick = ["stop_key", "cand_no", "n", "decision"]
+    assert sorted(linkage.best_attach(stops, terms).select(*pick).collect()) == sorted(linkage.match_best(every, "stop_key").select(*pick).collect())
