@@ -116,3 +116,22 @@ def test_nearest_stops_pairs_only_the_first_of_a_place(spark, monkeypatch):
     got = {(r.point_id, r.rank): r.stop_id for r in spatial.nearest_stops(points, stops, 60.0, 4).collect()}
     assert got == {(1, 1): 0, (1, 2): 3, (1, 3): 6, (1, 4): 9, (2, 1): 2, (2, 2): 5, (2, 3): 8, (2, 4): 11}
     assert made[0].count() <= 2 * 3 * 4
+
+
+def test_names_of_a_settlement_are_compared_once(spark, monkeypatch):
+    stops = spark.createDataFrame([(i, f"Рынок {i % 2}", None, None, "Томск") for i in range(90)], "stop_id long, name string, lat double, lon double, settlement string")
+    terminals = spark.createDataFrame([(i, f"Рынок {min(i, 2)}", 50.0 + i, 80.0, "Томск") for i in range(80)], "terminal_id long, name string, lat double, lon double, settlement string")
+    made, real = [], spatial.tiles
+
+    def counted(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(spatial, "tiles", counted)
+    got = {(r.stop_id, r.resolved_by, r.lat) for r in spatial.resolve_stop_coords(stops, terminals).collect()}
+    assert sum(df.count() for df in made) == 2 * 3
+    # The other name is as good but for a letter: nearer than the gap allows.
+    assert got == {(i, None, None) for i in range(90)}
+    terminals = terminals.where("terminal_id <> 1 AND terminal_id < 4").withColumn("name", F.when(F.col("terminal_id") == 0, F.col("name")).otherwise("Вокзал"))
+    got = {(r.stop_id, r.resolved_by, r.lat) for r in spatial.resolve_stop_coords(stops, terminals).collect()}
+    assert got == {(i, 0, 50.0) for i in range(90)}
