@@ -135,3 +135,24 @@ def test_names_of_a_settlement_are_compared_once(spark, monkeypatch):
     terminals = terminals.where("terminal_id <> 1 AND terminal_id < 4").withColumn("name", F.when(F.col("terminal_id") == 0, F.col("name")).otherwise("Вокзал"))
     got = {(r.stop_id, r.resolved_by, r.lat) for r in spatial.resolve_stop_coords(stops, terminals).collect()}
     assert got == {(i, 0, 50.0) for i in range(90)}
+
+
+def test_links_in_shares_are_those_of_all_candidates(spark, monkeypatch):
+    cfg = linkage.LinkConfig()
+    pick = ["left_id", "right_id", "score", "second", "result"]
+    told = lambda df: sorted(map(tuple, df.select(*pick).collect()))
+    left, right = sides(spark, 14)
+    scored = linkage.keep(linkage.scored_links(left, right, linkage.link_candidates(left, right)), "scored")
+    want = told(linkage.decide_join(scored, cfg))
+    made, real = [], linkage._in_order
+
+    def counted(rows, cfg, cut=None):
+        made.append(rows.count())
+        return real(rows, cfg, cut)
+
+    assert told(linkage.greedy_links(left, right, cfg)) == want and len(want) > 40
+    monkeypatch.setattr(linkage, "_in_order", counted)
+    # Short lists run out, and shares of a few rows only meet what is free.
+    assert told(linkage.greedy_links(left, right, cfg, most=200, width=100)) == want
+    assert len(made) > 1 and max(made) < scored.count() / 2
+    assert linkage.greedy_links(left.limit(0), right, cfg).count() == 0
