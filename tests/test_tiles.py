@@ -156,3 +156,32 @@ def test_links_in_shares_are_those_of_all_candidates(spark, monkeypatch):
     assert told(linkage.greedy_links(left, right, cfg, most=200, width=100)) == want
     assert len(made) > 1 and max(made) < scored.count() / 2
     assert linkage.greedy_links(left.limit(0), right, cfg).count() == 0
+
+
+def test_alike_rows_without_a_point_are_tried_once(spark, monkeypatch):
+    cfg = linkage.LinkConfig()
+    left, right = sides(spark, 15)
+    wide = lambda df, key: df.crossJoin(spark.range(4)).withColumn(key, F.col(key) + 100 * F.col("id")).withColumn("ordinal", F.col(key)).drop("id")
+    a, b = linkage.prepared(wide(left, "left_id")), linkage.prepared(wide(right, "right_id").withColumn("lat", F.lit(None).cast("double")))
+    every = ranked(linkage._rated(a.alias("a").crossJoin(b.alias("b")), cfg).collect())
+    made, real = [], linkage.tiles
+
+    def counted(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(linkage, "tiles", counted)
+    few = ranked(linkage._top_bare(a, b, cfg).collect())
+    assert {i: [(r.right_id, r.score) for r in rows[:2]] for i, rows in few.items()} == {i: [(r.right_id, r.score) for r in rows[:2]] for i, rows in every.items()}
+    assert made[-1].count() <= 60 * 45
+
+
+def test_fine_cells_meet_what_coarse_ones_do(spark):
+    rng = random.Random(16)
+    point = lambda: (rng.choice([0.0, 55.0, 68.99, 69.5, 84.0]) + rng.uniform(0, 0.05), rng.choice([83.0, 179.99]) + rng.uniform(0, 0.1))
+    rows = lambda n: [(i, *point(), []) for i in range(n)]
+    left = spark.createDataFrame(rows(200), f"left_id long, lat double, lon double, codes {linkage.NO_CODES}")
+    right = spark.createDataFrame(rows(200), f"right_id long, lat double, lon double, codes {linkage.NO_CODES}")
+    told = lambda cell: {tuple(r) for r in linkage._meets(left, right, linkage.LinkConfig(cell=cell)).select("left_id", "right_id").collect()}
+    pairs = left.alias("a").crossJoin(right.alias("b")).where(linkage.geo.planar_m2(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= 2000**2)
+    assert told(0.5) == {(r.left_id, r.right_id) for r in pairs.select("left_id", "right_id").collect()} and len(told(0.5)) > 100
